@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merge_dropout, mixing, quality, rules, token_counts, toxicity
+from . import ann_tree, html_text, jaccard_join, merge_dropout, mixing, pii, quality, rules, token_counts, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,9 +23,13 @@ def _documents(f: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": _labelled(toxicity.score_all),
+        "op2_pii_disclosure": _documents(pii.find_all),
         "op3_mixing": _labelled(mixing.mix_all),
         "op4_quality": _labelled(quality.score_all),
         "op5_token_counts": _documents(token_counts.count_all),
+        "op6_jaccard_join": _documents(jaccard_join.join),
+        "op7_html_text": lambda spark, sf_dir: html_text.extract_all(table(spark, sf_dir, "pages")),
+        "op8_ann_tree": lambda spark, sf_dir: ann_tree.search_all(table(spark, sf_dir, "embeddings")),
         "op9_quality_rules": _labelled(rules.judge_all),
         "op10_merge_dropout": _documents(merge_dropout.encode_all),
     }
