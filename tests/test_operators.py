@@ -1,0 +1,63 @@
+from pyspark.sql import functions as F
+
+from foliant.operators import documents, events, resolve, retrieval, store
+
+
+def test_latest_and_versions(spark):
+    rows = [(1, "p", "2020-01-01", "h1", "d1", ["x"]), (2, "p", "2020-01-02", "h2", "d2", ["x", "y"]), (3, "p", "2020-01-03", "h2", "d2", ["x"]), (4, "q", "2020-01-01", "h1", None, [])]
+    df = spark.createDataFrame(rows, "doc_id long, source_path string, ingested_at string, content_hash string, report_date string, authors array<string>")
+    assert {r.doc_id for r in documents.latest(df).collect()} == {3, 4}
+    none = F.array().cast("array<string>")
+    full = df.withColumns({"report_type": F.lit("r"), "title": F.lit("t"), "document_kind": F.lit("report"), "contacts": none, "findings": none, "recommendations": none})
+    got = {(r.path, r.version): r.changes for r in documents.versions(full).collect()}
+    assert got == {("p", 1): ["Initial version captured."], ("p", 2): ["report_date: d1 -> d2", "content changed", "authors added: y"], ("q", 1): ["Initial version captured."]}
+
+
+def test_undated_rows(spark):
+    df = spark.createDataFrame([(1, "report", None, "c", "a", []), (2, "report", "2020-01-01", "c", "b", []), (3, "quote", None, "c", "c", [])], "doc_id long, document_kind string, report_date string, client_name string, ingested_at string, contacts array<string>")
+    assert [r.doc_id for r in documents.reports(df, date_from="2021-01-01").collect()] == [1]
+    assert documents.reports(df, kind="quote").count() == 0
+    ev = df.select(F.col("doc_id").alias("event_id"), "client_name", F.col("report_date").alias("event_date"), F.lit("2019").alias("created_at"))
+    assert [r.event_id for r in documents.timeline(ev, date_from="2000").collect()] == [2]
+
+
+def test_durations(spark):
+    rows = [(1, "p", "file_started", 10), (2, "p", "file_completed", 12), (3, "p", "file_error", 9), (4, "q", "file_completed", 5)]
+    log = spark.createDataFrame(rows, "line long, path string, event string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.line: r.seconds for r in events.durations(log).collect()}
+    assert got == {2: 2.0, 3: 0.0}
+    v = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0],)], "v array<double>").select(events.nearest_rank(F.col("v"), 0.5).alias("p")).first()
+    assert v.p == 3.0  # round(1.5) goes to the even 2
+
+
+def test_resolution(spark):
+    docs = spark.createDataFrame([("Acme", "x/a.txt", ["r1"]), ("Acme", "x/b.txt", []), ("ACME", "x/c.txt", ["r1"]), ("zed", "zed.txt", [])], "client_name string, source_path string, related_references array<string>")
+    assert {(r.folded, r.canonical) for r in resolve.canonical_names(docs).collect()} == {("acme", "Acme"), ("zed", "zed")}
+    assert [r.client_name for r in resolve.suspicious_clients(docs).collect()] == ["zed"]
+    full = docs.withColumns({"project_code": F.lit(""), "project_key": F.lit(""), "source_stem": F.lit("")})
+    got = resolve.duplicate_clients(full, 0.9).collect()
+    assert [(r.target, r.source) for r in got] == [("Acme", "ACME")] and abs(got[0].confidence - 0.96) < 1e-9
+
+
+def test_clusters(spark):
+    rows = [("c", 1, "2020", "k1", "A", "n", ["R1"], "2020"), ("c", 2, "2021", "k2", "B", "n2", ["R1", "R2"], "2020"), ("c", 3, "2022", "k3", "B", "n3", ["R2"], "2020")]
+    df = spark.createDataFrame(rows, "client_name string, doc_id long, ingested_at string, project_key string, project_code string, project_name string, refs array<string>, year string")
+    got = {r.doc_id: r.cluster for r in resolve.cluster_projects(df).collect()}
+    assert got[3] == got[2] and got[1] != got[2]
+
+
+def test_chunks_and_mmr(spark):
+    assert retrieval.chunk("a b\n\nc") == ["a b\nc"]
+    parts = retrieval.chunk("x" * 3000, 1200, 150)
+    assert [len(p) for p in parts] == [1200, 1200, 900]
+    assert retrieval.hash_embedding("a") == retrieval.hash_embedding("a")
+    df = spark.createDataFrame([(1, 1, 1.0, [1.0, 0.0]), (1, 2, 0.99, [1.0, 0.01]), (1, 3, 0.9, [0.0, 1.0])], "query_id int, row_id int, score double, embedding array<double>")
+    assert [r.row_id for r in retrieval.mmr(df, 2).orderBy("position").collect()] == [1, 3]
+
+
+def test_store(spark):
+    a = spark.createDataFrame([("k", 1, "old"), ("j", 2, "j")], "k string, v int, created string")
+    b = spark.createDataFrame([("k", 9, "new"), ("n", 3, "n")], "k string, v int, created string")
+    assert {tuple(r) for r in store.upsert(a, b, ["k"], keep=("created",)).collect()} == {("k", 9, "old"), ("j", 2, "j"), ("n", 3, "n")}
+    m = spark.createDataFrame([({"a": "1"},)], "m map<string,string>").select(store.set_map_entry(F.col("m"), F.lit("a"), F.lit("2")).alias("m")).first()
+    assert m.m == {"a": "2"}
