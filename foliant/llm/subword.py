@@ -87,8 +87,10 @@ def fit(ids: list[np.ndarray], weights: list[np.ndarray], y: np.ndarray, classes
     out = np.zeros((cfg.width, classes), np.float32)
     share = np.bincount(y, minlength=classes) + 1.0
     bias = np.log(share / share.sum()).astype(np.float32)
-    step, steps = 0, max(1, cfg.epochs * len(y))
-    for _ in range(cfg.epochs):
+    # A small sample is passed over more often, so that it takes as many steps as a third of a full one.
+    epochs = cfg.epochs if not len(y) else max(cfg.epochs, min(60, cfg.sample // len(y)))
+    step, steps = 0, max(1, epochs * len(y))
+    for _ in range(epochs):
         for i in rng.permutation(len(y)):
             rate = cfg.rate * (1 - step / steps)
             step += 1
