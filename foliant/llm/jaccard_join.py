@@ -74,14 +74,15 @@ def shingle_set(text: str | None) -> np.ndarray:
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     width = min(n, WORDS)
     total = np.zeros(n - width + 1, np.uint64)
+    h = mix(h, 5)
     for j in range(width):
-        total += mix(h[j : n - width + 1 + j], 5) * _MULTIPLIERS[j]
+        total += h[j : n - width + 1 + j] * _MULTIPLIERS[j]
     return np.unique(mix(total, 7 + width))
 
 
 def class_of(s: np.ndarray) -> int:
-    """Hash of a whole set, as a signed number."""
-    return int(mix(np.array([mix(s, 31).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64), 37)[0].astype(np.int64))
+    """Hash of a whole set, as a signed even number: the last bit is left for the band it signs in."""
+    return int(mix(np.array([mix(s, 31).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64), 37)[0].astype(np.int64)) & ~1
 
 
 @lru_cache(maxsize=100_000)
@@ -120,33 +121,45 @@ def design(i: int, share: float = 1.0) -> tuple[int, int]:
 
 def parts(s: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Filled parts and the hash of what each holds."""
-    at = (mix(s, 100 + seed) % np.uint64(n)).astype(np.int64)
+    h = mix(s, 100 + seed)
+    at = ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+    at = at.astype(np.uint16 if n <= 1 << 16 else np.int64)
     order = np.argsort(at, kind="stable")
-    at, value = at[order], mix(s, 200 + seed)[order]
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    return at[first], np.add.reduceat(value, first) if len(first) else np.zeros(0, np.uint64)
+    at, h = at[order], h[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+    # What a part holds is told by the sum of another hash, so that the part's number isn't told twice.
+    return at[first].astype(np.int64), np.add.reduceat(h * (h | np.uint64(1)) + (h >> np.uint64(29)), first) if len(first) else np.zeros(0, np.uint64)
 
 
-def signatures(s: np.ndarray, rest: np.ndarray, cfg: Settings) -> np.ndarray:
-    """Signatures of a set ``s`` whose infrequent shingles are ``rest``, in its own band and the one below."""
+def signatures(s: np.ndarray, rest: np.ndarray, cfg: Settings) -> list[tuple[np.ndarray, int]]:
+    """Signatures of a set ``s`` whose infrequent shingles are ``rest``, in its own band and the one
+    below, each with the number of them that any partner must share.
+
+    Of the filled parts at most ``k`` differ from a partner's, so all others are shared; a set that
+    signs as a whole too may meet a partner in either way and needs one.
+    """
     out = []
     home = band(len(s))
     for i in ([home, home - 1] if home else [home]):
+        mine, need = [], 1
         for whole, items, share in ((0, rest, cfg.infrequent_share), (1, s, 1.0)):
             k, n = design(i, share)
             for cutting in range(cfg.cuttings):
                 seed = whole * 20 + cutting
                 at, held = parts(items, n, seed)
                 tag = np.uint64(((i * 1009 + seed) * 0x9E3779B97F4A7C15) & (2**64 - 1))
-                out.append(mix(held + at.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + tag, 300))
+                mine.append(mix(held + at.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + tag, 300))
                 if len(at) > k:
                     break
             else:
                 if whole:
-                    out.append(np.array([tag], np.uint64))
+                    mine.append(np.array([tag], np.uint64))
             if len(at) > k:
+                if len(mine) == 1:
+                    need = len(at) - k
                 break
-    return np.concatenate(out)
+        out.append((np.concatenate(mine), need))
+    return out
 
 
 # Bitmaps ----------------------------------------------------------------------------------
@@ -208,36 +221,37 @@ def survey(docs: DataFrame, cfg: Settings) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long, hot array<struct<x:long,n:long>>")
 
 
-def pack(sig: np.ndarray, cls: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """Signatures dealt to buckets: 48 bits of each, the class's place in the bucket's list, the list."""
+def pack(sig: np.ndarray, owner: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes, bytes, np.ndarray]]:
+    """Signatures dealt to buckets: 48 bits of each, the owner's place in the bucket's list, the list."""
     bucket = (sig % np.uint64(n_buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    sig, cls, bucket = sig[order] // np.uint64(n_buckets), cls[order], bucket[order]
+    sig, owner, bucket = sig[order] // np.uint64(n_buckets), owner[order], bucket[order]
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
     for lo, hi in zip(first, [*first[1:], len(sig)], strict=True):
-        own, at = np.unique(cls[lo:hi], return_inverse=True)
+        own, at = np.unique(owner[lo:hi], return_inverse=True)
         s = sig[lo:hi]
         low = s.astype(np.uint32).tobytes() + (s >> np.uint64(32)).astype(np.uint16).tobytes()
-        yield int(bucket[lo]), low, at.astype(np.uint16 if len(own) <= 65536 else np.uint32).tobytes(), own.tobytes()
+        yield int(bucket[lo]), low, at.astype(np.uint16 if len(own) <= 65536 else np.uint32).tobytes(), own
 
 
-def unpack(low: bytes, at: bytes, own: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack(low: bytes, at: bytes, own: bytes, need: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(low) // 6
     sig = np.frombuffer(low[: 4 * n], np.uint32).astype(np.uint64) | (np.frombuffer(low[4 * n :], np.uint16).astype(np.uint64) << np.uint64(32))
     place = np.frombuffer(at, np.uint16 if len(at) == 2 * n else np.uint32)
-    return sig, np.frombuffer(own, np.int64)[place]
+    return sig, np.frombuffer(own, np.int64)[place], np.frombuffer(need, np.int32)[place]
 
 
-_PACKED = "bucket long, low binary, at binary, own binary"
+_PACKED = "bucket long, low binary, at binary, own binary, need binary"
 
 
-def packed(entries: list[tuple[int, np.ndarray]], n_buckets: int) -> pa.RecordBatch:
-    """A batch of packed rows from (class, signatures) entries."""
-    sig = np.concatenate([s for _, s in entries] + [np.zeros(0, np.uint64)])
-    cls = np.repeat(np.array([c for c, _ in entries], np.int64), [len(s) for _, s in entries])
-    rows = list(pack(sig, cls, n_buckets)) if len(sig) else []
-    cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "low", "at", "own"])
+def packed(entries: list[tuple[int, np.ndarray, int]], n_buckets: int) -> pa.RecordBatch:
+    """A batch of packed rows from (class and band, signatures, need) entries."""
+    sig = np.concatenate([s for _, s, _ in entries])
+    owner = np.repeat(np.arange(len(entries)), [len(s) for _, s, _ in entries])
+    ids, needs = np.array([c for c, _, _ in entries], np.int64), np.array([m for _, _, m in entries], np.int32)
+    rows = [(bucket, low, at, ids[own].tobytes(), needs[own].tobytes()) for bucket, low, at, own in pack(sig, owner, n_buckets)]
+    cols = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "low", "at", "own", "need"])
 
 
 #: Classes a worker remembers having signed: a copy's signatures would say nothing new.
@@ -255,8 +269,9 @@ def sign(docs: DataFrame, frequent: np.ndarray, n_buckets: int, cfg: Settings) -
                 if len(signed) >= _SIGNED:
                     signed.clear()
                 signed.add(c)
-                entries.append((c, signatures(s, s[~in_bitmap(s, frequent, cfg.bitmap_bits)], cfg)))
-                held += len(entries[-1][1])
+                for below, (sig, need) in enumerate(signatures(s, s[~in_bitmap(s, frequent, cfg.bitmap_bits)], cfg)):
+                    entries.append((c | below, sig, need))
+                    held += len(sig)
                 if held > 4_000_000:
                     yield packed(entries, n_buckets)
                     entries, held = [], 0
@@ -267,33 +282,46 @@ def sign(docs: DataFrame, frequent: np.ndarray, n_buckets: int, cfg: Settings) -
 
 
 def groups(signed: DataFrame) -> DataFrame:
-    """(gid, cls) of the groups of two classes or more; groups of the same classes are one group."""
+    """(gid, cls) of the groups of two classes or more that can hold a link; groups of the same classes
+    are one group. A class stays only where it shares as many signatures as it needs with others."""
 
     def run(table: pa.Table) -> pa.Table:
-        got = [unpack(*(x.as_py() for x in row)) for row in zip(table.column("low"), table.column("at"), table.column("own"), strict=True)]
-        sig = np.concatenate([s for s, _ in got])
-        cls = np.concatenate([c for _, c in got])
+        got = [unpack(*(x.as_py() for x in row)) for row in zip(*(table.column(c) for c in ("low", "at", "own", "need")), strict=True)]
+        sig, cls, need = (np.concatenate([g[i] for g in got]) for i in range(3))
         order = np.argsort(sig, kind="stable")
         sig = sig[order]
         twin = np.zeros(len(sig), bool)
         twin[1:] = sig[1:] == sig[:-1]
         twin[:-1] |= twin[1:]
-        sig, cls = sig[twin], cls[order[twin]]
+        sig, cls, need = sig[twin], cls[order[twin]], need[order[twin]]
         order = np.lexsort((cls, sig))
-        sig, cls = sig[order], cls[order]
+        sig, cls, need = sig[order], cls[order], need[order]
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
-        sig, cls = sig[new], cls[new]
+        sig, cls, need = sig[new], cls[new], need[new]
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(sig)))
+        shared = np.repeat(size > 1, size)
         gid = mix(np.add.reduceat(mix(cls.astype(np.uint64), 41), first) + size.astype(np.uint64), 43) if len(first) else np.zeros(0, np.uint64)
         keep = np.zeros(len(first), bool)
         keep[np.unique(gid, return_index=True)[1]] = True
         keep &= size > 1
         rows = np.repeat(keep, size)
-        return pa.table({"gid": pa.array(np.repeat(gid, size)[rows].astype(np.int64)), "cls": pa.array(cls[rows])})
-
-    return signed.groupBy("bucket").applyInArrow(run, "gid long, cls long").dropDuplicates(["gid", "cls"])
+        own, at, n = np.unique(cls[shared], return_index=True, return_counts=True)
+        gids = np.concatenate([np.repeat(gid, size)[rows].astype(np.int64), np.zeros(len(own), np.int64)])
+        return pa.table({
+            "gid": pa.array(gids, mask=np.arange(len(gids)) >= rows.sum()),
+            "cls": pa.array(np.concatenate([cls[rows], own])),
+            "n": pa.array(np.concatenate([np.zeros(rows.sum(), np.int64), n])),
+            "need": pa.array(np.concatenate([np.zeros(rows.sum(), np.int32), need[shared][at]]), pa.int32()),
+        })
+
+    found = checkpointed(signed.groupBy("bucket").applyInArrow(run, "gid long, cls long, n long, need int"))
+    enough = found.where("gid is null").groupBy("cls").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("cls")
+    left = found.where("gid is not null").select("gid", "cls").join(enough, "cls", "left_semi")
+    left = left.select("gid", F.col("cls").bitwiseAND(F.lit(-2)).alias("cls")).dropDuplicates(["gid", "cls"])
+    full = left.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gid")
+    return left.join(full, "gid", "left_semi")
 
 
 def class_sets(docs: DataFrame, classes: DataFrame, cfg: Settings) -> DataFrame:
