@@ -128,11 +128,12 @@ def mix_all(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, domain: str = "lang") -> DataFrame:
-    """Pipeline stage: every document as often as its rate says (never less than once with the default total)."""
+    """Pipeline stage: every document as often as its rate says, and at least once. The default total leaves
+    no rate below 1 where the targets can be met; where they can't, a rate of 0 must not lose a document."""
     weights = weights or TARGETS
     model = train(docs, labels, list(weights), domain)
     names = docs.columns
     points = checkpointed(posteriors(docs.select("text"), model, list(weights)).drop("text"))
     rate = fit(points, weights).rate()
-    marked = posteriors(docs, model, list(weights)).withColumn("__copies", repeats(rate, F.xxhash64("doc_id", "text")))
-    return marked.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+    marked = posteriors(docs, model, list(weights)).withColumn("__copies", F.greatest(F.lit(1), repeats(rate, F.xxhash64("doc_id", "text"))))
+    return marked.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
