@@ -57,7 +57,7 @@ class Settings:
     #: Share of infrequent shingles that a document needs to do without signatures of its whole set.
     infrequent_share: float = 0.6
     #: Documents to a bucket of signatures.
-    docs_a_bucket: int = 10_000
+    docs_a_bucket: int = 6_000
     #: Classes of a block at most, in expectation; open groups are compared block by block.
     block: int = 64
 
@@ -234,11 +234,11 @@ def pack(sig: np.ndarray, owner: np.ndarray, n_buckets: int) -> Iterator[tuple[i
         yield int(bucket[lo]), low, at.astype(np.uint16 if len(own) <= 65536 else np.uint32).tobytes(), own
 
 
-def unpack(low: bytes, at: bytes, own: bytes, need: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack(low: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures, and each owner's place in the blob's list."""
     n = len(low) // 6
     sig = np.frombuffer(low[: 4 * n], np.uint32).astype(np.uint64) | (np.frombuffer(low[4 * n :], np.uint16).astype(np.uint64) << np.uint64(32))
-    place = np.frombuffer(at, np.uint16 if len(at) == 2 * n else np.uint32)
-    return sig, np.frombuffer(own, np.int64)[place], np.frombuffer(need, np.int32)[place]
+    return sig, np.frombuffer(at, np.uint16 if len(at) == 2 * n else np.uint32)
 
 
 _PACKED = "bucket long, low binary, at binary, own binary, need binary"
@@ -286,14 +286,25 @@ def groups(signed: DataFrame) -> DataFrame:
     are one group. A class stays only where it shares as many signatures as it needs with others."""
 
     def run(table: pa.Table) -> pa.Table:
-        got = [unpack(*(x.as_py() for x in row)) for row in zip(*(table.column(c) for c in ("low", "at", "own", "need")), strict=True)]
-        sig, cls, need = (np.concatenate([g[i] for g in got]) for i in range(3))
-        order = np.argsort(sig, kind="stable")
+        # Owners are looked up for shared signatures only, which are few; until then an entry is 12 bytes.
+        sizes = [len(x.as_buffer()) // 6 for x in table.column("low")]
+        owners = [np.frombuffer(x.as_buffer(), np.int64) for x in table.column("own")]
+        sig, place = np.empty(sum(sizes), np.uint64), np.empty(sum(sizes), np.uint32)
+        begin = end = base = 0
+        for low, at, n, own in zip(table.column("low"), table.column("at"), sizes, owners, strict=True):
+            end = begin + n
+            s, p = unpack(low.as_py(), at.as_py())
+            sig[begin:end], place[begin:end] = s, p.astype(np.uint32) + np.uint32(base)
+            begin, base = end, base + len(own)
+        order = np.argsort(sig, kind="stable").astype(np.uint32)
         sig = sig[order]
         twin = np.zeros(len(sig), bool)
         twin[1:] = sig[1:] == sig[:-1]
         twin[:-1] |= twin[1:]
-        sig, cls, need = sig[twin], cls[order[twin]], need[order[twin]]
+        sig, place = sig[twin], place[order[twin]]
+        del order, twin
+        cls = np.concatenate(owners)[place]
+        need = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in table.column("need")])[place]
         order = np.lexsort((cls, sig))
         sig, cls, need = sig[order], cls[order], need[order]
         new = np.ones(len(sig), bool)
