@@ -376,20 +376,20 @@ def timed(spark: SparkSession, d: str) -> DataFrame:
     return event_ops.durations(event_rows(spark, d), starts="view", ends=("purchase", "error"))
 
 
-_TIMED = "p as (select event_id line, event_type event, ts, last_value(case when event_type = 'view' then ts end ignore nulls) over (partition by user_id order by event_id rows unbounded preceding) s from events), d as (select line, event, greatest(0.0, (epoch_us(ts) - epoch_us(s)) / 1e6) as "seconds" from p where event in ('purchase', 'error') and s is not null)"
+_TIMED = "p as (select event_id line, event_type event, ts, last_value(case when event_type = 'view' then ts end ignore nulls) over (partition by user_id order by event_id rows unbounded preceding) s from events), d as (select line, event, greatest(0.0, (epoch_us(ts) - epoch_us(s)) / 1e6) as secs from p where event in ('purchase', 'error') and s is not null)"
 
 
-@query("paired_durations", f"with {_TIMED} select line, event, "seconds" from d")
+@query("paired_durations", f"with {_TIMED} select line, event, secs as \"seconds\" from d")
 def paired_durations(spark, d):
     return timed(spark, d).select("line", "event", "seconds")
 
 
-@query("duration_stats", f"with {_TIMED}, g as (select event, count(*) n, max("seconds") max_s, list_sort(list("seconds")) v from d group by 1) select event, n, max_s, v[round_even((n - 1) * 0.5, 0)::int + 1] p50_s, v[round_even((n - 1) * 0.95, 0)::int + 1] p95_s from g")
+@query("duration_stats", f"with {_TIMED}, g as (select event, count(*) n, max(secs) max_s, list_sort(list(secs)) v from d group by 1) select event, n, max_s, v[round_even((n - 1) * 0.5, 0)::int + 1] p50_s, v[round_even((n - 1) * 0.95, 0)::int + 1] p95_s from g")
 def duration_stats(spark, d):
     return event_ops.duration_stats(timed(spark, d), ["event"]).select("event", "n", "max_s", "p50_s", "p95_s")
 
 
-@query("slowest", f"with {_TIMED} select line, "seconds" from d order by "seconds" desc, line limit 10")
+@query("slowest", f"with {_TIMED} select line, secs as \"seconds\" from d order by secs desc, line limit 10")
 def slowest(spark, d):
     return event_ops.slowest(timed(spark, d)).select("line", "seconds")
 
