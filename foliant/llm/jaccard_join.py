@@ -47,7 +47,7 @@ PERCENT = 75
 
 @dataclass(frozen=True)
 class Settings:
-    #: Documents of a batch that must hold a shingle, and documents in sum, for it to be frequent.
+    #: Documents of a slice of a batch that must hold a shingle, and documents in sum, for it to be frequent.
     batch_frequent: int = 8
     frequent: int = 64
     #: Bits of the two bitmaps (frequent shingles; classes that need comparing). Their size never grows:
@@ -57,7 +57,10 @@ class Settings:
     #: Share of infrequent shingles that a document needs to do without signatures of its whole set.
     infrequent_share: float = 0.6
     #: Documents to a bucket of signatures.
-    docs_a_bucket: int = 6_000
+    docs_a_bucket: int = 3_000
+    #: Shingles that a slice counts, and signatures that a worker packs at a time, in expectation.
+    counted: int = 4_000_000
+    held: int = 1_500_000
     #: Classes of a block at most, in expectation; open groups are compared block by block.
     block: int = 64
 
@@ -65,9 +68,11 @@ class Settings:
 _MULTIPLIERS = [np.uint64((0x9E3779B97F4A7C15 * (2 * j + 3)) & (2**64 - 1) | 1) for j in range(WORDS)]
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Ascending distinct shingle hashes (uint64). Only A-Z are lower-cased; words end at ASCII white space."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def shingle_set(text: str | bytes | None) -> np.ndarray:
+    """Ascending distinct shingle hashes (uint64) of a text or its UTF-8 bytes. Only A-Z are lower-cased;
+    words end at ASCII white space."""
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+    words = raw.lower().split()
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
@@ -193,27 +198,44 @@ def _place(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def read_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    texts = batch.column("text").to_pylist()
-    for i, t in enumerate(texts):
-        yield i, shingle_set(t)
+    """Each row's set, read straight from the batch's bytes: one text at a time is held."""
+    for i, t in enumerate(batch.column("text").cast(pa.binary())):
+        yield i, shingle_set(t.as_py())
+
+
+def often_held(sets: list[np.ndarray], least: int) -> list[tuple[int, int]]:
+    """(item as a signed number, number of sets) of the items that so many of the sets hold. Empties ``sets``."""
+    every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    sets.clear()
+    every.sort()
+    last = max(0, len(every) - least + 1)
+    values = np.unique(every[:last][every[:last] == every[least - 1 :]])
+    counts = np.searchsorted(every, values, side="right") - np.searchsorted(every, values)
+    return list(zip(values.astype(np.int64).tolist(), counts.tolist(), strict=True))
 
 
 def survey(docs: DataFrame, cfg: Settings) -> DataFrame:
-    """(doc_id, n_shingles, cls, hot): class null for an empty set; ``hot`` the frequent shingles of a slice."""
+    """(doc_id, n_shingles, cls, hot): class null for an empty set; ``hot`` the frequent shingles of the slice that ends here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for _, s in read_sets(batch)]
-            seen: dict[int, np.ndarray] = {}
-            for s in sets:
-                if len(s):
-                    seen.setdefault(class_of(s), s)
-            # Each class counts once, so that copies alone make nothing frequent.
-            values, counts = np.unique(np.concatenate([*seen.values(), np.zeros(0, np.uint64)]), return_counts=True)
-            often = counts >= cfg.batch_frequent
-            hot = [list(zip(values[often].astype(np.int64).tolist(), counts[often].tolist(), strict=True))] + [None] * (len(sets) - 1)
+            sizes, classes, hot = [], [], []
+            held: list[np.ndarray] = []
+            seen: set[int] = set()
+            n_held = 0
+            for _, s in read_sets(batch):
+                sizes.append(len(s))
+                classes.append(class_of(s) if len(s) else None)
+                # Each class counts once, so that copies alone make nothing frequent.
+                if len(s) and classes[-1] not in seen:
+                    seen.add(classes[-1])
+                    held.append(s)
+                    n_held += len(s)
+                full = n_held > cfg.counted or len(sizes) == batch.num_rows
+                hot.append([{"x": x, "n": n} for x, n in often_held(held, cfg.batch_frequent)] if full else None)
+                n_held = 0 if full else n_held
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([h and [{"x": x, "n": n} for x, n in h] for h in hot[: len(sets)]], pa.list_(pa.struct([("x", pa.int64()), ("n", pa.int64())])))],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(hot, pa.list_(pa.struct([("x", pa.int64()), ("n", pa.int64())])))],
                 names=["doc_id", "n_shingles", "cls", "hot"],
             )
 
@@ -272,7 +294,7 @@ def sign(docs: DataFrame, frequent: np.ndarray, n_buckets: int, cfg: Settings) -
                 for below, (sig, need) in enumerate(signatures(s, s[~in_bitmap(s, frequent, cfg.bitmap_bits)], cfg)):
                     entries.append((c | below, sig, need))
                     held += len(sig)
-                if held > 4_000_000:
+                if held > cfg.held:
                     yield packed(entries, n_buckets)
                     entries, held = [], 0
             if entries:
