@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,15 +46,20 @@ def bounded_sample(labelled: DataFrame, key: str, limit: int) -> DataFrame:
 
 def slices(texts: list[str | None], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts hold about ``most`` characters; a longer text stands alone."""
+    yield from ranges([len(text) if text else 0 for text in texts], most)
+
+
+def ranges(sizes: list[int | None], most: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` in sum; a larger row stands alone."""
     start = size = 0
-    for i, text in enumerate(texts):
-        n = len(text) + 1 if text else 1
+    for i, n in enumerate(sizes):
+        n = (n or 0) + 1
         if size and size + n > most:
             yield start, i
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, y: Column, limit: int) -> DataFrame:
@@ -80,8 +86,9 @@ def add_columns(df: DataFrame, text: str, new: dict[str, T.DataType], make: Call
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for lo, hi in slices(texts):
-                yield pa.RecordBatch.from_arrays([c.slice(lo, hi - lo) for c in batch.columns] + make(texts[lo:hi]), names=names)
+            # Only a slice's texts are Python objects at a time.
+            for lo, hi in ranges(pc.binary_length(batch.column(at)).to_pylist(), SLICE_CHARS):
+                cut = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*cut.columns, *make(cut.column(at).to_pylist())], names=names)
 
     return df.toDF(*names[: len(fields)]).mapInArrow(run, schema).toDF(*df.columns, *new)
