@@ -4,9 +4,11 @@ A document's set holds the hashes of its distinct five-word shingles. Sets of eq
 are compared through signatures: in a band whose links differ in at most ``k`` shingles, the
 shingle domain is cut into ``n`` parts, and a set's signatures are the hashes of its parts
 that hold something. Two sets that differ in at most ``k`` shingles differ in at most ``k``
-parts, so a set with more than ``k`` filled parts shares one signature with every partner. A
-set with fewer also signs with the parts of the next cutting, and after the last cutting with a
-mark of its own, so no link is lost (PartEnum with subsets of one part each).
+parts, so a set with more than ``k`` filled parts shares one signature with every partner.
+Only the first ``k + m`` filled parts, in the order of the parts, are signed: before the ``m``-th part
+that two partners hold alike lie at most ``k`` filled parts that differ, so ``m`` are shared. A set
+with fewer also signs with the parts of the next cutting, and after the last cutting with a mark
+of its own, so no link is lost (PartEnum with subsets of one part each).
 
 Passages that many documents hold would fill many parts alike. Leaving any fixed set of
 shingles out of all documents leaves the difference of two documents as small as it was, so
@@ -54,6 +56,8 @@ class Settings:
     #: when full they only spare less work.
     bitmap_bits: int = 23
     cuttings: int = 4
+    #: Filled parts that a set signs beyond the differing ones and a quarter of these; partners share so many.
+    spare: int = 4
     #: Share of infrequent shingles that a document needs to do without signatures of its whole set.
     infrequent_share: float = 0.6
     #: Documents to a bucket of signatures.
@@ -111,14 +115,17 @@ def design(i: int, share: float = 1.0) -> tuple[int, int]:
 
     A set of ``a`` and a partner of at most ``a / 0.75`` differ in at most ``(1 - 0.75) / (1 + 0.75)``
     of their sizes' sum. The parts are as few as leave ``k + 1`` of them filled but for bad luck, by
-    a set that still has ``share`` of its shingles.
+    a set that still has ``share`` of its shingles. The spread is that of the filled parts when a
+    fixed number of shingles falls into them.
     """
     low, high = begin(i), begin(i) * 100 // PERCENT
     k = (100 - PERCENT) * (high + high * 100 // PERCENT) // (100 + PERCENT)
     n = k + 1
     while n < 8 * low + 8:
-        empty = n * math.exp(-low * share / n)
-        if n - empty - 3 * math.sqrt(empty * (1 - empty / n)) >= k + 1 or (k == 0 and n == 1):
+        fill = low * share / n
+        empty = n * math.exp(-fill)
+        spread = max(0.0, empty - n * (1 + fill) * math.exp(-2 * fill))
+        if n - empty - 3 * math.sqrt(spread) >= k + 1 or (k == 0 and n == 1):
             break
         n += max(1, n // 64)
     return k, n
@@ -140,8 +147,8 @@ def signatures(s: np.ndarray, rest: np.ndarray, cfg: Settings) -> list[tuple[np.
     """Signatures of a set ``s`` whose infrequent shingles are ``rest``, in its own band and the one
     below, each with the number of them that any partner must share.
 
-    Of the filled parts at most ``k`` differ from a partner's, so all others are shared; a set that
-    signs as a whole too may meet a partner in either way and needs one.
+    Of the first ``k + m`` filled parts ``m`` are shared with any partner (all beyond ``k``, if the
+    set has fewer); a set that signs as a whole too may meet a partner in either way and needs one.
     """
     out = []
     home = band(len(s))
@@ -152,6 +159,8 @@ def signatures(s: np.ndarray, rest: np.ndarray, cfg: Settings) -> list[tuple[np.
             for cutting in range(cfg.cuttings):
                 seed = whole * 20 + cutting
                 at, held = parts(items, n, seed)
+                most = k + cfg.spare + k // 4
+                at, held = at[:most], held[:most]
                 tag = np.uint64(((i * 1009 + seed) * 0x9E3779B97F4A7C15) & (2**64 - 1))
                 mine.append(mix(held + at.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + tag, 300))
                 if len(at) > k:
