@@ -9,8 +9,10 @@ Over all documents, a term ``t`` discloses an entity ``c`` by the pointwise mutu
 with ``p(t | context of c)`` from the distinct contexts of ``c`` (copies of a passage count once)
 and ``p(t)`` the share of documents that hold ``t``. Against the information content
 ``IC(c) = -log2(documents with c / documents)`` a term whose PMI reaches ``remove`` of it is
-removed, one that reaches ``generalise`` of it is replaced by its kind. A term needs
-``support`` distinct contexts of the entity, so that one mention discloses nothing by chance.
+removed, one that reaches ``generalise`` of it is replaced by its kind. No number of contexts is
+demanded: what may be chance is told by a test (Chernoff's bound on a binomial count as high as
+the one seen, at ``chance`` over all terms of the entity), which an entity of a single text passes
+with terms that are rare enough, or that stand by it again and again.
 
 Only DataFrame and SQL functions are used. Positions of matches come from the lengths of the
 matches and of the pieces between them. Patterns are possessive and begin at a border or where
@@ -55,7 +57,8 @@ _WORD = r"[^\x20\x09-\x0D]+"
 class Settings:
     #: Characters on either side of a mention that make its context (cut to whole words).
     window: int = 120
-    support: int = 3
+    #: Chance, over all terms of an entity, that one of them stands by it as often as it does.
+    chance: float = 0.05
     remove: float = 0.95
     generalise: float = 0.8
     #: Letters that a term has at least.
@@ -147,18 +150,23 @@ def disclosures(docs: DataFrame, marks: DataFrame, cfg: Settings) -> DataFrame:
     ``marks``: the mentions. Contexts are counted by their hash; each count is pre-aggregated.
     """
     n_docs = F.lit(float(max(docs.count(), 1)))
-    # One context a document, and one for all documents where it reads the same.
-    first = marks.groupBy("entity", "key").agg(F.min(F.struct("left_at", "left", "right")).alias("c"))
-    contexts = first.select("entity", F.xxhash64("c.left", "c.right").alias("context"), F.concat_ws(" ", "c.left", "c.right").alias("around")).dropDuplicates(["entity", "context"])
-    n_contexts = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_contexts"))
-    joint = contexts.select("entity", F.explode(_terms(F.col("around"), cfg.least_letters)).alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_joint")).where(F.col("n_joint") >= cfg.support)
-    held = marks.groupBy("entity").agg(F.count_distinct("key").alias("n_held"))
-    # Document frequencies of all terms; only those that reached the support are joined.
-    df = docs.select(F.explode(_terms(F.coalesce(F.col("text"), F.lit("")), cfg.least_letters)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") >= 1)
-    both = joint.join(df, "term").join(n_contexts, "entity").join(held, "entity")
-    pmi = F.log2((F.col("n_joint") / F.col("n_contexts")) / (F.col("n_term") / n_docs))
+    # Contexts that read the same count once, in one document or in many.
+    contexts = marks.select("entity", F.xxhash64("left", "right").alias("context"), F.concat_ws(" ", "left", "right").alias("around")).dropDuplicates(["entity", "context"])
+    sizes = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_contexts"))
+    joint = contexts.select("entity", F.explode(_terms(F.col("around"), cfg.least_letters)).alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_joint"))
+    tests = joint.groupBy("entity").agg(F.count(F.lit(1)).alias("n_tests"))
+    # Documents with the entity: copies count, as they do for the terms.
+    held = marks.groupBy("entity", "key").agg(F.first("copies").alias("copies")).groupBy("entity").agg(F.sum("copies").alias("n_held"))
+    df = docs.select(F.explode(_terms(F.coalesce(F.col("text"), F.lit("")), cfg.least_letters)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    both = joint.join(df, "term").join(sizes.join(tests, "entity").join(held, "entity"), "entity")
+    p, q = F.col("n_joint") / F.col("n_contexts"), F.col("n_term") / n_docs
+    pmi = F.log2(p / q)
+    # Bits of evidence that p is no chance result of q.
+    other = F.when(p < 1, (F.col("n_contexts") - F.col("n_joint")) * F.log2(F.try_divide(1 - p, 1 - q))).otherwise(0.0)
+    evidence = F.col("n_joint") * pmi + other
     content = -F.log2(F.col("n_held") / n_docs)
-    return both.withColumn("ratio", F.try_divide(pmi, content)).where((F.col("ratio") >= cfg.generalise) & (content > 0)).select("entity", "term", "ratio")
+    enough = (content > 0) & (pmi > 0) & (evidence >= F.log2(F.col("n_tests") / cfg.chance))
+    return both.where(enough).withColumn("ratio", F.try_divide(pmi, content)).where(F.col("ratio") >= cfg.generalise).select("entity", "term", "ratio")
 
 
 def term_spans(marks: DataFrame, pairs: DataFrame, cfg: Settings) -> DataFrame:
@@ -182,8 +190,8 @@ def analysed(docs: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
     The key is a hash of the text: equal texts have equal spans, so a repeated row needs no more.
     """
     found = docs.withColumn("key", F.xxhash64("text", F.length("text"))).withColumn("spans", base_spans(F.col("text")))
-    holding = found.where(F.size("spans") > 0).select("key", "text", "spans").dropDuplicates(["key"])
-    marks = checkpointed(mentions(holding, cfg).select("key", "entity", "left", "right", "left_at", "right_at"))
+    holding = found.where(F.size("spans") > 0).groupBy("key").agg(F.first("text").alias("text"), F.first("spans").alias("spans"), F.count(F.lit(1)).alias("copies"))
+    marks = checkpointed(mentions(holding, cfg).select("key", "copies", "entity", "left", "right", "left_at", "right_at"))
     return found, term_spans(marks, disclosures(docs.select("text"), marks, cfg), cfg)
 
 

@@ -32,6 +32,18 @@ def test_pii_disclosing_terms(spark):
     assert "z@q.com" not in clean[0] and "Zorbax" not in clean[0] and "please write" in clean[0] and clean[100] == rows[6][1]
 
 
+def test_pii_rare_entities(spark):
+    """An entity of two texts, and one that a single text names again and again, are given away too."""
+    rng = random.Random(11)
+    filler = lambda n: " ".join(f"w{rng.randrange(40):02d}x" for _ in range(n))
+    rows = [(i, f"{filler(4)} Zorbax z@q.com {filler(4)}") for i in range(2)]
+    rows += [(2, " ".join(f"{filler(40)} Quillon q@q.com {filler(40)}" for _ in range(5)))]
+    rows += [(100 + i, filler(60)) for i in range(200)]
+    got = {r.doc_id: r for r in pii.find_all(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(f"term:{(at := text.index('Zorbax'))}:{at + 6}" in got[i].spans and got[i].n_terms == 1 for i, text in rows[:2])
+    assert got[2].n_terms == rows[2][1].count("Quillon") == 5 and not any(got[i].n_terms for i, _ in rows[3:])
+
+
 def test_quality(odd_docs, labels, empty_docs):
     got = quality.score_all(odd_docs.withColumn("score", F.lit("x")), labels).collect()
     assert len(got) == odd_docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
