@@ -1,13 +1,16 @@
 """PII sanitisation by disclosure: what a term gives away about a protected entity.
 
 Base matches (e-mail addresses, IP addresses, card and phone numbers) are found in whole texts;
-their values are the protected entities. Around each mention a window of words is its context.
-Over all documents, a term ``t`` discloses an entity ``c`` by the pointwise mutual information
+their values are the protected entities. Around each mention a window of words is its context, and
+the whole text of a document that holds the entity is a wider one. Over all documents, a term ``t`` discloses an entity ``c`` by the pointwise mutual information
 
     PMI(c; t) = log2( p(t | context of c) / p(t) )
 
 with ``p(t | context of c)`` from the distinct contexts of ``c`` (copies of a passage count once)
-and ``p(t)`` the share of documents that hold ``t``. Against the information content
+and ``p(t)`` the share of documents that hold ``t``; windows and whole texts are counted each for
+themselves, and the higher PMI holds. A disclosing term is masked wherever it stands in documents
+that hold the entity; in all others as well if the test holds over all pairs of the table, as a
+mask there touches texts that nothing else ties to the entity. Terms are words of any length outside of base matches. Against the information content
 ``IC(c) = -log2(documents with c / documents)`` a term whose PMI reaches ``remove`` of it is
 removed, one that reaches ``generalise`` of it is replaced by its kind. No number of contexts is
 demanded: what may be chance is told by a test (Chernoff's bound on a binomial count as high as
@@ -61,8 +64,6 @@ class Settings:
     chance: float = 0.05
     remove: float = 0.95
     generalise: float = 0.8
-    #: Letters that a term has at least.
-    least_letters: int = 4
 
 
 def _digits(c: Column) -> Column:
@@ -125,84 +126,155 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _terms(text: Column, letters: int) -> Column:
-    """Distinct lower-case words without punctuation at their ends; marks of base kinds are no words."""
-    words = F.transform(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: F.btrim(w, F.lit(_PUNCTUATION)))
-    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= letters))
+def _core(word: Column) -> Column:
+    return F.btrim(word, F.lit(_PUNCTUATION))
+
+
+def _words(text: Column) -> Column:
+    return F.split(text, r"[\x20\x09-\x0D]")
+
+
+def _terms(text: Column) -> Column:
+    """Distinct lower-case words without punctuation at their ends."""
+    return F.array_distinct(F.filter(F.transform(_words(text), lambda w: F.lower(_core(w))), lambda w: w != ""))
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces in place of the spans; positions stay."""
+    text = F.coalesce(text, F.lit(""))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def blank(acc: Column, s: Column) -> Column:
+        keep = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        spaces = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
+        return F.struct(F.concat(acc["out"], keep, spaces).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    done = F.aggregate(ordered, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), blank, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def _entity(span: Column) -> Column:
+    return F.concat_ws(":", span["kind"], F.when(span["kind"].isin("card", "phone"), _digits(span["value"])).otherwise(F.lower(span["value"])))
 
 
 def mentions(found: DataFrame, cfg: Settings) -> DataFrame:
-    """A row for each base span of ``found`` (text, spans and key columns): the entity and its context."""
+    """A row for each base span of ``found`` (plain text, spans and key columns): the entity and its context."""
     m = found.withColumn("span", F.explode("spans"))
-    left = F.expr(f"substring(text, greatest(1, span.start + 1 - {cfg.window}), least(span.start, {cfg.window}))")
-    right = F.expr(f"substring(text, span.end + 1, {cfg.window})")
+    left = F.expr(f"substring(plain, greatest(1, span.start + 1 - {cfg.window}), least(span.start, {cfg.window}))")
+    right = F.expr(f"substring(plain, span.end + 1, {cfg.window})")
     # Words that the window cuts are left out.
     left = F.when(F.col("span.start") > cfg.window, F.regexp_replace(left, f"^{_WORD}", "")).otherwise(left)
-    right = F.when(F.length("text") > F.col("span.end") + cfg.window, F.regexp_replace(right, f"{_WORD}$", "")).otherwise(right)
-    entity = F.concat_ws(":", "span.kind", F.when(F.col("span.kind").isin("card", "phone"), _digits(F.col("span.value"))).otherwise(F.lower("span.value")))
-    from_left = F.col("span.start") - F.length(left)
-    return m.withColumn("entity", entity).withColumn("left", left).withColumn("right", right).withColumn("left_at", from_left.cast("int")).withColumn("right_at", F.col("span.end"))
+    right = F.when(F.length("plain") > F.col("span.end") + cfg.window, F.regexp_replace(right, f"{_WORD}$", "")).otherwise(right)
+    return m.withColumn("entity", _entity(F.col("span"))).withColumn("left", left).withColumn("right", right)
+
+
+def _pairs(contexts: DataFrame, held: DataFrame) -> DataFrame:
+    """A row for each (entity, term) of distinct contexts (entity, terms), with the entity's counts."""
+    sizes = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_contexts"), F.sum(F.size("terms")).alias("n_tests"))
+    return contexts.join(sizes.join(held, "entity"), "entity").select("entity", "n_contexts", "n_tests", "n_held", F.explode("terms").alias("term"))
 
 
-def disclosures(docs: DataFrame, marks: DataFrame, cfg: Settings) -> DataFrame:
-    """(entity, term, ratio) of the terms that disclose an entity, from all documents.
+def disclosures(found: DataFrame, holding: DataFrame, cfg: Settings) -> DataFrame:
+    """(entity, term, ratio, everywhere) of the terms that disclose an entity, from all documents.
 
-    ``marks``: the mentions. Contexts are counted by their hash; each count is pre-aggregated.
+    ``found``: all documents with their spans; ``holding``: the distinct ones that have any.
     """
-    n_docs = F.lit(float(max(docs.count(), 1)))
-    # Contexts that read the same count once, in one document or in many.
-    contexts = marks.select("entity", F.xxhash64("left", "right").alias("context"), F.concat_ws(" ", "left", "right").alias("around")).dropDuplicates(["entity", "context"])
-    sizes = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_contexts"))
-    joint = contexts.select("entity", F.explode(_terms(F.col("around"), cfg.least_letters)).alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_joint"))
-    tests = joint.groupBy("entity").agg(F.count(F.lit(1)).alias("n_tests"))
+    total = max(found.count(), 1)
+    n_docs = F.lit(float(total))
+    # Contexts that read the same count once, in one document or in many; so do copies of a text.
+    near = mentions(holding, cfg).select("entity", F.xxhash64("left", "right").alias("context"), F.concat_ws(" ", "left", "right").alias("around")).dropDuplicates(["entity", "context"])
+    near = near.select("entity", _terms(F.col("around")).alias("terms"))
+    whole = holding.select(F.explode("entities").alias("entity"), "copies", "terms")
+    n_all = float(near.select("terms").unionByName(whole.select("terms")).agg(F.sum(F.size("terms"))).first()[0] or 1)
     # Documents with the entity: copies count, as they do for the terms.
-    held = marks.groupBy("entity", "key").agg(F.first("copies").alias("copies")).groupBy("entity").agg(F.sum("copies").alias("n_held"))
-    df = docs.select(F.explode(_terms(F.coalesce(F.col("text"), F.lit("")), cfg.least_letters)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    both = joint.join(df, "term").join(sizes.join(tests, "entity").join(held, "entity"), "entity")
-    p, q = F.col("n_joint") / F.col("n_contexts"), F.col("n_term") / n_docs
-    pmi = F.log2(p / q)
-    # Bits of evidence that p is no chance result of q.
-    other = F.when(p < 1, (F.col("n_contexts") - F.col("n_joint")) * F.log2(F.try_divide(1 - p, 1 - q))).otherwise(0.0)
-    evidence = F.col("n_joint") * pmi + other
+    held = whole.groupBy("entity").agg(F.sum("copies").alias("n_held"))
+    df = found.select(F.explode(_terms(blanked(F.col("text"), F.col("spans")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     content = -F.log2(F.col("n_held") / n_docs)
-    enough = (content > 0) & (pmi > 0) & (evidence >= F.log2(F.col("n_tests") / cfg.chance))
-    return both.where(enough).withColumn("ratio", F.try_divide(pmi, content)).where(F.col("ratio") >= cfg.generalise).select("entity", "term", "ratio")
-
-
-def term_spans(marks: DataFrame, pairs: DataFrame, cfg: Settings) -> DataFrame:
-    """(key, spans) of disclosing terms near their entity's mentions. Mentions of a hot entity stay
-    rows of their own in the join, which AQE can split."""
-    by_entity = pairs.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("term", "ratio"))).alias("terms"))
-    near = marks.select("key", "entity", F.explode(F.array(F.struct(F.col("left").alias("part"), F.col("left_at").alias("at")), F.struct(F.col("right").alias("part"), F.col("right_at").alias("at")))).alias("side")).join(by_entity, "entity")
-    word = near.select("key", "terms", F.col("side.at").alias("at"), F.explode(located(F.col("side.part"), _WORD)).alias("w"))
-    core = F.btrim(F.col("w.value"), F.lit(_PUNCTUATION))
-    skipped = F.length("w.value") - F.length(F.ltrim(F.col("w.value"), F.lit(_PUNCTUATION)))
-    word = word.withColumn("start", F.col("at") + F.col("w.start") + skipped).withColumn("end", F.col("at") + F.col("w.start") + skipped + F.length(core))
-    hit = word.withColumn("ratio", F.try_element_at("terms", F.lower(core))).where("ratio is not null")
+    q = F.col("n_term") / n_docs
+    least = cfg.generalise * content
+    found_in = []
+    for contexts in (near, whole):
+        # A term so common that no count could reach the ratio goes before the counting.
+        rows = _pairs(contexts, held).join(df, "term").where((content > 0) & (-F.log2(q) >= least - 1e-9))
+        joint = rows.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_joint"), *[F.first(c).alias(c) for c in ("n_contexts", "n_tests", "n_held", "n_term")])
+        p = F.col("n_joint") / F.col("n_contexts")
+        pmi = F.log2(p / q)
+        # Bits of evidence that p is no chance result of q.
+        rest = F.when(p < 1, (F.col("n_contexts") - F.col("n_joint")) * F.log2(F.try_divide(1 - p, 1 - q))).otherwise(0.0)
+        evidence = F.col("n_joint") * pmi + rest
+        enough = (pmi > 0) & (evidence >= F.log2(F.col("n_tests") / cfg.chance))
+        given = joint.where(enough).withColumn("ratio", F.try_divide(pmi, content)).where(F.col("ratio") >= cfg.generalise)
+        found_in.append(given.select("entity", "term", "ratio", (evidence >= F.log2(F.lit(n_all / cfg.chance))).alias("everywhere")))
+    return found_in[0].unionByName(found_in[1]).groupBy("entity", "term").agg(F.max("ratio").alias("ratio"), F.max("everywhere").alias("everywhere"))
+
+
+#: Bits of the filter of known terms; hashes that share one only let more words through to the join.
+_BITS = 20
+
+
+def _maybe_known(known: DataFrame):
+    """A test of a term that all of ``known`` pass and few others: one bit for each hash."""
+    at = F.xxhash64("term").bitwiseAND(F.lit((1 << _BITS) - 1))
+    rows = known.select(F.shiftright(at, 3).alias("byte"), F.call_function("shiftleft", F.lit(1), at.bitwiseAND(F.lit(7)).cast("int")).alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits")).collect()
+    bits = bytearray(1 << (_BITS - 3))
+    for r in rows:
+        bits[r.byte] = r.bits
+    held = F.lit(bytes(bits))
+
+    def test(term: Column) -> Column:
+        at = F.xxhash64(term).bitwiseAND(F.lit((1 << _BITS) - 1))
+        byte = F.conv(F.hex(F.substring(held, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), at.bitwiseAND(F.lit(7)).cast("int"))) != 0
+
+    return test
+
+
+def kinds_by_text(found: DataFrame, holding: DataFrame, given: DataFrame, cfg: Settings) -> DataFrame:
+    """(key, kinds): for each text the kinds of the terms that are masked in it."""
+    own = holding.select("key", F.explode("entities").alias("entity")).join(given, "entity").select("key", "term", "ratio")
+    known = given.where("everywhere").groupBy("term").agg(F.max("ratio").alias("ratio"))
+    other = found.select("key", F.explode(F.filter(_terms(blanked(F.col("text"), F.col("spans"))), _maybe_known(known))).alias("term")).join(known, "term").select("key", "term", "ratio")
+    hit = own.unionByName(other).groupBy("key", "term").agg(F.max("ratio").alias("ratio"))
     kind = F.when(F.col("ratio") >= cfg.remove, F.lit("term")).otherwise(F.lit("general"))
-    one = hit.select("key", "start", "end", kind.alias("kind")).groupBy("key", "start", "end").agg(F.max("kind").alias("kind"))
-    return one.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("term_spans"))
+    return hit.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", kind))).alias("kinds"))
+
+
+_TERM_SPANS = "array<struct<kind:string,start:int,end:int>>"
+
+
+def term_spans(text: Column, spans: Column, kinds: Column) -> Column:
+    """Spans of the terms in ``kinds``, wherever in a text they stand, by kind and start."""
+    none = F.array().cast(_TERM_SPANS)
+
+    def add(acc: Column, w: Column) -> Column:
+        # A word starts where those before it end, each with one separator.
+        start = acc["at"] + F.length(w) - F.length(F.ltrim(w, F.lit(_PUNCTUATION)))
+        kind = F.try_element_at(kinds, F.lower(_core(w)))
+        one = F.struct(kind.alias("kind"), start.alias("start"), (start + F.length(_core(w))).alias("end"))
+        return F.struct((acc["at"] + F.length(w) + 1).alias("at"), F.when(kind.isNotNull(), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+
+    got = F.aggregate(_words(blanked(text, spans)), F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda a: F.array_sort(a["out"]))
+    return F.when(kinds.isNotNull(), got).otherwise(none)
 
 
-def analysed(docs: DataFrame, cfg: Settings) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with ``key`` and base ``spans``, and the term spans by key.
+def analysed(docs: DataFrame, cfg: Settings) -> DataFrame:
+    """``docs`` with base ``spans`` and ``term_spans``.
 
     The key is a hash of the text: equal texts have equal spans, so a repeated row needs no more.
     """
     found = docs.withColumn("key", F.xxhash64("text", F.length("text"))).withColumn("spans", base_spans(F.col("text")))
     holding = found.where(F.size("spans") > 0).groupBy("key").agg(F.first("text").alias("text"), F.first("spans").alias("spans"), F.count(F.lit(1)).alias("copies"))
-    marks = checkpointed(mentions(holding, cfg).select("key", "copies", "entity", "left", "right", "left_at", "right_at"))
-    return found, term_spans(marks, disclosures(docs.select("text"), marks, cfg), cfg)
+    holding = holding.select("key", "spans", "copies", blanked(F.col("text"), F.col("spans")).alias("plain"))
+    holding = checkpointed(holding.withColumn("terms", _terms(F.col("plain"))).withColumn("entities", F.array_distinct(F.transform("spans", _entity))))
+    small = found.select("key", "text", "spans")
+    given = checkpointed(disclosures(small, holding, cfg))
+    return found.join(kinds_by_text(small, holding, given, cfg), "key", "left").withColumn("term_spans", term_spans(F.col("text"), F.col("spans"), F.col("kinds")))
 
 
 def find_all(docs: DataFrame, cfg: Settings | None = None) -> DataFrame:
     """The contract's columns for every document."""
     cfg = cfg or Settings()
-    found, terms = analysed(docs.select("doc_id", "text"), cfg)
-    small = found.select("doc_id", "key", "spans")
-    none = small.where(F.size("spans") == 0).withColumn("term_spans", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
-    some = small.where(F.size("spans") > 0).join(terms, "key", "left").withColumn("term_spans", F.coalesce("term_spans", F.array().cast("array<struct<kind:string,start:int,end:int>>")))
-    every = none.unionByName(some.select(none.columns))
+    every = analysed(docs.select("doc_id", "text"), cfg)
     counts = [F.size(F.filter("spans", partial(_of_kind, k))).cast("long").alias(f"n_{k}") for k in KINDS]
     base = joined(F.col("spans"))
     extra = joined(F.col("term_spans"))
@@ -216,9 +288,7 @@ def sanitised(docs: DataFrame, cfg: Settings | None = None) -> DataFrame:
     """
     cfg = cfg or Settings()
     names = docs.columns
-    found, terms = analysed(docs, cfg)
-    clean = found.where(F.size("spans") == 0).select(*names)
-    dirty = found.where(F.size("spans") > 0).join(terms, "key", "left")
+    every = analysed(docs, cfg)
     shape = "array<struct<start:int,end:int,kind:string>>"
     spans = F.array_sort(F.concat(F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"])).cast(shape), F.coalesce(F.transform("term_spans", lambda s: F.struct(s["start"], s["end"], s["kind"])).cast(shape), F.array().cast(shape))))
     masks = F.create_map(*[F.lit(x) for kv in MASKS.items() for x in kv])
@@ -229,7 +299,8 @@ def sanitised(docs: DataFrame, cfg: Settings | None = None) -> DataFrame:
         return F.struct(new.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     done = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), mask, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    masked = dirty.withColumn("text", done)
+    touched = (F.size("spans") > 0) | (F.size("term_spans") > 0)
+    masked = every.withColumn("__new", F.when(touched, done).otherwise(F.col("text")))
     if "n_chars" in names:
-        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.unionByName(masked.select(*names))
+        masked = masked.withColumn("n_chars", F.when(touched, F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return masked.withColumn("text", F.col("__new")).select(*names)

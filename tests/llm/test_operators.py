@@ -44,6 +44,22 @@ def test_pii_rare_entities(spark):
     assert got[2].n_terms == rows[2][1].count("Quillon") == 5 and not any(got[i].n_terms for i, _ in rows[3:])
 
 
+def test_pii_terms_of_whole_texts(spark):
+    """Short names far from the address are found, and masked in texts without the address as well."""
+    rng = random.Random(12)
+    filler = lambda n: " ".join(f"w{rng.randrange(40):02d}x" for _ in range(n))
+    rows = [(i, f"Li, {filler(60)} a@q.com {filler(60)} Li") for i in range(6)]
+    rows += [(6, f"{filler(20)} (Li) {filler(20)}")] + [(100 + i, filler(60)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_all(docs).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert len(clean) == len(rows) and all(clean[i] == text for i, text in rows[7:])
+    for i, text in rows[:7]:
+        assert got[i].n_terms == text.count("Li") and "Li" not in clean[i] and (got[i].n_email, "a@q.com" in clean[i]) == (int(i < 6), False)
+        spans = [x.split(":") for x in got[i].spans.split(",") if not x.startswith("email")]
+        assert all(text[int(a) : int(b)] == "Li" for _, a, b in spans)
+
+
 def test_quality(odd_docs, labels, empty_docs):
     got = quality.score_all(odd_docs.withColumn("score", F.lit("x")), labels).collect()
     assert len(got) == odd_docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
