@@ -2,13 +2,13 @@
 
 Encoding follows the model's merge order with an agenda of candidate merges, best first and
 leftmost among equals. When a candidate comes up it is skipped for good if a keyed hash of
-(seed, variant, unit, position, merged piece) falls below the dropout rate, so a run is
-repeatable on any worker and in any order, and another seed or variant cuts the same words
-differently. Characters without a piece fall back to byte pieces, so decoding gives the whole
+(seed, document, occurrence, position, merged piece) falls below the dropout rate, so a run is
+repeatable on any worker and in any order, and every occurrence of a word is cut for itself. Characters without a piece fall back to byte pieces, so decoding gives the whole
 text back. With rate 0 the result is the library's own encoding.
 
 No merge goes across two neighbouring characters that no piece holds side by side, so a text
-falls into units that can be cut independently and remembered; a space mark after another
+falls into units that can be cut independently. Remembered are the plain cut of a unit and its
+merges: an occurrence that drops none of them is cut so, any other is cut anew; a space mark after another
 character is always such a border.
 
 Defined results: a null text is encoded as an empty one, which has no tokens; repeated rows
@@ -34,10 +34,11 @@ from .common import add_columns
 
 MARK = "▁"
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Units a worker remembers of each variant; the older half goes when it is full.
+#: Units a worker remembers; all go when it is full.
 _REMEMBERED = 300_000
 _MASK = (1 << 64) - 1
 _SHORT, _NEVER = 40, 1 << 30
+_AT, _PIECE, _MIX, _STEP = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93
 
 
 class Pieces:
@@ -69,8 +70,9 @@ class Pieces:
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         byte_of = {i: b for b, i in enumerate(self.byte)}
         self.bytes = [text[i].replace(MARK, " ").encode() if i in text else bytes([byte_of[i]]) if i in byte_of else b"" for i in range(n)]
-        self.new: dict[int, dict[str, bytes]] = defaultdict(dict)
-        self.old: dict[int, dict[str, bytes]] = defaultdict(dict)
+        #: Unit -> its parts between borders; part -> (plain ids, hash terms of the plain merges).
+        self.parts: dict[str, list[str]] = {}
+        self.plain: dict[str, tuple[bytes, bytes]] = {}
 
     def _ids_of(self, parts) -> list[int]:
         out: list[int] = []
@@ -82,10 +84,10 @@ class Pieces:
                 out += [self.byte[b] for b in p.encode("utf-8")]
         return out
 
-    def cut(self, unit: str, rate: float, key: int) -> list[int]:
+    def cut(self, unit: str, rate: float, key: int, seen: list[int] | None = None) -> list[int]:
         """Ids of one unit. ``key``: the keyed hash's seed for it. Short units keep the agenda as a list."""
         if len(unit) > _SHORT:
-            return self.cut_long(unit, rate, key)
+            return self.cut_long(unit, rate, key, seen)
         find, rank, below = self.ids.get, self.rank, int(rate * (1 << 32))
         parts = list(unit)
         at = list(range(len(parts)))
@@ -95,10 +97,12 @@ class Pieces:
             k = agenda.index(best)
             i = joined[k]
             if below:
-                h = (key ^ (at[k] * 0x9E3779B97F4A7C15 + i * 0xC2B2AE3D27D4EB4F)) & _MASK
-                if ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9 & _MASK) >> 32 < below:
+                h = (key ^ (at[k] * _AT + i * _PIECE)) & _MASK
+                if ((h ^ (h >> 31)) * _MIX & _MASK) >> 32 < below:
                     agenda[k] = _NEVER
                     continue
+            if seen is not None:
+                seen.append((at[k] * _AT + i * _PIECE) & _MASK)
             parts[k] += parts[k + 1]
             del parts[k + 1], at[k + 1], joined[k], agenda[k]
             if k < len(joined):
@@ -109,7 +113,7 @@ class Pieces:
                 agenda[k - 1] = _NEVER if i is None else rank[i]
         return self._ids_of(parts)
 
-    def cut_long(self, unit: str, rate: float, key: int) -> list[int]:
+    def cut_long(self, unit: str, rate: float, key: int, seen: list[int] | None = None) -> list[int]:
         """The same with the agenda as a heap, whose cost grows little more than the unit."""
         ids = self.ids
         parts: list[str | None] = list(unit)
@@ -134,10 +138,12 @@ class Pieces:
             if parts[at] is None or nxt >= n or len(parts[at]) + len(parts[nxt]) != len(joined):
                 continue  # one side has been merged since
             if below:
-                h = (key ^ (at * 0x9E3779B97F4A7C15 + i * 0xC2B2AE3D27D4EB4F)) & _MASK
-                h = (h ^ (h >> 31)) * 0xBF58476D1CE4E5B9 & _MASK
+                h = (key ^ (at * _AT + i * _PIECE)) & _MASK
+                h = (h ^ (h >> 31)) * _MIX & _MASK
                 if (h >> 32) < below:
                     continue
+            if seen is not None:
+                seen.append((at * _AT + i * _PIECE) & _MASK)
             parts[at], parts[nxt] = joined, None
             after[at] = after[nxt]
             if after[nxt] < n:
@@ -147,38 +153,49 @@ class Pieces:
             propose(at)
         return self._ids_of(p for p in parts if p is not None)
 
-    def unit(self, unit: str, rate: float, seed: int, variant: int) -> bytes:
-        new = self.new[variant]
-        got = self.old[variant].get(unit)
+    def _parts(self, unit: str) -> list[str]:
+        got = self.parts.get(unit)
         if got is None:
-            pairs = self.pairs
-            borders = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in pairs]
-            if borders:
-                parts = [unit[a:b] for a, b in zip([0, *borders], [*borders, len(unit)], strict=True)]
-                got = b"".join([new.get(x) or self.unit(x, rate, seed, variant) for x in parts])
-            else:
-                key = xxhash.xxh3_64_intdigest(unit.encode("utf-8"), (seed * 1_000_003 + variant) & _MASK) if rate > 0 else 0
-                got = array("H", self.cut(unit, rate, key)).tobytes()
-        if len(unit) <= 64:
-            new = self.new[variant]
-            if len(new) >= _REMEMBERED:
-                self.old[variant], self.new[variant] = new, {}
-                new = self.new[variant]
-            new[unit] = got
+            borders = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.pairs]
+            got = [unit[a:b] for a, b in zip([0, *borders], [*borders, len(unit)], strict=True)]
+            if len(unit) <= 64:
+                if len(self.parts) >= _REMEMBERED:
+                    self.parts.clear()
+                self.parts[unit] = got
+        return got
+
+    def _plain(self, part: str) -> tuple[bytes, bytes]:
+        got = self.plain.get(part)
+        if got is None:
+            seen: list[int] = []
+            ids = array("H", self.cut(part, 0.0, 0, seen)).tobytes()
+            got = ids, array("Q", seen).tobytes()
+            if len(part) <= 64:
+                if len(self.plain) >= _REMEMBERED:
+                    self.plain.clear()
+                self.plain[part] = got
         return got
 
-    def encode(self, text: str | None, rate: float, seed: int, variant: int) -> np.ndarray:
-        """Ids (uint16) of a whole text."""
+    def encode(self, text: str | None, rate: float, seed: int, document: int) -> np.ndarray:
+        """Ids (uint16) of a whole text. ``document``: a number by which its occurrences are cut."""
         if not text:
             return np.zeros(0, np.uint16)
-        out = []
-        known = self.new[variant].get
+        parts: list[str] = []
         for u in _UNITS.findall(MARK + text.replace(" ", MARK)):
-            got = known(u)
-            if got is None:
-                got = self.unit(u, rate, seed, variant)
-                known = self.new[variant].get
-            out.append(got)
+            parts += self._parts(u)
+        known = [self._plain(x) for x in parts]
+        out = [x[0] for x in known]
+        below = int(rate * (1 << 32))
+        if below:
+            start = xxhash.xxh3_64_intdigest(str(document).encode(), seed & _MASK)
+            keys = np.uint64(start) + np.arange(1, len(parts) + 1, dtype=np.uint64) * np.uint64(_STEP)
+            keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(_MIX)
+            n = np.array([len(x[1]) // 8 for x in known])
+            owner = np.repeat(np.arange(len(parts)), n)
+            h = keys[owner] ^ np.frombuffer(b"".join([x[1] for x in known]), np.uint64)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(_MIX)
+            for k in np.unique(owner[(h >> np.uint64(32)) < np.uint64(below)]).tolist():
+                out[k] = array("H", self.cut(parts[k], rate, int(keys[k]))).tobytes()
         return np.frombuffer(b"".join(out), np.uint16)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -187,8 +204,8 @@ class Pieces:
 
 
 @lru_cache(maxsize=8)
-def pieces(path: str, rate: float, seed: int) -> Pieces:
-    """One for each file and setting, as what is remembered depends on both."""
+def pieces(path: str) -> Pieces:
+    """One for each file."""
     return Pieces(path)
 
 
@@ -198,24 +215,23 @@ def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-def encoded(docs: DataFrame, rate: float = 0.1, seed: int = 1, variants: int = 2, path: str | None = None, text: str = "text", key: str = "doc_id", keep_ids: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, rate: float = 0.1, seed: int = 1, path: str | None = None, text: str = "text", key: str = "doc_id", keep_ids: bool = True) -> DataFrame:
     """``docs`` with ``token_ids`` (unless ``keep_ids`` is false), ``n_tokens``, ``ids_hash`` and ``lossless``.
 
-    ``variants``: documents are dealt by a hash of ``key`` to so many cuttings of each unit.
+    Every occurrence of a unit is cut by the document's ``key`` and its place in the text.
     ``lossless`` is the result of decoding the ids and comparing with the text. A space mark
     that the text itself holds comes back as a space, as it does from the library; such a text
     is compared with its marks as spaces.
     """
-    kept = docs.withColumn("__variant", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(variants)).cast("string"))
-    joined = kept.withColumn("__both", F.concat(F.col("__variant"), F.lit(":"), F.coalesce(F.col(text), F.lit("")))).drop("__variant")
+    joined = docs.withColumn("__both", F.concat(F.xxhash64(F.col(key)).cast("string"), F.lit(":"), F.coalesce(F.col(text), F.lit(""))))
     new = {"n_tokens": T.LongType(), "ids_hash": T.StringType(), "lossless": T.BooleanType()} | ({"token_ids": T.ArrayType(T.IntegerType(), False)} if keep_ids else {})
 
     def make(texts: list[str | None]) -> list[pa.Array]:
-        p = pieces(path or vocabulary_path(), rate, seed)
+        p = pieces(path or vocabulary_path())
         ids, same = [], []
         for both in texts:
-            variant, _, t = both.partition(":")
-            got = p.encode(t, rate, seed, int(variant))
+            document, _, t = both.partition(":")
+            got = p.encode(t, rate, seed, int(document))
             ids.append(got)
             same.append(p.decode(got) == t.replace(MARK, " "))
         out = [pa.array([len(x) for x in ids], pa.int64()), pa.array([xxhash.xxh3_64_hexdigest(x.tobytes()) for x in ids], pa.string()), pa.array(same, pa.bool_())]

@@ -244,3 +244,15 @@ def test_merge_dropout(odd_docs, odd_rows):
     assert len(got) == len(odd_rows) and all(r.lossless for r in got)
     a, b = (merge_dropout.Pieces(path).encode("the quick brown foxes", 0.3, s, 0).tolist() for s in (1, 2))
     assert a != b
+
+
+def test_merge_dropout_varies_every_occurrence(spark):
+    """One word has many cuttings within a document and over documents, each as the agenda gives it."""
+    docs = spark.createDataFrame([(i, "segmentation " * 40) for i in range(20)], "doc_id long, text string")
+    rows = merge_dropout.encoded(docs, rate=0.3).collect()
+    assert all(r.lossless for r in rows) and len({tuple(r.token_ids) for r in rows}) == 20
+    own = merge_dropout.Pieces(merge_dropout.vocabulary_path())
+    words = [own.encode("segmentation", 0.3, 1, d).tobytes() for d in range(200)]
+    plain = own.encode("segmentation", 0.0, 1, 0).tobytes()
+    assert len(set(words)) > 10 and 0 < words.count(plain) < 200
+    assert [own.encode("segmentation", 0.3, 1, d).tobytes() for d in range(200)] == words
