@@ -340,6 +340,42 @@ def hybrid_search(spark, d):
     return retrieval.search(q, rows)
 
 
+@query("cosine_topk_all")
+def cosine_topk_all(spark, d):
+    e = t(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return retrieval.candidates(q, e.select(F.col("vec_id").alias("row_id"), "embedding"), 10).select("query_id", "row_id", F.round("cos", 4).alias("cos"))
+
+
+@query("mmr_rerank_all")
+def mmr_rerank_all(spark, d):
+    e = t(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    near = retrieval.candidates(q, e.select(F.col("vec_id").alias("row_id"), "embedding"), 60)
+    return retrieval.mmr(near.withColumn("score", (F.col("cos") + 1) / 2), 8)
+
+
+def _document_chunks(spark, d):
+    c = retrieval.chunks(t(spark, d, "documents").where("doc_id is not null").select("doc_id", "text"))
+    return c.withColumn("row_id", F.concat_ws(":", "doc_id", "chunk_index"))
+
+
+@query("bm25_pool_all")
+def bm25_pool_all(spark, d):
+    """All chunks of ``documents`` are the pool of each query, the first chunks of every 50th document."""
+    rows = _document_chunks(spark, d)
+    asked = rows.where("doc_id % 50 = 0 and chunk_index = 0").select(F.col("row_id").alias("query_id"), F.col("chunk_text").alias("q"))
+    pool = rows.select("row_id", "chunk_text").crossJoin(asked)
+    return retrieval.bm25(pool, "query_id", "row_id", "chunk_text", "q").select("query_id", "row_id", F.round("lexical", 6).alias("lexical"))
+
+
+@query("hybrid_search_all")
+def hybrid_search_all(spark, d):
+    rows = retrieval.embedded(_document_chunks(spark, d).select("row_id", "doc_id", "chunk_index", "chunk_text"))
+    q = rows.where("doc_id % 50 = 0 and chunk_index = 0").select(F.col("row_id").alias("query_id"), F.col("chunk_text").alias("query_text"), F.col("embedding").alias("q"))
+    return retrieval.search(q, rows.select("row_id", "chunk_text", "embedding"))
+
+
 @query("top_document_per_source", "with a as (select source, doc_id, n_chars, row_number() over (partition by lang, source order by n_chars desc, doc_id) r, lang from documents), b as (select *, row_number() over (partition by lang order by n_chars desc, source) k from a where r = 1) select lang, source, doc_id, n_chars score from b where k <= 3")
 def top_document_per_source(spark, d):
     h = t(spark, d, "documents").select("lang", "source", F.col("doc_id").alias("row_id"), F.col("n_chars").alias("score"))

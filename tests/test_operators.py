@@ -61,3 +61,19 @@ def test_store(spark):
     assert {tuple(r) for r in store.upsert(a, b, ["k"], keep=("created",)).collect()} == {("k", 9, "old"), ("j", 2, "j"), ("n", 3, "n")}
     m = spark.createDataFrame([({"a": "1"},)], "m map<string,string>").select(store.set_map_entry(F.col("m"), F.lit("a"), F.lit("2")).alias("m")).first()
     assert m.m == {"a": "2"}
+
+
+def test_search_of_many_queries(spark, monkeypatch):
+    """Beyond the bound queries go block by block; every 50th vector is asked for."""
+    from foliant.operators import retrieval
+    from foliant.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    found = registry.queries()
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    want = {tuple(r) for r in found["cosine_topk_all"](spark, d).collect()}
+    assert {r[0] for r in want} == {r[0] for r in e.where("vec_id % 50 = 0").select("vec_id").collect()}
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 1)
+    assert {tuple(r) for r in found["cosine_topk_all"](spark, d).collect()} == want
+    hits = found["hybrid_search_all"](spark, d)
+    assert {r[0] for r in hits.select("query_id").distinct().collect()} == {f"{i}:0" for i in range(0, 200, 50)}
