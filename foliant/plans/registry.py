@@ -284,6 +284,12 @@ def token_counts(spark, d):
     return t(spark, d, "documents").where("lang = 'en'").select("doc_id", F.size(text.retrieval_tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
+@query("token_counts_all")
+def token_counts_all(spark, d):
+    """Documents of every language and of none; a null text has no tokens."""
+    return t(spark, d, "documents").select("doc_id", F.size(text.retrieval_tokens(F.coalesce("text", F.lit("")))).cast("long").alias("n_tokens"))
+
+
 @query("node_paths", "select distinct 'Projects' node_path from orders union all select distinct 'Projects/' || o_orderpriority from orders union all select distinct 'Projects/' || o_orderpriority || '/' || o_orderstatus from orders")
 def node_paths(spark, d):
     p = t(spark, d, "orders").select(F.concat_ws("/", F.lit("Projects"), "o_orderpriority", "o_orderstatus").alias("p")).distinct()
