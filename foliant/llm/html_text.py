@@ -27,7 +27,9 @@ from .common import add_columns
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style template noscript title meta link base iframe object embed canvas svg math select datalist textarea input audio video map".split())
+UNSEEN = frozenset("head script style template noscript title meta link base iframe embed canvas datalist input audio video map".split())
+#: Elements whose tags may close themselves.
+FOREIGN = frozenset("svg math".split())
 BLOCK = frozenset("address article aside blockquote body center details dd dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure".split())
 CLOSES_P = BLOCK - {"body", "html", "dd", "dt", "li"} | {"li", "dd", "dt"}
@@ -52,7 +54,8 @@ _TOKEN = re.compile(
     r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
     re.S,
 )
-_HIDDEN = re.compile(r"(?:^|[\s\"'])hidden(?:$|[\s=/])|(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
+_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _START = re.compile(r"\bstart\s*=\s*[\"']?(\d{1,9})", re.I)
 _SPAN = re.compile(r"\bcolspan\s*=\s*[\"']?(\d{1,3})", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
@@ -124,12 +127,12 @@ def parse(page: str) -> Node:
                 stack.pop()
             node = Node(tag, attrs)
             stack[-1].children.append(node)
-            if tag in VOID or attrs.endswith("/") and tag in UNSEEN:
+            if tag in VOID or attrs.endswith("/") and (tag in UNSEEN or any(n.tag in FOREIGN for n in [*stack, node])):
                 continue
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
                 stop = close.start() if close else end
-                node.children.append(page[at:stop])
+                node.children.append(html.unescape(page[at:stop]) if tag == "textarea" else page[at:stop])
                 at = close.end() if close else end
                 continue
             stack.append(node)
@@ -188,7 +191,32 @@ class Flow:
 def visible(node: Node) -> bool:
     if node.tag in UNSEEN:
         return False
-    return not (node.attrs and _HIDDEN.search(node.attrs))
+    if not node.attrs:
+        return True
+    found = attributes(node)
+    return "hidden" not in found and not _HIDDEN.search(html.unescape(found.get("style", "")))
+
+
+def attributes(node: Node) -> dict[str, str]:
+    """Names in lower case; of repeated ones the first holds."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(node.attrs):
+        found.setdefault(name.lower(), "".join(values))
+    return found
+
+
+def chosen(select: Node) -> list[Node]:
+    """The options that are selected; without one the first, unless several may be."""
+    options, todo = [], [select]
+    while todo:
+        n = todo.pop()
+        if n.tag == "option":
+            options.append(n)
+        else:
+            todo += [c for c in reversed(n.children) if not isinstance(c, str)]
+    picked = [o for o in options if "selected" in attributes(o)]
+    several = "multiple" in attributes(select)
+    return picked if several else picked[-1:] or options[:1]
 
 
 def render(root: Node) -> str:
@@ -229,6 +257,9 @@ def _fill(flow: Flow, root: Node) -> None:
         if not visible(x):
             continue
         tag = x.tag
+        if tag == "select":
+            todo += reversed(chosen(x))
+            continue
         if tag == "br":
             flow.line(True)
         elif tag == "hr":

@@ -256,3 +256,13 @@ def test_merge_dropout_varies_every_occurrence(spark):
     plain = own.encode("segmentation", 0.0, 1, 0).tobytes()
     assert len(set(words)) > 10 and 0 < words.count(plain) < 200
     assert [own.encode("segmentation", 0.3, 1, d).tobytes() for d in range(200)] == words
+
+
+def test_html_shows_all_visible_text():
+    show = lambda page: html_text.extract(page)[0]
+    for attr in ('class="hidden md:block"', 'title="the hidden truth"', 'data-x="display:none"', "class='menu hidden open'"):
+        assert show(f"a <span {attr}>b</span> c") == "a b c"
+    for attr in ("hidden", 'HIDDEN=""', "style='color: red; display : none'", 'style="visibility:hidden"'):
+        assert show(f"a <span {attr}>b</span> c") == "a c"
+    assert show("a <select><option>x<option selected>y<option>z</select> b") == "a y b" and show("<select><optgroup><option>x</option></optgroup><option>z</select>") == "x"
+    assert show("a <math><mi>q</mi></math> <svg><path d='1'/><text>t</text></svg> <object>f</object> <textarea>g &amp; h</textarea> b") == "a q t f g & h b"
