@@ -89,10 +89,12 @@ def client_in_path(docs: DataFrame, known: DataFrame) -> DataFrame:
     looked up instead: linear in the paths, an equi-join, no nested loop.
     """
     keys = known.select("client_name", F.regexp_replace(F.lower("client_name"), r"[^\p{L}\p{N}]", "").alias("key")).where("length(key) >= 4").dropDuplicates(["key"])
-    lengths = [r[0] for r in keys.select(F.length("key").alias("n")).distinct().orderBy("n").limit(256).collect()]
+    path = F.regexp_replace(F.lower("source_path"), r"[^\p{L}\p{N}]", "")
+    # A key longer than every path lies in none, so the longest path bounds the lengths.
+    longest = docs.agg(F.max(F.length(path))).first()[0] or 0
+    lengths = [r[0] for r in keys.select(F.length("key").alias("n")).where(F.col("n") <= longest).distinct().orderBy("n").collect()]
     if not lengths:
         return docs.select("doc_id", F.lit(None).cast("string").alias("client_name")).limit(0)
-    path = F.regexp_replace(F.lower("source_path"), r"[^\p{L}\p{N}]", "")
     p = docs.select("doc_id", path.alias("p")).withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths]))).where("length(p) >= n")
     parts = p.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("p") - F.col("n") + 1))).select("doc_id", F.expr("substring(p, at, n)").alias("key"))
     hits = parts.join(keys, "key").groupBy("doc_id").agg(F.collect_set("client_name").alias("c"))

@@ -90,3 +90,12 @@ def test_token_counts_of_all_languages(spark):
     want = sorted((r.doc_id, sum(w not in RETRIEVAL_STOPWORDS for w in re.findall("[a-z0-9]{2,}", (r.text or "").lower()))) for r in rows)
     assert sorted(tuple(r) for r in registry.queries()["token_counts_all"](spark, d).collect()) == want
     assert {r.lang for r in rows} > {"en"}
+
+
+def test_client_in_path_of_many_lengths(spark):
+    from foliant.operators import resolve
+
+    known = spark.createDataFrame([("ab" * 2 + "x" * n,) for n in range(300)], "client_name string")
+    docs = spark.createDataFrame([(1, "in/" + "q" * 3 + "zz" + "Y" * 290 + "/a.txt"), (2, "none")], "doc_id long, source_path string")
+    known = known.union(spark.createDataFrame([("zz" + "y" * 290,)], "client_name string"))
+    assert [tuple(r) for r in resolve.client_in_path(docs, known).collect()] == [(1, "zz" + "y" * 290)]
