@@ -27,6 +27,11 @@ def _table(name: str, factor: int, n: int) -> np.ndarray:
     return got[:n]
 
 
+def powers(name: str, n: int) -> np.ndarray:
+    """The first ``n`` powers ("up") of the base, or of its inverse ("down")."""
+    return _table(name, _BASE if name == "up" else _INVERSE, n)
+
+
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply)."""
     h = h + np.uint64((0xD1B54A32D192ED03 * (2 * seed + 1)) & (2**64 - 1))

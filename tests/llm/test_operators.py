@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from foliant.llm import ann_tree, html_text, jaccard_join, merge_dropout, mixing, pii, quality, rules, subword, token_counts, toxicity
@@ -146,24 +147,69 @@ def test_jaccard_near_copies(spark):
                 words[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
             texts[b * 12 + c] = " ".join(passage + words)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    cfg = jaccard_join.Settings(batch_frequent=4, frequent=20, block=8)
+    cfg = jaccard_join.Settings(batch_frequent=4, frequent=20, block=8, crowded=6)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(df, cfg).collect()} == brute.components(texts)
 
 
+def _sets(*sets):
+    return jaccard_join.Sets(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+
+
 def test_signatures_are_shared():
-    """Sets that differ as much as a link may share as many signatures as both need."""
+    """Sets that differ as much as a link may share signatures, as many as their band's, and their sketches let them pass."""
     rng, cfg = np.random.default_rng(5), jaccard_join.Settings()
-    for size in (1, 3, 4, 9, 20, 57, 200, 900):
-        for _ in range(30):
-            s = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
-            drop = int(rng.integers(0, len(s) // 7 + 1))
-            t = np.unique(np.concatenate([s[drop:], rng.integers(0, 2**63, drop).astype(np.uint64)]))
+    for size in (1, 3, 4, 5, 6, 7, 9, 12, 20, 57, 200, 900):
+        linked = 0
+        for _ in range(60):
+            s = np.unique(rng.integers(0, 2**63, size).astype(np.uint64) * np.uint64(2))
+            drop, add = rng.integers(0, len(s) // 4 + 1, 2).tolist()
+            t = np.unique(np.concatenate([s[drop:], rng.integers(0, 2**63, add).astype(np.uint64) * np.uint64(2)]))
             inter = len(np.intersect1d(s, t))
-            if 100 * inter < 75 * (len(s) + len(t) - inter):
+            both = _sets(s, t)
+            if 100 * inter < 75 * (len(s) + len(t) - inter) or len(set(both.classes().tolist())) == 1:
                 continue
-            a, b = (jaccard_join.signatures(x, x, cfg) for x in (s, t))
-            common = [len(np.intersect1d(x, y)) - max(m, n) for x, m in a for y, n in b]
-            assert max(common) >= 0
+            linked += 1
+            # A frequent passage is left out of both sets, or of a large part of them.
+            for rest in (both, both.only(both.items % np.uint64(10) > 1), both.only(both.items % np.uint64(10) > 7)):
+                sig, own, mark, marked = jaccard_join.signatures(both, rest, cfg)
+                shared = np.intersect1d(sig[own >> 1 == 0], sig[own >> 1 == 1])
+                if len(mark) == 0:
+                    i = max(jaccard_join.band(min(len(s), len(t))), jaccard_join.band(max(len(s), len(t))) - 1)
+                    assert len(shared) >= jaccard_join.spare(i, cfg.spare)
+                assert len(shared) or np.intersect1d(mark[marked >> 1 == 0], mark[marked >> 1 == 1]).size
+            raw, bounds = both.sketches()
+            sketches = jaccard_join.Sketched([pa.array([raw[a:b].tobytes() for a, b in zip(bounds, bounds[1:])])], both.sizes)
+            assert sketches.may_link(np.array([0]), np.array([1]))[0]
+        assert linked or size < 4
+
+
+def test_shingle_sets():
+    rng = random.Random(13)
+    texts = ["", None, "a", "A b", "a b c d", "A b\tc D e", "é ü x É z w", "\n  \t", "x" * 3000000 + " y"] + [" ".join(rng.choice("abcdE") for _ in range(rng.randrange(30))) for _ in range(200)]
+    sets = jaccard_join.shingle_sets(pa.array(texts))
+    assert sets.sizes.tolist() == [len(brute.shingles(t)) for t in texts]
+    part = jaccard_join.shingle_sets(pa.array(texts).slice(9, 40))
+    assert all((part[i] == sets[9 + i]).all() for i in range(40))
+    same = {}
+    for i, t in enumerate(texts):
+        assert same.setdefault(brute.shingles(t), sets.classes()[i]) == sets.classes()[i]
+    assert len(same) == len(set(sets.classes().tolist()))
+
+
+def test_keep_one_decides_by_row(spark):
+    """Null ids, repeated ids, repeated rows and clashing column names."""
+    base = " ".join(f"w{i}" for i in range(60))
+    near, other = base.replace("w30", "x30"), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, base, "a"), (None, base, "b"), (5, near, "c"), (5, other, "d"), (5, other, "d"), (None, "q r s", "e"), (None, "q r s", "f"), (7, None, "g"), (7, "", "h"), (7, None, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cls string").withColumn("label", F.lit(1)).withColumn("n_shingles", F.lit("x"))
+    got = jaccard_join.keep_one(docs)
+    assert got.columns == docs.columns
+    kept = sorted(got.select("doc_id", "text", "cls").collect(), key=str)
+    kept = [tuple(r) for r in kept]
+    assert sum(t == "q r s" for _, t, _ in kept) == 1
+    assert sorted((r for r in kept if r[1] != "q r s"), key=str) == sorted([(1, base, "a"), (5, other, "d"), (7, None, "g"), (7, "", "h"), (7, None, "g")], key=str)
+    joined = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join.join(docs).collect()}
+    assert joined == {(1, 56): 1, (None, 56): 1, (5, 56): 1, (5, 36): 5, (None, 1): None, (7, 0): 7}
 
 
 def test_bitmap(spark):
