@@ -24,7 +24,8 @@ shingles in hashed cells. As many cells as differ, so many shingles differ at le
 and hardly a pair that is none gets through; only those are compared on their whole sets, exactly.
 The least class of a group of one signature is compared with all others, which is linear in the group.
 Linked classes are joined to components, and only groups that still span several components are
-compared further, in blocks of bounded size, between components.
+compared further, in blocks of bounded size, between components: first along a forest of the pairs that
+differ least, then, where components are left, all pairs that their sketches let through.
 
 Equality of shingles and of whole sets is equality of 64-bit hashes, that of owners of signatures is
 resolved by 48 bits of the class.
@@ -69,7 +70,7 @@ class Settings:
     cuttings: int = 4
     #: Signatures that partners share at least, and members beyond which a signature is crowded.
     spare: int = 3
-    crowded: int = 64
+    crowded: int = 32
     #: Share of infrequent shingles that a document needs to do without signatures of its whole set.
     infrequent_share: float = 0.9
     #: Bytes of text handled at a time; shingles that a slice counts and signatures that a worker packs at
@@ -133,7 +134,7 @@ class Sets:
 
     def sketches(self) -> tuple[np.ndarray, np.ndarray]:
         """Parities of hashed cells: bytes of all sketches, and their bounds. A set of ``a`` shingles has
-        the power of two from ``1.2 a`` cells, 64 at least; a sketch folds to half its cells by xor."""
+        the power of two from ``2.4 a`` cells, 64 at least; a sketch folds to half its cells by xor."""
         cells = sketch_cells(self.sizes)
         base = _bounds(cells)
         at = np.repeat(base[:-1], self.sizes) + (self.items & np.repeat(cells - 1, self.sizes).astype(np.uint64)).astype(np.int64)
@@ -142,7 +143,7 @@ class Sets:
 
 
 def sketch_cells(sizes: np.ndarray) -> np.ndarray:
-    return (1 << np.maximum(6, np.ceil(np.log2(np.maximum(1.2 * sizes, 1))).astype(np.int64))).astype(np.int64)
+    return (1 << np.maximum(6, np.ceil(np.log2(np.maximum(2.4 * sizes, 1))).astype(np.int64))).astype(np.int64)
 
 
 def _bounds(sizes: np.ndarray) -> np.ndarray:
@@ -573,15 +574,16 @@ def groups(signed: DataFrame, sizes: DataFrame, cfg: Settings) -> DataFrame:
             times = np.full(len(burden), cfg.spare)
         keep = np.zeros(len(first), bool)
         keep[np.unique(gid, return_index=True)[1]] = True
-        keep &= size > 1
+        keep &= (size > 1) & ~crowd
         rows = np.repeat(keep, size)
-        gids = np.concatenate([np.repeat(gid, size)[rows], np.zeros(len(burden), np.int64)])
-        n_rows = int(rows.sum())
+        crowd_gid, crowd_own = crowds([own[a : a + n] for a, n in zip(first[crowd].tolist(), size[crowd].tolist(), strict=True)])
+        gids = np.concatenate([np.repeat(gid, size)[rows], crowd_gid, np.zeros(len(burden), np.int64)])
+        n_rows, n_crowd = int(rows.sum()), len(crowd_own)
         return pa.table({
-            "gid": pa.array(gids, mask=np.arange(len(gids)) >= n_rows),
-            "own": pa.array(np.concatenate([own[rows], burden])),
-            "crowd": pa.array(np.concatenate([np.repeat(crowd, size)[rows], np.zeros(len(burden), bool)])),
-            "n": pa.array(np.concatenate([np.zeros(n_rows, np.int64), times])),
+            "gid": pa.array(gids, mask=np.arange(len(gids)) >= n_rows + n_crowd),
+            "own": pa.array(np.concatenate([own[rows], crowd_own, burden])),
+            "crowd": pa.array(np.concatenate([np.zeros(n_rows, bool), np.ones(n_crowd, bool), np.zeros(len(burden), bool)])),
+            "n": pa.array(np.concatenate([np.zeros(n_rows + n_crowd, np.int64), times])),
         })
 
     found = checkpointed(signed.groupBy("bucket").applyInArrow(run, "gid long, own long, crowd boolean, n long"))
@@ -597,6 +599,33 @@ def groups(signed: DataFrame, sizes: DataFrame, cfg: Settings) -> DataFrame:
     return left.select("gid", name.alias("name")).distinct().join(owners.select("name", "cls"), "name").select("gid", "cls")
 
 
+def crowds(members: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(gid, own) of crowded groups, of which those that have half of their members in common are one.
+
+    A large family of near copies has a crowd for each of its signatures, all of about the same members.
+    """
+    if not members:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    every = np.unique(np.concatenate(members))
+    home = np.full(len(every), -1, np.int64)
+    gids, owns, n = [], [], 0
+    for own in sorted(members, key=len, reverse=True):
+        at = np.searchsorted(every, own)
+        known, count = np.unique(home[at][home[at] >= 0], return_counts=True)
+        if len(count) and 2 * count.max() >= len(own):
+            gid = int(known[count.argmax()])
+        else:
+            gid, n = n, n + 1
+        home[at[home[at] < 0]] = gid
+        gids.append(np.full(len(own), gid, np.int64))
+        owns.append(at)
+    pairs = np.unique(np.concatenate(gids) * len(every) + np.concatenate(owns))
+    gid, own = pairs // len(every), every[pairs % len(every)]
+    first = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]]))
+    names = mix(np.add.reduceat(mix(own.astype(np.uint64), 41), first) + np.uint64(1), 44).astype(np.int64)
+    return names[gid], own
+
+
 def class_sets(docs: DataFrame, classes: DataFrame, cfg: Settings) -> DataFrame:
     """(cls, items) of the given classes. The bitmap spares shuffling sets that nothing is compared with."""
     bits = bitmap(classes, "cls", cfg.bitmap_bits)
@@ -634,11 +663,11 @@ class Sketched:
         at = _bounds(np.concatenate([self.length, [len(x) for x in folded]]))
         self.start, self.half = at[: len(raw)], at[len(raw) : 2 * len(raw)]
 
-    def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether the pairs (i, j) may be links: their sizes allow it, and no more cells differ than shingles may."""
+    def differing(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Cells in which the pairs (i, j) differ; -1 where their sizes or so many cells allow no link."""
         a, b = self.sizes[i], self.sizes[j]
-        ok = 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
-        some = np.flatnonzero(ok)
+        out = np.full(len(i), -1, np.int64)
+        some = np.flatnonzero(100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
         width = np.minimum(self.length[i[some]], self.length[j[some]])
         for w in np.unique(width).tolist():
             rows = some[width == w]
@@ -647,8 +676,37 @@ class Sketched:
                 part = rows[lo : lo + step]
                 x, y = (np.where(self.length[k] == w, self.start[k], self.half[k])[:, None] + np.arange(w) for k in (i[part], j[part]))
                 differ = np.bitwise_count(self.words[x] ^ self.words[y]).sum(axis=1, dtype=np.int64)
-                ok[part] = (100 + PERCENT) * differ <= (100 - PERCENT) * (a[part] + b[part])
-        return ok
+                out[part] = np.where((100 + PERCENT) * differ <= (100 - PERCENT) * (a[part] + b[part]), differ, -1)
+        return out
+
+    def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self.differing(i, j) >= 0
+
+
+def forest(i: np.ndarray, j: np.ndarray, differ: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Places of the pairs (i, j) that join the labels they reach, the pairs that differ least first: at most one
+    less than there are labels."""
+    part = np.unique(label, return_inverse=True)[1]
+    order = np.lexsort((np.arange(len(i)), differ))
+    taken = []
+    while True:
+        a, b = part[i[order]], part[j[order]]
+        order, a, b = order[a != b], a[a != b], b[a != b]
+        if not len(order):
+            return np.concatenate([*taken, np.zeros(0, np.int64)]).astype(np.int64)
+        ends = np.stack([a, b], axis=1).ravel()
+        best = np.unique(np.unique(ends, return_index=True)[1] // 2)
+        taken.append(order[best])
+        root = np.arange(part.max() + 1)
+        for x, y in zip(a[best].tolist(), b[best].tolist(), strict=True):
+            while root[x] != x:
+                x = root[x]
+            while root[y] != y:
+                y = root[y]
+            root[max(x, y)] = min(x, y)
+        while (root[root] != root).any():
+            root = root[root]
+        part = root[part]
 
 
 def alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -701,8 +759,9 @@ def still_open(found: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(spread, "gid", "left_semi")
 
 
-def open_pairs(rows: DataFrame, classes: DataFrame, cfg: Settings) -> DataFrame:
-    """The (a, b) of one group and of different components whose sketches allow a link.
+def open_pairs(rows: DataFrame, classes: DataFrame, cfg: Settings, every: bool) -> DataFrame:
+    """The (a, b) of one group and of different components whose sketches allow a link: ``every`` one, or of each
+    task a forest of those that differ least.
 
     A group of more than ``cfg.block`` classes is dealt into blocks, and each pair of its blocks is a task of
     its own; a task holds two blocks and gives only the pairs that pass.
@@ -724,10 +783,17 @@ def open_pairs(rows: DataFrame, classes: DataFrame, cfg: Settings) -> DataFrame:
             i, j = i + lo, j + lo
             # Pairs within one block belong to the task of that block alone.
             ok = (label[i] != label[j]) & ((p[lo] == q[lo]) | (part[i] != part[j]))
-            out.append((i[ok], j[ok]))
-        i, j = (np.concatenate([x[k] for x in out] or [np.zeros(0, np.int64)]) for k in (0, 1))
-        ok = sketches.may_link(i, j)
-        i, j = cls[i[ok]], cls[j[ok]]
+            out.append((i[ok], j[ok], np.full(int(ok.sum()), len(out))))
+        i, j, task = (np.concatenate([x[k] for x in out] or [np.zeros(0, np.int64)]) for k in (0, 1, 2))
+        differ = sketches.differing(i, j)
+        ok = differ >= 0
+        i, j, task, differ = i[ok], j[ok], task[ok], differ[ok]
+        if not every and len(i):
+            # A label is another one in another task.
+            number = np.unique(label, return_inverse=True)[1] + len(label) * (np.searchsorted(first, np.arange(len(gid)), side="right") - 1)
+            own = forest(i, j, differ, number)
+            i, j = i[own], j[own]
+        i, j = cls[i], cls[j]
         pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -788,11 +854,14 @@ def link_classes(docs: DataFrame, cfg: Settings, rows: DataFrame, classes: DataF
     sets = checkpointed(class_sets(docs, near.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), cfg))
     # One comparison joins a class to its group, if anything does; the others wait for the components.
     links = checkpointed(linked(near.groupBy("b").agg(F.min("a").alias("a")), sets))
-    more = checkpointed(open_pairs(still_open(found, components(links)), classes, cfg))
-    other = more.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls", "left_anti")
-    if not other.isEmpty():
-        sets = sets.unionByName(checkpointed(class_sets(docs, checkpointed(other), cfg)))
-    return components(links.unionByName(linked(more, sets)))
+    # First a few close pairs of each group that spans several components, then all pairs that are left.
+    for every in (False, True):
+        more = checkpointed(open_pairs(still_open(found, components(links)), classes, cfg, every))
+        other = more.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls", "left_anti")
+        if not other.isEmpty():
+            sets = sets.unionByName(checkpointed(class_sets(docs, checkpointed(other), cfg)))
+        links = links.unionByName(checkpointed(linked(more, sets)))
+    return components(links)
 
 
 def joined_back(left: DataFrame, right: DataFrame, key: str, weight: Column, total: int) -> DataFrame:

@@ -83,3 +83,25 @@ def components(texts: dict) -> dict:
                     x, y = find(a), find(b)
                     parent[max(x, y)] = min(x, y)
     return {d: (len(sets[d]), find(d)) for d in ids}
+
+
+def merge_dropout(text: str, ids: dict, rank, byte: list[int], rate: float, key: int) -> list[int]:
+    """One agenda for a whole text: the best candidate, leftmost among equals, is skipped for good or merged."""
+    mark, mask = "\u2581", (1 << 64) - 1
+    parts = [(c, at) for at, c in enumerate(mark + text.replace(" ", mark))] if text else []
+    skipped = set()
+    while True:
+        found = []
+        for k in range(len(parts) - 1):
+            i = ids.get(parts[k][0] + parts[k + 1][0])
+            if i is not None and (parts[k][1], parts[k + 1][1], i) not in skipped:
+                found.append((int(rank[i]), parts[k][1], k, i))
+        if not found:
+            break
+        _, at, k, i = min(found)
+        h = (key ^ (at * 0x9E3779B97F4A7C15 + i * 0xC2B2AE3D27D4EB4F)) & mask
+        if ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9 & mask) >> 32 < int(rate * (1 << 32)):
+            skipped.add((at, parts[k + 1][1], i))
+        else:
+            parts[k : k + 2] = [(parts[k][0] + parts[k + 1][0], at)]
+    return [x for p, _ in parts for x in ([ids[p]] if p in ids else [byte[b] for b in p.encode()])]

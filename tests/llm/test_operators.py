@@ -271,29 +271,32 @@ def test_rules_are_found():
     assert (caught == bad).mean() > 0.95
 
 
-def test_merge_dropout(odd_docs, odd_rows):
+def test_merge_dropout(odd_docs, odd_rows, empty_docs):
+    """Rate 0 is the library; other rates are the brute-force agenda, for long parts too, and decode losslessly."""
     import sentencepiece
+    import xxhash
 
     path = merge_dropout.vocabulary_path()
     lib, own = sentencepiece.SentencePieceProcessor(model_file=path), merge_dropout.Pieces(path)
     rng = random.Random(9)
-    texts = ["", "  a  b ", "🙂漢字\x00\n\t ", "a" * 300, "Hello, world. It's e.g. 12,5!"] + ["".join(rng.choice("ab  \n🙂é漢09.,") for _ in range(30)) for _ in range(100)]
-    for t in texts:
-        assert own.encode(t, 0.0, 1, 0).tolist() == lib.encode(t)
-    cut = merge_dropout.Pieces(path)
-    for t in texts:
-        ids = cut.encode(t, 0.3, 1, 0)
-        assert cut.decode(ids) == t and lib.decode(ids.tolist()) == t
-        for u in t.split():
-            assert cut.cut(u, 0.3, 5) == cut.cut_long(u, 0.3, 5)
-    got = merge_dropout.encode_all(odd_docs).collect()
-    assert len(got) == len(odd_rows) and all(r.lossless for r in got)
-    a, b = (merge_dropout.Pieces(path).encode("the quick brown foxes", 0.3, s, 0).tolist() for s in (1, 2))
-    assert a != b
+    texts = ["", "  a  b ", "🙂漢字\x00\n\t ", "a" * 300, "Hello, world. It's e.g. 12,5!", "ab" * 200 + " the end", "x"] + ["".join(rng.choice("ab  \n🙂é漢09.,") for _ in range(30)) for _ in range(100)]
+    assert all(own.encode(t, 0.0, 1, 0).tolist() == lib.encode(t) for t in texts)
+    for rate in (0.1, 0.5, 1.0):
+        ids, n = own.encode_all([*texts, None], rate, 7, list(range(len(texts) + 1)))
+        at = np.concatenate([[0], np.cumsum(n)])
+        for k, t in enumerate(texts):
+            mine = ids[at[k] : at[k + 1]]
+            assert mine.tolist() == brute.merge_dropout(t, own.ids, own.rank, own.byte, rate, xxhash.xxh3_64_intdigest(str(k).encode(), 7))
+            assert own.decode(mine) == t and lib.decode(mine.tolist()) == t
+        assert n[-1] == 0 and [x.decode() for x in own.decode_all(ids, n)] == [*texts, ""]
+    clash = odd_docs.withColumn("token_ids", F.lit("x")).withColumn("n_tokens", F.lit("x"))
+    got = merge_dropout.encoded(clash).collect()
+    assert len(got) == len(odd_rows) and all(r.lossless and r.n_tokens == len(r.token_ids) for r in got)
+    assert merge_dropout.encode_all(empty_docs).count() == 0 and merge_dropout.encode_stage(odd_docs).count() == len(odd_rows)
 
 
 def test_merge_dropout_varies_every_occurrence(spark):
-    """One word has many cuttings within a document and over documents, each as the agenda gives it."""
+    """One word has many cuttings within a document and over documents."""
     docs = spark.createDataFrame([(i, "segmentation " * 40) for i in range(20)], "doc_id long, text string")
     rows = merge_dropout.encoded(docs, rate=0.3).collect()
     assert all(r.lossless for r in rows) and len({tuple(r.token_ids) for r in rows}) == 20
