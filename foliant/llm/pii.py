@@ -6,30 +6,34 @@ the whole text of a document that holds the entity is a wider one. Over all docu
 
     PMI(c; t) = log2( p(t | context of c) / p(t) )
 
-with ``p(t | context of c)`` from the distinct contexts of ``c`` (copies of a passage count once)
-and ``p(t)`` the share of documents that hold ``t``; windows and whole texts are counted each for
-themselves, and the higher PMI holds. A disclosing term is masked wherever it stands in documents
-that hold the entity; in all others as well if the test holds over all pairs of the table, as a
-mask there touches texts that nothing else ties to the entity. Terms are words of any length outside of base matches. Against the information content
-``IC(c) = -log2(documents with c / documents)`` a term whose PMI reaches ``remove`` of it is
-removed, one that reaches ``generalise`` of it is replaced by its kind. No number of contexts is
-demanded: what may be chance is told by a test (Chernoff's bound on a binomial count as high as
-the one seen, at ``chance`` over all terms of the entity), which an entity of a single text passes
-with terms that are rare enough, or that stand by it again and again.
+with ``p(t | context of c)`` from the distinct contexts of ``c`` and ``p(t)`` the share of documents
+that hold ``t``; windows and whole texts are counted each for themselves, and the higher PMI holds. A
+copied passage counts once: contexts that read the same are one, and of the texts that name ``c`` first
+in the same window one counts, however they differ elsewhere. A disclosing term is masked wherever it
+stands in documents that hold the entity; in all others as well if the test holds over all pairs of the
+table, as a mask there touches texts that nothing else ties to the entity. Terms are words of any length
+outside of base matches. Against the information content ``IC(c) = -log2(documents with c / documents)`` a
+term whose PMI reaches ``remove`` of it is removed, one that reaches ``generalise`` of it is replaced by its
+kind, but none that tells fewer than ``least_bits`` bits. No number of contexts is demanded: what may be
+chance is told by a test (Chernoff's bound on a binomial count as high as the one seen, at ``chance`` over
+all terms of the entity), which an entity of a single text passes with terms that are rare enough, or that
+stand by it again and again.
 
 Only DataFrame and SQL functions are used. Positions of matches come from the lengths of the
 matches and of the pieces between them. Patterns are possessive and begin at a border or where
 the match before ended, which gives the same matches as the plain forms in linear time.
 
-Defined results: a null or empty text has no spans; repeated rows have the same spans each;
-an entity that half the documents hold has little content, so much is disclosed by little;
-input columns named like the results are replaced.
+Defined results: a null or empty text has no spans; texts of any length are read whole, in time that grows
+with the text and its spans; repeated rows have the same spans each; of overlapping spans the first by start
+masks, at equal starts the shorter; an empty table gives an empty result; other columns are left alone,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +54,7 @@ PATTERNS = {
 }
 #: A text without these can have no match of the kind.
 HINTS = {"email": "@[A-Za-z0-9-]++[.]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){12}", "phone": r"\+[0-9]"}
+SIGNS = {"email": "@", "phone": "+"}
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "", "general": "[TERM]"}
 #: What is no part of a term at a word's ends (fixed values).
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -64,6 +69,8 @@ class Settings:
     chance: float = 0.05
     remove: float = 0.95
     generalise: float = 0.8
+    #: Bits that a term must tell of an entity: an entity that most documents hold has little to disclose.
+    least_bits: float = 2.0
 
 
 def _digits(c: Column) -> Column:
@@ -91,15 +98,70 @@ def located(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of the leftmost non-overlapping matches, in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    # A running sum: each step adds the piece before a match and the match itself.
     steps = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda n, v: F.struct(n.alias("gap"), v.alias("value")))
-    start = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return F.when(F.size(found) > 0, _let(steps, _summed)).otherwise(F.array().cast(_PLACED))
+
+
+_PLACED = "array<struct<start:int,end:int,value:string>>"
+#: Spans of a run: what is folded within a run is short, so folding grows little more than the spans.
+_RUN = 128
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _runs(items: Column) -> Column:
+    """The items of a non-empty array in runs."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / _RUN).cast("int")), lambda i: F.slice(items, i * _RUN + 1, F.lit(_RUN)))
+
+
+def _summed(steps: Column) -> Column:
+    """Spans from the gaps before them and their values: each begins where the one before ends, and a gap later."""
+    length = lambda x: x["gap"] + F.length(x["value"])
 
     def add(out: Column, x: Column) -> Column:
-        at = F.coalesce(F.try_element_at(out, F.lit(-1))["end"], F.lit(0)) + x["gap"]
+        at = out[F.size(out) - 1]["end"] + x["gap"]
         return F.concat(out, F.array(F.struct(at.alias("start"), (at + F.length(x["value"])).alias("end"), x["value"].alias("value"))))
 
-    return F.when(F.size(found) > 0, F.aggregate(steps, start, add)).otherwise(start)
+    def placed(run: Column, begin: Column) -> Column:
+        first = F.array(F.struct(begin.alias("start"), begin.alias("end"), F.lit("").alias("value"))).cast(_PLACED)
+        return F.aggregate(run, first, add, lambda out: F.slice(out, F.lit(2), F.size(out)))
+
+    def of(runs: Column) -> Column:
+        sums = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda a, x: a + length(x)))
+        begins = F.aggregate(sums, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(out[F.size(out) - 1] + n)))
+        return F.flatten(F.zip_with(runs, F.slice(begins, F.lit(1), F.size(runs)), placed))
+
+    return _let(_runs(steps), of)
+
+
+def replaced(text: Column, ordered: Column, new) -> Column:
+    """``text`` with ``new(span, is_first, hidden)`` in place of the spans (start, end, ...), which are ordered by start:
+    whether no span before reaches into it, and how much of it is left beyond those before."""
+
+    def run_of(run: Column, begin: Column) -> Column:
+        # Only a run's own piece of the text is cut up for its spans.
+        piece = F.substring(text, begin + 1, F.greatest(F.array_max(F.transform(run, lambda s: s["end"])) - begin, F.lit(0)))
+
+        def cut(own: Column) -> Column:
+            def step(acc: Column, s: Column) -> Column:
+                keep = F.substring(own, acc["at"] - begin + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+                hidden = F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0))
+                return F.struct(F.concat(acc["out"], keep, new(s, s["start"] >= acc["at"], hidden)).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+            return F.aggregate(run, F.struct(F.lit("").alias("out"), begin.alias("at")), step, lambda a: a["out"])
+
+        return _let(piece, cut)
+
+    def of(runs: Column) -> Column:
+        ends = F.transform(runs, lambda r: F.array_max(F.transform(r, lambda s: s["end"])))
+        begins = F.aggregate(ends, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.greatest(out[F.size(out) - 1], n))))
+        parts = F.zip_with(runs, F.slice(begins, F.lit(1), F.size(runs)), run_of)
+        return F.concat(F.array_join(parts, ""), F.substring(text, begins[F.size(begins) - 1] + 1, F.length(text)))
+
+    return F.when(F.size(ordered) > 0, _let(_runs(ordered), of)).otherwise(text)
 
 
 def base_spans(text: Column) -> Column:
@@ -110,7 +172,8 @@ def base_spans(text: Column) -> Column:
     for kind in KINDS:
         spans = F.filter(located(text, PATTERNS[kind]), partial(_passes, kind))
         named = F.transform(spans, partial(_named, kind))
-        parts.append(F.when(text.rlike(HINTS[kind]), named).otherwise(empty))
+        there = text.contains(SIGNS[kind]) if kind in SIGNS else text.rlike("[0-9]")
+        parts.append(F.when(there & text.rlike(HINTS[kind]), named).otherwise(empty))
     return F.concat(*parts)
 
 
@@ -134,23 +197,18 @@ def _words(text: Column) -> Column:
     return F.split(text, r"[\x20\x09-\x0D]")
 
 
+_EDGES = rf"(?<![^\x20\x09-\x0D])[{re.escape(_PUNCTUATION)}]++|[{re.escape(_PUNCTUATION)}]++(?![^\x20\x09-\x0D])"
+
+
 def _terms(text: Column) -> Column:
     """Distinct lower-case words without punctuation at their ends."""
-    return F.array_distinct(F.filter(F.transform(_words(text), lambda w: F.lower(_core(w))), lambda w: w != ""))
+    return F.array_remove(F.array_distinct(_words(F.lower(F.regexp_replace(text, _EDGES, "")))), "")
 
 
 def blanked(text: Column, spans: Column) -> Column:
     """``text`` with spaces in place of the spans; positions stay."""
-    text = F.coalesce(text, F.lit(""))
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-
-    def blank(acc: Column, s: Column) -> Column:
-        keep = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        spaces = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
-        return F.struct(F.concat(acc["out"], keep, spaces).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    done = F.aggregate(ordered, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), blank, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return replaced(F.coalesce(text, F.lit("")), ordered, lambda s, is_first, hidden: F.repeat(F.lit(" "), hidden))
 
 
 def _entity(span: Column) -> Column:
@@ -182,16 +240,18 @@ def disclosures(found: DataFrame, holding: DataFrame, cfg: Settings) -> DataFram
     total = max(found.count(), 1)
     n_docs = F.lit(float(total))
     # Contexts that read the same count once, in one document or in many; so do copies of a text.
-    near = mentions(holding, cfg).select("entity", F.xxhash64("left", "right").alias("context"), F.concat_ws(" ", "left", "right").alias("around")).dropDuplicates(["entity", "context"])
-    near = near.select("entity", _terms(F.col("around")).alias("terms"))
-    whole = holding.select(F.explode("entities").alias("entity"), "copies", "terms")
+    windows = mentions(holding, cfg).select("key", "entity", "span.start", F.xxhash64("left", "right").alias("context"), F.concat_ws(" ", "left", "right").alias("around"))
+    near = windows.dropDuplicates(["entity", "context"]).select("entity", _terms(F.col("around")).alias("terms"))
+    firsts = windows.groupBy("entity", "key").agg(F.min_by("context", "start").alias("context")).groupBy("entity", "context").agg(F.min("key").alias("key"))
+    whole = firsts.join(holding.select("key", "terms"), "key").select("entity", "terms")
+    of_texts = holding.select(F.explode("entities").alias("entity"), "copies")
     n_all = float(near.select("terms").unionByName(whole.select("terms")).agg(F.sum(F.size("terms"))).first()[0] or 1)
     # Documents with the entity: copies count, as they do for the terms.
-    held = whole.groupBy("entity").agg(F.sum("copies").alias("n_held"))
+    held = of_texts.groupBy("entity").agg(F.sum("copies").alias("n_held"))
     df = found.select(F.explode(_terms(blanked(F.col("text"), F.col("spans")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     content = -F.log2(F.col("n_held") / n_docs)
     q = F.col("n_term") / n_docs
-    least = cfg.generalise * content
+    least = F.greatest(cfg.generalise * content, F.lit(cfg.least_bits))
     found_in = []
     for contexts in (near, whole):
         # A term so common that no count could reach the ratio goes before the counting.
@@ -202,27 +262,30 @@ def disclosures(found: DataFrame, holding: DataFrame, cfg: Settings) -> DataFram
         # Bits of evidence that p is no chance result of q.
         rest = F.when(p < 1, (F.col("n_contexts") - F.col("n_joint")) * F.log2(F.try_divide(1 - p, 1 - q))).otherwise(0.0)
         evidence = F.col("n_joint") * pmi + rest
-        enough = (pmi > 0) & (evidence >= F.log2(F.col("n_tests") / cfg.chance))
+        enough = (pmi >= cfg.least_bits) & (evidence >= F.log2(F.col("n_tests") / cfg.chance))
         given = joint.where(enough).withColumn("ratio", F.try_divide(pmi, content)).where(F.col("ratio") >= cfg.generalise)
         found_in.append(given.select("entity", "term", "ratio", (evidence >= F.log2(F.lit(n_all / cfg.chance))).alias("everywhere")))
     return found_in[0].unionByName(found_in[1]).groupBy("entity", "term").agg(F.max("ratio").alias("ratio"), F.max("everywhere").alias("everywhere"))
 
 
-#: Bits of the filter of known terms; hashes that share one only let more words through to the join.
-_BITS = 20
+#: Most bits (as a power of two) of the filter of known terms: 2 MB. Beyond an eighth of them in terms it lets more words
+#: through to the join, and loses none.
+_MOST_BITS = 24
 
 
 def _maybe_known(known: DataFrame):
     """A test of a term that all of ``known`` pass and few others: one bit for each hash."""
-    at = F.xxhash64("term").bitwiseAND(F.lit((1 << _BITS) - 1))
+    n_bits = min(_MOST_BITS, max(10, (32 * known.count()).bit_length()))
+    low = F.lit((1 << n_bits) - 1)
+    at = F.xxhash64("term").bitwiseAND(low)
     rows = known.select(F.shiftright(at, 3).alias("byte"), F.call_function("shiftleft", F.lit(1), at.bitwiseAND(F.lit(7)).cast("int")).alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits")).collect()
-    bits = bytearray(1 << (_BITS - 3))
+    bits = bytearray(1 << (n_bits - 3))
     for r in rows:
         bits[r.byte] = r.bits
     held = F.lit(bytes(bits))
 
     def test(term: Column) -> Column:
-        at = F.xxhash64(term).bitwiseAND(F.lit((1 << _BITS) - 1))
+        at = F.xxhash64(term).bitwiseAND(low)
         byte = F.conv(F.hex(F.substring(held, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
         return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), at.bitwiseAND(F.lit(7)).cast("int"))) != 0
 
@@ -231,10 +294,13 @@ def _maybe_known(known: DataFrame):
 
 def kinds_by_text(found: DataFrame, holding: DataFrame, given: DataFrame, cfg: Settings) -> DataFrame:
     """(key, kinds): for each text the kinds of the terms that are masked in it."""
-    own = holding.select("key", F.explode("entities").alias("entity")).join(given, "entity").select("key", "term", "ratio")
+    hit = holding.select("key", F.explode("entities").alias("entity")).join(given, "entity").select("key", "term", "ratio")
     known = given.where("everywhere").groupBy("term").agg(F.max("ratio").alias("ratio"))
-    other = found.select("key", F.explode(F.filter(_terms(blanked(F.col("text"), F.col("spans"))), _maybe_known(known))).alias("term")).join(known, "term").select("key", "term", "ratio")
-    hit = own.unionByName(other).groupBy("key", "term").agg(F.max("ratio").alias("ratio"))
+    if not known.isEmpty():
+        known = checkpointed(known)
+        terms = F.explode(F.filter(_terms(blanked(F.col("text"), F.col("spans"))), _maybe_known(known)))
+        hit = hit.unionByName(found.select("key", terms.alias("term")).join(known, "term").select("key", "term", "ratio"))
+    hit = hit.groupBy("key", "term").agg(F.max("ratio").alias("ratio"))
     kind = F.when(F.col("ratio") >= cfg.remove, F.lit("term")).otherwise(F.lit("general"))
     return hit.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", kind))).alias("kinds"))
 
@@ -258,7 +324,7 @@ def term_spans(text: Column, spans: Column, kinds: Column) -> Column:
 
 
 def analysed(docs: DataFrame, cfg: Settings) -> DataFrame:
-    """``docs`` with base ``spans`` and ``term_spans``.
+    """(row, text, spans, term_spans) of ``docs``, a table of a struct ``row`` and a ``text``.
 
     The key is a hash of the text: equal texts have equal spans, so a repeated row needs no more.
     """
@@ -268,39 +334,33 @@ def analysed(docs: DataFrame, cfg: Settings) -> DataFrame:
     holding = checkpointed(holding.withColumn("terms", _terms(F.col("plain"))).withColumn("entities", F.array_distinct(F.transform("spans", _entity))))
     small = found.select("key", "text", "spans")
     given = checkpointed(disclosures(small, holding, cfg))
-    return found.join(kinds_by_text(small, holding, given, cfg), "key", "left").withColumn("term_spans", term_spans(F.col("text"), F.col("spans"), F.col("kinds")))
+    found = found.join(kinds_by_text(small, holding, given, cfg), "key", "left")
+    return found.withColumn("term_spans", term_spans(F.col("text"), F.col("spans"), F.col("kinds"))).select("row", "text", "spans", "term_spans")
 
 
 def find_all(docs: DataFrame, cfg: Settings | None = None) -> DataFrame:
     """The contract's columns for every document."""
     cfg = cfg or Settings()
-    every = analysed(docs.select("doc_id", "text"), cfg)
+    every = analysed(docs.select(F.struct("doc_id").alias("row"), "text"), cfg)
     counts = [F.size(F.filter("spans", partial(_of_kind, k))).cast("long").alias(f"n_{k}") for k in KINDS]
     base = joined(F.col("spans"))
     extra = joined(F.col("term_spans"))
-    return every.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), F.concat_ws(",", F.nullif(base, F.lit("")), F.nullif(extra, F.lit(""))).alias("spans"), F.size("term_spans").cast("long").alias("n_terms"))
+    return every.select("row.doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), F.concat_ws(",", F.nullif(base, F.lit("")), F.nullif(extra, F.lit(""))).alias("spans"), F.size("term_spans").cast("long").alias("n_terms"))
 
 
 def sanitised(docs: DataFrame, cfg: Settings | None = None) -> DataFrame:
-    """Pipeline stage: ``docs`` whose spans are masked; all other texts and columns stay.
-
-    Of overlapping spans the first by start masks, and the others only what is left after it.
-    """
+    """Pipeline stage: ``docs`` whose spans are masked; all other texts and columns stay. ``n_chars``, if there is
+    such a column, is the length of the new text."""
     cfg = cfg or Settings()
-    names = docs.columns
-    every = analysed(docs, cfg)
+    every = analysed(docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text"), cfg)
     shape = "array<struct<start:int,end:int,kind:string>>"
-    spans = F.array_sort(F.concat(F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"])).cast(shape), F.coalesce(F.transform("term_spans", lambda s: F.struct(s["start"], s["end"], s["kind"])).cast(shape), F.array().cast(shape))))
-    masks = F.create_map(*[F.lit(x) for kv in MASKS.items() for x in kv])
-
-    def mask(acc: Column, s: Column) -> Column:
-        keep = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        new = F.when(s["start"] >= acc["at"], F.concat(acc["out"], keep, masks[s["kind"]])).otherwise(acc["out"])
-        return F.struct(new.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    done = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), mask, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    touched = (F.size("spans") > 0) | (F.size("term_spans") > 0)
-    masked = every.withColumn("__new", F.when(touched, done).otherwise(F.col("text")))
-    if "n_chars" in names:
-        masked = masked.withColumn("n_chars", F.when(touched, F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return masked.withColumn("text", F.col("__new")).select(*names)
+    as_shape = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    spans = F.array_sort(F.concat(as_shape("spans").cast(shape), F.coalesce(as_shape("term_spans").cast(shape), F.array().cast(shape))))
+    mask = lambda s: reduce(lambda w, m: w.when(s["kind"] == m[0], m[1]), list(MASKS.items())[1:], F.when(s["kind"] == "email", MASKS["email"]))
+    new = replaced(F.col("text"), spans, lambda s, is_first, hidden: F.when(is_first, mask(s)).otherwise(""))
+    masked = every.withColumn("new", F.when((F.size("spans") > 0) | (F.size("term_spans") > 0), new).otherwise(F.col("text")))
+    out = {c: F.col("row").getField(c) for c in docs.columns if c != "text"} | {"text": F.col("new")}
+    if "n_chars" in out:
+        changed = ~F.col("new").eqNullSafe(F.col("text"))
+        out["n_chars"] = F.when(changed, F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return masked.select(*[out[c].alias(c) for c in docs.columns])

@@ -315,3 +315,33 @@ def test_html_shows_all_visible_text():
         assert show(f"a <span {attr}>b</span> c") == "a c"
     assert show("a <select><option>x<option selected>y<option>z</select> b") == "a y b" and show("<select><optgroup><option>x</option></optgroup><option>z</select>") == "x"
     assert show("a <math><mi>q</mi></math> <svg><path d='1'/><text>t</text></svg> <object>f</object> <textarea>g &amp; h</textarea> b") == "a q t f g & h b"
+
+
+def test_pii_many_spans_and_clashing_columns(spark):
+    """Spans over several runs, overlaps, and columns named like inner ones."""
+    text = " ".join(f"é{i}@b.com +1 555 {1000000 + i}" for i in range(700)) + " end 10.0.0.1"
+    docs = spark.createDataFrame([(1, text, "k1", "s"), (2, None, "k2", "t"), (3, "call a@b.com", "k3", "u")], "doc_id long, text string, key string, spans string").withColumns({"row": F.lit("r"), "new": F.lit("n"), "term_spans": F.lit(1), "kinds": F.lit("q"), "n_chars": F.lit(5)})
+    got = {r.doc_id: r for r in pii.find_all(docs).collect()}
+    assert (got[1].n_email, got[1].n_phone, got[1].n_ip, got[1].base_sha256) == (*(brute.pii_row(text)[k] for k in (0, 3, 1)), brute.pii_row(text)[4])
+    clean = pii.sanitised(docs)
+    assert clean.columns == docs.columns
+    rows = {r.doc_id: r for r in clean.collect()}
+    assert (rows[1].key, rows[1].spans, rows[1].row, rows[1].new, rows[1].term_spans, rows[1].kinds) == ("k1", "s", "r", "n", 1, "q") and rows[2].text is None and rows[2].n_chars == 5
+    assert rows[1].text.count("[EMAIL]") == rows[1].text.count("[PHONE]") == 700 and "@" not in rows[1].text and rows[1].text.endswith("[IP]") and rows[1].n_chars == len(rows[1].text)
+
+
+def test_pii_common_entities_disclose_little(spark):
+    """Words beside an address that nearly all texts hold tell nothing of it."""
+    rows = [(i, f"please write to office@q.com no {i} soon and more of it late") for i in range(90)] + [(100 + i, f"other words {i} here") for i in range(10)]
+    assert all(r.n_terms == 0 for r in pii.find_all(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_pii_near_copies_are_one_context(spark):
+    """Rare words of a text that was copied and edited elsewhere are no evidence against its address."""
+    rng = random.Random(14)
+    filler = lambda n: " ".join(f"w{rng.randrange(40):02d}x" for _ in range(n))
+    tail = [f"rare{k}" for k in range(30)]
+    head = f"{filler(30)} a@q.com {filler(30)}"
+    rows = [(i, f"{head} {' '.join(tail[:i] + [f'edit{i}'] + tail[i:])}") for i in range(6)] + [(100 + i, filler(60)) for i in range(300)] + [(900, filler(30) + " rare7")]
+    got = {r.doc_id: r for r in pii.find_all(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[900].n_terms == 0
