@@ -8,48 +8,78 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapse, let
-
-#: Shapes of a date in running text, in the order in which they are looked for.
-DATE_SHAPES = (
-    r"\b\d{4}-\d{2}-\d{2}\b",
-    r"\b\d{1,2}/\d{1,2}/\d{2,4}\b",
-    r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{1,2},\s*\d{4}\b",
-    r"(?i)\b\d{1,2} (?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{4}\b",
+from .text import let, strip
+
+#: Shapes of a date in running text, in the order in which they are looked for (fixed values).
+DATE_SHAPES = (r"\b(\d{4}-\d{2}-\d{2})\b", r"\b(\d{1,2}/\d{1,2}/\d{2,4})\b", r"\b([A-Za-z]{3,9}\s+\d{1,2},\s*\d{4})\b", r"\b(\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4})\b")
+#: Labelled dates, in their order (fixed values).
+LABELLED_DATES = (
+    r"^\s*report\s*date\s*[:\-]\s*(\d{4}-\d{2}-\d{2})",
+    r"^\s*date\s*[:\-]\s*(\d{4}-\d{2}-\d{2})",
+    r"^\s*date\s*[:\-]\s*(\d{1,2}/\d{1,2}/\d{2,4})",
+    r"^\s*report\s*date\s*[:\-]\s*([A-Za-z]{3,9}\s+\d{1,2},\s*\d{4})",
+    r"^\s*date\s*[:\-]\s*([A-Za-z]{3,9}\s+\d{1,2},\s*\d{4})",
+    r"^\s*report\s*date\s*[:\-]\s*(\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4})",
+    r"^\s*date\s*[:\-]\s*(\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4})",
 )
-_LABELS = ("report date", "date of report", "inspection date", "issue date", "issued", "dated", "date")
+_MONTHS = "january february march april may june july august september october november december".split()
+_SLASHED = r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})$"
+_NAMED = r"^([A-Za-z]+)\s+(\d{1,2}),\s+(\d{4})$|^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})$"
 
 
-def _short_year(c: Column, pattern: str) -> Column:
-    """Two-digit years from 69 on belong to the last century."""
-    d = F.to_date(F.try_to_timestamp(c, F.lit(pattern)))
-    return F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)
+def _day(year: Column, month: Column, day: Column) -> Column:
+    """ISO text of a day that there is, else null. No parser that throws is asked."""
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    most = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    ok = (year >= 1) & month.between(1, 12) & (day >= 1) & (day <= most)
+    return F.when(ok, F.format_string("%04d-%02d-%02d", year, month, day))
 
 
 def normal_date(c: Column) -> Column:
-    """ISO text of a date; text in ISO shape is passed through unchecked, nonsense gives null."""
-    return let(F.regexp_replace(collapse(c), r",\s*", ", "), _iso)
+    """ISO text of a date; text in ISO shape is passed through unchecked, nonsense gives null.
 
+    Slashed dates are month first where that makes a day, else day first; two-digit years from 69 on
+    belong to the last century; months are named in full or by three letters.
+    """
+    return let(strip(c), lambda x: F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), x).when(x.rlike("^\\d{1,2}/"), _slashed(x)).when(x.rlike("[A-Za-z]"), _named(x)))
 
-def _iso(x: Column) -> Column:
-    four = [F.to_date(F.try_to_timestamp(x, F.lit(p))) for p in ("M/d/yyyy", "d/M/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy")]
-    two = [_short_year(x, p) for p in ("M/d/yy", "d/M/yy")]
-    by_slash = F.when(x.rlike(r"/\d{4}$"), F.coalesce(*four[:2])).when(x.rlike(r"/\d{2}$"), F.coalesce(*two)).otherwise(F.coalesce(*four[2:]))
-    return F.when(x.isNull(), F.lit(None).cast("string")).when(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), x).otherwise(F.date_format(by_slash, "yyyy-MM-dd"))
 
+def _number(c: Column) -> Column:
+    return F.nullif(c, F.lit("")).cast("int")
 
-def date_candidates(text: Column, most: int = 10) -> Column:
+
+def _slashed(x: Column) -> Column:
+    def day(n: Column) -> Column:
+        year = F.when(n[3] == 4, n[2]).when(n[2] >= 69, n[2] + 1900).otherwise(n[2] + 2000)
+        return F.coalesce(_day(year, n[0], n[1]), _day(year, n[1], n[0]))
+
+    parts = [F.regexp_extract(x, _SLASHED, k) for k in (1, 2, 3)]
+    return let(F.array(*map(_number, parts), F.length(parts[2])), day)
+
+
+def _named(x: Column) -> Column:
+    def day(p: Column) -> Column:
+        word = F.lower(F.concat(p[0], p[4]))
+        month = reduce(lambda w, m: w.when(word.isin(m[1], m[1][:3]), m[0] + 1), enumerate(_MONTHS), F.when(F.lit(False), 0))
+        return let(F.array(_number(F.concat(p[2], p[5])), month, _number(F.concat(p[1], p[3]))), lambda n: _day(n[0], n[1], n[2]))
+
+    return let(F.array(*[F.regexp_extract(x, _NAMED, k) for k in range(1, 7)]), day)
+
+
+def all_dates(text: Column) -> Column:
     """Normalised dates in the order of the shapes, each once."""
-    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in DATE_SHAPES])
-    dates = F.array_distinct(F.filter(F.transform(found, normal_date), lambda d: d.isNotNull()))
-    return F.slice(dates, 1, most)
+    found = F.concat(*[F.regexp_extract_all(text, F.lit("(?imd)" + p), F.lit(1)) for p in DATE_SHAPES])
+    return F.array_distinct(F.filter(F.transform(found, normal_date), lambda d: d.isNotNull()))
+
+
+def date_candidates(text: Column, most: int = 10) -> Column:
+    return F.slice(all_dates(text), 1, most)
 
 
 def report_date(text: Column) -> Column:
-    """A labelled date, the more telling label first; else the first date of the text."""
-    shape = r"([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|[A-Za-z]+ [0-9]{1,2}, *[0-9]{4}|[0-9]{1,2} [A-Za-z]+ [0-9]{4})"
-    labelled = [normal_date(F.nullif(F.regexp_extract(text, rf"(?im)^[\s*#-]*{label}[\s*]*[:|][\s*]*{shape}", 1), F.lit(""))) for label in _LABELS]
-    return F.coalesce(*labelled, F.try_element_at(date_candidates(text), F.lit(1)))
+    """The date behind the first label that has one in its shape; if that is no day, the first date of the text."""
+    labelled = F.coalesce(*[F.nullif(F.regexp_extract(text, "(?imd)" + p, 1), F.lit("")) for p in LABELLED_DATES])
+    return F.coalesce(normal_date(labelled), F.try_element_at(all_dates(text), F.lit(1)))
 
 
 def typed_date(c: Column) -> Column:
@@ -67,6 +97,7 @@ def moment(c: Column) -> Column:
 def infer_report_date(events: Column, path_stem: Column, parent: Column, kind: Column) -> Column:
     """First ISO event date; a date in the file's or folder's name; for reports the year's first day."""
     iso = F.try_element_at(F.filter(events, lambda d: d.rlike(r"^\d{4}-\d{2}-\d{2}$")), F.lit(1))
-    named = [F.nullif(F.regexp_extract(c, r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")) for c in (path_stem, parent)]
-    year = F.nullif(F.regexp_extract(F.concat_ws("_", path_stem, parent), r"(?<!\d)((?:19|20)\d{2})(?!\d)", 1), F.lit(""))
-    return F.coalesce(iso, *named, F.when(kind == "report", F.concat(year, F.lit("-01-01"))))
+    joined = F.concat_ws(" ", path_stem, parent)
+    named = F.nullif(F.regexp_extract(joined, r"(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
+    year = F.nullif(F.regexp_extract(joined, r"(?:^|[_\- ])(20\d{2}|19\d{2})(?:[_\- ]|$)", 1), F.lit(""))
+    return F.coalesce(iso, named, F.when(kind == "report", F.concat(year, F.lit("-01-01"))))

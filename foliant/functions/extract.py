@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dates import date_candidates, report_date
+from .dates import all_dates, report_date
 from .text import basename, clean_client, forward, let, name_key, ordered_union, parent, section_lines, slug, stem, strip, title_case, year
 
 REGEX_CHARS = 120_000
@@ -19,12 +19,12 @@ CLIENT_CHARS = 8_000
 # Cues by kind, in the order that settles ties.
 TEXT_CUES = {
     "quote": (r"\bquote\b", r"\bquotation\b", r"\bestimate\b"),
-    "purchase_order": (r"\bpurchase order\b", r"\bpo\b ?#?"),
-    "access_request": (r"\baccess request\b", r"\bpermit to work\b"),
-    "email_chain": (r"(?m)^\s*-?\s*from:", r"(?m)^\s*-?\s*to:", r"(?m)^\s*-?\s*subject:", r"(?m)^\s*-?\s*sent:", r"\bemail chain\b", r"from: *\S+@\S+", r"subject:\b"),
-    "invoice": (r"\binvoice\b", r"\bamount due\b"),
-    "expense_report": (r"\bexpense report\b", r"\bexpense summary\b", r"\btravel expense\b", r"\bcost breakdown\b"),
-    "timesheet": (r"\btimesheet\b", r"\bhours worked\b"),
+    "purchase_order": (r"\bpurchase\s+order\b", r"\bpo\s*#?\b"),
+    "access_request": (r"\baccess\s+request\b", r"\bpermit\s+to\s+work\b"),
+    "email_chain": (r"(?m)^\s*-?\s*from:", r"(?m)^\s*-?\s*to:", r"(?m)^\s*-?\s*subject:", r"(?m)^\s*-?\s*sent:", r"\bemail\s+chain\b", r"\bfrom:\s*\S+@\S+", r"\bsubject:\b"),
+    "invoice": (r"\binvoice\b", r"\bamount\s+due\b"),
+    "expense_report": (r"\bexpense\s+report\b", r"\bexpense\s+summary\b", r"\btravel\s+expense\b", r"\bcost\s+breakdown\b"),
+    "timesheet": (r"\btimesheet\b", r"\bhours\s+worked\b"),
 }
 PATH_CUES = {
     "quote": ("quote", "quotation", "estimate"),
@@ -36,7 +36,7 @@ PATH_CUES = {
     "timesheet": ("timesheet",),
 }
 REPORT_CUES = ("report", "inspection", "findings?", "recommendations?", "summary")
-CLIENT_CUES = ("client", "project", "site", "unit", "line", "asset", "quote", "purchase order", "access request", "cost", "expense", "shutdown", "outage")
+CLIENT_CUES = ("client", "project", "site", "unit", "line", "asset", "quote", r"purchase\s+order", r"access\s+request", "cost", "expense", "shutdown", "outage")
 AREAS = {
     "Piping": "pipe|piping|pipeline|weld",
     "Electrical": "electrical|switchboard|cable|transformer",
@@ -48,6 +48,20 @@ FINDINGS, RECOMMENDATIONS = ("findings", "key findings"), ("recommendations", "a
 PROJECT_PATH_TOKENS = "piping electrical mechanical civil structural condition survey integrity assessment reliability audit overhaul review".split()
 
 
+# The patterns of the fields, in their order. They don't mind case; ``^`` and ``$`` are the ends of lines.
+CLIENT_NAME = (r"^\s*client\s*name\s*[:\-]\s*(.+)$", r"^\s*client\s*[:\-]\s*(.+)$", r"^\s*for\s+client\s*[:\-]\s*(.+)$")
+AUTHORS = (r"^\s*author\s*[:\-]\s*(.+)$", r"^\s*prepared\s+by\s*[:\-]\s*(.+)$")
+CONTACTS = (r"^\s*contact\s*[:\-]\s*(.+)$", r"^\s*client\s+contact\s*[:\-]\s*(.+)$")
+REPORT_TYPE = (r"^\s*report\s*type\s*[:\-]\s*(.+)$", r"^\s*document\s*type\s*[:\-]\s*(.+)$")
+PROJECT_NAME = (r"^\s*project\s*(?:name)?\s*[:\-]\s*(.+)$", r"^\s*subject\s*[:\-].*?\b(project|outage|upgrade|review)\b[:\-\s]*(?:.+)$")
+PROJECT_CODE = (r"^\s*project\s*code\s*[:\-]\s*([A-Z0-9\-/]+)$", r"\b(?:project\s*#|job\s*#|job\s*code|reference)\s*[:#\- ]\s*([A-Z]{2,}[A-Z0-9\-/]+)\b")
+QUOTE_NUMBER = r"\b(?:quote|quotation|estimate)(?:\s+(?:number|no\.?))?\s*(?:[:#\-]|\b)\s*([A-Z0-9\-/]+)\b"
+ORDER_NUMBER = r"\b(?:purchase\s*order|po)(?:\s+(?:number|no\.?))?\s*(?:[:#\-]|\b)\s*([A-Z0-9\-/]+)\b"
+ACCESS_REFERENCE = r"\b(?:access\s*request|permit\s*reference|permit\s*to\s*work)(?:\s+(?:number|no\.?))?\s*(?:[:#\-]|\b)\s*([A-Z0-9\-/]+)\b"
+OTHER_REFERENCE = r"\b(?:project\s*code|job\s*code|job\s*#|reference)\s*[:#\- ]\s*([A-Z]{2,}[A-Z0-9\-/]+)\b"
+_FLAGS = "(?imd)"
+
+
 def _hits(text: Column, patterns) -> Column:
     return reduce(lambda a, b: a + b, [text.rlike(p).cast("double") for p in patterns])
 
@@ -58,64 +72,54 @@ def classify(text: Column, path: Column) -> Column:
     Each kind scores a point for every cue found, the path adds its share, the earliest kind wins
     ties, and another kind wins a tie with report.
     """
-    return let(F.lower(F.substring(text, 1, REGEX_CHARS)), lambda low: let(_scores(low, F.lower(path)), _decision))
+    return let(let(F.lower(F.substring(text, 1, REGEX_CHARS)), lambda low: F.struct(*_scores(low, F.lower(path)))), decision)
 
 
-def _scores(low: Column, where: Column) -> Column:
+def _scores(low: Column, where: Column) -> list[Column]:
     scored = []
     for n, kind in enumerate(TEXT_CUES):
         named = F.when(reduce(lambda a, b: a | b, [where.contains(x) for x in PATH_CUES[kind]]), 0.75).otherwise(0.0)
         if kind == "email_chain":
-            score = _mail_score(low, named + F.when(where.contains("email_chain"), 2.0).otherwise(0.0))
+            # Two marks of a mail count one more, three again 0.75.
+            marked = let(_hits(low, TEXT_CUES[kind]), lambda m: m + F.when(m >= 2, 1.0).otherwise(0.0) + F.when(m >= 3, 0.75).otherwise(0.0))
+            score = marked + named + F.when(where.contains("email_chain"), 2.0).otherwise(0.0)
         elif kind == "access_request":
             score = _hits(low, TEXT_CUES[kind]) + named + F.when(low.rlike(r"\b(?:approval|workers?|visitor|permit)\b"), 0.75).otherwise(0.0)
         else:
             score = _hits(low, TEXT_CUES[kind]) + named
-        scored.append(F.struct(score.alias("score"), F.lit(-n).alias("place"), F.lit(kind).alias("kind")))
+        scored.append(F.struct(F.coalesce(score, F.lit(0.0)).alias("score"), F.lit(-n).alias("place"), F.lit(kind).alias("kind")))
     report = _hits(low, [rf"\b{c}\b" for c in REPORT_CUES])
     client = _hits(low, [rf"\b{c}\b" for c in CLIENT_CUES])
-    return F.struct(F.array_max(F.array(*scored)).alias("best"), report.alias("report"), client.alias("client"), low.rlike(r"\bclient").alias("says_client"))
-
+    return [F.array_max(F.array(*scored)).alias("best"), report.alias("report"), client.alias("client"), low.rlike(r"\bclient\s*(?:name)?\b").alias("says_client")]
 
-def _mail_score(low: Column, named: Column) -> Column:
-    """Two marks of a mail count one more, three again 0.75."""
-    return let(_hits(low, TEXT_CUES["email_chain"]), lambda m: m + F.when(m >= 2, 1.0).otherwise(0.0) + F.when(m >= 3, 0.75).otherwise(0.0)) + named
 
-
-def _decision(s: Column) -> Column:
+def decision(s: Column) -> Column:
     other, report, client = s["best"]["score"], s["report"], s["client"]
-    kind = F.when((other > 0) & (other >= report), s["best"]["kind"]).when(report > 0, "report").otherwise("unknown")
-    why = F.concat_ws(" ", F.lit("kind"), other.cast("string"), F.lit("report"), report.cast("string"), F.lit("client"), client.cast("string"))
-
-    def full(k: Column) -> Column:
-        sure = F.when(k == "unknown", 0.4).when(k == "report", F.least(F.lit(0.95), 0.45 + 0.1 * report)).otherwise(F.least(F.lit(0.97), 0.42 + 0.13 * other))
-        related = (client >= 2) | s["says_client"] | (k.isin("report", "quote", "purchase_order", "access_request", "email_chain") & (client > 0))
-        return F.struct(k.alias("document_kind"), related.alias("is_client_related"), F.round(sure, 2).alias("confidence"), why.alias("rationale"))
-
-    return let(kind, full)
+    is_other = (other > 0) & (other >= report)
+    kind = F.when(is_other, s["best"]["kind"]).when(report > 0, "report").otherwise("unknown")
+    sure = F.when(is_other, F.least(F.lit(0.97), 0.42 + 0.13 * other)).when(report > 0, F.least(F.lit(0.95), 0.45 + 0.1 * report)).otherwise(0.4)
+    why = F.when(is_other, F.concat(F.lit("Detected non-report cues for "), s["best"]["kind"], F.lit("."))).when(report > 0, "Detected report-like structure and terminology.").otherwise("Insufficient strong cues for document kind.")
+    related = (client >= 2) | s["says_client"] | (kind.isin("report", "quote", "purchase_order", "access_request", "email_chain") & (client > 0))
+    return F.struct(kind.alias("document_kind"), related.alias("is_client_related"), sure.alias("confidence"), why.alias("rationale"))
 
 
 def _first(text: Column, *patterns: str) -> Column:
-    """Group 1 of the first pattern that matches something."""
-    return F.coalesce(*[F.nullif(strip(F.regexp_extract(text, p, 1)), F.lit("")) for p in patterns])
+    """Group 1 of the first pattern that matches."""
+    return F.nullif(strip(F.coalesce(*[F.nullif(F.regexp_extract(text, _FLAGS + p, 1), F.lit("")) for p in patterns])), F.lit(""))
 
 
 def _all(text: Column, *patterns: str) -> Column:
-    return ordered_union(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns])
-
-
-def _labelled(label: str) -> str:
-    return rf"(?im)^[\s*#-]*{label}[\s*]*[:|][ *|]*([^\n]+?)[\s*]*$"
+    return ordered_union(*[F.regexp_extract_all(text, F.lit(_FLAGS + p), F.lit(1)) for p in patterns])
 
 
 def client_name(text: Column) -> Column:
-    return clean_client(_first(text, _labelled("client name"), _labelled("client"), r"(?i)\bprepared for[: ]+([^\n,.]+)"))
+    return F.nullif(clean_client(_first(text, *CLIENT_NAME)), F.lit(""))
 
 
 def references(text: Column) -> Column:
-    """Quote, order, access and report numbers. The patterns don't mind case, so a plain word after
+    """Quote, order, access and other numbers. The patterns don't mind case, so a plain word after
     a cue counts as one ("po box" gives "box")."""
-    return _all(text, r"(?i)\bquote (?:number|ref(?:erence)?)[:# |]+([A-Z0-9-]+)", r"(?i)\b(?:purchase order(?: number)?|po)[:# |]+([A-Z0-9-]+)", r"(?i)\baccess request(?: number)?[:# |]+([A-Z0-9-]+)", r"(?i)\breference[:# |]+([A-Z0-9-]+)")
+    return _all(text, QUOTE_NUMBER, ORDER_NUMBER, ACCESS_REFERENCE, OTHER_REFERENCE)
 
 
 def areas(text: Column) -> Column:
@@ -130,22 +134,26 @@ def scoped_paths(found: Column, project: Column) -> Column:
 
 def extract(text: Column) -> Column:
     """Struct of the fields that patterns find in a text."""
-    t = F.substring(text, 1, REGEX_CHARS)
+    return let(F.substring(text, 1, REGEX_CHARS), _fields)
+
+
+def _fields(t: Column) -> Column:
+    dates = all_dates(t)
     return F.struct(
         client_name(t).alias("client_name"),
-        _all(t, _labelled("(?:author|prepared by)"), r"(?i)\bauthored by[: ]+([^\n,.]+)").alias("authors"),
-        _all(t, _labelled("client contact"), _labelled("(?:contact|requested by)")).alias("contacts"),
-        _first(t, _labelled("report type"), r"(?i)\btype of report[: ]+([^\n]+)").alias("report_type"),
+        _all(t, *AUTHORS).alias("authors"),
+        _all(t, *CONTACTS).alias("contacts"),
+        _first(t, *REPORT_TYPE).alias("report_type"),
         report_date(t).alias("report_date"),
-        date_candidates(t).alias("event_dates"),
+        F.slice(dates, 1, 10).alias("event_dates"),
         section_lines(t, FINDINGS).alias("findings"),
         section_lines(t, RECOMMENDATIONS).alias("recommendations"),
         areas(t).alias("areas"),
-        _first(t, _labelled("project(?: name)?"), r"(?i)\b(outage|shutdown|turnaround|upgrade)\b project").alias("project_name"),
-        _first(t, _labelled("project code"), r"\b(PRJ-[A-Z0-9-]+)").alias("project_code"),
-        _first(t, _labelled("quote number")).alias("quote_number"),
-        _first(t, _labelled("purchase order number")).alias("purchase_order_number"),
-        _first(t, _labelled("access request number")).alias("access_reference"),
+        _first(t, *PROJECT_NAME).alias("project_name"),
+        _first(t, *PROJECT_CODE).alias("project_code"),
+        _first(t, QUOTE_NUMBER).alias("quote_number"),
+        _first(t, ORDER_NUMBER).alias("purchase_order_number"),
+        _first(t, ACCESS_REFERENCE).alias("access_reference"),
         references(t).alias("related_references"),
     )
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, strip
+from .text import let, strip, text_lines
 
 # Labels in their order.
 REVENUE = ("invoice total", "total invoice amount", "billable amount", "contract value", "quote total", "total amount due", "revenue")
 COST_FIRST = ("total cost", "estimated cost", "actual cost")
-COST_SECOND = ("supplier cost", "labour cost", "labor cost", "material cost", "travel cost", "expenses", "expense", "cost")
+COST_SECOND = ("supplier cost", "labour cost", "labor cost", "material cost", "travel cost", "expense", "expenses", "cost")
 REVENUE_KINDS = ("quote", "invoice")
 COST_KINDS = ("purchase_order", "access_request", "timesheet", "expense_report")
 _NUMBER = r"(\d+(?:,\d{3})*(?:\.\d{1,2})?)"
@@ -28,7 +28,7 @@ def safe_float(c: Column) -> Column:
 
 def currency(text: Column) -> Column:
     """A dollar sign alone means USD, also after an A."""
-    return F.when(text.rlike(r"(?i)\$|\busd\b"), "USD").when(text.rlike(r"(?i)\baud\b"), "AUD").when(text.rlike(r"(?i)€|\beur\b"), "EUR").when(text.rlike(r"(?i)£|\bgbp\b"), "GBP")
+    return F.when(text.rlike(r"(?i)\bUSD\b|\$"), "USD").when(text.rlike(r"(?i)\bAUD\b|A\$"), "AUD").when(text.rlike(r"(?i)\bEUR\b|€"), "EUR").when(text.rlike(r"(?i)\bGBP\b|£"), "GBP").otherwise("")
 
 
 def currency_amounts(text: Column, most: int = 5) -> Column:
@@ -39,55 +39,62 @@ def currency_amounts(text: Column, most: int = 5) -> Column:
 
 def first_money(text: Column) -> Column:
     """An amount with a currency before it, else the first plain number that is long or grouped."""
-    marked = F.nullif(F.regexp_extract(text, r"(?i)(?:\$|€|£|\b(?:usd|aud|eur|gbp))\s*" + _NUMBER, 1), F.lit(""))
-    plain = F.nullif(F.regexp_extract(text, r"(?<![A-Za-z0-9-])(\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?|\d{4,}(?:\.\d{1,2})?)(?![A-Za-z0-9-])", 1), F.lit(""))
+    marked = F.nullif(F.regexp_extract(text, r"(?i)(?:USD|AUD|EUR|GBP|A\$|\$|€|£)\s*" + _NUMBER, 1), F.lit(""))
+    plain = F.nullif(F.regexp_extract(text, r"(?<![A-Za-z0-9\-])((?:\d{1,3}(?:,\d{3})+|\d{4,})(?:\.\d{1,2})?)(?![A-Za-z0-9\-])", 1), F.lit(""))
     return parse_money(F.coalesce(marked, plain))
 
 
-def _lines(text: Column) -> Column:
-    """Lines without list marks and emphasis."""
-    return F.transform(F.split(text, "\n"), lambda x: strip(F.regexp_replace(F.regexp_replace(x, r"^[\s*#•-]+", ""), r"\*\*|__", "")))
+def plain_lines(text: Column) -> Column:
+    """The text with its lines stripped, without list marks and emphasis."""
+    joined = F.array_join(text_lines(text), "\n")
+    return F.replace(F.regexp_replace(F.regexp_replace(joined, r"(?Um)^[\s&&[^\n]]+|[\s&&[^\n]]+$", ""), r"(?m)^[-* ]+", ""), F.lit("**"), F.lit(""))
 
 
-def label_amounts(text: Column, labels: tuple[str, ...]) -> Column:
-    """Array of (place of the label, line, amount): ``label: n``, ``label | n``, ``label n``, or the label
-    alone on a line and the amount on one of the next two. ``Cost Centre`` begins with the label ``cost``
-    and counts as one. One pass over the lines; of labels that begin alike the longest counts."""
+def labelled_amount(plain: Column, labels: tuple[str, ...]) -> Column:
+    """The first amount in the text behind one of the labels and a colon or bar."""
+    every = "|".join(label.replace(" ", r"\s+") for label in labels)
+    found = F.regexp_extract_all(plain, F.lit(rf"(?imd)^\s*(?:{every})\s*(?::|\|)\s*([^\n]+)$"), F.lit(1))
+    return F.try_element_at(F.filter(F.transform(found, parse_money), lambda x: x.isNotNull()), F.lit(1))
+
+
+def amount_after_labels(plain: Column, labels: tuple[str, ...]) -> Column:
+    """The first amount, in the order of the lines, on a line that begins with a label, or within two lines
+    below one that is a label. Blank lines don't count."""
     every = "|".join(sorted(labels, key=len, reverse=True))
-    places = F.array(*map(F.lit, labels))
 
     def of(lines: Column) -> Column:
-        def line(x: Column, i: Column) -> Column:
-            label = F.regexp_extract(F.lower(x), rf"^({every})(?:\s*[:|]| |$)", 1)
-            rest = F.substring(x, F.length(label) + 1, F.length(x))
-            alone = rest.rlike(r"^\s*[:|]?$")
-            amount = F.when(alone, F.coalesce(parse_money(F.try_element_at(lines, i + 2)), parse_money(F.try_element_at(lines, i + 3)))).otherwise(parse_money(rest))
-            return F.when(label != "", F.struct(F.array_position(places, label).alias("place"), i.alias("line"), amount.alias("amount")))
+        def amount(x: Column, i: Column) -> Column:
+            return let(F.regexp_extract(F.lower(x), rf"^({every})(?:$|[:| ])", 1), lambda label: F.when(label != "", behind(x, i, F.length(label))))
 
-        return F.filter(F.transform(lines, line), lambda r: r["amount"].isNotNull())
+        def behind(x: Column, i: Column, n: Column) -> Column:
+            rest = F.substring(x, n + 1, F.length(x))
+            part = F.when(F.contains(x, F.lit(":")), F.regexp_extract(x, "^[^:]*:(.*)$", 1)).otherwise(F.regexp_extract(x, r"^[^|]*\|(.*)$", 1))
+            below = F.coalesce(parse_money(F.try_element_at(lines, i + 2)), parse_money(F.try_element_at(lines, i + 3)))
+            return F.when(rest == "", below).when(rest.rlike("^[:|]"), parse_money(part)).otherwise(parse_money(rest))
 
-    return let(_lines(text), of)
+        return F.try_element_at(F.filter(F.transform(lines, amount), lambda x: x.isNotNull()), F.lit(1))
 
-
-def after_label(text: Column, labels: tuple[str, ...]) -> Column:
-    """First amount behind one of the labels, the earlier label first."""
-    return F.array_min(label_amounts(text, labels))["amount"]
+    # Most texts have no such line at all; only the others are split.
+    return F.when(plain.rlike(rf"(?im)^[^\S\n]*(?:{every})(?:$|[:| ])"), let(F.filter(F.transform(F.split(plain, "\n"), strip), lambda x: x != ""), of))
 
 
 def financials(text: Column, kind: Column) -> Column:
-    """Struct of type, currency, revenue, cost, profit and margin of a document."""
-    n = len(REVENUE)
-
-    def of(found: Column) -> Column:
-        first = lambda keep: F.array_min(F.filter(found, keep))["amount"]
-        revenue = F.coalesce(first(lambda r: r["place"] <= n), F.when(kind.isin(*REVENUE_KINDS), first_money(text)), F.lit(0.0))
-        cost = F.coalesce(first(lambda r: r["place"] > n), F.when(kind.isin(*COST_KINDS), first_money(text)), F.lit(0.0))
-        return let(F.struct(revenue.alias("r"), cost.alias("c")), summed)
-
-    def summed(v: Column) -> Column:
-        r, c = v["r"], v["c"]
-        sort = F.when((r != 0) & (c != 0), "mixed").when(r != 0, "revenue").when(c != 0, "cost")
-        profit = F.round(r - c, 2)
-        return F.struct(sort.alias("financial_type"), currency(text).alias("currency"), r.alias("revenue_amount"), c.alias("cost_amount"), profit.alias("gross_profit"), F.when(r > 0, F.round(profit / r * 100, 2)).otherwise(0.0).alias("gross_margin_pct"))
-
-    return let(label_amounts(text, (*REVENUE, *COST_FIRST, *COST_SECOND)), of)
+    """Struct of type, currency, revenue, cost, profit and margin of a document.
+
+    A side without an amount is null, and 0 is an amount; profit and margin need both sides.
+    """
+
+    def sides(plain: Column) -> Column:
+        revenue = F.coalesce(labelled_amount(plain, REVENUE), amount_after_labels(plain, REVENUE), F.when(kind.isin(*REVENUE_KINDS), first_money(plain)))
+        cost = F.coalesce(
+            labelled_amount(plain, COST_FIRST), amount_after_labels(plain, COST_FIRST), labelled_amount(plain, COST_SECOND), amount_after_labels(plain, COST_SECOND), F.when(kind.isin(*COST_KINDS), first_money(plain))
+        )
+        return F.struct(F.round(revenue, 2).alias("r"), F.round(cost, 2).alias("c"), currency(text).alias("code"))
+
+    return let(let(plain_lines(text), sides), lambda v: money_struct(v["r"], v["c"], v["code"]))
+
+
+def money_struct(r: Column, c: Column, code: Column) -> Column:
+    sort = F.when(r.isNotNull() & c.isNotNull(), "mixed").when(r.isNotNull(), "revenue").when(c.isNotNull(), "cost").otherwise("")
+    profit = F.round(r - c, 2)
+    return F.struct(sort.alias("financial_type"), code.alias("currency"), r.alias("revenue_amount"), c.alias("cost_amount"), profit.alias("gross_profit"), F.when(r > 0, F.round(profit / r * 100, 2)).alias("gross_margin_pct"))

@@ -81,7 +81,7 @@ def plain_name(c: Column) -> Column:
 
 def clean_client(c: Column) -> Column:
     """Without list marks, emphasis marks and trailing punctuation."""
-    s = F.regexp_replace(c, r"(?U)^[-*#\s`_]+|[-*#\s`_]+$", "")
+    s = F.regexp_replace(c, r"(?U)^[-*#\s`_]+|[-*`_\s]+$", "")
     s = F.regexp_replace(s, r"\*\*|__", "")
     return F.regexp_replace(collapse(s), r"^[ :;,.\t]+|[ :;,.\t]+$", "")
 
@@ -128,16 +128,26 @@ def year(c: Column) -> Column:
 # Lines and sentences
 
 
+def text_lines(text: Column) -> Column:
+    """Lines, whatever ends them."""
+    return F.split(text, r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]")
+
+
 def section_lines(text: Column, headers: tuple[str, ...], limit: int = 8) -> Column:
-    """Items under the first header line: up to a title-like line, bullets taken off."""
-    lines = F.transform(F.split(text, "\n"), strip)
-    is_header = lambda x: F.lower(F.regexp_replace(x, r"[\s:#*]+$|^[#*\s]+", "")).isin(*headers)
-    at = F.array_position(F.transform(lines, is_header), True)
-    after = F.when(at > 0, F.slice(lines, at.cast("int") + 1, limit * 2)).otherwise(F.array().cast("array<string>"))
-    ends = F.array_position(F.transform(after, lambda x: x.rlike(r"^[A-Z][A-Za-z\s]{2,}$")), True)
-    block = F.when(ends > 0, F.slice(after, F.lit(1), ends.cast("int") - 1)).otherwise(after)
-    items = F.transform(block, lambda x: strip(F.regexp_replace(x, r"^[-*•\d.)\s]+", "")))
-    return F.slice(F.filter(items, lambda x: x != ""), 1, limit)
+    """Items under the header lines, bullets taken off: of each section the lines up to a title-like one, among
+    twice ``limit`` lines; ``limit`` in all."""
+    ends = lambda x: x.rlike(r"^[A-Z][A-Za-z\s]{2,}$") & ~F.lower(x).isin(*headers)
+    upto = lambda w: let(F.array_position(F.transform(w, ends), True).cast("int"), lambda n: F.when(n > 0, F.slice(w, F.lit(1), n - 1)).otherwise(w))
+
+    def of(lines: Column) -> Column:
+        at = F.filter(F.transform(lines, lambda x, i: F.when(F.regexp_replace(F.lower(x), "^[ :]+|[ :]+$", "").isin(*headers), i)), lambda i: i.isNotNull())
+        blocks = F.transform(at, lambda i: upto(F.slice(lines, i + 2, limit * 2)))
+        items = F.transform(F.filter(F.flatten(blocks), lambda x: x != ""), lambda x: F.regexp_replace(x, "^[-•* ]+", ""))
+        return F.slice(items, 1, limit)
+
+    # Most texts have no such line at all; only the others are split.
+    some = text.rlike("(?imdU)^[\\s:]*(?:" + "|".join(headers) + r")[\s:]*$")
+    return F.when(some, let(F.transform(text_lines(text), strip), of)).otherwise(F.array().cast("array<string>"))
 
 
 def keyword_sentences(text: Column, keywords: tuple[str, ...], most: int = 2) -> Column:

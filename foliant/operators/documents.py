@@ -178,11 +178,19 @@ def node_history(rows: DataFrame, fact_columns: list[str]) -> DataFrame:
 
 
 def project_accumulation(rows: DataFrame) -> DataFrame:
-    """Running unions of a project's kinds and references, and its last known date."""
-    w = Window.partitionBy("client_name", "project_key").orderBy("ingested_at", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    kinds = F.array_distinct(F.collect_list("document_kind").over(w))
-    refs = F.array_distinct(F.flatten(F.collect_list("related_references").over(w)))
-    return rows.withColumn("kinds_so_far", kinds).withColumn("refs_so_far", refs).withColumn("date_so_far", F.last("report_date", ignorenulls=True).over(w))
+    """Running unions of a project's kinds and references, and its last known date.
+
+    Only the row that names a value first adds it, so the running lists hold each value once.
+    """
+    order = ["ingested_at", "doc_id"]
+    w = Window.partitionBy("client_name", "project_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    first = F.row_number().over(Window.partitionBy("client_name", "project_key", "document_kind").orderBy(*order)) == 1
+    refs = rows.select("client_name", "project_key", *order, F.posexplode(F.array_distinct("related_references")).alias("__at", "__ref"))
+    seen = Window.partitionBy("client_name", "project_key", "__ref").orderBy(*order)
+    new = refs.withColumn("__n", F.row_number().over(seen)).where("__n = 1").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("__at", "__ref"))).alias("__new"))
+    out = rows.withColumn("__kind", F.when(first, F.col("document_kind"))).join(new, "doc_id", "left")
+    out = out.withColumn("kinds_so_far", F.collect_list("__kind").over(w)).withColumn("refs_so_far", F.flatten(F.collect_list(F.transform("__new", lambda x: x["__ref"])).over(w)))
+    return out.withColumn("date_so_far", F.last("report_date", ignorenulls=True).over(w)).drop("__kind", "__new")
 
 
 def project_rollup(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ files, and the SQL computes the expected fields from the structured columns.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,40 +50,58 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 RENDERED_SQL = """docs as (
  select o_orderkey as doc_id, c_name as client_name, ['invoice','quote','purchase_order','report'][(o_orderkey % 4 + 1)::int] as document_kind,
-  'docs/' || ['invoice','quote','purchase_order','report'][(o_orderkey % 4 + 1)::int] || '_' || c_custkey || '.txt' as source_path,
+  'docs/' || ['invoice','quote','purchase_order','report'][(o_orderkey % 4 + 1)::int] || '_' || c_custkey || '.txt' as source_path, 'M. ' || c_mktsegment as contact,
   'PRJ-' || n_nationkey as project_code, o_orderpriority as project_name, strftime(o_orderdate, '%Y-%m-%d') as report_date, o_orderdate as ingested_at,
-  cast(o_totalprice as decimal(18,2))::double as amount, o_orderkey % 4 < 2 as is_revenue
+  cast(o_totalprice as decimal(18,2))::double as amount, o_orderkey % 4 < 2 as is_revenue, o_orderkey // 4 % 4 as spelling
  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)"""
 
 
 def rendered(spark: SparkSession, d: str) -> DataFrame:
-    """One text document per order, in four kinds; a customer's orders of a kind are versions of one path."""
+    """One text document per order, in four kinds; a customer's orders of a kind are versions of one path.
+
+    Labels, dates and amounts are spelt in four ways.
+    """
     o = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
-    c = t(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    c = t(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     n = t(spark, d, "nation").select("n_nationkey")
     j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
-    kind = F.element_at(F.array(*map(F.lit, ("invoice", "quote", "purchase_order", "report"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    head = F.element_at(F.array(*map(F.lit, ("Invoice", "Quotation", "Purchase Order", "Inspection Report"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    of_kind = lambda *names: F.element_at(F.array(*map(F.lit, names)), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    way = F.pmod(F.floor(F.col("o_orderkey") / 4), F.lit(4))
+    spelt = lambda *ways: reduce(lambda w, kw: w.when(way == kw[0], kw[1]), enumerate(ways), F.when(F.lit(False), ""))
+    text_of = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    name, project, code = F.col("c_name"), F.col("o_orderpriority"), text_of("PRJ-", F.col("n_nationkey").cast("string"))
+    day = lambda shape: F.date_format("o_orderdate", shape)
     amount = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
-    line = F.when(F.col("o_orderkey") % 4 < 2, F.concat(F.lit("Invoice Total: USD "), amount)).otherwise(F.concat(F.lit("Total Cost: USD "), amount))
+    revenue = F.col("o_orderkey") % 4 < 2
+    label = lambda a, b: F.when(revenue, a).otherwise(b)
+    kind = of_kind("invoice", "quote", "purchase_order", "report")
     body = F.concat_ws(
         "\n",
-        head,
-        F.concat(F.lit("Client Name: "), F.col("c_name")),
-        F.concat(F.lit("Project: "), F.col("o_orderpriority")),
-        F.concat(F.lit("Project Code: PRJ-"), F.col("n_nationkey").cast("string")),
-        F.concat(F.lit("Date: "), F.date_format("o_orderdate", "yyyy-MM-dd")),
-        line,
-    )
+        of_kind("Sales Invoice", "Quotation", "Purchase Order", "Inspection Report"),
+        spelt(text_of("Client Name: ", name), text_of("client - ", name), text_of("For Client: ", name), text_of("  CLIENT:\n  **", name, "**")),
+        text_of(spelt("Contact: ", "Client Contact - ", "contact : ", "CONTACT:\n"), "M. ", F.col("c_mktsegment")),
+        text_of(spelt("Project: ", "Project Name - ", "project name : ", "PROJECT:"), project),
+        text_of(spelt("Project Code: ", "Job Code: ", "Reference: ", "project code - "), code),
+        spelt(text_of("Date: ", day("yyyy-MM-dd")), text_of("Report Date: ", day("MMMM d, yyyy")), text_of("Date - ", day("d MMM yyyy")), text_of("Date: ", day("MM/dd/yyyy"))),
+        spelt(text_of(label("Invoice Total: USD ", "Total Cost: USD "), amount), text_of(label("- **Quote Total** | ", "- **Actual Cost** | "), amount), text_of(label("Invoice total\n\nUSD ", "Estimated cost\n\nUSD "), amount), text_of(label("Contract Value ", "Supplier Cost "), amount)),
+    )
     return j.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("docs/"), kind, F.lit("_"), F.col("c_custkey").cast("string"), F.lit(".txt")).alias("source_path"), F.col("o_orderdate").alias("ingested_at"), body.alias("text"))
 
 
 def analysed(spark: SparkSession, d: str) -> DataFrame:
     """Rendered documents with all that classification and extraction find."""
-    r = rendered(spark, d).withColumn("c", extract.classify(F.col("text"), F.col("source_path"))).withColumn("e", extract.extract(F.col("text")))
+    return with_fields(rendered(spark, d)).drop("text")
+
+
+def with_fields(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, source_path, ingested_at, text) with all that classification and extraction find.
+
+    Each step is a column that the next one refers to, so every pattern runs once, in compiled code.
+    """
+    r = docs.withColumn("c", extract.classify(F.col("text"), F.col("source_path"))).withColumn("e", extract.extract(F.col("text")))
     r = r.withColumn("m", money.financials(F.col("text"), F.col("c.document_kind")))
     return r.select(
-        "doc_id", "source_path", "ingested_at", text.content_hash(F.col("text")).alias("content_hash"), text.guess_title(F.col("text"), F.col("source_path")).alias("title"), "c.document_kind", "e.client_name", "e.report_type", "e.report_date", "e.authors", "e.contacts", "e.findings", "e.recommendations",
+        "doc_id", "source_path", "ingested_at", "text", text.content_hash(F.col("text")).alias("content_hash"), text.guess_title(F.col("text"), F.col("source_path")).alias("title"), "c.document_kind", "e.client_name", "e.report_type", "e.report_date", "e.authors", "e.contacts", "e.findings", "e.recommendations",
         text.slug(F.col("e.project_code")).alias("project_key"), "e.project_name", "e.project_code", "e.related_references", "m.*",
     )
 
@@ -107,9 +126,9 @@ def extracted_fields(spark, d):
     return rendered(spark, d).withColumn("e", extract.extract(F.col("text"))).select("doc_id", "e.client_name", "e.report_date", "e.project_code", "e.project_name")
 
 
-@query("document_financials", "with {docs} select doc_id, case when is_revenue then 'revenue' else 'cost' end financial_type, 'USD' currency, case when is_revenue then amount else 0.0 end revenue_amount, case when is_revenue then 0.0 else amount end cost_amount from docs where amount <> 0")
+@query("document_financials", "with {docs} select doc_id, case when is_revenue then 'revenue' else 'cost' end financial_type, case when spelling in (0, 2) then 'USD' else '' end currency, case when is_revenue then amount end revenue_amount, case when not is_revenue then amount end cost_amount from docs")
 def document_financials(spark, d):
-    return analysed(spark, d).where("revenue_amount + cost_amount <> 0").select("doc_id", "financial_type", "currency", "revenue_amount", "cost_amount")
+    return analysed(spark, d).select("doc_id", "financial_type", "currency", "revenue_amount", "cost_amount")
 
 
 @query("kind_histogram", "with {docs} select document_kind, count(*) n from docs group by 1")
@@ -145,14 +164,19 @@ def metadata_filter(spark, d):
     return a.where(docs_ops.metadata_matches({"document_kind": ["Quote ", "report"], "project_code": "prj-7", "title": []}, dict(a.dtypes))).select("doc_id")
 
 
-@query("data_quality", "with {docs} select count(*) documents, 0::bigint null_client, 0::bigint reports_missing_date from docs")
+@query("data_quality", "with {docs} select count(*) documents, count(*) filter (doc_id % 9 = 0) null_client, count(*) filter (document_kind = 'report' and doc_id % 11 = 0) reports_missing_date from docs")
 def data_quality(spark, d):
-    return docs_ops.data_quality(analysed(spark, d))
+    """With some clients and dates blotted out of the texts."""
+    blot = F.when(F.col("doc_id") % 9 == 0, F.regexp_replace("text", "(?i)client( name)? *[:-]", "")).otherwise(F.col("text"))
+    blot = F.when(F.col("doc_id") % 11 == 0, F.regexp_replace(blot, "(?im)^(report )?date.*$", "")).otherwise(blot)
+    return docs_ops.data_quality(with_fields(rendered(spark, d).withColumn("text", blot)))
 
 
-@query("filename_mismatch", "with {docs} select doc_id from docs where document_kind = 'invoice' and false")
+@query("filename_mismatch", "with {docs} select doc_id from docs where document_kind = 'invoice' and doc_id % 3 = 0 and spelling <> 1")
 def filename_mismatch(spark, d):
-    a = analysed(spark, d)
+    """Some invoices come in files that are named for quotes; one that speaks of a quote total then is one."""
+    named = F.when(F.col("doc_id") % 3 == 0, F.replace("source_path", F.lit("invoice_"), F.lit("quote_"))).otherwise(F.col("source_path"))
+    a = with_fields(rendered(spark, d).withColumn("source_path", named))
     return a.where(extract.filename_mismatch(F.col("source_path"), F.col("document_kind"))).select("doc_id")
 
 
@@ -179,17 +203,22 @@ def project_rollup(spark, d):
 
 
 @query("enriched_timeline", """with {docs}, l as (select * from (select *, row_number() over (partition by source_path order by ingested_at desc, doc_id desc) n from docs) where n = 1)
- select doc_id, l.document_kind, case when doc_id % 3 = 0 then l.report_date else docs.report_date end display_date from docs join l using (source_path) where true""".replace("select doc_id,", "select docs.doc_id,").replace("doc_id % 3", "docs.doc_id % 3"))
+ select docs.doc_id, l.document_kind, docs.contact client_contacts, docs.doc_id % 3 = 0 and l.doc_id % 5 = 0 missing_date,
+  case when docs.doc_id % 3 <> 0 then docs.report_date when l.doc_id % 5 <> 0 then l.report_date else '9999' end display_date from docs join l using (source_path)""")
 def enriched_timeline(spark, d):
     a = analysed(spark, d)
     ev = a.select("doc_id", "client_name", F.col("source_path").alias("source_document"), F.when(F.col("doc_id") % 3 != 0, F.col("report_date")).alias("event_date"), F.lit("9999").alias("created_at"))
-    return docs_ops.enriched_timeline(ev, a).select("doc_id", "document_kind", "display_date")
+    known = a.withColumn("report_date", F.when(F.col("doc_id") % 5 != 0, F.col("report_date")))
+    return docs_ops.enriched_timeline(ev, known).select("doc_id", "document_kind", F.array_join("client_contacts", ",").alias("client_contacts"), "missing_date", "display_date")
 
 
-@query("timeline_limit_then_filter", "with e as (select event_id, strftime(ts, '%Y-%m-%d') event_date from events order by strftime(ts, '%Y-%m-%d') desc, event_id desc limit 500) select event_id, event_date from e where event_date <= (select max(strftime(ts, '%Y-%m-%d')) from events)")
+@query("timeline_limit_then_filter", "with e as (select event_id, strftime(ts, '%Y-%m-%d') event_date from events order by strftime(ts, '%Y-%m-%d') desc, event_id desc limit 500) select event_id, event_date from e where event_id % 5 <> 0 and event_date <= (select strftime(max(ts) - interval 1 day, '%Y-%m-%d') from events)")
 def timeline_limit(spark, d):
-    e = t(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("event_date"), F.lit(None).cast("string").alias("created_at"))
-    return docs_ops.timeline(e, limit=500, date_to="2999-01-01").select("event_id", "event_date")
+    """The newest 500 of all events; undated ones (each fifth, dated by its record) and those of the last day fail the bound."""
+    day = F.date_format("ts", "yyyy-MM-dd")
+    e = t(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, day).alias("event_date"), day.alias("created_at"))
+    last = e.agg(F.date_format(F.date_sub(F.max(F.to_date("created_at")), 1), "yyyy-MM-dd")).first()[0]
+    return docs_ops.timeline(e, limit=500, date_to=last).select("event_id", "event_date")
 
 
 # Clients --------------------------------------------------------------------------------------

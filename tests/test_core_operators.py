@@ -26,8 +26,9 @@ def test_durations(spark):
     log = spark.createDataFrame(rows, "line long, path string, event string, s long").withColumn("ts", F.timestamp_seconds("s"))
     got = {r.line: r.seconds for r in events.durations(log).collect()}
     assert got == {2: 2.0, 3: 0.0}
-    v = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0],)], "v array<double>").select(events.nearest_rank(F.col("v"), 0.5).alias("p")).first()
-    assert v.p == 3.0  # round(1.5) goes to the even 2
+    v = spark.createDataFrame([(g, float(x)) for g, xs in (("a", [4, 2, 3, 1]), ("b", [7]), ("c", [5, 5, 5, 0.25, 0.21])) for x in xs], "g string, v double")
+    got = {r.g: (r.p50, r.p95) for r in events.nearest_ranks(v, ["g"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    assert got == {"a": (3.0, 4.0), "b": (7.0, 7.0), "c": (5.0, 5.0)}  # round(1.5) goes to the even 2
 
 
 def test_resolution(spark):

@@ -23,14 +23,14 @@ def test_ordered_sets(spark):
 
 
 def test_dates(spark):
-    assert values(spark, ["03/04/2021", "13/04/2021", "5/21/70", "March 4, 2021", "4 Mar 2021", "2021-99-99", "x", None], dates.normal_date) == ["2021-03-04", "2021-04-13", "1970-05-21", "2021-03-04", "2021-03-04", "2021-99-99", None, None]
+    assert values(spark, ["03/04/2021", "13/04/2021", "5/21/70", "March 4, 2021", "4 Mar 2021", "2021-99-99", "x", None, "March 4,2021", "31/02/2021", "29 Feb 2021", "Sept 4, 2021", "2/29/2020"], dates.normal_date) == ["2021-03-04", "2021-04-13", "1970-05-21", "2021-03-04", "2021-03-04", "2021-99-99", None, None, None, None, None, None, "2020-02-29"]
     assert [str(d) for d in values(spark, ["03/04/2021"], dates.typed_date)] == ["2021-04-03"]
 
 
 def test_money(spark):
-    assert values(spark, ["A$ 5", "AUD 5", "€5", "5"], money.currency) == ["USD", "AUD", "EUR", None]
+    assert values(spark, ["A$ 5", "AUD 5", "€5", "5"], money.currency) == ["USD", "AUD", "EUR", ""]
     assert values(spark, ["-1,234.50 x", "none"], money.parse_money) == [1234.5, None]
-    cost = lambda c: money.after_label(c, money.COST_SECOND)
+    cost = lambda c: money.amount_after_labels(money.plain_lines(c), money.COST_SECOND)
     assert values(spark, ["Cost Centre: HM-2018-OPS", "Cost\n\n12.50", "- **Travel Cost:** 7"], cost) == [2018.0, 12.5, 7.0]
 
 
