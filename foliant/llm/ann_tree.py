@@ -12,8 +12,8 @@ them can ever be returned, so nothing is lost.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or that
 hold null or non-finite components take no part, nor do rows without an id; repeated rows of
-one id and vector count once; with fewer than ``k`` candidates all are returned; an empty
-table gives an empty result.
+one id and vector count once; of equally near rows the smaller id comes first; with fewer than
+``k`` candidates all are returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -122,16 +122,19 @@ def grow(x: np.ndarray, cfg: Settings) -> Tree:
     return Tree(np.array(centres), children)
 
 
-def best(q: np.ndarray, x: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the nearest rows and their Euclidean distances, in double precision."""
-    d = (x * x).sum(axis=1)[None, :] - 2 * q @ x.T
-    keep = min(len(x), most + 16)
+def best(q: np.ndarray, x: np.ndarray, least: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the nearest rows and their Euclidean distances, in double precision; ties by ``least``."""
+    size = (x * x).sum(axis=1)
+    d = size[None, :] - 2 * q @ x.T
+    # Every row that may be as near as the last one, whatever the rounding, is measured exactly.
+    slack = 1e-9 * (size.max(initial=0.0) + (q * q).sum(axis=1))
+    upto = np.partition(d, most - 1, axis=1)[:, most - 1] + slack if most < len(x) else np.full(len(q), np.inf)
     out = []
     for i in range(len(q)):
-        rows = np.argpartition(d[i], keep - 1)[:keep] if keep < len(x) else np.arange(len(x))
+        rows = np.flatnonzero(d[i] <= upto[i])
         gap = x[rows] - q[i]
         exact = np.sqrt((gap * gap).sum(axis=1))
-        order = np.argsort(exact, kind="stable")[:most]
+        order = np.lexsort((least[rows], exact))[:most]
         out.append((rows[order], exact[order]))
     return out
 
@@ -169,7 +172,7 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector: str = "emb
                 leaf = tree.assign(matrix(b.column("v").to_pylist()))
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), b.column("v"), b.column("ids")], names=["leaf", "v", "ids"])
 
-    placed = unique.mapInArrow(place, "leaf long, v array<double>, ids array<long>")
+    placed = checkpointed(unique.mapInArrow(place, "leaf long, v array<double>, ids array<long>"))
     asked = good.where(is_query(F.col("id")))
     queries = checkpointed(asked.groupBy("v").agg(F.min("id").alias("least")).withColumn("q", F.monotonically_increasing_id()))
     width = calibrate(tree, placed, queries, cfg)
@@ -182,6 +185,7 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector: str = "emb
                 yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array([q] * len(leaves), pa.int64()), pa.array([v] * len(leaves), pa.list_(pa.float64()))], names=["leaf", "q", "v"])
 
     visits = queries.select("q", "v").mapInArrow(visit, "leaf long, q long, v array<double>")
+    visits = checkpointed(visits)
     # Leaves are as many as the sample allows, so their sizes are a bounded table.
     n_rows = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}
     n_asked = {r.leaf: r["count"] for r in visits.groupBy("leaf").count().collect()}
@@ -194,9 +198,10 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector: str = "emb
         if not len(a) or not len(b):
             return pd.DataFrame({"q": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64"), "ids": pd.Series([], dtype=object)})
         x, ids, asks = matrix(a["v"]), a["ids"].tolist(), b["q"].tolist()
+        least = np.array([i[0] for i in ids], np.int64)
         got = []
         for lo in range(0, len(asks), 256):
-            for q, (at, d) in zip(asks[lo : lo + 256], best(matrix(b["v"].iloc[lo : lo + 256]), x, k + 1), strict=True):
+            for q, (at, d) in zip(asks[lo : lo + 256], best(matrix(b["v"].iloc[lo : lo + 256]), x, least, k + 1), strict=True):
                 got += [(q, float(s), ids[i]) for i, s in zip(at, d, strict=True)]
         return pd.DataFrame(got, columns=["q", "score", "ids"])
 
@@ -222,10 +227,10 @@ def calibrate(tree: Tree, placed: DataFrame, queries: DataFrame, cfg: Settings)
         for b in batches:
             if b.num_rows:
                 leaf = np.array(b.column("leaf").to_pylist())
-                got = best(asks, matrix(b.column("v").to_pylist()), most)
+                got = best(asks, matrix(b.column("v").to_pylist()), np.array([i[0] for i in b.column("ids").to_pylist()], np.int64), most)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(asks)), [len(a) for a, _ in got])), pa.array(np.concatenate([d for _, d in got])), pa.array(leaf[np.concatenate([a for a, _ in got])])], names=["q", "d", "leaf"])
 
-    true = placed.select("leaf", "v").mapInArrow(brute, "q long, d double, leaf long")
+    true = placed.select("leaf", "v", "ids").mapInArrow(brute, "q long, d double, leaf long")
     true = true.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("d", "leaf"))).where(F.col("n") <= most).collect()
     orders = [{leaf: n for n, leaf in enumerate(tree.walk(q, tree.n_leaves))} for q in asks]
     # The nearest is the query itself; it would flatter the recall.

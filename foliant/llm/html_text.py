@@ -7,9 +7,12 @@ cells padded to the width of their columns. Invisible are ``head`` parts, script
 templates, form values, ``hidden`` elements and elements whose style says ``display:none`` or
 ``visibility:hidden``.
 
+Tables are laid out from the innermost outwards, at any depth; cells may span columns and rows.
+
 Defined results: a null, empty or tagless page gives its own text (empty for null); an
 unclosed tag or comment lasts to the end; nesting is followed to any depth without recursion;
-repeated rows are rendered one by one; input columns named like the results are replaced.
+pages of any length are rendered whole; an empty table gives an empty result; repeated rows are rendered
+one by one; of repeated attributes the first holds; input columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -56,16 +59,19 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_START = re.compile(r"\bstart\s*=\s*[\"']?(\d{1,9})", re.I)
-_SPAN = re.compile(r"\bcolspan\s*=\s*[\"']?(\d{1,3})", re.I)
+_INTEGER = re.compile(r"\s*([+-]?\d{1,9})")
+# The largest spans that browsers take.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "lines")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.attrs, self.children = tag, attrs, []
+        #: Of a table, its lines.
+        self.lines: list[str] = []
 
 
 def parse(page: str) -> Node:
@@ -205,6 +211,11 @@ def attributes(node: Node) -> dict[str, str]:
     return found
 
 
+def number(node: Node, name: str, default: int) -> int:
+    m = _INTEGER.match(attributes(node).get(name, "")) if name in node.attrs.lower() else None
+    return int(m.group(1)) if m else default
+
+
 def chosen(select: Node) -> list[Node]:
     """The options that are selected; without one the first, unless several may be."""
     options, todo = [], [select]
@@ -221,6 +232,15 @@ def chosen(select: Node) -> list[Node]:
 
 def render(root: Node) -> str:
     flow = Flow()
+    # Inner tables come after the ones that hold them, so the last is laid out first: none waits for another.
+    tables, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if x.tag == "table":
+            tables.append(x)
+        todo += [c for c in x.children if isinstance(c, Node)]
+    for table in reversed(tables):
+        table.lines = table_lines(table)
     _fill(flow, root)
     flow.line()
     return "\n".join(flow.lines).strip("\n")
@@ -268,7 +288,7 @@ def _fill(flow: Flow, root: Node) -> None:
             continue
         elif tag == "table":
             flow.block(True)
-            for line in table_lines(x):
+            for line in x.lines:
                 flow.now = [line]
                 flow.line()
             flow.block(True)
@@ -276,8 +296,7 @@ def _fill(flow: Flow, root: Node) -> None:
             kind = "block"
             flow.block(tag in SPACED and not (tag in ("ul", "ol") and lists))
             if tag in ("ul", "ol", "menu"):
-                start = _START.search(x.attrs)
-                lists.append([tag, int(start.group(1)) if start else 1])
+                lists.append([tag, number(x, "start", 1)])
                 kind = "list"
             elif tag == "li":
                 if lists and lists[-1][0] == "ol":
@@ -328,73 +347,63 @@ def _cell(text: str) -> Node:
     return cell
 
 
-#: Deeper tables are rendered as plain blocks, so that nesting can't exhaust the stack.
-_DEEP = 12
+def placed(rows: list[list[Node]]) -> list[list[tuple[int, list[str], int]]]:
+    """(column, lines, columns spanned) of the cells of each row; cells that span rows keep their columns in those below."""
+    out, busy = [], {}
+    for k, row in enumerate(rows):
+        cells, at = [], 0
+        for cell in row:
+            while busy.get(at, 0) > k:
+                at += 1
+            across = max(1, min(number(cell, "colspan", 1), MOST_COLUMNS))
+            down = number(cell, "rowspan", 1)
+            cells.append((at, cell_lines(cell) or [""], across))
+            if down != 1:
+                # A span of 0 lasts to the end of the table.
+                until = k + (min(down, MOST_ROWS) if down > 0 else MOST_ROWS)
+                busy |= {c: until for c in range(at, at + across)}
+            at += across
+        out.append(cells)
+    return out
 
 
-def table_lines(table: Node, depth: int = 0) -> list[str]:
+def table_lines(table: Node) -> list[str]:
     captions, rows = _rows(table)
-    lines = [line for c in captions for line in cell_lines(c, depth)]
-    grid = [[(cell_lines(c, depth) or [""], int(s.group(1)) if (s := _SPAN.search(c.attrs)) else 1) for c in row] for row in rows]
-    widths: list[int] = []
+    lines = [line for c in captions for line in cell_lines(c)]
+    grid = placed(rows)
+    widths: dict[int, int] = {}
     for row in grid:
-        at = 0
-        for cell, span in row:
-            widths += [0] * (at + 1 - len(widths))
-            if span <= 1:
-                widths[at] = max(widths[at], *(width(x) for x in cell))
-            at += max(span, 1)
+        for at, cell, across in row:
+            if across == 1:
+                widths[at] = max(widths.get(at, 0), *(width(x) for x in cell))
+    # Columns that no cell stands in alone take no room.
+    begin, due = {}, 0
+    for at in range(max((at for row in grid for at, _, _ in row), default=-1) + 1):
+        begin[at] = due
+        due += widths[at] + 2 if at in widths else 0
     for row in grid:
-        for k in range(max((len(cell) for cell, _ in row), default=0)):
-            out, at, due = "", 0, 0
-            for cell, span in row:
+        for k in range(max((len(cell) for _, cell, _ in row), default=0)):
+            out, at_width = "", 0
+            for at, cell, _ in row:
                 part = cell[k] if k < len(cell) else ""
-                out += " " * (due - width(out)) + part if part else ""
-                due += sum(widths[at : at + max(span, 1)]) + 2 * max(span, 1)
-                at += max(span, 1)
+                if part:
+                    gap = max(begin[at] - at_width, 2 if out else 0)
+                    out += " " * gap + part
+                    at_width += gap + width(part)
             if out.strip():
                 lines.append(out.rstrip())
     return lines
 
 
-def cell_lines(cell: Node, depth: int) -> list[str]:
+def cell_lines(cell: Node) -> list[str]:
     flow = Flow()
     inner = Node("#root")
-    inner.children = cell.children if depth < _DEEP else _flat(cell)
-    _fill_cell(flow, inner, depth + 1)
+    inner.children = cell.children
+    _fill(flow, inner)
     flow.line()
     return [x for x in flow.lines if x]
 
 
-def _flat(node: Node) -> list:
-    """All text below a node, tables undone."""
-    out, todo = [], [node]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif visible(x):
-            todo += [*reversed(x.children), " "] if x.tag in BLOCK or x.tag in ("td", "th", "tr") else [*reversed(x.children)]
-    return out
-
-
-def _fill_cell(flow: Flow, root: Node, depth: int) -> None:
-    has_table = any(isinstance(c, Node) and c.tag == "table" for c in root.children)
-    if not has_table:
-        _fill(flow, root)
-        return
-    for c in root.children:
-        if isinstance(c, Node) and c.tag == "table" and visible(c):
-            flow.block(False)
-            for line in table_lines(c, depth):
-                flow.now = [line]
-                flow.line()
-        else:
-            part = Node("#root")
-            part.children = [c]
-            _fill(flow, part)
-
-
 def extract(page: str | None) -> tuple[str, str | None]:
     """Visible text and title."""
     if not page:

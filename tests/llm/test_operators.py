@@ -228,6 +228,17 @@ def test_html():
     assert html_text.extract("a<!-- open")[0] == "a"
 
 
+def test_html_tables(spark):
+    show = lambda page: html_text.extract(page)[0]
+    assert show("<table><tr><td rowspan=2>A</td><td>b</tr><tr><td>c</tr></table>") == "A  b\n   c"
+    assert show("<table><tr><td colspan=1000>wide</td><td>x</tr><tr><td>a<td>b</table>") == "wide  x\na  b"
+    assert show("<table><tr><td rowspan=0>A<td data-x='colspan=5'>b<td>c</tr><tr><td>d<td>e</tr></table>") == "A  b  c\n   d  e"
+    deep = show("<table><tr><td>" * 14 + "deep<td>two</table><p>x" )
+    assert deep.split("\n")[0] == "deep  two" and "x" in deep
+    assert show("<table><tr><td><div>" * 400 + "deep") == "deep"
+    assert show("") == "" and html_text.extract_all(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a"), (2, None, None), (2, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted(r.text for r in html_text.extracted(pages).collect()) == ["", "", "a"]
@@ -253,6 +264,16 @@ def test_ann(spark):
     assert ann_tree.search_all(df.limit(0)).count() == 0
 
 
+def test_ann_ties_go_to_smaller_ids(spark):
+    """Different vectors at one distance, in a single leaf and in many, with a clashing column."""
+    one_hot = [(i, [1.0 if k == i else 0.0 for k in range(24)]) for i in range(24)]
+    df = spark.createDataFrame([(r[0] * 100, r[1]) for r in one_hot], "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).withColumn("rank", F.lit("y"))
+    got = ann_tree.search_all(df).collect()
+    for q in range(24):
+        mine = [r.vec_id for r in sorted((r for r in got if r.query_id == q * 100), key=lambda r: r.rank)]
+        assert mine == [i * 100 for i in range(24) if i != q][:10]
+
+
 def test_rules(odd_docs, odd_rows, labels, empty_docs):
     rng = random.Random(7)
     for t in [r[1] for r in odd_rows] + ["".join(rng.choice("ab \n\t#") for _ in range(80)) for _ in range(200)]:
