@@ -25,7 +25,7 @@ and hardly a pair that is none gets through; only those are compared on their wh
 The least class of a group of one signature is compared with all others, which is linear in the group.
 Linked classes are joined to components, and only groups that still span several components are
 compared further, in blocks of bounded size, between components: first along a forest of the pairs that
-differ least, then, where components are left, all pairs that their sketches let through.
+differ least; then, where components and pairs are left, all pairs that their sketches let through.
 
 Equality of shingles and of whole sets is equality of 64-bit hashes, that of owners of signatures is
 resolved by 48 bits of the class.
@@ -759,22 +759,31 @@ def still_open(found: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(spread, "gid", "left_semi")
 
 
-def open_pairs(rows: DataFrame, classes: DataFrame, cfg: Settings, every: bool) -> DataFrame:
-    """The (a, b) of one group and of different components whose sketches allow a link: ``every`` one, or of each
-    task a forest of those that differ least.
+#: The rounds in which groups that span several components are compared.
+ALONE, ACROSS, EVERY = "each block alone", "all pairs of blocks", "all pairs of classes"
 
-    A group of more than ``cfg.block`` classes is dealt into blocks, and each pair of its blocks is a task of
-    its own; a task holds two blocks and gives only the pairs that pass.
+
+def open_pairs(rows: DataFrame, classes: DataFrame, cfg: Settings, how: str) -> DataFrame:
+    """(a, b, gid): pairs of one group and of different components whose sketches allow a link, and the groups (without a
+    pair) that need the next round.
+
+    A group of more than ``cfg.block`` classes is dealt into blocks. The first two rounds give of each task a
+    forest of the pairs that differ least, and name the groups in which there are more; the last gives all.
+    A task holds two blocks at most.
     """
     sizes = rows.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / cfg.block).cast("int").alias("n"))
-    dealt = rows.join(sizes, "gid").withColumn("part", F.pmod(F.hash("cls"), F.col("n"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("gid", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cls", "label")
+    dealt = rows.join(sizes, "gid").withColumn("part", F.pmod(F.hash("cls"), F.col("n")))
+    if how == ALONE:
+        dealt = dealt.select("gid", F.col("part").alias("p"), F.col("part").alias("q"), "part", "n", "cls", "label")
+    else:
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        dealt = dealt.select("gid", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "n", "cls", "label")
     full = dealt.join(classes.select("cls", "n_shingles", "sketch"), "cls").repartition("gid", "p", "q").sortWithinPartitions("gid", "p", "q")
-    names = ["gid", "p", "q", "part", "cls", "label", "n_shingles", "sketch"]
+    names = ["gid", "p", "q", "part", "n", "cls", "label", "n_shingles", "sketch"]
 
     def compare(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
-        gid, p, q, part, cls, label, size = (table.column(c).to_numpy() for c in names[:7])
+        gid, p, q, part, blocks, cls, label, size = (table.column(c).to_numpy() for c in names[:8])
         first = np.flatnonzero(np.concatenate([[True], (gid[1:] != gid[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])) if len(gid) else np.zeros(0, np.int64)
         sketches = Sketched([table.column("sketch")], size)
         out = []
@@ -788,14 +797,21 @@ def open_pairs(rows: DataFrame, classes: DataFrame, cfg: Settings, every: bool)
         differ = sketches.differing(i, j)
         ok = differ >= 0
         i, j, task, differ = i[ok], j[ok], task[ok], differ[ok]
-        if not every and len(i):
+        more = np.zeros(0, np.int64)
+        if how != EVERY and len(i):
             # A label is another one in another task.
             number = np.unique(label, return_inverse=True)[1] + len(label) * (np.searchsorted(first, np.arange(len(gid)), side="right") - 1)
             own = forest(i, j, differ, number)
+            more = gid[first[np.flatnonzero(np.bincount(task, minlength=len(first)) > np.bincount(task[own], minlength=len(first)))]]
             i, j = i[own], j[own]
-        i, j = cls[i], cls[j]
+        if how == ALONE:
+            more = np.concatenate([more, gid[first[blocks[first] > 1]]])
+        i, j, more = cls[i], cls[j], np.unique(more)
         pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        none = np.zeros(len(more), np.int64)
+        is_pair = np.arange(len(pairs) + len(more)) < len(pairs)
+        cols = [pa.array(np.concatenate([pairs[:, 0], none]), mask=~is_pair), pa.array(np.concatenate([pairs[:, 1], none]), mask=~is_pair), pa.array(np.concatenate([np.zeros(len(pairs), np.int64), more]), mask=is_pair)]
+        return pa.RecordBatch.from_arrays(cols, names=["a", "b", "gid"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Whole tasks are taken from the sorted rows; the last one of a batch may go on in the next.
@@ -813,7 +829,7 @@ def open_pairs(rows: DataFrame, classes: DataFrame, cfg: Settings, every: bool)
         if waiting:
             yield compare(pa.concat_tables(waiting))
 
-    return full.select(*names).mapInArrow(run, "a long, b long").distinct()
+    return full.select(*names).mapInArrow(run, "a long, b long, gid long").distinct()
 
 
 @lru_cache(maxsize=100)
@@ -854,14 +870,18 @@ def link_classes(docs: DataFrame, cfg: Settings, rows: DataFrame, classes: DataF
     sets = checkpointed(class_sets(docs, near.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), cfg))
     # One comparison joins a class to its group, if anything does; the others wait for the components.
     links = checkpointed(linked(near.groupBy("b").agg(F.min("a").alias("a")), sets))
-    # First a few close pairs of each group that spans several components, then all pairs that are left.
-    for every in (False, True):
-        more = checkpointed(open_pairs(still_open(found, components(links)), classes, cfg, every))
+    for how in (ALONE, ACROSS, EVERY):
+        given = checkpointed(open_pairs(still_open(found, components(links)), classes, cfg, how))
+        more = given.where("gid is null").select("a", "b")
         other = more.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls", "left_anti")
         if not other.isEmpty():
             sets = sets.unionByName(checkpointed(class_sets(docs, checkpointed(other), cfg)))
         links = links.unionByName(checkpointed(linked(more, sets)))
-    return components(links)
+        # A group whose pairs have all been compared is done.
+        left = given.where("gid is not null").select("gid")
+        if how == EVERY or left.isEmpty():
+            return components(links)
+        found = checkpointed(found.join(left, "gid", "left_semi"))
 
 
 def joined_back(left: DataFrame, right: DataFrame, key: str, weight: Column, total: int) -> DataFrame:
