@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import name_key, slug
+from ..functions.extract import looks_like_document
+from ..functions.text import forward, name_key, slug, stem
 
 #: Names that say nothing about a project (fixed values).
 GENERIC_PROJECTS = ("", "general project", "untitled project", "project", "report", "technical consulting")
@@ -83,22 +84,64 @@ def client_from_references(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def client_in_path(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc_id, client_name) where exactly one known client's key lies within the path's key.
+    """(doc_id, client_name) where exactly one known client's key lies within the key of the file's stem and its two
+    folders. Clients with one key are two matches.
 
     A containment join has no equal key, so all substrings of the lengths that known keys have are
-    looked up instead: linear in the paths, an equi-join, no nested loop.
+    looked up instead: linear in the paths, an equi-join, no nested loop. The lengths are bounded by the
+    longest path's, whatever the number of clients.
     """
-    keys = known.select("client_name", F.regexp_replace(F.lower("client_name"), r"[^\p{L}\p{N}]", "").alias("key")).where("length(key) >= 4").dropDuplicates(["key"])
-    path = F.regexp_replace(F.lower("source_path"), r"[^\p{L}\p{N}]", "")
+    letters = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+    keys = known.select("client_name", name_key(F.col("client_name")).alias("key")).where("key != ''").distinct()
+    at = F.split(forward(F.col("source_path")), "/")
+    path = letters(F.concat_ws(" ", stem(F.col("source_path")), F.try_element_at(at, F.lit(-2)), F.try_element_at(at, F.lit(-3))))
     # A key longer than every path lies in none, so the longest path bounds the lengths.
     longest = docs.agg(F.max(F.length(path))).first()[0] or 0
     lengths = [r[0] for r in keys.select(F.length("key").alias("n")).where(F.col("n") <= longest).distinct().orderBy("n").collect()]
     if not lengths:
         return docs.select("doc_id", F.lit(None).cast("string").alias("client_name")).limit(0)
-    p = docs.select("doc_id", path.alias("p")).withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths]))).where("length(p) >= n")
-    parts = p.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("p") - F.col("n") + 1))).select("doc_id", F.expr("substring(p, at, n)").alias("key"))
-    hits = parts.join(keys, "key").groupBy("doc_id").agg(F.collect_set("client_name").alias("c"))
-    return hits.where(F.size("c") == 1).select("doc_id", F.col("c")[0].alias("client_name"))
+    # Documents of one path key are looked up once.
+    p = docs.select(path.alias("p")).distinct()
+    parts = p.withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths]))).where("length(p) >= n")
+    parts = parts.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("p") - F.col("n") + 1))).select("p", F.expr("substring(p, at, n)").alias("key")).distinct()
+    hits = parts.join(keys, "key").groupBy("p").agg(F.count_distinct("client_name").alias("n"), F.min("client_name").alias("client_name")).where("n = 1")
+    return docs.select("doc_id", path.alias("p")).join(hits, "p").select("doc_id", "client_name")
+
+
+#: A line that names the client (fixed value).
+CLIENT_LINE = r"(?imd)^\s*(?:client\s*name|client|for\s+client)\s*[:\-]"
+
+
+def confident_client(name: Column, path: Column, text: Column, confidence: Column, explicit: Column, by_references: Column, by_path: Column, is_known: Column) -> Column:
+    """Whether a client name may stand: it has letters and is not but the file's name, and someone gave it, references or the
+    path tell it, it is known already, or a sure document names it in a line of its own."""
+    n = F.trim(F.coalesce(name, F.lit("")))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    sure = F.substring(text, 1, 8000).rlike(CLIENT_LINE) & (confidence >= 0.7)
+    reason = yes(F.lower(n) == F.lower(explicit)) | yes(by_references) | (yes(by_path) & (confidence >= 0.6)) | yes(is_known) | yes(sure)
+    return (F.length(n) >= 3) & n.rlike(r"\p{L}") & ~looks_like_document(n, path) & reason
+
+
+def resolved_clients(docs: DataFrame, known: DataFrame, explicit: str | None = None) -> DataFrame:
+    """``docs`` with ``client_name`` resolved: what the text says, else the name given with a client-related document, else the
+    path's or the references' client; dropped unless confident; spelt as the canonical one.
+
+    ``docs``: doc_id, source_path, text, confidence, is_client_related, client_name (extracted) and related_references;
+    ``known``: client_name and related_references of stored documents, by which the snapshot of clients is made.
+    """
+    names = known.select("client_name").where("trim(client_name) != ''").distinct()
+    given = F.when(F.col("is_client_related"), F.lit(explicit).cast("string"))
+    d = docs.withColumn("__found", F.coalesce(F.nullif(F.trim("client_name"), F.lit("")), given))
+    todo = d.where("__found is null")
+    of_path = client_in_path(todo, names).withColumnRenamed("client_name", "__path")
+    of_refs = client_from_references(todo, known).withColumnRenamed("client_name", "__refs")
+    d = d.join(of_path, "doc_id", "left").join(of_refs, "doc_id", "left")
+    by_path, by_refs = F.col("__found").isNull() & F.col("__path").isNotNull(), F.col("__found").isNull() & F.col("__path").isNull() & F.col("__refs").isNotNull()
+    d = d.withColumn("__by_path", by_path).withColumn("__by_refs", by_refs).withColumn("__name", F.coalesce("__found", "__path", "__refs")).withColumn("__folded", F.lower(F.trim("__name")))
+    spelt = canonical_names(known.select("client_name"))
+    d = d.join(spelt, d["__folded"] == spelt.folded, "left")
+    ok = confident_client(F.col("__name"), F.col("source_path"), F.col("text"), F.col("confidence"), F.lit(explicit).cast("string"), F.col("__by_refs"), F.col("__by_path"), F.col("folded").isNotNull())
+    return d.withColumn("client_name", F.when(ok, F.coalesce("canonical", "__name"))).select(*docs.columns)
 
 
 def match_projects(docs: DataFrame, projects: DataFrame) -> DataFrame:

@@ -56,9 +56,33 @@ def upsert_report(reports: Column, path: Column, date: Column) -> Column:
 
 
 def merge_facts(target: str, source: str) -> list[Column]:
-    """Merged fact columns: the target's scalars win unless empty, lists are united source first."""
+    """Merged fact columns: the target's scalars win unless empty, lists are united source first, reports are those of both by
+    path (the target's date of a path wins), and of additional fields the target's win."""
     scalar = [F.coalesce(F.nullif(F.col(f"{target}.{c}"), F.lit("")), F.col(f"{source}.{c}")).alias(c) for c in SCALARS]
-    return scalar + [ordered_union(F.col(f"{source}.{c}"), F.col(f"{target}.{c}")).alias(c) for c in LISTS]
+    lists = [ordered_union(F.col(f"{source}.{c}"), F.col(f"{target}.{c}")).alias(c) for c in LISTS]
+    return scalar + lists
+
+
+def merged_reports(target: Column, source: Column) -> Column:
+    """``source_reports`` of both, each path once: the target's unless it has no date."""
+    none = F.array().cast("array<struct<path:string,date:string>>")
+    a, b = F.coalesce(target, none), F.coalesce(source, none)
+    dated = lambda r: F.try_element_at(F.filter(b, lambda s: s["path"] == r["path"]), F.lit(1))["date"]
+    own = F.transform(a, lambda r: F.struct(r["path"].alias("path"), F.coalesce(r["date"], dated(r)).alias("date")))
+    return F.concat(own, F.filter(b, lambda s: ~F.exists(a, lambda r: r["path"] == s["path"])))
+
+
+def merged_fields(target: Column, source: Column) -> Column:
+    """``additional_fields`` of both; of one key the target's value stays."""
+    none = F.create_map().cast("map<string,string>")
+    a = F.coalesce(target, none)
+    return F.map_concat(F.map_filter(F.coalesce(source, none), lambda k, v: ~F.map_contains_key(a, k)), a)
+
+
+def merge_counts(tables: dict[str, DataFrame], source: str) -> DataFrame:
+    """(name, n) of the rows of each table that a merge of ``source`` into another client moves."""
+    parts = [t.where(F.col("client_name") == source).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, t in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def merge_clients(nodes: DataFrame, source: str, target: str) -> DataFrame:
@@ -66,7 +90,12 @@ def merge_clients(nodes: DataFrame, source: str, target: str) -> DataFrame:
     if not source.strip() or not target.strip() or source.strip() == target.strip():
         raise ValueError("two different client names are needed")
     s, t = nodes.where(F.col("client_name") == source).alias("s"), nodes.where(F.col("client_name") == target).alias("t")
-    both = s.join(t, F.col("s.node_path") == F.col("t.node_path"), "full").select(F.lit(target).alias("client_name"), F.coalesce("t.node_path", "s.node_path").alias("node_path"), *merge_facts("t", "s"))
+    facts = merge_facts("t", "s")
+    if "source_reports" in nodes.columns:
+        facts.append(merged_reports(F.col("t.source_reports"), F.col("s.source_reports")).alias("source_reports"))
+    if "additional_fields" in nodes.columns:
+        facts.append(merged_fields(F.col("t.additional_fields"), F.col("s.additional_fields")).alias("additional_fields"))
+    both = s.join(t, F.col("s.node_path") == F.col("t.node_path"), "full").select(F.lit(target).alias("client_name"), F.coalesce("t.node_path", "s.node_path").alias("node_path"), *facts)
     return nodes.where(~F.col("client_name").isin(source, target)).select(both.columns).unionByName(both)
 
 
@@ -108,18 +137,22 @@ def delete_document(tables: dict[str, DataFrame], path: str) -> dict[str, DataFr
 
 
 def delete_client(tables: dict[str, DataFrame], client: str, documents_too: bool = False) -> dict[str, DataFrame]:
-    """Profiles, history and timeline lose the client; vectors and documents lose only its name, unless
-    documents go too."""
+    """Profiles, history and timeline lose the client; vectors and documents lose only its name, project
+    and references, unless documents go too."""
     out = {}
     for name, t in tables.items():
         own = F.col("client_name").eqNullSafe(F.lit(client))
         if name in ("profiles", "history", "timeline") or (name == "documents" and documents_too):
             out[name] = t.where(~own)
         else:
+            t = t.withColumn("__own", own)
+            own = F.col("__own")
             blank = [c for c in ("client_name", "project_key", "project_name", "project_code") if c in t.columns]
             for c in reversed(blank):
                 t = t.withColumn(c, F.when(~own, F.col(c)))
-            out[name] = t
+            if "related_references" in t.columns:
+                t = t.withColumn("related_references", F.when(own, F.array().cast("array<string>")).otherwise(F.col("related_references")))
+            out[name] = t.drop("__own")
     return out
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, extract, money, text
 from ..operators import documents as docs_ops
 from ..operators import events as event_ops
-from ..operators import resolve, retrieval, store
+from ..operators import evaluation, fields, resolve, retrieval, scans, store
 
 SPELLED_SQL = "spelled as (select *, case when doc_id % 5 = 0 then upper(client_name) when doc_id % 7 = 0 then lower(client_name) else client_name end as spelt from docs)"
 
@@ -486,3 +486,154 @@ def reassigned_projects(spark, d):
     change = a.where("project_code = 'PRJ-3' and document_kind = 'quote'").select("source_path", "client_name", F.lit("moved").alias("project_key"), F.lit("m").alias("project_name"), F.lit("M").alias("project_code")).distinct()
     out, _ = store.reassign_projects(a, change)
     return out.groupBy("project_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Evaluation -----------------------------------------------------------------------------------
+
+
+@query("financial_evaluation", """with {docs}, latest as (select * from (select *, row_number() over (partition by source_path order by ingested_at desc, doc_id desc) n from docs) where n = 1),
+ a as (select client_name, coalesce(sum(case when is_revenue then amount::decimal(18,2) end), 0)::double r, coalesce(sum(case when not is_revenue then amount::decimal(18,2) end), 0)::double c from latest group by 1),
+ w as (select c_name client_name, case when c_custkey % 2 = 0 then coalesce(r, 0) + 0.5 else 150000.0 end er, case when c_custkey % 2 = 0 then coalesce(c, 0) - 1.0 else 100000.0 end ec, coalesce(r, 0) r, coalesce(c, 0) c from customer left join a on a.client_name = c_name where c_custkey % 3 = 0),
+ d as (select client_name, round(r - er, 2) delta_revenue, round(c - ec, 2) delta_cost, round((r::decimal(18,2) - c::decimal(18,2))::double - (er - ec), 2) delta_profit from w)
+ select *, abs(delta_revenue) <= 1.0 and abs(delta_cost) <= 1.0 and abs(delta_profit) <= 1.0 ok from d""")
+def financial_evaluation(spark, d):
+    """Every third client against totals that are its own but for a little, or fixed ones."""
+    m = docs_ops.client_metrics(analysed(spark, d))
+    c = t(spark, d, "customer").where("c_custkey % 3 = 0")
+    own = c.join(m, F.lower("c_name") == F.col("client_key"), "left")
+    even = F.col("c_custkey") % 2 == 0
+    total = lambda n: F.coalesce(n, F.lit(0.0))
+    expected = own.select(F.col("c_name").alias("client_name"), F.when(even, total("revenue_total") + 0.5).otherwise(150000.0).alias("revenue"), F.when(even, total("cost_total") - 1.0).otherwise(100000.0).alias("cost"), F.lit(None).cast("double").alias("profit"))
+    return evaluation.financial_evaluation(m, expected).select("client_name", "delta_revenue", "delta_cost", "delta_profit", "ok")
+
+
+_CASES_SQL = """c as (select o_orderpriority model, o_orderkey % 7 <> 0 ok, case when o_orderkey % 5 = 0 then 'absent' else 'filled' end status, case when o_orderkey % 3 = 0 then 'absent' else 'filled' end expected_status,
+ case when o_orderkey % 2 = 0 then 'ai' else 'rule' end method, o_totalprice::int % 90 latency, list_distinct(['pay', 'order', (o_orderkey % 10)::varchar]) a, list_distinct(['pay', (o_orderkey % 4)::varchar]) e from orders),
+ f as (select *, case when len(list_intersect(a, e)) = 0 then 0.0::double else 2.0::double * len(list_intersect(a, e)) / (len(a) + len(e)) end f1 from c),
+ s as (select *, case when not ok then 0.0::double else least(1.0::double, case when status = expected_status then 0.6::double + case when expected_status = 'absent' then 0.3::double else 0.3::double * f1 end else 0.0::double end + case when method = 'ai' then 0.1::double else 0.0::double end) end score from f)"""
+
+
+def cases(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    text_of = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    return t(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("model"), (k % 7 != 0).alias("ok"), F.when(k % 5 == 0, "absent").otherwise("filled").alias("status"), F.when(k % 3 == 0, "absent").otherwise("filled").alias("expected_status"),
+        F.when(k % 2 == 0, " AI").otherwise("rule").alias("method"), F.pmod(F.round("o_totalprice").cast("int"), F.lit(90)).cast("double").alias("latency_seconds"),
+        text_of("Pay-order/", k % 10).alias("value"), text_of("pay  ", k % 4).alias("expected_value"),
+    )
+
+
+@query("benchmark_summary", "with " + _CASES_SQL + """, g as (select model, count(*) case_count, round(avg(ok::int), 4) ok_rate, round(avg((ok and method = 'ai')::int), 4) ai_method_rate, round(avg((ok and status = expected_status)::int), 4) status_accuracy,
+ round(avg(score), 4) avg_score, round(avg(latency), 3) avg_latency_seconds, round(coalesce(avg(f1) filter (ok and expected_status = 'filled' and status = 'filled'), 0), 4) filled_value_similarity from s group by 1)
+ select model, case_count, ok_rate, ai_method_rate, status_accuracy, avg_score, filled_value_similarity from g""")
+def benchmark_summary(spark, d):
+    return evaluation.benchmark_summary(cases(spark, d)).select("model", "case_count", "ok_rate", "ai_method_rate", "status_accuracy", "avg_score", "filled_value_similarity")
+
+
+@query("summary_quality", "select o_orderkey, case when o_orderkey % 9 = 0 then 0.0 else round(0.45 * least((o_orderkey % 900) / 650.0, 1.0) + 0.35 * (o_orderkey % 4) / greatest(1, o_orderkey % 5) + 0.2 * greatest(0.0, 1 - (o_orderkey % 3) / greatest(1, o_orderkey % 6)::double), 4) end::double score from orders")
+def summary_quality(spark, d):
+    k = F.col("o_orderkey")
+    score = evaluation.summary_quality(k % 9 != 0, F.repeat(F.lit("x"), (k % 900).cast("int")), k % 4, k % 5, k % 3, k % 6)
+    return t(spark, d, "orders").select("o_orderkey", score.alias("score"))
+
+
+@query("row_counts", "select 'orders' as name, count(*) n from orders union all select 'documents', count(*) from documents union all select 'events', count(*) from events union all select 'embeddings', count(*) from embeddings")
+def row_counts(spark, d):
+    return evaluation.row_counts({n: t(spark, d, n) for n in ("orders", "documents", "events", "embeddings")})
+
+
+@query("manifest_check", "with {docs} select doc_id, document_kind, document_kind <> 'quote' mismatch from docs where source_path like 'docs/quote_%' or source_path like 'docs/report_%'")
+def manifest_check(spark, d):
+    a = analysed(spark, d).select("doc_id", "source_path", "document_kind")
+    m = a.select(F.col("source_path").alias("path")).distinct().where("path like 'docs/quote_%' or path like 'docs/report_%'").withColumn("expected_kind", F.lit("quote"))
+    return evaluation.manifest_check(a, m).select("doc_id", "document_kind", "mismatch")
+
+
+# Projects and fields --------------------------------------------------------------------------
+
+
+@query("non_reports", "with {docs} select doc_id, document_kind from docs where document_kind <> 'report'")
+def non_reports(spark, d):
+    return scans.non_reports(analysed(spark, d)).select("doc_id", "document_kind")
+
+
+@query("project_documents", "with {docs} select doc_id, project_key, report_date from (select *, lower(project_code) project_key from docs) where client_name = (select min(c_name) from customer join orders on c_custkey = o_custkey)")
+def project_documents(spark, d):
+    first = t(spark, d, "customer").join(t(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).agg(F.min("c_name")).first()[0]
+    return scans.project_documents(analysed(spark, d), first).select("doc_id", "project_key", "report_date")
+
+
+@query("visual_timeline", "select event_id, case when event_id % 5 = 0 then 0 else epoch_ms(date_trunc('day', ts)) end \"timestamp\", case when event_id % 5 = 0 then 'Undated' else strftime(ts, '%Y-%m-%d') end date_label, event_type summary, 'Document' document_name from events")
+def visual_timeline(spark, d):
+    e = t(spark, d, "events")
+    shown = F.when(F.col("event_id") % 5 != 0, F.date_format("ts", "yyyy-MM-dd"))
+    none = F.lit(None).cast("string")
+    rows = e.select("event_id", shown.alias("display_date"), none.alias("created_at"), F.col("event_type").alias("summary"), none.alias("client_name"), none.alias("document_kind"), none.alias("project_name"), none.alias("source_document"))
+    return scans.visual_timeline(rows).select("event_id", "timestamp", "date_label", "summary", "document_name")
+
+
+@query("decorated_documents", "with {docs} select doc_id, replace(source_path, 'docs/', '') document_name, regexp_replace(source_path, 'docs/|[.]txt', '', 'g') document_stem, '/document?path=' || replace(source_path, '/', '%2F') document_href, document_kind = 'report' is_report, contact contacts from docs")
+def decorated_documents(spark, d):
+    out = scans.decorated(with_fields(rendered(spark, d)), F.substring("text", 1, 400), money.currency_amounts(F.col("text")))
+    return out.select("doc_id", "document_name", "document_stem", "document_href", "is_report", F.array_join("contacts", ",").alias("contacts"))
+
+
+@query("project_hints", """with {docs} select client_name, lower(project_code) project_key, min(project_code) project_code, count(distinct source_path) n_sources, string_agg(distinct year(report_date::date)::varchar, ',' order by year(report_date::date)::varchar) as "years" from docs group by 1, 2""")
+def project_hints(spark, d):
+    return fields.project_hints(analysed(spark, d)).select("client_name", "project_key", "project_code", F.size("sources").cast("long").alias("n_sources"), F.array_join("years", ",").alias("years"))
+
+
+@query("rule_summaries", """with {docs}, k as (select client_name, project_code, document_kind, min(struct_pack(ingested_at, doc_id)) f from docs group by all), kk as (select *, row_number() over (partition by client_name, project_code order by f) n from k),
+ ks as (select client_name, project_code, string_agg(document_kind, ', ' order by n) filter (n <= 3) kinds, bool_or(document_kind in ('quote', 'purchase_order')) logistics, bool_or(document_kind = 'invoice') invoiced from kk group by 1, 2),
+ g as (select client_name, project_code, min(contact) contact, arg_min(project_name, struct_pack(ingested_at, doc_id)) project_name, count(*) n, min(report_date) lo, max(report_date) hi from docs group by 1, 2)
+ select client_name, lower(project_code) project_key, project_name || ' covers ' || kinds || ' work for ' || client_name || ' across ' || n || ' related documents dated between ' || lo || ' and ' || hi || '. Key participants include ' || contact ||
+ ', and the document set links the work through references such as ' || project_code || '. Recommendations: Recommendations are not explicitly captured in the available metadata. Issues and key findings: No explicit issues or findings were extracted from the available documents. The available records indicate that ' ||
+ case when not logistics and not invoiced then 'commercial status is only partially evidenced in the stored documents' else concat_ws(', ', case when logistics then 'logistics and access coordination are documented' end, case when invoiced then 'invoice records are present' end) end ||
+ '. Conclusions should be based on the documented findings and recommended actions above.' summary from g join ks using (client_name, project_code)""")
+def rule_summaries(spark, d):
+    a = analysed(spark, d).withColumn("related_references", F.array("project_code")).withColumn("excerpt", F.lit("")).withColumn("currency_amounts", F.array().cast("array<string>"))
+    return fields.rule_summary(a)
+
+
+@query("field_rescoring", """with h as (select lang query_id, source source_document, text chunk_text, doc_id, (n_chars % 100) / 100.0::double score, lower(text) low from documents where lang is not null and source is not null),
+ s as (select *, score + 0.04 + case when doc_id % 2 = 0 then 0.12 else 0 end total from h where contains(low, 'an')),
+ o as (select *, row_number() over (partition by query_id, source_document order by total desc, chunk_text) r from s) select query_id, source_document, round(total, 6) score from (select *, row_number() over (partition by query_id order by total desc, source_document, chunk_text) place from o where r = 1) where place <= 3""")
+def field_rescoring(spark, d):
+    none = F.lit(None).cast("string")
+    h = t(spark, d, "documents").where("lang is not null and source is not null").select(
+        F.col("lang").alias("query_id"), F.col("source").alias("source_document"), F.col("text").alias("chunk_text"), (F.col("n_chars") % 100 / 100.0).alias("score"), F.when(F.col("doc_id") % 2 == 0, "Key").otherwise("x").alias("project_key"), none.alias("project_code"), none.alias("report_date"),
+        F.array().cast("array<string>").alias("related_references"), F.lit("key").alias("hint_key"), none.alias("hint_code"), F.array(F.lit("r")).alias("hint_references"), F.array(F.lit("2020")).alias("hint_years"),
+    )
+    return fields.rescored(h, "an").select("query_id", "source_document", F.round("score", 6).alias("score"))
+
+
+@query("local_evidence")
+def local_evidence(spark, d):
+    """What speaks for a quoted price in the first six documents of each project."""
+    w = Window.partitionBy("client_name", "project_key").orderBy("ingested_at", "doc_id")
+    a = with_fields(rendered(spark, d)).withColumn("position", F.row_number().over(w)).withColumn("excerpt", F.col("text")).withColumn("currency_amounts", money.currency_amounts(F.col("text"))).withColumn("document_name", F.lit(None).cast("string"))
+    return fields.local_evidence(a, "quoted")
+
+
+@query("extra_hits", "with h as (select doc_id % 20 query_id, coalesce(source, '') source_document, n_chars % 97 score, doc_id chunk_text, doc_id % 3 = 0 own from documents), o as (select * from h where own), e as (select * from h where not own and not exists (select 1 from o where o.query_id = h.query_id and o.source_document = h.source_document)), b as (select *, 0 turn from o union all select *, 1 turn from e) select query_id, chunk_text doc_id, (row_number() over (partition by query_id order by turn, score desc, source_document, chunk_text))::int as \"rank\" from b")
+def extra_hits(spark, d):
+    h = t(spark, d, "documents").select((F.col("doc_id") % 20).alias("query_id"), F.coalesce("source", F.lit("")).alias("source_document"), (F.col("n_chars") % 97).alias("score"), F.col("doc_id").alias("chunk_text"))
+    return scans.extra_hits(h.where("chunk_text % 3 = 0"), h.where("chunk_text % 3 <> 0")).select("query_id", F.col("chunk_text").alias("doc_id"), "rank")
+
+
+@query("answers", "select o_orderkey key, case when o_orderkey % 4 = 0 then 'missing_in_batch' when o_orderkey % 3 = 0 or o_orderkey % 5 = 0 then 'absent_or_rejected' when o_orderkey % 7 = 0 then 'insufficient_evidence' else 'accepted' end status, case when o_orderkey % 4 = 0 or o_orderkey % 3 = 0 or o_orderkey % 5 = 0 or o_orderkey % 7 = 0 then 'Information not present' else o_orderpriority end normalized_answer from orders")
+def answers(spark, d):
+    k = F.col("key")
+    q = t(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderkey").alias("position"), "o_orderpriority")
+    given = q.where(k % 4 != 0).select("key", (k % 3 != 0).alias("is_present"), F.when(k % 5 == 0, " Insufficient evidence to say").otherwise(F.col("o_orderpriority")).alias("answer"), F.when(k % 7 == 0, "short").otherwise("long enough").alias("evidence"))
+    return fields.batch_answers(q.select("key", "position"), given).select("key", "status", "normalized_answer")
+
+
+@query("resolved_clients", "with {docs} select doc_id, client_name from docs")
+def resolved_clients(spark, d):
+    """Extracted names stand, and where every fifth is blotted out the references of the client's other documents tell it."""
+    a = with_fields(rendered(spark, d)).withColumn("confidence", F.lit(0.8)).withColumn("is_client_related", F.lit(True))
+    own = F.array(F.concat(F.lit("REF-"), F.regexp_extract("source_path", r"_(\d+)[.]", 1)))
+    rows = a.select("doc_id", "source_path", "text", "confidence", "is_client_related", F.when(F.col("doc_id") % 5 != 0, F.col("client_name")).alias("client_name"), own.alias("related_references"))
+    known = a.select("client_name", own.alias("related_references")).distinct()
+    return resolve.resolved_clients(rows, known).select("doc_id", "client_name")

@@ -120,16 +120,16 @@ def read_folder(spark: SparkSession, path: str, recursive: bool = True) -> DataF
     return documents(files)
 
 
-def documents(files: DataFrame) -> DataFrame:
-    """Document rows of a ``binaryFile`` frame, batch or streaming."""
+def documents(files: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """Document rows of a ``binaryFile`` frame, batch or streaming; ``also``: columns of it that stay."""
     end = suffix(F.col("path"))
     kinds = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
-    f = files.select(F.col("path").alias("source_path"), F.regexp_extract("path", "([^/]*)$", 1).alias("filename"), end.alias("suffix"), F.try_element_at(kinds, end).alias("source_type"), "content")
+    f = files.select(F.col("path").alias("source_path"), F.regexp_extract("path", "([^/]*)$", 1).alias("filename"), end.alias("suffix"), F.try_element_at(kinds, end).alias("source_type"), "content", *also)
     got = F.when(F.col("source_type").isin(*_BINARY), F.udf(_read, _GOT, useArrow=True)("content", "source_type"))
     f = f.withColumn("got", got)
     text = F.when(F.col("source_type") == "text", decoded(F.col("content"))).otherwise(F.col("got.text"))
     error = F.when(F.col("source_type").isNull(), F.lit("unsupported")).otherwise(F.col("got.error"))
-    return f.select("source_path", "source_type", "suffix", "filename", text.alias("text"), error.alias("error"))
+    return f.select("source_path", "source_type", "suffix", "filename", text.alias("text"), error.alias("error"), *also)
 
 
 EVENT_SCHEMA = "ts string, event string, path string, status string, error string, document_kind string, client_name string, source_type string, text_chars long, total_chunks long, chunk_index long"

@@ -20,18 +20,22 @@ def hourly_counts(events: DataFrame, late: str = "10 minutes", every: str = "1 h
 
 
 def paired(events: DataFrame, longest: str = "1 hour") -> DataFrame:
-    """End events with the starts of their path in the hour before: a bounded-state stream join."""
+    """End events with the last start of their path in the time before: a stream join whose state is bounded by
+    the watermarks, and of the starts that meet one end the latest."""
     starts = events.where("event = 'file_started'").select(F.col("path").alias("p"), F.col("ts").alias("started")).withWatermark("started", longest)
     ends = events.where("event in ('file_completed', 'file_error')").select("path", "ts", "event").withWatermark("ts", longest)
     near = F.expr(f"path = p and started <= ts and started >= ts - interval {longest}")
-    return ends.join(starts, near).withColumn("seconds", (F.unix_micros("ts") - F.unix_micros("started")) / 1e6)
+    # An end is a group of its own, which closes when the watermark has passed it.
+    met = ends.join(starts, near).groupBy("path", "event", "ts").agg(F.max("started").alias("started"))
+    return met.select("path", "ts", "event", "started", ((F.unix_micros("ts") - F.unix_micros("started")) / 1e6).alias("seconds"))
 
 
-def folder_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Document rows of files as they come in, each path and content once within the watermark."""
+def folder_stream(spark: SparkSession, path: str, late: str = "7 days") -> DataFrame:
+    """Document rows of files as they come in, each path and content once within the watermark on the files' times; what
+    is older is known to ``append_new`` from the table itself."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    rows = documents(files)
-    return rows.withColumn("content_hash", content_hash(F.col("text"))).dropDuplicates(["source_path", "content_hash"])
+    rows = documents(files.withWatermark("modificationTime", late), ("modificationTime",))
+    return rows.withColumn("content_hash", content_hash(F.col("text"))).dropDuplicatesWithinWatermark(["source_path", "content_hash"])
 
 
 def append_new(stored_path: str):
