@@ -268,24 +268,24 @@ def disclosures(found: DataFrame, holding: DataFrame, cfg: Settings) -> DataFram
     return found_in[0].unionByName(found_in[1]).groupBy("entity", "term").agg(F.max("ratio").alias("ratio"), F.max("everywhere").alias("everywhere"))
 
 
-#: Most bits (as a power of two) of the filter of known terms: 2 MB. Beyond an eighth of them in terms it lets more words
-#: through to the join, and loses none.
+#: Most bits (as a power of two) of a filter of terms or texts: 2 MB. Beyond an eighth of them in values it lets more rows
+#: through to a join, and loses none.
 _MOST_BITS = 24
 
 
-def _maybe_known(known: DataFrame):
-    """A test of a term that all of ``known`` pass and few others: one bit for each hash."""
-    n_bits = min(_MOST_BITS, max(10, (32 * known.count()).bit_length()))
+def _maybe_in(rows: DataFrame, column: str):
+    """A test of a value that all of ``rows`` pass in the column and few others: one bit for each hash."""
+    n_bits = min(_MOST_BITS, max(10, (32 * rows.count()).bit_length()))
     low = F.lit((1 << n_bits) - 1)
-    at = F.xxhash64("term").bitwiseAND(low)
-    rows = known.select(F.shiftright(at, 3).alias("byte"), F.call_function("shiftleft", F.lit(1), at.bitwiseAND(F.lit(7)).cast("int")).alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits")).collect()
+    at = F.xxhash64(column).bitwiseAND(low)
+    bytes_of = rows.select(F.shiftright(at, 3).alias("byte"), F.call_function("shiftleft", F.lit(1), at.bitwiseAND(F.lit(7)).cast("int")).alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits")).collect()
     bits = bytearray(1 << (n_bits - 3))
-    for r in rows:
+    for r in bytes_of:
         bits[r.byte] = r.bits
     held = F.lit(bytes(bits))
 
-    def test(term: Column) -> Column:
-        at = F.xxhash64(term).bitwiseAND(low)
+    def test(value: Column) -> Column:
+        at = F.xxhash64(value).bitwiseAND(low)
         byte = F.conv(F.hex(F.substring(held, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
         return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), at.bitwiseAND(F.lit(7)).cast("int"))) != 0
 
@@ -298,7 +298,7 @@ def kinds_by_text(found: DataFrame, holding: DataFrame, given: DataFrame, cfg: S
     known = given.where("everywhere").groupBy("term").agg(F.max("ratio").alias("ratio"))
     if not known.isEmpty():
         known = checkpointed(known)
-        terms = F.explode(F.filter(_terms(blanked(F.col("text"), F.col("spans"))), _maybe_known(known)))
+        terms = F.explode(F.filter(_terms(blanked(F.col("text"), F.col("spans"))), _maybe_in(known, "term")))
         hit = hit.unionByName(found.select("key", terms.alias("term")).join(known, "term").select("key", "term", "ratio"))
     hit = hit.groupBy("key", "term").agg(F.max("ratio").alias("ratio"))
     kind = F.when(F.col("ratio") >= cfg.remove, F.lit("term")).otherwise(F.lit("general"))
@@ -328,14 +328,20 @@ def analysed(docs: DataFrame, cfg: Settings) -> DataFrame:
 
     The key is a hash of the text: equal texts have equal spans, so a repeated row needs no more.
     """
-    found = docs.withColumn("key", F.xxhash64("text", F.length("text"))).withColumn("spans", base_spans(F.col("text")))
+    keyed = docs.withColumn("key", F.xxhash64("text", F.length("text")))
+    found = keyed.withColumn("spans", base_spans(F.col("text")))
     holding = found.where(F.size("spans") > 0).groupBy("key").agg(F.first("text").alias("text"), F.first("spans").alias("spans"), F.count(F.lit(1)).alias("copies"))
     holding = holding.select("key", "spans", "copies", blanked(F.col("text"), F.col("spans")).alias("plain"))
     holding = checkpointed(holding.withColumn("terms", _terms(F.col("plain"))).withColumn("entities", F.array_distinct(F.transform("spans", _entity))))
     small = found.select("key", "text", "spans")
     given = checkpointed(disclosures(small, holding, cfg))
-    found = found.join(kinds_by_text(small, holding, given, cfg), "key", "left")
-    return found.withColumn("term_spans", term_spans(F.col("text"), F.col("spans"), F.col("kinds"))).select("row", "text", "spans", "term_spans")
+    kinds = checkpointed(kinds_by_text(small, holding, given, cfg))
+    # Only texts that may hold a disclosing term are moved to where its kind is known.
+    maybe = _maybe_in(kinds.select("key"), "key")(F.col("key"))
+    hit = keyed.where(maybe).withColumn("spans", base_spans(F.col("text"))).join(kinds, "key", "left")
+    hit = hit.select("row", "text", "spans", term_spans(F.col("text"), F.col("spans"), F.col("kinds")).alias("term_spans"))
+    rest = keyed.where(~maybe).select("row", "text", base_spans(F.col("text")).alias("spans"), F.array().cast(_TERM_SPANS).alias("term_spans"))
+    return rest.unionByName(hit)
 
 
 def find_all(docs: DataFrame, cfg: Settings | None = None) -> DataFrame:
