@@ -1,7 +1,7 @@
 """Vectorised hashing of words, word pairs and character n-grams of many texts at once.
 
-Texts are lower-cased and laid out as one array of code points, each text followed by
-a space. The hash of any substring comes from prefix sums of ``c[i] * B**i`` modulo
+Texts are lower-cased and laid out as one array of code points, each text between two
+spaces. The hash of any substring comes from prefix sums of ``c[i] * B**i`` modulo
 2**64 (``B`` odd, so its powers have inverses), then a finaliser. No Python loop runs
 over words or characters.
 """
@@ -44,7 +44,8 @@ class Texts:
     """Code points, word bounds and prefix hashes of a list of texts (null counts as empty)."""
 
     def __init__(self, texts: list[str | None]):
-        parts = [((t or "").lower() + " ").encode("utf-32-le", "surrogatepass") for t in texts]
+        # A space on either side, so that no n-gram reaches into another text and each text's first word has its border.
+        parts = [f" {(t or '').lower()} ".encode("utf-32-le", "surrogatepass") for t in texts]
         self.n = len(texts)
         sizes = np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -93,9 +94,10 @@ class Texts:
         return mix(self.span_hash(start, start + n), 2 + n), self.bounds(start)
 
     def repeats(self) -> tuple[np.ndarray, np.ndarray]:
-        """One constant feature for every word equal to the word before it, and bounds."""
+        """One constant feature for every word equal to the word before it in the same text, and bounds."""
         h = self.span_hash(self.word_start, self.word_end)
-        same = np.flatnonzero(h[1:] == h[:-1]) + 1 if len(h) else np.zeros(0, np.int64)
+        doc = np.searchsorted(self.starts, self.word_start, side="right")
+        same = np.flatnonzero((h[1:] == h[:-1]) & (doc[1:] == doc[:-1])) + 1
         return np.full(len(same), mix(np.zeros(1, np.uint64), 9)[0]), self.bounds(self.word_start[same])
 
 

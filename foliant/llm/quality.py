@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings (see ``subword``) over whole texts.
 
-Defined results: a null or empty text gets the model's prior; repeated rows are scored one by
-one; without labelled rows every score is 0.5; an empty table gives an empty result; a column
+Defined results: a null or empty text gets the model's prior; texts of any length are read whole; a
+score of just the threshold is predicted 1; repeated rows are scored one by one; without labelled rows every score is 0.5; an empty table gives an empty result; a column
 ``score`` or ``predicted`` of the input is replaced. Labels, language, source and id are never
 inputs of a score.
 """

@@ -6,8 +6,10 @@ out from growing, removes the rows it covers and goes on. The list is emitted as
 ``CASE WHEN`` whose conditions come in the learned order.
 
 Words are runs of characters other than the six ASCII white-space characters. Defined
-results: a null or empty text has no words and fails the base rules; without labelled rows
-the list is empty and keeps what the base rules keep; repeated rows are judged one by one;
+results: a null or empty text has no words and fails the base rules; texts of any length are measured
+whole; without labelled rows the list is empty and keeps what the base rules keep; of conditions with
+equal gain the first in the order of the statistics is taken; an empty table gives an empty result;
+repeated rows are judged one by one;
 input columns named like the results are replaced.
 """
 

@@ -11,8 +11,9 @@ pass, and truncation and budget questions need no further encoding.
 Pieces end where a longer text might go on (white space before a word, a cut contraction), so
 ``prefix_counts`` counts the cut pieces of such a prefix by themselves.
 
-Defined results: a null text counts as empty and has 0 tokens; repeated rows are counted one by
-one; input columns named like the results are replaced.
+Defined results: a null text counts as empty and has 0 tokens; texts of any length are counted whole; of
+tokens that may end at one place exactly one follows what stands before, so there are no ties; an empty
+table gives an empty result; repeated rows are counted one by one; input columns named like the results are replaced.
 """
 
 from __future__ import annotations

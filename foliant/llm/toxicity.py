@@ -6,8 +6,9 @@ probabilities. ``x`` marks which hashed words, and word beginnings of 4 to 6 let
 holds. ``w`` is learned by FTRL-proximal steps, whose L1 term leaves few weights non-zero.
 
 Defined results: a null or empty text has no feature and gets the severity of the thresholds
-alone; without labelled rows nothing is toxic; repeated rows are scored one by one; columns of
-the input named like the results are replaced.
+alone; texts of any length are read whole; without labelled rows nothing is toxic; of equally likely
+grades the lowest is named; an empty table gives an empty result; repeated rows are scored one by one;
+columns of the input named like the results are replaced.
 """
 
 from __future__ import annotations
