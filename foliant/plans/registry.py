@@ -308,13 +308,8 @@ def name_keys(spark, d):
     return t(spark, d, "customer").select("c_custkey", text.name_key(F.col("c_name")).alias("name_key"))
 
 
-@query("token_counts", "select doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{2,}'), lambda x: not list_contains(['the','and','for','with','from','this','that','what','when','where','which','about','project','client','field'], x))) n_tokens from documents where lang = 'en'")
+@query("token_counts", "select doc_id, len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}'), lambda x: not list_contains(['the','and','for','with','from','this','that','what','when','where','which','about','project','client','field'], x))) n_tokens from documents")
 def token_counts(spark, d):
-    return t(spark, d, "documents").where("lang = 'en'").select("doc_id", F.size(text.retrieval_tokens(F.col("text"))).cast("long").alias("n_tokens"))
-
-
-@query("token_counts_all")
-def token_counts_all(spark, d):
     """Documents of every language and of none; a null text has no tokens."""
     return t(spark, d, "documents").select("doc_id", F.size(text.retrieval_tokens(F.coalesce("text", F.lit("")))).cast("long").alias("n_tokens"))
 
@@ -335,30 +330,33 @@ def normal_dates(spark, d):
 # Retrieval ------------------------------------------------------------------------------------
 
 
-@query("cosine_topk", """with q as (select vec_id query_id, embedding q from embeddings where vec_id < 5), s as (select query_id, vec_id row_id, round(list_cosine_similarity(embedding::double[], q::double[]), 4) cos, row_number() over (partition by query_id order by list_cosine_similarity(embedding::double[], q::double[]) desc, vec_id) r from embeddings, q)
+#: Searches ask with every row whose id is divisible by 50, against all rows.
+ASKED = 50
+
+
+@query("cosine_topk", """with q as (select vec_id query_id, embedding q from embeddings where vec_id % 50 = 0), s as (select query_id, vec_id row_id, round(list_cosine_similarity(embedding::double[], q::double[]), 4) cos, row_number() over (partition by query_id order by list_cosine_similarity(embedding::double[], q::double[]) desc, vec_id) r from embeddings, q)
  select query_id, row_id, cos from s where r <= 10""")
 def cosine_topk(spark, d):
     e = t(spark, d, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = e.where(F.col("vec_id") % ASKED == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return retrieval.candidates(q, e.select(F.col("vec_id").alias("row_id"), "embedding"), 10).select("query_id", "row_id", F.round("cos", 4).alias("cos"))
 
 
 @query("bm25_pool", r"""with p as (select item_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') w from benchmark), st as (select ['the','and','for','with','from','this','that','what','when','where','which','about','project','client','field'] s),
- tk as (select item_id, list_filter(w, lambda x: not list_contains(s, x)) w from p, st), q as (select unnest(w) term from tk where item_id = 0), qf as (select term, count(*) qtf from q group by 1),
- n as (select count(*) n, avg(greatest(len(w), 1)) al from tk), tm as (select item_id, unnest(w) term from tk), tf as (select item_id, term, qtf, count(*) tf from tm join qf using (term) group by 1, 2, 3), df as (select term, count(*) df from tf group by 1),
- r as (select item_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (1 - 0.72 + 0.72 * greatest(len(w), 1) / al)) * (1 + 0.05 * greatest(0, qtf - 1))) raw from tf join df using (term) join tk using (item_id), n group by 1)
- select item_id, round(raw / max(raw) over (), 6) lexical from r""")
+ tk as (select item_id, list_filter(w, lambda x: not list_contains(s, x)) w from p, st), q as (select item_id query_id, unnest(w) term from tk where item_id % 50 = 0), qf as (select query_id, term, count(*) qtf from q group by 1, 2),
+ n as (select count(*) n, avg(greatest(len(w), 1)) al from tk), tm as (select item_id, unnest(w) term from tk), tf as (select query_id, item_id, term, qtf, count(*) tf from tm join qf using (term) group by 1, 2, 3, 4), df as (select query_id, term, count(*) df from tf group by 1, 2),
+ r as (select query_id, item_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (1 - 0.72 + 0.72 * greatest(len(w), 1) / al)) * (1 + 0.05 * greatest(0, qtf - 1))) raw from tf join df using (query_id, term) join tk using (item_id), n group by 1, 2)
+ select query_id, item_id, round(raw / max(raw) over (partition by query_id), 6) lexical from r""")
 def bm25_pool(spark, d):
     b = t(spark, d, "benchmark")
-    asked = b.where("item_id = 0").select(F.col("text").alias("q"), F.lit(1).alias("query_id"))
-    pool = b.withColumn("query_id", F.lit(1)).join(asked, "query_id")
-    return retrieval.bm25(pool, "query_id", "item_id", "text", "q").select("item_id", F.round("lexical", 6).alias("lexical"))
+    asked = b.where(F.col("item_id") % ASKED == 0).select(F.col("text").alias("q"), F.col("item_id").alias("query_id"))
+    return retrieval.bm25(b.crossJoin(F.broadcast(asked)), "query_id", "item_id", "text", "q").select("query_id", "item_id", F.round("lexical", 6).alias("lexical"))
 
 
 @query("mmr_rerank")
 def mmr_rerank(spark, d):
     e = t(spark, d, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = e.where(F.col("vec_id") % ASKED == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     near = retrieval.candidates(q, e.select(F.col("vec_id").alias("row_id"), "embedding"), 60)
     return retrieval.mmr(near.withColumn("score", (F.col("cos") + 1) / 2), 8)
 
@@ -371,25 +369,10 @@ def chunks(spark, d):
 @query("hybrid_search")
 def hybrid_search(spark, d):
     rows = retrieval.embedded(t(spark, d, "benchmark").select(F.col("item_id").alias("row_id"), F.col("text").alias("chunk_text")))
-    q = rows.where("row_id < 3").select(F.col("row_id").alias("query_id"), F.col("chunk_text").alias("query_text"), F.col("embedding").alias("q"))
+    q = rows.where(F.col("row_id") % ASKED == 0).select(F.col("row_id").alias("query_id"), F.col("chunk_text").alias("query_text"), F.col("embedding").alias("q"))
     return retrieval.search(q, rows)
 
 
-@query("cosine_topk_all")
-def cosine_topk_all(spark, d):
-    e = t(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return retrieval.candidates(q, e.select(F.col("vec_id").alias("row_id"), "embedding"), 10).select("query_id", "row_id", F.round("cos", 4).alias("cos"))
-
-
-@query("mmr_rerank_all")
-def mmr_rerank_all(spark, d):
-    e = t(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    near = retrieval.candidates(q, e.select(F.col("vec_id").alias("row_id"), "embedding"), 60)
-    return retrieval.mmr(near.withColumn("score", (F.col("cos") + 1) / 2), 8)
-
-
 def _document_chunks(spark, d):
     c = retrieval.chunks(t(spark, d, "documents").where("doc_id is not null").select("doc_id", "text"))
     return c.withColumn("row_id", F.concat_ws(":", "doc_id", "chunk_index"))
@@ -399,7 +382,7 @@ def _document_chunks(spark, d):
 def bm25_pool_all(spark, d):
     """All chunks of ``documents`` are the pool of each query, the first chunks of every 50th document."""
     rows = _document_chunks(spark, d)
-    asked = rows.where("doc_id % 50 = 0 and chunk_index = 0").select(F.col("row_id").alias("query_id"), F.col("chunk_text").alias("q"))
+    asked = rows.where((F.col("doc_id") % ASKED == 0) & (F.col("chunk_index") == 0)).select(F.col("row_id").alias("query_id"), F.col("chunk_text").alias("q"))
     pool = rows.select("row_id", "chunk_text").crossJoin(asked)
     return retrieval.bm25(pool, "query_id", "row_id", "chunk_text", "q").select("query_id", "row_id", F.round("lexical", 6).alias("lexical"))
 
@@ -407,7 +390,7 @@ def bm25_pool_all(spark, d):
 @query("hybrid_search_all")
 def hybrid_search_all(spark, d):
     rows = retrieval.embedded(_document_chunks(spark, d).select("row_id", "doc_id", "chunk_index", "chunk_text"))
-    q = rows.where("doc_id % 50 = 0 and chunk_index = 0").select(F.col("row_id").alias("query_id"), F.col("chunk_text").alias("query_text"), F.col("embedding").alias("q"))
+    q = rows.where((F.col("doc_id") % ASKED == 0) & (F.col("chunk_index") == 0)).select(F.col("row_id").alias("query_id"), F.col("chunk_text").alias("query_text"), F.col("embedding").alias("q"))
     return retrieval.search(q, rows.select("row_id", "chunk_text", "embedding"))
 
 

@@ -72,10 +72,10 @@ def test_search_of_many_queries(spark, monkeypatch):
     d = "/root/testdata/sf0.001"
     found = registry.queries()
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    want = {tuple(r) for r in found["cosine_topk_all"](spark, d).collect()}
+    want = {tuple(r) for r in found["cosine_topk"](spark, d).collect()}
     assert {r[0] for r in want} == {r[0] for r in e.where("vec_id % 50 = 0").select("vec_id").collect()}
     monkeypatch.setattr(retrieval, "MOST_QUERIES", 1)
-    assert {tuple(r) for r in found["cosine_topk_all"](spark, d).collect()} == want
+    assert {tuple(r) for r in found["cosine_topk"](spark, d).collect()} == want
     hits = found["hybrid_search_all"](spark, d)
     assert {r[0] for r in hits.select("query_id").distinct().collect()} == {f"{i}:0" for i in range(0, 200, 50)}
 
@@ -89,7 +89,7 @@ def test_token_counts_of_all_languages(spark):
     d = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{d}/documents.parquet").collect()
     want = sorted((r.doc_id, sum(w not in RETRIEVAL_STOPWORDS for w in re.findall("[a-z0-9]{2,}", (r.text or "").lower()))) for r in rows)
-    assert sorted(tuple(r) for r in registry.queries()["token_counts_all"](spark, d).collect()) == want
+    assert sorted(tuple(r) for r in registry.queries()["token_counts"](spark, d).collect()) == want
     assert {r.lang for r in rows} > {"en"}
 
 
