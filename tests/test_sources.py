@@ -35,3 +35,27 @@ def test_stream(spark, tmp_path):
         assert sorted(r.n for r in spark.sql("select n from hc").collect()) == [1, 2]
     finally:
         q.stop()
+
+
+def test_stream_pairs_the_last_start(spark, tmp_path):
+    import json
+
+    (tmp_path / "in").mkdir()
+    rows = [("file_started", "10:00:00", "p"), ("file_started", "10:05:00", "p"), ("file_completed", "10:10:00", "p"), ("file_error", "10:20:00", "p")]
+    later = [(e, at, "q") for at in ("15:00:00", "20:00:00") for e in ("file_started", "file_completed")]
+    for k, part in enumerate([rows, later[:2], later[2:]]):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps({"event": e, "ts": f"2024-01-01T{at}", "path": p}) for e, at, p in part))
+    events = log.event_stream(spark, str(tmp_path / "in")).where("ts is not null")
+    q = log.paired(events).writeStream.format("memory").queryName("pairs").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r.event, r.seconds) for r in spark.table("pairs").where("path = 'p'").collect()}
+    assert got == {("file_completed", 300.0), ("file_error", 900.0)}
+
+
+def test_folder_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one")
+    (tmp_path / "in" / "b.html").write_text("<p>two")
+    q = log.folder_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("folder").outputMode("append").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r.filename, r.text) for r in spark.table("folder").collect()} == {("a.txt", "one"), ("b.html", "two")}
