@@ -35,6 +35,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of narrow tables to a partition.
+ROWS_A_PART = 50_000
+
+
+def parts_for(spark: SparkSession, n_rows: int) -> int:
+    """Partitions for so many narrow rows: a shuffle writes a few files for each partition that it reads from, so a small
+    table in hundreds of partitions costs more in files than in data."""
+    return max(spark.sparkContext.defaultParallelism, -(-n_rows // ROWS_A_PART))
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """``df`` materialised, in as many partitions as its rows need."""
+    done = checkpointed(df)
+    return done.coalesce(parts_for(df.sparkSession, done.count()))
+
+
 def fold(doc_id: Column, n: int = 4) -> Column:
     """crc32 of the id's decimal text, modulo ``n``; null ids fall in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % n, F.lit(0))

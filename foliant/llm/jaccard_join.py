@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, ranges
+from .common import checkpointed, compact, parts_for, ranges
 from .hashing import mix, powers
 
 WORDS = 5
@@ -586,7 +586,7 @@ def groups(signed: DataFrame, sizes: DataFrame, cfg: Settings) -> DataFrame:
             "n": pa.array(np.concatenate([np.zeros(n_rows + n_crowd, np.int64), times])),
         })
 
-    found = checkpointed(signed.groupBy("bucket").applyInArrow(run, "gid long, own long, crowd boolean, n long"))
+    found = compact(signed.groupBy("bucket").applyInArrow(run, "gid long, own long, crowd boolean, n long"))
     name = F.col("own").bitwiseAND(F.lit(_OWNER - 1))
     owners = sizes.withColumn("name", F.col("cls").bitwiseAND(F.lit(_OWNER - 1)))
     # Bands up to ``last`` share one signature at least, those above ``cfg.spare``.
@@ -749,14 +749,15 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def star(found: DataFrame) -> DataFrame:
     """(a, b): the least class of each group with all its others."""
-    return found.groupBy("gid").agg(F.min("cls").alias("a")).join(found.withColumnRenamed("cls", "b"), "gid").where("a != b").select("a", "b").distinct()
+    return found.groupBy("gid").agg(F.min("cls").alias("a")).join(found.withColumnRenamed("cls", "b"), "gid").where("a != b").select("a", "b").coalesce(parts_for(found.sparkSession, found.count())).distinct()
 
 
 def still_open(found: DataFrame, labels: DataFrame) -> DataFrame:
     """(gid, cls, label) of the groups that span several components."""
-    named = found.join(labels, found.cls == labels.node, "left").select("gid", "cls", F.coalesce("label", "cls").alias("label"))
+    parts = parts_for(found.sparkSession, found.count())
+    named = found.join(labels, found.cls == labels.node, "left").select("gid", "cls", F.coalesce("label", "cls").alias("label")).coalesce(parts)
     spread = named.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("gid")
-    return named.join(spread, "gid", "left_semi")
+    return named.join(spread, "gid", "left_semi").coalesce(parts)
 
 
 #: The rounds in which groups that span several components are compared.
@@ -844,17 +845,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that each node of ``edges`` (a, b) reaches. Alternating large-star
     and small-star passes; each is one grouped minimum and one join, and none gathers a component."""
     now = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    before = None
+    parts = parts_for(edges.sparkSession, now.count())
+    now, before = now.coalesce(parts), None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct().coalesce(parts)
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        now = checkpointed(small)
+        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u != v")
+        now = checkpointed(small.coalesce(parts).distinct().coalesce(parts))
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
         if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+            return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct().coalesce(parts))
         before = state
 
 
@@ -865,23 +867,23 @@ def link_classes(docs: DataFrame, cfg: Settings, rows: DataFrame, classes: DataF
     # A set signs about as often as it has shingles.
     n_signatures = classes.agg(F.sum("n_shingles")).first()[0] or 0
     signed = sign(docs, frequent, max(8, n_signatures // cfg.bucket), cfg)
-    found = checkpointed(groups(signed, classes.select("cls", "n_shingles"), cfg))
-    near = checkpointed(alike(star(found), classes))
-    sets = checkpointed(class_sets(docs, near.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), cfg))
+    found = compact(groups(signed, classes.select("cls", "n_shingles"), cfg))
+    near = compact(alike(star(found), classes))
+    sets = compact(class_sets(docs, near.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), cfg))
     # One comparison joins a class to its group, if anything does; the others wait for the components.
-    links = checkpointed(linked(near.groupBy("b").agg(F.min("a").alias("a")), sets))
+    links = compact(linked(near.groupBy("b").agg(F.min("a").alias("a")), sets))
     for how in (ALONE, ACROSS, EVERY):
-        given = checkpointed(open_pairs(still_open(found, components(links)), classes, cfg, how))
+        given = compact(open_pairs(still_open(found, components(links)), classes, cfg, how))
         more = given.where("gid is null").select("a", "b")
         other = more.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls", "left_anti")
         if not other.isEmpty():
-            sets = sets.unionByName(checkpointed(class_sets(docs, checkpointed(other), cfg)))
-        links = links.unionByName(checkpointed(linked(more, sets)))
+            sets = sets.unionByName(compact(class_sets(docs, compact(other), cfg)))
+        links = compact(links.unionByName(linked(more, sets)))
         # A group whose pairs have all been compared is done.
         left = given.where("gid is not null").select("gid")
         if how == EVERY or left.isEmpty():
             return components(links)
-        found = checkpointed(found.join(left, "gid", "left_semi"))
+        found = compact(found.join(left, "gid", "left_semi"))
 
 
 def joined_back(left: DataFrame, right: DataFrame, key: str, weight: Column, total: int) -> DataFrame:
@@ -898,9 +900,9 @@ def named(docs: DataFrame, first: Column, cfg: Settings) -> tuple[DataFrame, Dat
     rows; (label, cls, n_classes, least) with the least one of the component that each class lies in."""
     rows = checkpointed(survey(docs, cfg))
     some = rows.where("cls is not null")
-    classes = checkpointed(some.groupBy("cls").agg(F.min(first).alias("least"), F.count(F.lit(1)).alias("n_rows"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
+    classes = compact(some.groupBy("cls").agg(F.min(first).alias("least"), F.count(F.lit(1)).alias("n_rows"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
     labels = link_classes(docs, cfg, rows, classes)
-    of_class = checkpointed(classes.join(labels, classes.cls == labels.node, "left").select("cls", "n_rows", "least", F.coalesce("label", "cls").alias("label")))
+    of_class = compact(classes.join(labels, classes.cls == labels.node, "left").select("cls", "n_rows", "least", F.coalesce("label", "cls").alias("label")))
     return rows, of_class, of_class.groupBy("label").agg(F.min("least").alias("best"), F.count(F.lit(1)).alias("n_classes")), rows.count()
 
 
@@ -908,8 +910,8 @@ def join(docs: DataFrame, cfg: Settings | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     rows, of_class, parts, total = named(docs.select("doc_id", "text"), F.col("doc_id"), cfg or Settings())
     rows = rows.select("doc_id", "n_shingles", "cls")
-    best = joined_back(of_class.select("cls", "n_rows", "label"), checkpointed(parts), "label", F.col("n_classes"), total).select("cls", "n_rows", "best")
-    got = joined_back(rows.where("cls is not null"), checkpointed(best), "cls", F.col("n_rows"), total)
+    best = joined_back(of_class.select("cls", "n_rows", "label"), compact(parts), "label", F.col("n_classes"), total).select("cls", "n_rows", "best")
+    got = joined_back(rows.where("cls is not null"), compact(best), "cls", F.col("n_rows"), total)
     alone = rows.where("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return got.select("doc_id", "n_shingles", F.col("best").alias("component_id")).unionByName(alone)
 
@@ -925,7 +927,7 @@ def keep_one(docs: DataFrame, cfg: Settings | None = None) -> DataFrame:
     marked = docs.withColumn("__row", F.xxhash64(*plain))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")
     rows, _, parts, _ = named(marked.select("doc_id", "__row", "text"), first, cfg or Settings())
-    parts = checkpointed(parts.select("best.doc_id", "best.__row"))
+    parts = compact(parts.select("best.doc_id", "best.__row"))
     empty = rows.where("cls is null").select("doc_id", "__row").distinct()
     chosen = parts.unionByName(empty).withColumnsRenamed({"doc_id": "__id", "__row": "__of"})
     kept = marked.join(chosen, marked.doc_id.eqNullSafe(chosen["__id"]) & (marked["__row"] == chosen["__of"]), "left_semi")
