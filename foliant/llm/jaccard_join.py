@@ -768,16 +768,26 @@ def open_pairs(rows: DataFrame, classes: DataFrame, cfg: Settings, how: str) ->
     """(a, b, gid): pairs of one group and of different components whose sketches allow a link, and the groups (without a
     pair) that need the next round.
 
-    A group of more than ``cfg.block`` classes is dealt into blocks. The first two rounds give of each task a
+    The classes of the component that has most of a group, and the others, are dealt into blocks of ``cfg.block``; blocks of
+    that component meet only those of the others, as all pairs within it are joined already. The first two rounds give of each task a
     forest of the pairs that differ least, and name the groups in which there are more; the last gives all.
     A task holds two blocks at most.
     """
-    sizes = rows.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / cfg.block).cast("int").alias("n"))
-    dealt = rows.join(sizes, "gid").withColumn("part", F.pmod(F.hash("cls"), F.col("n")))
+    counts = rows.groupBy("gid", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("gid").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
+    blocks_of = lambda c: F.ceil(c / cfg.block).cast("int")
+    small = F.col("n_all") <= cfg.block
+    m, k = F.when(small, 1).otherwise(blocks_of(F.col("n_main"))), F.when(small, 0).otherwise(blocks_of(F.col("n_all") - F.col("n_main")))
+    # A group that fits into a block is one block; there all classes count as the main component's.
+    main = main.select("gid", F.when(~small, F.col("main")).alias("main"), m.alias("m"), k.alias("k"))
+    is_main, at = F.coalesce(F.col("label") == F.col("main"), F.lit(True)), F.hash("cls")
+    part = F.when(is_main, F.pmod(at, F.col("m"))).otherwise(F.col("m") + F.pmod(at, F.greatest(F.col("k"), F.lit(1))))
+    dealt = rows.join(main, "gid").withColumn("part", part).withColumn("n", F.col("m") + F.col("k"))
     if how == ALONE:
         dealt = dealt.select("gid", F.col("part").alias("p"), F.col("part").alias("q"), "part", "n", "cls", "label")
     else:
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        first = F.when(is_main & (F.col("k") > 0), F.col("m")).otherwise(0)
+        dealt = dealt.withColumn("other", F.explode(F.sequence(first, F.col("n") - 1)))
         dealt = dealt.select("gid", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "n", "cls", "label")
     full = dealt.join(classes.select("cls", "n_shingles", "sketch"), "cls").repartition("gid", "p", "q").sortWithinPartitions("gid", "p", "q")
     names = ["gid", "p", "q", "part", "n", "cls", "label", "n_shingles", "sketch"]
