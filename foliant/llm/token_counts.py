@@ -190,13 +190,14 @@ class PrefixCounter:
     def prefix_counts(self, text: str | None) -> list[int]:
         """The exact token count of ``text[:k]`` for every ``k`` from 0 to its length."""
         out, done = [0], 0
+        open_text, open_done = "", 0
         for segment, special in self.segments(text or ""):
             if special:
-                # Until its last character a special string is ordinary text after what stands before it.
-                before = self._open_piece(out, segment)
-                out += [*before, done + 1]
+                # Until its last character a special string goes on with the ordinary text before it.
+                out += [*(open_done + self.count(open_text + segment[:k]) for k in range(1, len(segment))), done + 1]
                 done += 1
                 continue
+            open_text, open_done = segment, done
             for piece in self.pieces(segment):
                 counts = self.piece_counts(piece.encode("utf-8"))
                 ends, size = [], 0
@@ -212,9 +213,6 @@ class PrefixCounter:
             self._runs(segment, out)
         return out
 
-    def _open_piece(self, out: list[int], special: str) -> list[int]:
-        return [out[-1] + self.count(special[:k]) for k in range(1, len(special))]
-
     def _runs(self, segment: str, out: list[int]) -> None:
         base = len(out) - 1 - len(segment)
         for m in re.finditer(f"[{_SPACE}]+", segment):
