@@ -8,9 +8,10 @@ partitions in which they differ twice or more; in any other, two of the three pa
 subset is a common signature unless it is empty. Subsets that hold nothing are not signed. A partition
 with two filled parts or more (a solid one) has no empty subset, so a set signs partitions in their order
 until it has ``k // 2 + spare`` solid ones: partners then share ``spare`` signatures or more. A set with
-fewer solid partitions signs with the partitions of the next cutting too, and after the last cutting
-with a mark of its own, so no link is lost. Bands of small sets, whose links differ in three shingles at
-most, have one partition of ``k + 4`` parts, of which all subsets of four are signed.
+fewer solid partitions signs with the partitions of the next cutting too. If it still has too few after the last
+cutting, it signs its ``k + 1`` first shingles in the order of their hashes: of two such partners the first shingle that
+both hold is among them on either side, as at most ``k`` stand before it, so no link is lost. Bands of small sets,
+whose links differ in three shingles at most, have one partition of ``k + 4`` parts, of which all subsets of four are signed.
 
 Passages that many documents hold would fill many parts alike. Leaving any fixed set of shingles out of
 all documents leaves the difference of two documents as small as it was, so frequent shingles
@@ -265,8 +266,8 @@ def widest(i: int) -> int:
 
 @lru_cache(maxsize=1000)
 def spare(i: int, most: int) -> int:
-    """Signatures that partners of band ``i`` share at least."""
-    return 1 if begin(i) < 8 * most else most
+    """Signatures that partners of band ``i`` share at least. Sets of few shingles fill too few partitions for more."""
+    return 1 if begin(i) < 9 * most else most
 
 
 @lru_cache(maxsize=10_000)
@@ -340,7 +341,7 @@ def signatures(whole: Sets, rest: Sets, cfg: Settings) -> tuple[np.ndarray, np.n
     """(signatures, their owners, marks, their owners) of non-empty sets, whose infrequent shingles are ``rest``.
 
     Owners are ``2 * row + below``. A set takes further cuttings, and then its whole set, until it has enough
-    solid partitions; a mark is the band's number, for sets that nothing else is enough for.
+    solid partitions. Sets that nothing else is enough for sign their first shingles and are marked with the band's number.
     """
     sigs, owners, marks, marked = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], []
     sizes = whole.sizes.tolist()
@@ -373,6 +374,13 @@ def signatures(whole: Sets, rest: Sets, cfg: Settings) -> tuple[np.ndarray, np.n
             todo = np.sort(np.concatenate([*weak, np.zeros(0, np.int64)]))
         marks.append(bands[todo])
         marked.append(2 * todo + below)
+        left = np.zeros(len(whole), bool)
+        left[todo] = True
+        some = whole.where(left)
+        own = some.owner
+        first = np.arange(len(some.items)) - some.bounds[:-1][own] <= differ[todo][own]
+        sigs.append(mix(some.items[first] + mix(bands[todo].astype(np.uint64) * np.uint64(64) + np.uint64(63), 202)[own[first]], 300))
+        owners.append(2 * todo[own[first]] + below)
     return np.concatenate(sigs), np.concatenate(owners), np.concatenate(marks), np.concatenate(marked)
 
 
@@ -567,14 +575,14 @@ def groups(signed: DataFrame, sizes: DataFrame, cfg: Settings) -> DataFrame:
         size = np.diff(np.append(first, len(sig)))
         gid = mix(np.add.reduceat(mix(own.astype(np.uint64), 41), first) + size.astype(np.uint64), 43).astype(np.int64) if len(first) else np.zeros(0, np.int64)
         crowd = (size > cfg.crowded) & (not marks)
-        # How often an owner is in a crowd; a marked one has nothing but its mark to rely on.
+        # How often an owner is in a crowd; a marked one may share a single signature with a partner.
         burden, times = np.unique(own[np.repeat(crowd, size)], return_counts=True)
         if marks:
             burden = np.unique(owners)
             times = np.full(len(burden), cfg.spare)
         keep = np.zeros(len(first), bool)
         keep[np.unique(gid, return_index=True)[1]] = True
-        keep &= (size > 1) & ~crowd
+        keep &= (size > 1) & ~crowd & (not marks)
         rows = np.repeat(keep, size)
         crowd_gid, crowd_own = crowds([own[a : a + n] for a, n in zip(first[crowd].tolist(), size[crowd].tolist(), strict=True)])
         gids = np.concatenate([np.repeat(gid, size)[rows], crowd_gid, np.zeros(len(burden), np.int64)])
