@@ -142,29 +142,37 @@ def case_collisions(docs: DataFrame) -> DataFrame:
     return names.groupBy(F.lower("name").alias("folded")).agg(F.array_sort(F.collect_set("name")).alias("names")).where(F.size("names") > 1)
 
 
+#: What versions are compared by, in this order, and how changes are worded.
+VERSION_FIELDS = ("report_type", "document_kind", "client_name", "report_date")
+VERSION_LISTS = {"authors": "Authors", "contacts": "Contacts", "findings": "Key findings", "recommendations": "Recommendations"}
+FIRST_VERSION, NEW_CONTENT, NO_CHANGE = "Initial version captured.", "Document content changed from previous version.", "No significant structured changes detected."
+
+
 def versions(docs: DataFrame) -> DataFrame:
     """Versions of each path with their label and what changed against the version before.
 
-    ``docs``: source_path, content_hash, ingested_at, doc_id, report_date, report_type, title,
-    document_kind and the lists authors, contacts, findings, recommendations. A content seen before
-    under the same path is no new version.
+    ``docs``: source_path, content_hash, ingested_at, doc_id, the fields of ``VERSION_FIELDS`` (null is told as ``None``)
+    and the lists of ``VERSION_LISTS``, of which the first four values that came or went are named. A content seen before under the
+    same path is no new version.
     """
     key = forward(F.col("source_path"))
     first = Window.partitionBy("path", "content_hash").orderBy("ingested_at", "doc_id")
     own = docs.withColumn("path", key).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
     w = Window.partitionBy("path").orderBy("ingested_at", "doc_id")
-    prev = lambda c: F.lag(c).over(w)
-    show = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
-    scalars = [F.when(~prev(c).eqNullSafe(F.col(c)), F.concat(F.lit(f"{c}: "), show(prev(c)), F.lit(" -> "), show(F.col(c)))) for c in ("report_date", "report_type", "title", "document_kind")]
-    lists = []
-    for c in ("authors", "contacts", "findings", "recommendations"):
-        before = F.coalesce(prev(c), F.array().cast("array<string>"))
-        for word, gone in (("added", F.array_except(F.col(c), before)), ("removed", F.array_except(before, F.col(c)))):
-            lists.append(F.when(F.size(gone) > 0, F.concat(F.lit(f"{c} {word}: "), F.array_join(F.slice(F.array_sort(gone), 1, 4), ", "))))
-    changes = F.filter(F.array(*scalars, F.when(prev("content_hash") != F.col("content_hash"), F.lit("content changed")), *lists), lambda x: x.isNotNull())
-    number = F.row_number().over(w)
-    diff = F.when(number == 1, F.array(F.lit("Initial version captured."))).when(F.size(changes) == 0, F.array(F.lit("No significant structured changes detected."))).otherwise(changes)
-    return own.withColumn("changes", diff).withColumn("label", F.concat(F.lit("Version "), number)).withColumn("version", number)
+    compared = [*VERSION_FIELDS, "content_hash", *VERSION_LISTS]
+    own = own.withColumn("__n", F.row_number().over(w)).withColumn("__p", F.lag(F.struct(*compared)).over(w))
+    quoted = lambda c: F.concat(F.lit("'"), F.coalesce(c.cast("string"), F.lit("None")), F.lit("'"))
+    before = lambda c: F.col(f"__p.{c}")
+    parts = [F.when(~before(c).eqNullSafe(F.col(c)), F.concat(F.lit(f"{c} changed from "), quoted(before(c)), F.lit(" to "), quoted(F.col(c)), F.lit("."))) for c in VERSION_FIELDS]
+    parts.append(F.when(before("content_hash") != F.col("content_hash"), NEW_CONTENT))
+    none = F.array().cast("array<string>")
+    for c, label in VERSION_LISTS.items():
+        old, new = F.coalesce(before(c), none), F.coalesce(F.col(c), none)
+        for word, values in (("added", F.array_except(new, old)), ("removed", F.array_except(old, new))):
+            parts.append(F.when(F.size(values) > 0, F.concat(F.lit(f"{label} {word}: "), F.array_join(F.slice(F.array_sort(values), 1, 4), ", "), F.lit("."))))
+    changes = F.array_compact(F.array(*parts))
+    diff = F.when(F.col("__n") == 1, F.array(F.lit(FIRST_VERSION))).when(F.size(changes) == 0, F.array(F.lit(NO_CHANGE))).otherwise(changes)
+    return own.withColumn("changes", diff).withColumn("label", F.concat(F.lit("Version "), F.col("__n"))).withColumn("version", F.col("__n")).drop("__n", "__p")
 
 
 def node_history(rows: DataFrame, fact_columns: list[str]) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.extract import looks_like_document
 from ..functions.text import forward, name_key, slug, stem
+from .grouping import checkpointed
 
 #: Names that say nothing about a project (fixed values).
 GENERIC_PROJECTS = ("", "general project", "untitled project", "project", "report", "technical consulting")
@@ -43,24 +43,39 @@ def client_signals(docs: DataFrame) -> DataFrame:
 
 
 def duplicate_clients(docs: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """Pairs of clients with one name key, scored by what they share; the one with more documents is the target.
+    """The clients of one name key against the one of them that has most documents (the first in the alphabet on ties): each other
+    one with the score of what they share, so a key of n spellings gives n - 1 rows.
 
     The score adds up in a fixed order in double precision.
     """
     s = client_signals(docs).withColumn("key", name_key(F.col("client_name"))).where("key != ''")
-    a, b = s.select("key", *(F.col(c).alias(f"{c}_a") for c in s.columns if c != "key")), s.select("key", *(F.col(c).alias(f"{c}_b") for c in s.columns if c != "key"))
-    pairs = a.join(b, "key").where("client_name_a < client_name_b")
-    share = lambda c: F.arrays_overlap(f"{c}_a", f"{c}_b")
+    own = [c for c in s.columns if c != "key"]
+    target = s.groupBy("key").agg(F.min_by(F.struct(*own), F.struct(-F.col("doc_count"), F.lower("client_name"), "client_name")).alias("t"))
+    pairs = s.join(target, "key").where("client_name != t.client_name")
+    share = lambda c: F.arrays_overlap(c, f"t.{c}")
     plus = lambda ok, v: F.when(ok, v).otherwise(0.0)
-    score = F.lit(0.9) + plus(F.lower("client_name_a") == F.lower("client_name_b"), 0.03) + plus(share("codes"), 0.02) + plus(share("keys"), 0.02) + plus(share("refs"), 0.03) + plus(share("stems"), 0.03) + plus(F.least("doc_count_a", "doc_count_b") >= 3, 0.01)
-    first = (F.col("doc_count_a") > F.col("doc_count_b")) | ((F.col("doc_count_a") == F.col("doc_count_b")) & (F.col("client_name_a") < F.col("client_name_b")))
-    out = pairs.select(F.when(first, F.col("client_name_a")).otherwise(F.col("client_name_b")).alias("target"), F.when(first, F.col("client_name_b")).otherwise(F.col("client_name_a")).alias("source"), F.least(score, F.lit(1.0)).alias("confidence"))
-    return out.where(F.col("confidence") >= threshold)
+    score = F.lit(0.9) + plus(F.lower(F.trim("client_name")) == F.lower(F.trim("t.client_name")), 0.03) + plus(share("codes"), 0.02) + plus(share("keys"), 0.02) + plus(share("refs"), 0.03) + plus(share("stems"), 0.03) + plus(F.least("doc_count", "t.doc_count") >= 3, 0.01)
+    return pairs.select(F.col("t.client_name").alias("target"), F.col("client_name").alias("source"), F.least(score, F.lit(1.0)).alias("confidence")).where(F.col("confidence") >= threshold)
 
 
 def merge_map(candidates: DataFrame) -> DataFrame:
-    """(source, target) of an automatic merge: each source goes to its best target once."""
-    return candidates.groupBy("source").agg(F.min_by("target", F.struct(-F.col("confidence"), F.lower("target"))).alias("target"))
+    """(source, target): the client that each source ends up in when the candidates are carried out one after the other.
+
+    The order is that of falling confidence, then target and source in lower case. A merge moves all that has the source's name
+    by then, so from a source the first of its candidates is taken, from that one's target the first later one, and so on. Each
+    candidate points to the next one that way; pointers are doubled until none moves, in as many rounds as the longest chain's logarithm.
+    """
+    at = F.struct((-F.col("confidence")).alias("c"), F.lower("target").alias("t"), F.lower("source").alias("s"), F.col("target").alias("target"), F.col("source").alias("source"))
+    steps = candidates.where("trim(source) != '' and trim(target) != '' and trim(source) != trim(target)").select(at.alias("at"), "source", "target").distinct()
+    later = Window.partitionBy("name").orderBy("at", "leaves").rowsBetween(1, Window.unboundedFollowing)
+    ends = steps.select("at", F.col("source").alias("name"), F.lit(True).alias("leaves")).unionByName(steps.select("at", F.col("target").alias("name"), F.lit(False).alias("leaves")))
+    following = ends.withColumn("next", F.first(F.when(F.col("leaves"), F.col("at")), ignorenulls=True).over(later)).where("not leaves").select("at", "next")
+    jump = checkpointed(following.withColumn("last", F.col("at")))
+    while not jump.where("next is not null").isEmpty():
+        there = jump.select(F.col("at").alias("next"), F.col("next").alias("far"), F.col("last").alias("end"))
+        jump = checkpointed(jump.join(there, "next", "left").select("at", F.col("far").alias("next"), F.coalesce("end", "last").alias("last")))
+    first = steps.groupBy("source").agg(F.min("at").alias("at"))
+    return first.join(jump, "at").select("source", F.col("last.target").alias("target")).where("source != target")
 
 
 def suspicious_clients(docs: DataFrame) -> DataFrame:
@@ -164,42 +179,6 @@ def match_projects(docs: DataFrame, projects: DataFrame) -> DataFrame:
     return best.where("evidence >= 2 and score >= 6 and score - second >= 2").select("doc_id", "project_key", "score")
 
 
-def cluster_projects(docs: DataFrame) -> DataFrame:
-    """Greedy single-pass clustering of each client's documents, newest first, with a key per group.
-
-    A document joins the first best group that scores 7 or more: its key 7, code 6, name 4, each shared
-    reference 5, same year 1, another year -1. The groups grow as documents join, so the result
-    depends on the order; a client's documents are clustered by one task.
-    Columns: client_name, doc_id, ingested_at, project_key, project_code, project_name, refs, year.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ingested_at", "doc_id"], ascending=[False, True], kind="stable")
-        found: list[dict] = []
-        place = []
-        for row in pdf.itertuples(index=False):
-            refs = set(row.refs if row.refs is not None else [])
-            best, score = None, 6
-            for g in found:
-                s = 7 * (bool(row.project_key) and row.project_key in g["project_key"]) + 6 * (bool(row.project_code) and row.project_code in g["project_code"])
-                s += 4 * ((row.project_name or "").lower() not in GENERIC_PROJECTS and row.project_name in g["project_name"]) + 5 * len(refs & g["refs"])
-                if row.year and g["year"]:
-                    s += 1 if row.year in g["year"] else -1
-                if s > score:
-                    best, score = g, s
-            if best is None:
-                best = {"n": len(found), "project_key": set(), "project_code": set(), "project_name": set(), "refs": set(), "year": set()}
-                found.append(best)
-            for c in ("project_key", "project_code", "project_name", "year"):
-                if getattr(row, c):
-                    best[c].add(getattr(row, c))
-            best["refs"] |= refs
-            place.append(best["n"])
-        return pd.DataFrame({"client_name": pdf["client_name"], "doc_id": pdf["doc_id"], "cluster": place})
-
-    return docs.groupBy("client_name").applyInPandas(run, "client_name string, doc_id long, cluster int")
-
-
 def cluster_keys(clusters: DataFrame, docs: DataFrame) -> DataFrame:
     """(client_name, cluster, project_code, project_name, project_key, refs): the voted code and name, and a
     slug that repeats with ``-2``, ``-3`` ..."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, extract, money, text
 from ..operators import documents as docs_ops
 from ..operators import events as event_ops
-from ..operators import evaluation, fields, resolve, retrieval, scans, store
+from ..operators import evaluation, fields, grouping, resolve, retrieval, scans, store
 
 SPELLED_SQL = "spelled as (select *, case when doc_id % 5 = 0 then upper(client_name) when doc_id % 7 = 0 then lower(client_name) else client_name end as spelt from docs)"
 
@@ -180,10 +180,12 @@ def filename_mismatch(spark, d):
     return a.where(extract.filename_mismatch(F.col("source_path"), F.col("document_kind"))).select("doc_id")
 
 
-@query("report_versions", """with {docs}, v as (select *, lag(report_date) over w p, row_number() over w n from docs window w as (partition by source_path order by ingested_at, doc_id))
- select source_path, n::int as version, 'Version ' || n as label, case when n = 1 then 'Initial version captured.' else concat_ws('; ', case when p <> report_date then 'report_date: ' || p || ' -> ' || report_date end, 'content changed') end changes from v""")
+@query("report_versions", """with {docs}, r as (select *, case when doc_id % 13 = 0 then upper(client_name) else client_name end shown from docs), v as (select *, lag(report_date) over w p, lag(shown) over w pc, row_number() over w n from r window w as (partition by source_path order by ingested_at, doc_id))
+ select source_path, n::int as version, 'Version ' || n as label, case when n = 1 then 'Initial version captured.' else concat_ws(' ', case when pc <> shown then 'client_name changed from ''' || pc || ''' to ''' || shown || '''.' end, case when p <> report_date then 'report_date changed from ''' || p || ''' to ''' || report_date || '''.' end, 'Document content changed from previous version.') end changes from v""")
 def report_versions(spark, d):
-    return docs_ops.versions(analysed(spark, d)).select(F.col("path").alias("source_path"), "version", "label", F.array_join("changes", "; ").alias("changes"))
+    """Some versions spell their client in capitals."""
+    a = analysed(spark, d).withColumn("client_name", F.when(F.col("doc_id") % 13 == 0, F.upper("client_name")).otherwise(F.col("client_name")))
+    return docs_ops.versions(a).select(F.col("path").alias("source_path"), "version", "label", F.array_join("changes", " ").alias("changes"))
 
 
 @query("node_history", "with {docs} select doc_id, coalesce(lag(document_kind) over w is distinct from document_kind and row_number() over w > 1, false) superseded, row_number() over (partition by client_name, project_code order by ingested_at desc, doc_id desc) = 1 is_current from docs window w as (partition by client_name, project_code order by ingested_at, doc_id)")
@@ -244,13 +246,27 @@ def distinct_clients(spark, d):
     return docs_ops.distinct_values(spelled(spark, d), "client_name")
 
 
-@query("duplicate_clients", """with {docs}, {spelled}, s as (select spelt, regexp_replace(lower(spelt), '[^a-z0-9]', '', 'g') k, count(*) n, list(distinct lower(project_code)) codes, list(distinct regexp_replace(source_path, '.*/|[.]txt$', '', 'g')) stems from spelled group by 1),
- p as (select a.spelt a, b.spelt b, a.n an, b.n bn, 0.9::double + 0.03::double + case when list_has_any(a.codes, b.codes) then 0.02::double else 0 end + case when list_has_any(a.codes, b.codes) then 0.02::double else 0 end + case when list_has_any(a.stems, b.stems) then 0.03::double else 0 end + case when least(a.n, b.n) >= 3 then 0.01::double else 0 end score from s a join s b on a.k = b.k and a.spelt < b.spelt)
- select case when an >= bn then a else b end target, case when an >= bn then b else a end source, round(least(score, 1.0), 6) confidence from p where score >= 0.95""")
+_DUPLICATES_SQL = """{docs}, {spelled}, s as (select spelt, regexp_replace(lower(spelt), '[^a-z0-9]', '', 'g') k, count(*) n, list(distinct lower(project_code)) codes, list(distinct regexp_replace(source_path, '.*/|[.]txt$', '', 'g')) stems from spelled group by 1),
+ o as (select *, row_number() over (partition by k order by n desc, lower(spelt), spelt) place from s),
+ p as (select t.spelt target, c.spelt source, t.n tn, c.n cn, 0.9::double + 0.03::double + case when list_has_any(t.codes, c.codes) then 0.02::double + 0.02::double + 0.03::double else 0 end + case when list_has_any(t.stems, c.stems) then 0.03::double else 0 end + case when least(t.n, c.n) >= 3 then 0.01::double else 0 end score
+  from o t join o c on t.k = c.k and t.place = 1 and c.place > 1),
+ found as (select target, source, round(least(score, 1.0), 6) confidence from p where score >= 0.95)"""
+
+
+@query("duplicate_clients", "with " + _DUPLICATES_SQL + " select target, source, confidence from found")
 def duplicate_clients(spark, d):
+    """Documents that share a code share a reference, too: every text names its code as one."""
     return resolve.duplicate_clients(spelled(spark, d)).withColumn("confidence", F.round("confidence", 6))
 
 
+@query("auto_merged_clients", "with " + _DUPLICATES_SQL + " select coalesce(f.target, s.spelt) client_name, count(*) n from spelled s left join found f on f.source = s.spelt group by 1")
+def auto_merged_clients(spark, d):
+    """Documents of each client after sure duplicates have been merged."""
+    docs = spelled(spark, d).select("client_name", "doc_id", "project_code", "project_key", "related_references", "source_stem")
+    merges = resolve.merge_map(resolve.duplicate_clients(docs))
+    return store.rename_client(docs.select("client_name", "doc_id"), merges).groupBy("client_name").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("clients_by_reference", "select distinct l_suppkey::varchar client_name from lineitem where l_partkey % 50 = 3")
 def clients_by_reference(spark, d):
     li = t(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("client_name"), F.array(F.concat(F.lit(" part-"), F.col("l_partkey").cast("string"))).alias("related_references"))
@@ -272,10 +288,38 @@ def project_matches(spark, d):
     return resolve.match_projects(a, known)
 
 
+def _clustered(spark, d):
+    a = analysed(spark, d).withColumn("refs", F.col("related_references")).withColumn("year", F.substring("report_date", 1, 4))
+    return a.select("client_name", "doc_id", "ingested_at", "project_key", "project_code", "project_name", "refs", "year")
+
+
 @query("project_clusters")
 def project_clusters(spark, d):
-    a = analysed(spark, d).withColumn("refs", F.col("related_references")).withColumn("year", F.substring("report_date", 1, 4))
-    return resolve.cluster_projects(a.select("client_name", "doc_id", "ingested_at", "project_key", "project_code", "project_name", "refs", "year"))
+    return grouping.cluster_projects(_clustered(spark, d))
+
+
+@query("project_cluster_keys")
+def project_cluster_keys(spark, d):
+    docs = grouping.checkpointed(_clustered(spark, d))
+    return resolve.cluster_keys(grouping.cluster_projects(docs), docs).drop("refs")
+
+
+def _partly_keyed(spark, d):
+    """Documents of which two in three have lost their key, some of these their code as well; each client's newest keeps both."""
+    k, newest = F.col("doc_id"), F.row_number().over(Window.partitionBy("client_name").orderBy(F.desc("ingested_at"), "doc_id")) == 1
+    a = analysed(spark, d).withColumn("document_stem", text.stem(F.col("source_path"))).withColumn("newest", newest)
+    return a.withColumns({"project_key": F.when((k % 3 == 0) | F.col("newest"), F.col("project_key")), "project_code": F.when((k % 6 != 1) | F.col("newest"), F.col("project_code"))}).drop("newest")
+
+
+@query("fuzzy_groups", "with {docs} select client_name, doc_id, lower(project_code) project_key from docs")
+def fuzzy_groups(spark, d):
+    """Each client's documents name one code as a reference and share their contact, so all of them belong to its key."""
+    return grouping.fuzzy_groups(_partly_keyed(spark, d))
+
+
+@query("fuzzy_rollup", "with {docs} select client_name, lower(project_code) project_key, count(*) filter (document_kind = 'report') reports, count(*) filter (document_kind <> 'report') other_documents, max(report_date) latest_date from docs group by 1, 2")
+def fuzzy_rollup(spark, d):
+    return grouping.grouped_rollup(grouping.checkpointed(_partly_keyed(spark, d))).select("client_name", "project_key", "reports", "other_documents", "latest_date")
 
 
 # Strings --------------------------------------------------------------------------------------

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from foliant.operators import documents, events, resolve, retrieval, store
+from foliant.operators import documents, events, grouping, resolve, retrieval, store
 
 
 def test_latest_and_versions(spark):
@@ -8,9 +8,9 @@ def test_latest_and_versions(spark):
     df = spark.createDataFrame(rows, "doc_id long, source_path string, ingested_at string, content_hash string, report_date string, authors array<string>")
     assert {r.doc_id for r in documents.latest(df).collect()} == {3, 4}
     none = F.array().cast("array<string>")
-    full = df.withColumns({"report_type": F.lit("r"), "title": F.lit("t"), "document_kind": F.lit("report"), "contacts": none, "findings": none, "recommendations": none})
+    full = df.withColumns({"report_type": F.lit("r"), "title": F.lit("t"), "document_kind": F.lit("report"), "client_name": F.lit(None).cast("string"), "contacts": none, "findings": none, "recommendations": none})
     got = {(r.path, r.version): r.changes for r in documents.versions(full).collect()}
-    assert got == {("p", 1): ["Initial version captured."], ("p", 2): ["report_date: d1 -> d2", "content changed", "authors added: y"], ("q", 1): ["Initial version captured."]}
+    assert got == {("p", 1): ["Initial version captured."], ("p", 2): ["report_date changed from 'd1' to 'd2'.", "Document content changed from previous version.", "Authors added: y."], ("q", 1): ["Initial version captured."]}
 
 
 def test_undated_rows(spark):
@@ -43,7 +43,7 @@ def test_resolution(spark):
 def test_clusters(spark):
     rows = [("c", 1, "2020", "k1", "A", "n", ["R1"], "2020"), ("c", 2, "2021", "k2", "B", "n2", ["R1", "R2"], "2020"), ("c", 3, "2022", "k3", "B", "n3", ["R2"], "2020")]
     df = spark.createDataFrame(rows, "client_name string, doc_id long, ingested_at string, project_key string, project_code string, project_name string, refs array<string>, year string")
-    got = {r.doc_id: r.cluster for r in resolve.cluster_projects(df).collect()}
+    got = {r.doc_id: r.cluster for r in grouping.cluster_projects(df).collect()}
     assert got[3] == got[2] and got[1] != got[2]
 
 
