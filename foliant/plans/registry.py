@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, extract, money, text
 from ..operators import documents as docs_ops
 from ..operators import events as event_ops
-from ..operators import evaluation, fields, grouping, resolve, retrieval, scans, store
+from ..operators import cascade, evaluation, fields, grouping, resolve, retrieval, scans, store
 
 SPELLED_SQL = "spelled as (select *, case when doc_id % 5 = 0 then upper(client_name) when doc_id % 7 = 0 then lower(client_name) else client_name end as spelt from docs)"
 
@@ -515,6 +515,84 @@ def reassigned_projects(spark, d):
     return out.groupBy("project_key").agg(F.count(F.lit(1)).alias("n"))
 
 
+_MOVED = "document_kind = 'quote' and project_code in ('PRJ-3', 'PRJ-4')"
+
+
+def _moves(a: DataFrame) -> DataFrame:
+    """Quotes of one project move to another, those of a second one lose theirs."""
+    to = F.col("project_code") == "PRJ-3"
+    named = lambda v: F.when(to, v).otherwise(" ")
+    return a.where(_MOVED).select("client_name", "source_path", named("moved").alias("project_key"), named("Moved").alias("project_name"), named("M-1").alias("project_code"), F.array(F.lit(" R-9 "), F.lit("")).alias("related_references"), F.col("project_key").alias("old_project_key")).distinct()
+
+
+def _project_tables(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    a = analysed(spark, d).select("doc_id", "source_path", "client_name", "document_kind", "project_key", "project_name", "project_code", "related_references")
+    a = a.withColumn("related_references", F.array("project_code"))
+    rows = a.drop("document_kind")
+    owned = a.select("client_name", "project_key", "document_kind").distinct()
+    tables = {
+        "documents": rows, "vectors": rows.withColumnRenamed("source_path", "source_document"), "versions": rows.withColumn("snapshot", F.struct(*cascade.PROJECT)),
+        "project_summaries": owned.where("document_kind = 'invoice'"), "project_key_fields": owned,
+    }
+    return tables, _moves(a)
+
+
+_MOVED_SQL = f"""{{docs}}, m as (select *, {_MOVED} hit, project_code = 'PRJ-3' "to" from docs),
+ after as (select doc_id, document_kind, client_name, hit, case when not hit then lower(project_code) when "to" then 'moved' end project_key, case when not hit then project_code when "to" then 'M-1' end project_code, case when hit then 'R-9' else project_code end refs, project_code before from m),
+ touched as (select distinct client_name, unnest([project_key, lower(before)]) project_key from after where hit), owned as (select distinct client_name, lower(project_code) project_key, document_kind from docs)"""
+
+
+@query("reassigned_tables", f"""with {_MOVED_SQL} select 'documents' table_name, doc_id::varchar id, project_key, project_code, refs from after union all select 'vectors', doc_id::varchar, project_key, project_code, refs from after
+ union all select 'versions', doc_id::varchar, project_key, coalesce(project_code, '') || '/' || coalesce(project_code, ''), before from after
+ union all select t, client_name || document_kind, project_key, null, null from (select 'project_key_fields' t, * from owned union all select 'project_summaries', * from owned where document_kind = 'invoice') o where not exists (select 1 from touched x where x.client_name = o.client_name and x.project_key = o.project_key)""")
+def reassigned_tables(spark, d):
+    out, _ = cascade.reassign(*_project_tables(spark, d))
+    refs, none = F.array_join("related_references", ",").alias("refs"), F.lit(None).cast("string")
+    both = F.concat_ws("/", F.coalesce("project_code", F.lit("")), F.coalesce("snapshot.project_code", F.lit(""))).alias("project_code")
+    parts = [out[n].select(F.lit(n).alias("table_name"), F.col("doc_id").cast("string").alias("id"), "project_key", both if n == "versions" else "project_code", refs) for n in ("documents", "vectors", "versions")]
+    parts += [out[n].select(F.lit(n).alias("table_name"), F.concat("client_name", "document_kind").alias("id"), "project_key", none.alias("project_code"), none.alias("refs")) for n in ("project_summaries", "project_key_fields")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("reassigned_counts", f"""with {_MOVED_SQL} select 'updated_documents' as name, count(*) n from after where hit union all select 'updated_vectors', count(*) from after where hit union all select 'updated_versions', count(*) from after where hit
+ union all select 'cleared_project_summaries', count(*) from owned join touched using (client_name, project_key) where document_kind = 'invoice' union all select 'cleared_project_key_fields', count(*) from owned join touched using (client_name, project_key)""")
+def reassigned_counts(spark, d):
+    return cascade.reassign(*_project_tables(spark, d))[1]
+
+
+_REDATED_SQL = """{docs}, l as (select source_path, arg_max(doc_id, struct_pack(ingested_at, doc_id)) newest, document_kind = 'report' and regexp_extract(source_path, '_([0-9]+)[.]', 1)::int % 5 = 0 hit from docs group by source_path, document_kind),
+ j as (select docs.*, l.hit, l.newest from docs join l using (source_path)), pr as (select client_name, lower(project_code) project_key, list(distinct source_path order by source_path) paths, max(case when doc_id % 2 = 0 then report_date end) own from docs group by 1, 2),
+ pp as (select client_name, project_key, own, list_transform(paths, lambda p: p || '=' || case when p like '%report%' and regexp_extract(p, '_([0-9]+)[.]', 1)::int % 5 = 0 then '2030-02-03' else '' end) entries from pr)"""
+
+
+@query("report_date_cascade", f"""with {_REDATED_SQL} select 'documents' table_name, doc_id::varchar id, case when hit and doc_id = newest then '2030-02-03' else report_date end report_date from j
+ union all select 'timeline', doc_id::varchar, case when doc_id % 3 <> 0 then report_date when hit then '2030-02-03' end from j
+ union all select 'profiles', client_name || '/' || project_key, concat_ws(';', coalesce(own, case when len(list_filter(entries, lambda e: e like '%2030%')) > 0 then '2030-02-03' end), array_to_string(entries, ';')) from pp
+ union all select 'found', source_path, 'true' from l where hit union all select 'found', 'nowhere.txt', 'false'""")
+def report_date_cascade(spark, d):
+    """Dates set for the reports of every fifth customer, and for a path that no document has."""
+    a = grouping.checkpointed(analysed(spark, d).select("doc_id", "source_path", "ingested_at", "content_hash", "document_kind", "client_name", "project_key", "report_date"))
+    events = a.select("doc_id", F.col("source_path").alias("source_document"), F.when(F.col("doc_id") % 3 != 0, F.col("report_date")).alias("event_date"))
+    entries = F.transform(F.array_sort(F.collect_set("source_path")), lambda p: F.struct(p.alias("path"), F.lit(None).cast("string").alias("date")))
+    profiles = a.groupBy("client_name", F.col("project_key").alias("node_path")).agg(entries.alias("source_reports"), F.max(F.when(F.col("doc_id") % 2 == 0, F.col("report_date"))).alias("report_date"))
+    fifth = F.regexp_extract("source_path", r"_(\d+)[.]", 1).cast("int") % 5 == 0
+    changes = a.where((F.col("document_kind") == "report") & fifth).select(F.regexp_replace("source_path", "/", "\\\\").alias("source_path")).distinct().unionByName(spark.range(1).select(F.lit("nowhere.txt").alias("source_path")))
+    out = cascade.set_report_dates(a, events, profiles, changes.withColumn("report_date", F.lit("2030-02-03")))
+    told = F.concat_ws(";", "report_date", F.array_join(F.transform("source_reports", lambda r: F.concat(r["path"], F.lit("="), F.coalesce(r["date"], F.lit("")))), ";"))
+    rows = lambda n, i, v: out[n].select(F.lit(n).alias("table_name"), i.cast("string").alias("id"), v.cast("string").alias("report_date"))
+    parts = [rows("documents", F.col("doc_id"), F.col("report_date")), rows("timeline", F.col("doc_id"), F.col("event_date")), rows("profiles", F.concat_ws("/", "client_name", "node_path"), told), rows("found", F.col("source_path"), F.col("found"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("node_states", """with {docs}, f as (select *, 'n' || doc_id % 2 facts from docs), s as (select *, lead(facts) over w nf, lead(source_path) over w superseded_by, count(distinct source_path) over (partition by client_name, project_code order by ingested_at, doc_id rows unbounded preceding) n_reports from f window w as (partition by client_name, project_code order by ingested_at, doc_id)),
+ k as (select * from s where superseded_by is null or nf <> facts) select doc_id, superseded_by, n_reports::int n_reports, (row_number() over (partition by client_name, project_code order by ingested_at, doc_id))::int as "version" from k""")
+def node_states(spark, d):
+    """States of each project's node, where only a name tells the documents apart."""
+    a = analysed(spark, d).select("client_name", F.col("project_key").alias("node_path"), "ingested_at", "doc_id", "source_path", "report_date")
+    rows = a.withColumnRenamed("report_date", "day").withColumn("report_date", F.lit(None).cast("string")).withColumn("project_name", F.concat(F.lit("n"), (F.col("doc_id") % 2).cast("string")))
+    return cascade.node_states(rows).select("doc_id", "superseded_by", F.size("source_reports").alias("n_reports"), "version")
+
+
 # Evaluation -----------------------------------------------------------------------------------
 
 
