@@ -418,8 +418,10 @@ def hybrid_search(spark, d):
 
 
 def _document_chunks(spark, d):
-    c = retrieval.chunks(t(spark, d, "documents").where("doc_id is not null").select("doc_id", "text"))
-    return c.withColumn("row_id", F.concat_ws(":", "doc_id", "chunk_index"))
+    """Chunks of all documents; one without an id is named by its content."""
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    named = docs.withColumn("row_name", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), text.content_hash(F.col("text")))))
+    return retrieval.chunks(named).withColumn("row_id", F.concat_ws(":", "row_name", "chunk_index")).drop("row_name")
 
 
 @query("bm25_pool_all")
@@ -427,8 +429,20 @@ def bm25_pool_all(spark, d):
     """All chunks of ``documents`` are the pool of each query, the first chunks of every 50th document."""
     rows = _document_chunks(spark, d)
     asked = rows.where((F.col("doc_id") % ASKED == 0) & (F.col("chunk_index") == 0)).select(F.col("row_id").alias("query_id"), F.col("chunk_text").alias("q"))
-    pool = rows.select("row_id", "chunk_text").crossJoin(asked)
-    return retrieval.bm25(pool, "query_id", "row_id", "chunk_text", "q").select("query_id", "row_id", F.round("lexical", 6).alias("lexical"))
+    return retrieval.bm25_postings(rows.select("row_id", "chunk_text"), asked).select("query_id", "row_id", F.round("lexical", 6).alias("lexical"))
+
+
+@query("bm25_documents", r"""with d as (select doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}'), lambda x: not list_contains(['the','and','for','with','from','this','that','what','when','where','which','about','project','client','field'], x)) w from documents where doc_id is not null),
+ n as (select count(*) n, avg(greatest(len(w), 1)) al from d), qf as (select query_id, term, count(*) qtf from (select doc_id query_id, unnest(w) term from d where doc_id % 50 = 0) group by 1, 2), tf as (select doc_id, term, count(*) tf from (select doc_id, unnest(w) term from d) group by 1, 2), df as (select term, count(*) df from tf group by 1),
+ r as (select query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (1 - 0.72 + 0.72 * greatest(len(w), 1) / al)) * (1 + 0.05 * greatest(0, qtf - 1))) raw from tf join qf using (term) join df using (term) join d using (doc_id), n group by 1, 2),
+ s as (select query_id, doc_id, round(raw / max(raw) over (partition by query_id), 6) lexical from r), o as (select *, row_number() over (partition by query_id order by lexical desc, doc_id) place from s) select query_id, doc_id, lexical from o where place <= 10""")
+def bm25_documents(spark, d):
+    """The ten best of all documents for each 50th document's text."""
+    docs = t(spark, d, "documents").where("doc_id is not null").select("doc_id", "text")
+    asked = docs.where(F.col("doc_id") % ASKED == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("q"))
+    found = retrieval.bm25_postings(docs, asked, row="doc_id", text="text").withColumn("lexical", F.round("lexical", 6))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lexical"), "doc_id"))
+    return found.withColumn("place", place).where("place <= 10").select("query_id", "doc_id", "lexical")
 
 
 @query("hybrid_search_all")
