@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import content_hash
 from ..sources.readers import EVENT_SCHEMA, documents
@@ -19,15 +23,41 @@ def hourly_counts(events: DataFrame, late: str = "10 minutes", every: str = "1 h
     return events.withWatermark("ts", late).groupBy(F.window("ts", every), "event").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event", "n")
 
 
-def paired(events: DataFrame, longest: str = "1 hour") -> DataFrame:
-    """End events with the last start of their path in the time before: a stream join whose state is bounded by
-    the watermarks, and of the starts that meet one end the latest."""
-    starts = events.where("event = 'file_started'").select(F.col("path").alias("p"), F.col("ts").alias("started")).withWatermark("started", longest)
-    ends = events.where("event in ('file_completed', 'file_error')").select("path", "ts", "event").withWatermark("ts", longest)
-    near = F.expr(f"path = p and started <= ts and started >= ts - interval {longest}")
-    # An end is a group of its own, which closes when the watermark has passed it.
-    met = ends.join(starts, near).groupBy("path", "event", "ts").agg(F.max("started").alias("started"))
-    return met.select("path", "ts", "event", "started", ((F.unix_micros("ts") - F.unix_micros("started")) / 1e6).alias("seconds"))
+START, ENDS = "file_started", ("file_completed", "file_error")
+
+
+def paired(events: DataFrame, forget: str | None = None) -> DataFrame:
+    """End events with the last start of their path, however far back, and the seconds between (never negative).
+
+    The state of a path is its last start's time; a start serves every end after it. Within a batch rows go by time, a start before an end of
+    the same time. An end without a start before it gives no row, nor does a row without a path or time. The state holds one number
+    for each path; with ``forget`` (an interval of processing time) that of a path which has been silent for so long goes.
+    """
+    wanted = events.where(F.col("event").isin(START, *ENDS) & F.col("path").isNotNull() & F.col("ts").isNotNull()).select("path", "event", F.unix_micros("ts").alias("us"))
+    ms = None if forget is None else int(pd.Timedelta(forget).total_seconds() * 1000)
+
+    def pair(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts))
+        rows = rows.assign(late=rows["event"] != START).sort_values(["us", "late"], kind="stable")
+        # A batch's rows follow the start that was known before it.
+        known = state.get[0] if state.exists else None
+        started = rows["us"].where(~rows["late"]).astype("Int64").ffill()
+        started = started if known is None else started.fillna(known)
+        if ms is not None:
+            state.setTimeoutDuration(ms)
+        if pd.notna(started.iloc[-1]):
+            state.update((int(started.iloc[-1]),))
+        hit = rows["late"] & started.notna()
+        if hit.any():
+            yield pd.DataFrame({"path": key[0], "us": rows.loc[hit.to_numpy(), "us"], "event": rows.loc[hit.to_numpy(), "event"], "started_us": started[hit.to_numpy()].astype("int64")})
+
+    timeout = GroupStateTimeout.NoTimeout if ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    met = wanted.groupBy("path").applyInPandasWithState(pair, "path string, us long, event string, started_us long", "us long", "append", timeout)
+    seconds = F.greatest(F.lit(0.0), (F.col("us") - F.col("started_us")) / 1e6)
+    return met.select("path", F.timestamp_micros("us").alias("ts"), "event", F.timestamp_micros("started_us").alias("started"), seconds.alias("seconds"))
 
 
 def folder_stream(spark: SparkSession, path: str, late: str = "7 days") -> DataFrame:

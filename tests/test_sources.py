@@ -1,5 +1,6 @@
 import io
 import json
+import os
 import zipfile
 
 from foliant.sources import readers
@@ -38,18 +39,28 @@ def test_stream(spark, tmp_path):
 
 
 def test_stream_pairs_the_last_start(spark, tmp_path):
+    """The stream gives what the batch operator gives on the same events, starts of hours before and of earlier batches included."""
     import json
+    import random
+
+    from pyspark.sql import functions as F
+
+    from foliant.operators import events as batch
 
     (tmp_path / "in").mkdir()
-    rows = [("file_started", "10:00:00", "p"), ("file_started", "10:05:00", "p"), ("file_completed", "10:10:00", "p"), ("file_error", "10:20:00", "p")]
-    later = [(e, at, "q") for at in ("15:00:00", "20:00:00") for e in ("file_started", "file_completed")]
-    for k, part in enumerate([rows, later[:2], later[2:]]):
-        (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps({"event": e, "ts": f"2024-01-01T{at}", "path": p}) for e, at, p in part))
-    events = log.event_stream(spark, str(tmp_path / "in")).where("ts is not null")
-    q = log.paired(events).writeStream.format("memory").queryName("pairs").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {(r.event, r.seconds) for r in spark.table("pairs").where("path = 'p'").collect()}
-    assert got == {("file_completed", 300.0), ("file_error", 900.0)}
+    rng = random.Random(1)
+    rows = [("file_started", "2024-01-01T10:00:00", "p"), ("file_started", "2024-01-01T10:05:00", "p"), ("file_completed", "2024-01-01T10:10:00", "p"), ("file_error", "2024-01-03T10:20:00", "p"), ("file_completed", "2024-01-01T00:00:00", "lonely"), ("file_read", "2024-01-01T10:06:00", "p")]
+    rows += sorted(((rng.choice(["file_started", "file_completed", "file_error"]), f"2024-02-{rng.randrange(1, 28):02d}T{rng.randrange(24):02d}:{rng.randrange(60):02d}:{k % 60:02d}", f"q{rng.randrange(6)}") for k in range(120)), key=lambda r: r[1])
+    for k in range(0, len(rows), 20):
+        (tmp_path / "in" / f"{k:03d}.json").write_text("\n".join(json.dumps({"event": e, "ts": at, "path": p}) for e, at, p in rows[k : k + 20]))
+        os.utime(tmp_path / "in" / f"{k:03d}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+    one = spark.readStream.schema("ts string, event string, path string").option("maxFilesPerTrigger", 2).json(str(tmp_path / "in")).withColumn("ts", F.try_to_timestamp("ts"))
+    q = log.paired(one).writeStream.format("memory").queryName("pairs").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert q.awaitTermination(240) and q.exception() is None
+    got = sorted((r.path, r.ts, r.event, r.seconds) for r in spark.table("pairs").collect())
+    lines = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "line long, event string, at string, path string").withColumn("ts", F.to_timestamp("at"))
+    assert got == sorted((r.path, r.ts, r.event, r.seconds) for r in batch.durations(lines).collect()) and len(got) > 50
+    assert {(r[2], r[3]) for r in got if r[0] == "p"} == {("file_completed", 300.0), ("file_error", 173700.0)}
 
 
 def test_folder_stream(spark, tmp_path):
