@@ -45,7 +45,8 @@ AREAS = {
     "Operations": "operation|outage|shutdown|throughput",
 }
 FINDINGS, RECOMMENDATIONS = ("findings", "key findings"), ("recommendations", "actions")
-PROJECT_PATH_TOKENS = "piping electrical mechanical civil structural condition survey integrity assessment reliability audit overhaul review".split()
+# Words of a folder's name that belong to the project.
+PROJECT_PATH_TOKENS = ("piping", "electrical", "mechanical", "civil", "structural", "condition", "survey", "integrity", "assessment", "reliability", "audit", "overhaul", "review")
 
 
 # The patterns of the fields, in their order. They don't mind case; ``^`` and ``$`` are the ends of lines.
@@ -175,28 +176,52 @@ def guess_client(text: Column, path: Column) -> Column:
 
 
 def client_from_path(path: Column) -> Column:
-    """For a folder ``report_<n>_<year>_<client>_<project words>``: the words between year and project."""
-    folder = F.regexp_extract(forward(path), r"(report_[^/]*)/[^/]*$", 1)
-    words = F.split(F.regexp_extract(folder, r"_(?:19|20)\d{2}_(.*)$", 1), "_")
-    stop = F.array_position(F.transform(words, lambda w: F.lower(w).isin(*PROJECT_PATH_TOKENS)), True)
-    own = F.when(stop > 0, F.slice(words, F.lit(1), stop.cast("int") - 1)).otherwise(words)
-    return F.nullif(title_case(F.array_join(own, " ")), F.lit(""))
-
-
-def project_from_path(path: Column) -> Column:
-    """Struct of a project's name and code derived from its folder or file."""
-    name = title_case(F.regexp_replace(F.regexp_replace(stem(path), "[_-]+", " "), r"^\s+|\s+$", ""))
-    words = F.split(name, " ")
-    code = F.array_join(F.array_compact(F.array(F.array_join(F.transform(words, lambda w: F.upper(F.substring(w, 1, 1))), ""), F.upper(F.substring(F.try_element_at(words, F.lit(1)), 1, 3)), year(path))), "-")
-    return F.struct(name.alias("project_name"), code.alias("project_code"))
+    """From a folder ``report_..._<year>_<client>_<project words>``, the file's or the one above: the words between year and project."""
+    at = F.split(forward(path), "/")
+
+    def named(folder: Column) -> Column:
+        words = F.filter(F.split(F.lower(folder), "_"), lambda w: w != "")
+        since = F.array_position(F.transform(words, lambda w: w.rlike(r"^\d{4}$")), True)
+        after = F.when(since > 0, F.slice(words, since.cast("int") + 1, F.greatest(F.size(words), F.lit(1))))
+        stop = F.array_position(F.transform(after, lambda w: w.isin(*PROJECT_PATH_TOKENS)), True)
+        own = F.when(stop > 0, F.slice(after, F.lit(1), stop.cast("int") - 1)).otherwise(after)
+        own = F.filter(own, lambda w: ~w.isin("report", "v2"))
+        return F.when(F.lower(folder).startswith("report_"), F.nullif(clean_client(title_case(F.array_join(own, " "))), F.lit("")))
+
+    return F.coalesce(named(F.try_element_at(at, F.lit(-2))), named(F.try_element_at(at, F.lit(-3))))
+
+
+def project_from_path(path: Column, client: Column, report_type: Column) -> Column:
+    """A project's name from its file's: without "report", ``v<n>``, the client and numbers of two to four digits; if nothing is left the
+    report's type, else the file's whole name."""
+    spaced = F.replace(stem(path), F.lit("_"), F.lit(" "))
+    name = F.regexp_replace(spaced, r"(?i)\breport\b|\bv\d+\b", "")
+    own = F.replace(F.coalesce(client, F.lit("")), F.lit("_"), F.lit(" "))
+    name = F.when(own != "", F.regexp_replace(name, F.concat(F.lit(r"(?i)\Q"), own, F.lit(r"\E")), F.lit(""))).otherwise(name)
+    name = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"\b\d{2,4}\b", " "), r"\s+", " "), r"^[ \-]+|[ \-]+$", "")
+    return F.coalesce(F.nullif(title_case(name), F.lit("")), F.nullif(strip(report_type), F.lit("")), title_case(spaced))
+
+
+def project_code_of(name: Column, client: Column, date: Column) -> Column:
+    """Initials of the client's first three words, three letters of the name's first three, and the year."""
+    words = lambda c: F.slice(F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != ""), 1, 3)
+    initials = F.upper(F.array_join(F.transform(words(client), lambda w: F.substring(w, 1, 1)), ""))
+    shown = F.coalesce(F.nullif(name, F.lit("")), F.lit("General Project"))
+    parts = F.concat(F.array(initials), F.transform(words(shown), lambda w: F.upper(F.substring(w, 1, 3))), F.array(F.substring(F.coalesce(date, F.lit("")), 1, 4)))
+    code = F.nullif(F.array_join(F.filter(parts, lambda p: p != ""), "-"), F.lit(""))
+    return F.when((F.coalesce(name, F.lit("")) != "") | (F.coalesce(client, F.lit("")) != ""), code)
 
 
 def infer_project(fields: Column, path: Column) -> Column:
     """Struct of project name, code, references and key: what the text says, else what the path says."""
-    derived = project_from_path(path)
-    name, code = F.coalesce(fields["project_name"], derived["project_name"]), F.coalesce(fields["project_code"], derived["project_code"])
+    name = F.coalesce(fields["project_name"], project_from_path(path, fields["client_name"], fields["report_type"]))
     refs = ordered_union(F.array(fields["quote_number"], fields["purchase_order_number"], fields["access_reference"]), fields["related_references"])
-    return F.struct(name.alias("project_name"), code.alias("project_code"), refs.alias("references"), slug(F.coalesce(fields["project_code"], fields["project_name"], stem(path))).alias("project_key"))
+
+    def whole(name: Column) -> Column:
+        code = F.coalesce(fields["project_code"], project_code_of(name, fields["client_name"], fields["report_date"]))
+        return let(code, lambda code: F.struct(name.alias("project_name"), code.alias("project_code"), refs.alias("references"), slug(F.coalesce(F.nullif(code, F.lit("")), F.nullif(name, F.lit("")), stem(path))).alias("project_key")))
+
+    return let(name, whole)
 
 
 def filename_mismatch(path: Column, kind: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import moment
-from ..functions.text import basename, first_words, let, ordered_union, strip
+from ..functions.text import basename, collapse, first_words, let, ordered_union, strip
 from .documents import metadata_matches
 
 # Terms, kinds, budgets and cues by field.
@@ -216,32 +216,49 @@ def field_values(definitions: DataFrame, values: DataFrame) -> DataFrame:
 
 
 #: Order in which other fields are told to the one that is asked for (fixed values).
-TOLD_FIRST = ("title", "scope", "participants", "date", "quoted", "invoice", "findings", "recommendations", "gaps")
+TOLD_FIRST = ("title", "scope", "date", "quoted", "invoice", "participants", "findings", "recommendations", "gaps")
 
 
 def known_fields(fields: Column, current: str, most: int = 3) -> Column:
-    """Up to three other known fields, ten words each, in fixed order; "none" without any."""
-    told = [F.when(~F.coalesce(F.try_element_at(fields, F.lit(k)), F.lit(ABSENT)).isin("", ABSENT), F.concat(F.lit(f"{k}="), first_words(F.try_element_at(fields, F.lit(k)), 10))) for k in TOLD_FIRST if k != current]
-    return let(F.slice(F.array_compact(F.array(*told)), 1, most), lambda x: F.when(F.size(x) > 0, F.array_join(x, "; ")).otherwise("none"))
-
-
-#: Labels that a summary must hold (key, label), in their order (fixed values).
-COVERED = tuple((k, k.replace("_", " ").title()) for k in TOLD_FIRST)
-
-
-def covered(summary: Column, fields: Column) -> Column:
-    """A summary with a line for each label that it lacks; values are cut to 180 characters."""
-    lines = []
-    for key, label in COVERED:
-        value = strip(F.coalesce(F.try_element_at(fields, F.lit(key)), F.lit(ABSENT)))
-        short = F.when(F.length(value) > 180, F.concat(F.rtrim(F.substring(value, 1, 177)), F.lit("..."))).otherwise(value)
-        lines.append(F.when(~F.contains(F.lower(summary), F.lit(f"{label.lower()}:")), F.concat(F.lit(f"{label}: "), short)))
-    return F.concat_ws("\n", F.nullif(strip(summary), F.lit("")), *lines)
-
-
-def section_breaks(text: Column, labels: tuple[str, ...] = tuple(label for _, label in COVERED)) -> Column:
-    """A new line before every label that stands within a line."""
-    return strip(F.regexp_replace(text, rf"(?i)[^\S\n]+((?:{'|'.join(map(re.escape, labels))}):)", "\n$1"))
+    """Up to three other fields, ten words each: those of ``TOLD_FIRST`` that are there in its order, then others in the map's order;
+    "none" without any."""
+    first = F.array_compact(F.array(*[F.when(F.map_contains_key(fields, F.lit(k)), F.lit(k)) for k in TOLD_FIRST if k != current]))
+    others = F.filter(F.map_keys(fields), lambda k: ~k.isin(*TOLD_FIRST, current))
+    told = F.transform(F.slice(F.concat(first, others), 1, most), lambda k: F.concat(k, F.lit("="), first_words(F.coalesce(F.try_element_at(fields, k), F.lit("")), 10)))
+    return F.coalesce(F.nullif(F.array_join(told, "; "), F.lit("")), F.lit("none"))
+
+
+#: The labels that a summary must hold with the answers that fill them (the title takes the project's name), what
+#: an empty summary and a nameless project are called, and the labels that begin a line.
+COVERED = (("Title", None), ("Scope", "scope"), ("Participants", "participants"), ("Timeline", "timeline"), ("Quoted / Commercial", "commercial"), ("Invoice status", "commercial"), ("Findings", "risks_actions"), ("Recommendations", "risks_actions"), ("Gaps", "missing_info"))
+NO_SUMMARY, NO_PROJECT = "Project summary unavailable.", "Untitled project"
+LINE_LABELS = (*(label for label, _ in COVERED), "Commercial")
+
+
+def covered(summary: Column, project: Column, answers: Column) -> Column:
+    """A summary with a line for each label that it lacks; blank and absent answers are told as absent, values are cut to 180 characters."""
+
+    def completed(text: Column) -> Column:
+        lines = []
+        for label, key in COVERED:
+            given = project if key is None else F.try_element_at(answers, F.lit(key))
+            said = F.nullif(strip(given), F.lit(""))
+            value = F.coalesce(said, F.lit(NO_PROJECT)) if key is None else F.when(said.isNull() | looks_absent(said), ABSENT).otherwise(said)
+            flat = collapse(value)
+            short = F.when(F.length(flat) > 180, F.concat(F.rtrim(F.substring(flat, 1, 177)), F.lit("..."))).otherwise(flat)
+            lines.append(F.when(~F.contains(F.lower(text), F.lit(f"{label.lower()}:")), F.concat(F.lit(f"{label}: "), short)))
+        return F.concat_ws("\n", text, *lines)
+
+    start = F.coalesce(F.nullif(strip(summary), F.lit("")), F.lit(NO_SUMMARY))
+    return section_breaks(let(section_breaks(start), completed))
+
+
+def section_breaks(text: Column, labels: tuple[str, ...] = LINE_LABELS) -> Column:
+    """Blanks collapsed, then each label in turn, however it is spelt, begins a line. A label within another one ("Commercial") cuts it."""
+    out = collapse(F.coalesce(text, F.lit("")))
+    for label in labels:
+        out = F.regexp_replace(out, rf"(?i)\s*{re.escape(label)}:", f"\n{label}: ")
+    return strip(F.regexp_replace(out, r"\n{2,}", "\n"))
 
 
 def statements(text: Column, cues: tuple[str, ...]) -> Column:

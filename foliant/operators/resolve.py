@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.extract import looks_like_document
-from ..functions.text import forward, name_key, slug, stem
+from ..functions.extract import client_from_path, looks_like_document
+from ..functions.text import forward, name_key, plain_name, slug, stem
 from .grouping import checkpointed
 
 #: Names that say nothing about a project (fixed values).
@@ -151,6 +151,8 @@ def resolved_clients(docs: DataFrame, known: DataFrame, explicit: str | None = N
     of_path = client_in_path(todo, names).withColumnRenamed("client_name", "__path")
     of_refs = client_from_references(todo, known).withColumnRenamed("client_name", "__refs")
     d = d.join(of_path, "doc_id", "left").join(of_refs, "doc_id", "left")
+    # No known client in the path: a folder that is named for one tells it.
+    d = d.withColumn("__path", F.coalesce("__path", F.when(F.col("__found").isNull(), client_from_path(F.col("source_path")))))
     by_path, by_refs = F.col("__found").isNull() & F.col("__path").isNotNull(), F.col("__found").isNull() & F.col("__path").isNull() & F.col("__refs").isNotNull()
     d = d.withColumn("__by_path", by_path).withColumn("__by_refs", by_refs).withColumn("__name", F.coalesce("__found", "__path", "__refs")).withColumn("__folded", F.lower(F.trim("__name")))
     spelt = canonical_names(known.select("client_name"))
@@ -159,24 +161,45 @@ def resolved_clients(docs: DataFrame, known: DataFrame, explicit: str | None = N
     return d.withColumn("client_name", F.when(ok, F.coalesce("canonical", "__name"))).select(*docs.columns)
 
 
-def match_projects(docs: DataFrame, projects: DataFrame) -> DataFrame:
-    """Best project for each document of the same client, if its evidence, score and margin suffice.
+def _project_evidence(rows: DataFrame, prefix: str, year: Column) -> DataFrame:
+    """A row for each thing that speaks for a project, with its points and its strength (a reference's counts once)."""
+    of = lambda kind, value, points, strength: F.array(F.struct(F.concat(F.lit(kind), value).alias("item"), F.lit(points).alias("points"), F.lit(strength).alias("strength")))
+    name = F.trim(plain_name(F.coalesce("project_name", F.lit(""))))
+    refs = F.array_distinct(F.transform(F.coalesce("refs", F.array().cast("array<string>")), lambda r: F.upper(r)))
+    every = F.concat(of("k:", F.nullif("project_key", F.lit("")), 6, 2), of("c:", F.nullif(F.upper("project_code"), F.lit("")), 5, 2), of("n:", F.when(~name.isin(*GENERIC_PROJECTS), name), 4, 1), F.transform(refs, lambda r: F.struct(F.concat(F.lit("r:"), r).alias("item"), F.lit(4).alias("points"), F.lit(0).alias("strength"))))
+    one = rows.select("client_name", F.col("doc_id").alias(f"{prefix}_id"), year.alias(f"{prefix}_year"), F.explode(F.filter(every, lambda e: e["item"].isNotNull())).alias("e"))
+    return one.select("client_name", f"{prefix}_id", f"{prefix}_year", "e.item", "e.points", "e.strength")
 
-    Both sides: client_name, project_key, project_code, project_name, refs, year. A key scores 6, a
-    code 5, a name that says something 4, each shared reference 4, another year -2; evidence is
-    counted 2, 2, 1 and 2. Needed: evidence 2, score 6 and a lead of 2 over the second.
+
+def match_projects(docs: DataFrame, stored: DataFrame) -> DataFrame:
+    """(doc_id, matched_id, score): the stored document of the same client whose project each document continues.
+
+    A common key scores 6, a code 5, a name that says something 4, each reference 4; where the year in the document's project name and the
+    year of the stored one (its date's, else its name's) differ, 2 go off. Codes and references are compared in upper case, names in
+    normal form. Needed are 6 points, evidence of strength 2 (key, code or references 2, name 1) and a lead of 2 over the second document. Only
+    documents that share something are joined: any other scores 0 at most, which can't narrow that lead.
+    Columns of both: client_name, doc_id, project_key, project_code, project_name, refs; of ``stored`` also report_date.
     """
-    d, p = docs.alias("d"), projects.alias("p")
-    eq = lambda c: (F.col(f"d.{c}") == F.col(f"p.{c}")) & (F.col(f"d.{c}") != "")
-    name = eq("project_name") & ~F.lower("d.project_name").isin(*GENERIC_PROJECTS)
-    shared = F.size(F.array_intersect("d.refs", "p.refs"))
-    n = lambda ok, v: F.when(ok, v).otherwise(0)
-    score = n(eq("project_key"), 6) + n(eq("project_code"), 5) + n(name, 4) + 4 * shared - n(F.col("d.year") != F.col("p.year"), 2)
-    evidence = n(eq("project_key"), 2) + n(eq("project_code"), 2) + n(name, 1) + n(shared > 0, 2)
-    scored = d.join(p, F.col("d.client_name") == F.col("p.client_name")).select("d.doc_id", F.col("p.project_key").alias("project_key"), score.alias("score"), evidence.alias("evidence"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "project_key")
-    best = scored.withColumn("n", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("score").over(w), F.lit(0))).where("n = 1")
-    return best.where("evidence >= 2 and score >= 6 and score - second >= 2").select("doc_id", "project_key", "score")
+    found = lambda c: F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), r"\b(20\d{2}|19\d{2})\b", 1), F.lit(""))
+    mine = _project_evidence(docs, "doc", found(F.col("project_name")))
+    theirs = _project_evidence(stored, "matched", found(F.coalesce(F.nullif("report_date", F.lit("")), "project_name"))).drop("points", "strength")
+    pairs = mine.join(theirs, ["client_name", "item"]).groupBy("doc_id", "matched_id", "doc_year", "matched_year").agg(F.sum("points").alias("points"), F.sum("strength").alias("strength"), F.bool_or(F.col("item").startswith("r:")).alias("by_refs"))
+    score = F.col("points") - F.when(F.col("doc_year") != F.col("matched_year"), 2).otherwise(0)
+    strength = F.col("strength") + F.when(F.col("by_refs"), 2).otherwise(0)
+    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "matched_id")
+    ranked = pairs.select("doc_id", "matched_id", score.alias("score"), strength.alias("strength")).withColumn("n", F.row_number().over(w)).withColumn("second", F.lead("score").over(w))
+    return ranked.where("n = 1 and strength >= 2 and score >= 6 and score - coalesce(second, -999) >= 2").select("doc_id", "matched_id", "score")
+
+
+def resolve_projects(docs: DataFrame, stored: DataFrame) -> DataFrame:
+    """``docs`` (with what their texts and paths say of a project) in the projects that they continue: key, name and code of the matched
+    document where it has them, and the references of both in order."""
+    theirs = stored.select(F.col("doc_id").alias("matched_id"), *(F.nullif(F.col(c), F.lit("")).alias(f"__{c}") for c in ("project_key", "project_name", "project_code")), F.col("refs").alias("__refs"))
+    hit = match_projects(docs, stored).drop("score").join(theirs, "matched_id").drop("matched_id")
+    out = docs.join(hit, "doc_id", "left")
+    none = F.array().cast("array<string>")
+    out = out.withColumn("refs", F.when(F.col("__refs").isNotNull(), F.array_sort(F.array_union(F.coalesce("refs", none), "__refs"))).otherwise(F.col("refs")))
+    return out.withColumns({c: F.coalesce(f"__{c}", c) for c in ("project_key", "project_name", "project_code")}).select(*docs.columns)
 
 
 def cluster_keys(clusters: DataFrame, docs: DataFrame) -> DataFrame:

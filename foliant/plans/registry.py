@@ -281,11 +281,25 @@ def client_in_path(spark, d):
     return resolve.client_in_path(paths, c.select(F.col("c_name").alias("client_name")))
 
 
-@query("project_matches")
+def _halves(spark, d):
+    """Even documents as new ones, odd ones as stored."""
+    a = analysed(spark, d).withColumn("refs", F.array("project_code")).select("client_name", "doc_id", "project_key", "project_code", "project_name", "refs", "report_date")
+    return a.where("doc_id % 2 = 0"), a.where("doc_id % 2 = 1")
+
+
+_MATCHES_SQL = """{docs}, p as (select i.doc_id, s.doc_id matched_id, 15 + case when i.project_name = s.project_name then 4 else 0 end score, s.project_name from docs i join docs s on i.client_name = s.client_name and i.doc_id % 2 = 0 and s.doc_id % 2 = 1),
+ r as (select *, row_number() over w n, lead(score) over w runner_up from p window w as (partition by doc_id order by score desc, matched_id)), hit as (select * from r where n = 1 and score - coalesce(runner_up, -999) >= 2)"""
+
+
+@query("project_matches", "with " + _MATCHES_SQL + " select doc_id, matched_id, score::bigint score from hit")
 def project_matches(spark, d):
-    a = analysed(spark, d).withColumn("refs", F.array("project_code")).withColumn("year", F.substring("report_date", 1, 4))
-    known = docs_ops.project_rollup(analysed(spark, d)).withColumn("refs", F.array("project_code")).withColumn("year", F.substring("latest_date", 1, 4))
-    return resolve.match_projects(a, known)
+    """All documents of a client share key, code and reference (15 points), some the name (4)."""
+    return resolve.match_projects(*_halves(spark, d))
+
+
+@query("resolved_projects", "with " + _MATCHES_SQL + " select docs.doc_id, lower(project_code) project_key, coalesce(hit.project_name, docs.project_name) project_name from docs left join hit using (doc_id) where docs.doc_id % 2 = 0")
+def resolved_projects(spark, d):
+    return resolve.resolve_projects(*_halves(spark, d)).select("doc_id", "project_key", "project_name")
 
 
 def _clustered(spark, d):

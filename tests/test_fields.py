@@ -64,10 +64,32 @@ def test_answers_and_summaries(spark):
     df = spark.createDataFrame([(True, "yes it is", "because of it"), (True, "yes", "short"), (False, "yes", "long enough"), (True, "Unknown", "long enough"), (None, None, None)], "p boolean, a string, e string")
     got = [(r.r.status, r.r.answer) for r in df.select(fields.answer_record(F.col("p"), F.col("a"), F.col("e")).alias("r")).collect()]
     assert got == [("accepted", "yes it is"), ("insufficient_evidence", fields.ABSENT), *[("absent_or_rejected", fields.ABSENT)] * 3]
-    told = spark.createDataFrame([({"title": "T " * 20, "date": "", "scope": "s", "gaps": fields.ABSENT},), ({},)], "f map<string,string>")
-    assert [r[0] for r in told.select(fields.known_fields(F.col("f"), "scope")).collect()] == ["title=" + " ".join("T" * 10), "none"]
-    s = spark.createDataFrame([("Title: x Scope: y", {"date": "d" * 200})], "s string, f map<string,string>").select(fields.section_breaks(F.col("s")).alias("b"), fields.covered(F.col("s"), F.col("f")).alias("c")).first()
-    assert s.b == "Title: x\nScope: y" and s.c.startswith("Title: x Scope: y\nParticipants: ") and "Date: " + "d" * 177 + "..." in s.c
+    told = spark.createDataFrame([({"extra": "e f", "title": "T " * 20, "scope": "s", "participants": "p", "date": "d"},), ({"z": "1", "scope": "s", "title": "2"},), ({"scope": "s"},), ({},)], "f map<string,string>")
+    assert [r[0] for r in told.select(fields.known_fields(F.col("f"), "scope")).collect()] == ["title=" + " ".join("T" * 10) + "; date=d; participants=p", "title=2; z=1", "none", "none"]
+
+
+def test_summaries_hold_every_label(spark):
+    """Written out by hand from the rule: blanks collapsed, a line for each label, "Commercial" cuts its longer label."""
+    absent = fields.ABSENT
+    rows = [("Intro  text. scope: all of it\n\nTitle: x", "P", {"commercial": "c " * 200, "timeline": " \t", "participants": "unknown", "missing_info": "m  n"}), (" ", None, {})]
+    df = spark.createDataFrame(rows, "s string, p string, f map<string,string>")
+    got = [r.c.split("\n") for r in df.select(fields.covered(F.col("s"), F.col("p"), F.col("f")).alias("c")).collect()]
+    cut = ("c " * 200)[:177].rstrip() + "..."
+    assert [" ".join(x.split()) for x in got[0]] == ["Intro text.", "Scope: all of it", "Title: x", f"Participants: {absent}", f"Timeline: {absent}", "Quoted /", f"Commercial: {cut}", f"Invoice status: {cut}", f"Findings: {absent}", f"Recommendations: {absent}", "Gaps: m n"]
+    assert got[1][:3] == ["Project summary unavailable.", "Title:  Untitled project", f"Scope:  {absent}"]
+
+
+def test_projects_and_clients_from_paths(spark):
+    from foliant.functions import extract
+
+    rows = [("in/Harborstone_access_request_report_v2_2018.csv", "Harborstone", None, "2018-03-04"), ("x/report_v1.txt", None, "Site Survey", None), ("x/report_2019.txt", None, None, None), ("a/b c/pump_house-12.txt", "North River Ltd Co", None, "2020-01-01")]
+    df = spark.createDataFrame(rows, "path string, client string, kind string, date string")
+    name = extract.project_from_path(F.col("path"), F.col("client"), F.col("kind"))
+    got = [tuple(r) for r in df.select(name, extract.project_code_of(name, F.col("client"), F.col("date"))).collect()]
+    assert got == [("Access Request", "H-ACC-REQ-2018"), ("Site Survey", "SIT-SUR"), ("Report 2019", "REP-201"), ("Pump House", "NRL-PUM-HOU-2020")]
+    paths = ["a/report_3_2018_bluemesa_v2_report_electrical/x.csv", "report_3_2018_blue_mesa_audit/sub/x.csv", "a/report_2018/x.csv", "plain/x.csv", "report_77_acme/x.csv"]
+    shown = spark.createDataFrame([(p,) for p in paths], "p string").select(extract.client_from_path(F.col("p"))).collect()
+    assert [r[0] for r in shown] == ["Bluemesa", "Blue Mesa", None, None, None]
 
 
 def test_json_from_prose(spark):
