@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,6 +52,10 @@ IMPLIED = {
 }
 #: An end tag never closes an element outside the nearest of these.
 SCOPES = frozenset("table td th caption body html".split())
+#: Except these end tags.
+CLOSES_SCOPES = frozenset("table tr tbody thead tfoot body html".split())
+#: A block's start tag closes no paragraph outside the nearest of these.
+P_SCOPES = SCOPES | {"button"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
@@ -78,6 +83,8 @@ def parse(page: str) -> Node:
     """The tree of a page; text children are strings with references resolved."""
     root = Node("#root")
     stack = [root]
+    #: Of each tag, the places of its open elements in the stack, so that no step searches the stack.
+    places: dict[str, list[int]] = {}
     at, end = 0, len(page)
 
     def text(upto: int) -> None:
@@ -85,6 +92,14 @@ def parse(page: str) -> Node:
             raw = page[at:upto]
             stack[-1].children.append(html.unescape(raw) if "&" in raw else raw)
 
+    def nearest(tags) -> int:
+        """The innermost open element of these tags; 0: none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def close(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
+
     while at < end:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -96,51 +111,42 @@ def parse(page: str) -> Node:
             tag = m.group(1).lower()
             if tag == "br":
                 stack[-1].children.append(Node("br"))
-            elif tag == "p" and all(n.tag != "p" for n in stack):
+            elif tag == "p" and not places.get("p"):
                 stack[-1].children.append(Node("p"))
             else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
-                    if stack[k].tag in SCOPES and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                        break
+                k = nearest((tag,))
+                if k and (tag in CLOSES_SCOPES or k >= nearest(SCOPES)):
+                    close(k)
         elif m.group(2):
             tag, attrs = m.group(2).lower(), m.group(3) or ""
             if tag in IMPLIED:
                 closes, scope = IMPLIED[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in scope:
-                        cut = next((j for j in range(k + 1, len(stack)) if stack[j].tag in closes), None)
-                        if cut is not None:
-                            del stack[cut:]
-                        break
-                else:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k].tag in closes:
-                            del stack[k:]
-                            break
+                within = nearest(scope)
+                if within:
+                    inner = [held[i] for held in map(places.get, closes) if held and (i := bisect_right(held, within)) < len(held)]
+                    if inner:
+                        close(min(inner))
+                elif k := nearest(closes):
+                    close(k)
             if tag in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        del stack[k:]
-                        break
-                    if stack[k].tag in SCOPES or stack[k].tag == "button":
-                        break
-            if tag in ("html", "body") and any(n.tag == tag for n in stack):
+                k = nearest(("p",))
+                if k > nearest(P_SCOPES):
+                    close(k)
+            if tag in ("html", "body") and places.get(tag):
                 continue
             if tag == "body" and stack[-1].tag == "head":
-                stack.pop()
+                close(len(stack) - 1)
             node = Node(tag, attrs)
             stack[-1].children.append(node)
-            if tag in VOID or attrs.endswith("/") and (tag in UNSEEN or any(n.tag in FOREIGN for n in [*stack, node])):
+            if tag in VOID or attrs.endswith("/") and (tag in UNSEEN or (tag in FOREIGN or nearest(FOREIGN))):
                 continue
             if tag in RAW:
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-                stop = close.start() if close else end
+                closing = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+                stop = closing.start() if closing else end
                 node.children.append(html.unescape(page[at:stop]) if tag == "textarea" else page[at:stop])
-                at = close.end() if close else end
+                at = closing.end() if closing else end
                 continue
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
     return root
 
