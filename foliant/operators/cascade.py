@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import forward
+from .resolve import suspicious_clients
 
 PROJECT = ("project_key", "project_name", "project_code")
 #: The facts of a node in which a difference counts.
@@ -86,6 +87,55 @@ def set_report_dates(documents: DataFrame, timeline: DataFrame, profiles: DataFr
     }
 
 
+def cleanup_suspicious(tables: dict[str, DataFrame], documents_too: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables without the clients that ``suspicious_clients`` finds, and a row for each of them with its counts.
+
+    ``tables``: documents, vectors, profiles, history and timeline. Profiles, history and timeline of such clients go. Their vectors lose the client; their documents lose
+    client, project and references, or, with ``documents_too``, all that has the path of a found document goes from every table, entries of ``source_reports`` too.
+    Counts: profiles, history, timeline and vectors_cleared by client, documents_deleted by path (0 unless ``documents_too``); what goes
+    by its path counts there only, and a path that several found clients share counts for the first of them in the alphabet.
+    """
+    found = suspicious_clients(tables["documents"])
+    clients = found.select(F.col("client_name").alias("__client"))
+    paths = found.groupBy(forward(F.col("source_path")).alias("__path")).agg(F.min("client_name").alias("client_name"))
+    at = lambda t: forward(F.col("source_path" if "source_path" in t.columns else "source_document"))
+    out, deleted = dict(tables), None
+    if documents_too:
+        placed = tables["documents"].withColumn("__path", at(tables["documents"]))
+        deleted = placed.join(paths, "__path", "left_semi").groupBy("__path").agg(F.count(F.lit(1)).alias("documents_deleted")).join(paths, "__path").drop("__path")
+        for name, t in tables.items():
+            if {"source_path", "source_document"} & set(t.columns):
+                t = t.withColumn("__path", at(t)).join(paths, "__path", "left_anti").select(*t.columns)
+            if "source_reports" in t.columns:
+                t = _without_reports(t, paths)
+            out[name] = t
+    counted = []
+    for name in ("profiles", "history", "timeline", "vectors"):
+        mine = out[name].join(clients, F.col("client_name") == F.col("__client"), "left_semi")
+        counted.append(mine.groupBy("client_name").agg(F.count(F.lit(1)).alias("vectors_cleared" if name == "vectors" else name)))
+    counted.append(found.select("client_name", F.lit(0).cast("long").alias("documents_deleted")) if deleted is None else deleted.groupBy("client_name").agg(F.sum("documents_deleted").alias("documents_deleted")))
+    told = reduce(lambda a, b: a.join(b, "client_name", "left"), counted, found).na.fill(0)
+    for name in ("profiles", "history", "timeline"):
+        out[name] = out[name].join(clients, F.col("client_name") == F.col("__client"), "left_anti")
+    for name in ("vectors", "documents"):
+        t = out[name].join(clients, F.col("client_name") == F.col("__client"), "left").withColumn("__own", F.col("__client").isNotNull())
+        blank = ("client_name",) if name == "vectors" else ("client_name", *PROJECT)
+        t = t.withColumns({c: F.when(~F.col("__own"), F.col(c)) for c in blank if c in t.columns})
+        if name == "documents" and "related_references" in t.columns:
+            t = t.withColumn("related_references", F.when(F.col("__own"), F.array().cast("array<string>")).otherwise(F.col("related_references")))
+        out[name] = t.select(*out[name].columns)
+    return out, told
+
+
+def _without_reports(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """Nodes whose ``source_reports`` lost the entries of the paths."""
+    entries = nodes.select("client_name", "node_path", F.posexplode("source_reports").alias("__at", "__r")).withColumn("__path", forward(F.col("__r.path")))
+    lost = entries.join(paths.select("__path"), "__path", "left_semi").groupBy(F.col("client_name").alias("__owner"), F.col("node_path").alias("__node")).agg(F.collect_set("__at").alias("__lost"))
+    j = nodes.join(lost, nodes["client_name"].eqNullSafe(F.col("__owner")) & (nodes["node_path"] == F.col("__node")), "left")
+    kept = F.filter("source_reports", lambda r, i: ~F.array_contains("__lost", i))
+    return j.withColumn("source_reports", F.when(F.col("__lost").isNull(), F.col("source_reports")).otherwise(kept)).select(*nodes.columns)
+
+
 def node_states(rows: DataFrame) -> DataFrame:
     """The states of every profile node: each stretch of documents with the same facts, by the last of them.
 

@@ -81,7 +81,8 @@ def merge_map(candidates: DataFrame) -> DataFrame:
 def suspicious_clients(docs: DataFrame) -> DataFrame:
     """Clients with exactly one document, whose file is named like them."""
     per = docs.where("client_name != ''").groupBy("client_name").agg(F.count_distinct("source_path").alias("n"), F.min("source_path").alias("source_path"))
-    return per.where(F.col("n") == 1).where(name_key(F.col("client_name")) == name_key(F.col("source_path"))).drop("n")
+    own = name_key(F.col("client_name"))
+    return per.where(F.col("n") == 1).where((own != "") & (own == name_key(F.col("source_path")))).drop("n")
 
 
 def clients_by_reference(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import dates, extract, money, text
 from ..operators import documents as docs_ops
 from ..operators import events as event_ops
-from ..operators import cascade, evaluation, fields, grouping, resolve, retrieval, scans, store
+from ..operators import cascade, derived, evaluation, fields, grouping, resolve, retrieval, scans, store
+from ..streaming import ingest
 
 SPELLED_SQL = "spelled as (select *, case when doc_id % 5 = 0 then upper(client_name) when doc_id % 7 = 0 then lower(client_name) else client_name end as spelt from docs)"
 
@@ -612,6 +613,26 @@ def report_date_cascade(spark, d):
     return reduce(DataFrame.unionByName, parts)
 
 
+@query("suspicious_cleanup", """with {docs}, m as (select *, regexp_extract(source_path, '_([0-9]+)[.]', 1)::int % 10 = 0 hit from docs)
+ select 'documents' table_name, doc_id::varchar id, case when not hit then client_name end client_name, case when not hit then project_code end detail from m union all select 'vectors', doc_id::varchar, case when not hit then client_name end, null from m
+ union all select distinct 'profiles', project_code, client_name, null from m where not hit union all select 'history', doc_id::varchar, client_name, null from m where not hit and doc_id % 2 = 0 union all select 'timeline', doc_id::varchar, client_name, null from m where not hit and doc_id % 3 = 0
+ union all select 'findings', 'docs/' || lower(client_name) || '.txt', client_name, concat_ws('/', count(distinct project_code), count(*) filter (doc_id % 2 = 0), count(*) filter (doc_id % 3 = 0), count(*), 0) from m where hit group by client_name""")
+def suspicious_cleanup(spark, d):
+    """Every tenth customer's documents lie at one path that is named like the customer."""
+    a = analysed(spark, d).select("doc_id", "source_path", "client_name", "project_key", "project_name", "project_code", "related_references")
+    tenth = F.regexp_extract("source_path", r"_(\d+)[.]", 1).cast("int") % 10 == 0
+    a = a.withColumn("source_path", F.when(tenth, F.concat(F.lit("docs/"), F.lower("client_name"), F.lit(".txt"))).otherwise(F.col("source_path")))
+    a = grouping.checkpointed(a.withColumn("project_code", F.upper("project_code")))
+    by = a.select("doc_id", "client_name", F.col("source_path").alias("source_document"))
+    nodes = a.select("client_name", F.col("project_code").alias("node_path")).distinct()
+    out, told = cascade.cleanup_suspicious({"documents": a, "vectors": by, "profiles": nodes, "history": by.where("doc_id % 2 = 0"), "timeline": by.where("doc_id % 3 = 0")})
+    rows = lambda n, key, detail: out[n].select(F.lit(n).alias("table_name"), F.col(key).cast("string").alias("id"), "client_name", detail.alias("detail"))
+    none = F.lit(None).cast("string")
+    parts = [rows("documents", "doc_id", F.col("project_code")), *(rows(n, "doc_id", none) for n in ("vectors", "history", "timeline")), rows("profiles", "node_path", none)]
+    counts = F.concat_ws("/", *(F.col(c).cast("string") for c in ("profiles", "history", "timeline", "vectors_cleared", "documents_deleted")))
+    return reduce(DataFrame.unionByName, [*parts, told.select(F.lit("findings").alias("table_name"), F.col("source_path").alias("id"), "client_name", counts.alias("detail"))])
+
+
 @query("node_states", """with {docs}, f as (select *, 'n' || doc_id % 2 facts from docs), s as (select *, lead(facts) over w nf, lead(source_path) over w superseded_by, count(distinct source_path) over (partition by client_name, project_code order by ingested_at, doc_id rows unbounded preceding) n_reports from f window w as (partition by client_name, project_code order by ingested_at, doc_id)),
  k as (select * from s where superseded_by is null or nf <> facts) select doc_id, superseded_by, n_reports::int n_reports, (row_number() over (partition by client_name, project_code order by ingested_at, doc_id))::int as "version" from k""")
 def node_states(spark, d):
@@ -770,3 +791,59 @@ def resolved_clients(spark, d):
     rows = a.select("doc_id", "source_path", "text", "confidence", "is_client_related", F.when(F.col("doc_id") % 5 != 0, F.col("client_name")).alias("client_name"), own.alias("related_references"))
     known = a.select("client_name", own.alias("related_references")).distinct()
     return resolve.resolved_clients(rows, known).select("doc_id", "client_name")
+
+
+# Derived texts and ingest -----------------------------------------------------------------------
+
+_FIELD_KEYS = ("title", "date", "participants", "quoted", "gaps")
+
+
+def _project_facts(a: DataFrame) -> DataFrame:
+    """Fields, summary and answers of each project, from its documents."""
+    value = lambda v: F.struct(v.cast("string").alias("value"), F.lit("present").alias("status"), F.lit("rules").alias("method"))
+    quotes = F.count_if(F.col("document_kind") == "quote")
+    g = a.groupBy("client_name", "project_key").agg(F.max("project_name").alias("project_name"), F.max("report_date").alias("d"), F.min(F.col("contacts")[0]).alias("c"), quotes.alias("q"), F.count(F.lit(1)).alias("n"))
+    fields_of = F.create_map(F.lit("date"), value(F.col("d")), F.lit("title"), value(F.col("project_name")), F.lit("participants"), value(F.col("c")), F.lit("quoted"), value(F.when(F.col("q") > 0, F.col("q").cast("string")).otherwise(F.lit("  "))))
+    said = F.concat(F.lit("  Work  for "), F.col("client_name"), F.lit(". Recommendations:none"))
+    answers = F.create_map(F.lit("scope"), F.concat(F.col("n").cast("string"), F.lit(" documents ")), F.lit("dates"), F.col("d"), F.lit("risks"), F.lit(" "))
+    return g.select("client_name", "project_key", "project_name", fields_of.alias("fields"), F.when(F.col("n") > 1, said).otherwise(F.lit(" ")).alias("summary"), F.lit("rules").alias("summary_method"), answers.alias("answers"))
+
+
+def _derived_sql(docs: str) -> str:
+    return f"""(select source_document, document_kind, chunk_text from (select client_name, lower(project_code) project_key, max(project_name) project_name, max(report_date) d, min(contact) c, count(*) filter (document_kind = 'quote') q, count(*) n from {docs} group by 1, 2) g,
+ lateral (select unnest([struct_pack(source_document := '__project_fields__/' || client_name || '/' || project_key, document_kind := 'project_fields', chunk_text := 'Client: ' || client_name || chr(10) || 'Project: ' || project_name || chr(10) || 'Project key: ' || project_key || chr(10)
+  || 'Key fields:' || chr(10) || '- title: ' || project_name || ' (status=present, method=rules)' || chr(10) || '- date: ' || d || ' (status=present, method=rules)' || chr(10) || '- participants: ' || c || ' (status=present, method=rules)' || chr(10)
+  || '- quoted: ' || case when q > 0 then q::varchar else 'Information not present' end || ' (status=present, method=rules)' || chr(10) || '- gaps: Information not present (status=unknown, method=unknown)'),
+ struct_pack(source_document := case when n > 1 then '__project_summary__/' || client_name || '/' || project_key end, document_kind := 'project_summary', chunk_text := 'Client: ' || client_name || chr(10) || 'Project: ' || project_name || chr(10) || 'Project key: ' || project_key || chr(10)
+  || 'Summary method: rules' || chr(10) || 'Summary:' || chr(10) || 'Work for ' || client_name || '.' || chr(10) || 'Recommendations: none' || chr(10) || 'Questionnaire:' || chr(10) || '- dates: ' || d || chr(10) || '- scope: ' || n || ' documents')], recursive := true)) where source_document is not null)"""
+
+
+@query("derived_index", f"""with {{docs}}, earlier as (select * from docs where doc_id % 10 <> 0), b as {_derived_sql("earlier")}, a as {_derived_sql("docs")}
+ select a.source_document, a.document_kind, a.chunk_text, case when b.source_document is null then 'added' when b.chunk_text <> a.chunk_text then 'changed' else 'kept' end state, 384::bigint n_dims from a left join b using (source_document)""")
+def derived_index(spark, d):
+    """The index of nine tenths of the documents, then of all of them."""
+    a = grouping.checkpointed(analysed(spark, d).select("doc_id", "client_name", "project_key", "project_name", "report_date", "contacts", "document_kind"))
+
+    def texts(docs: DataFrame) -> DataFrame:
+        facts = _project_facts(docs)
+        return derived.field_texts(facts, _FIELD_KEYS).unionByName(derived.summary_texts(facts))
+
+    none = spark.createDataFrame([], ", ".join(f"{c} string" for c in derived.COLUMNS) + ", embedding array<double>")
+    before, _ = derived.refreshed(none, texts(a.where("doc_id % 10 != 0")))
+    after, changed = derived.refreshed(grouping.checkpointed(before), texts(a))
+    return after.join(changed.select(*derived.KEY, "state"), list(derived.KEY), "left").select("source_document", "document_kind", "chunk_text", F.coalesce("state", F.lit("kept")).alias("state"), F.size("embedding").cast("long").alias("n_dims"))
+
+
+@query("progress_events", """with {docs}, s as (select *, case when doc_id % 11 = 0 then 'error' when doc_id % 13 = 0 then 'unsupported' when doc_id % 7 = 0 then 'skipped_duplicate' else 'ingested' end st from docs),
+ e as (select *, case st when 'error' then ['file_started', 'file_error'] when 'unsupported' then ['file_unsupported'] when 'skipped_duplicate' then ['file_started', 'file_read', 'file_skipped_duplicate', 'file_completed']
+  else ['file_started', 'file_read', 'classification_completed', 'extraction_completed', 'project_resolution_completed', 'document_record_saved', 'report_version_saved', 'file_completed'] end es from s),
+ u as (select *, unnest(es) event, generate_subscripts(es, 1) - 1 n from e)
+ select doc_id, source_path path, n, event, case when event in ('file_completed', 'file_error', 'file_unsupported') then st end status, case when st = 'ingested' and event in ('classification_completed', 'file_completed') then document_kind end document_kind,
+  case when st = 'ingested' and event = 'file_completed' then client_name end client_name, case when event = 'project_resolution_completed' then lower(project_code) end project_key from u""")
+def progress_events(spark, d):
+    """Events of an ingest in which every seventh document is known, and some can't be read."""
+    r = rendered(spark, d)
+    bad = F.when(F.col("doc_id") % 11 == 0, "no such file").when(F.col("doc_id") % 13 == 0, "unsupported")
+    known = r.where("doc_id % 7 = 0").select("source_path", text.content_hash(F.col("text")).alias("content_hash"))
+    rows = r.select("doc_id", "source_path", F.lit("text").alias("source_type"), "text", bad.alias("error"))
+    return ingest.progress_events(ingest.outcomes(rows, known), keep=("doc_id",)).select("doc_id", "path", "n", "event", "status", "document_kind", "client_name", "project_key")

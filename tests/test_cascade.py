@@ -41,3 +41,20 @@ def test_states_small(spark):
     assert got == {("n", 1): (1, "q", [("p", "d1")]), ("n", 2): (2, "p", [("p", "d1"), ("q", None)]), ("n", 3): (3, "p", [("p", "d1"), ("q", None)]), ("n", 4): (4, None, [("p", "d2"), ("q", None)]), ("m", 1): (5, None, [("z", None)])}
     (n,) = cascade.node_history_by_path(cascade.node_states(df)).collect()
     assert n.node_path == "n" and [v.version for v in n.versions] == [3, 2, 1]
+
+
+def test_cleanup_small(spark):
+    docs = spark.createDataFrame([(1, "Acme", "in/acme.txt", "p", ["r"]), (2, "ACME", "in\\acme.txt", "p", ["r"]), (3, "Bee", "in/x.txt", "p", ["r"]), (4, "-", "in/-.txt", "p", []), (5, None, "in/none.txt", None, None)], "doc_id long, client_name string, source_path string, project_key string, related_references array<string>")
+    named = spark.createDataFrame([("Acme", "in/acme.txt"), ("Acme", "else"), ("Bee", "in\\acme.txt"), (None, "in/none.txt")], "client_name string, source_document string")
+    nodes = spark.createDataFrame([("Acme", "n", []), ("Bee", "n", [("in/acme.txt", "d"), ("in/x.txt", "e")]), ("Bee", "m", None)], "client_name string, node_path string, source_reports array<struct<path:string,date:string>>")
+    tables = {"documents": docs, "vectors": named, "profiles": nodes, "history": nodes.select("client_name", "node_path"), "timeline": named}
+    out, told = cascade.cleanup_suspicious(tables)
+    key = lambda rows: sorted((tuple(r) for r in rows), key=str)
+    assert key(told.select("client_name", "profiles", "history", "timeline", "vectors_cleared", "documents_deleted").collect()) == [("ACME", 0, 0, 0, 0, 0), ("Acme", 1, 1, 2, 2, 0)]
+    assert key(out["vectors"].collect()) == key([(None, "in/acme.txt"), (None, "else"), ("Bee", "in\\acme.txt"), (None, "in/none.txt")])
+    assert key(out["timeline"].collect()) == key([("Bee", "in\\acme.txt"), (None, "in/none.txt")])
+    assert {(r.doc_id, r.client_name, r.project_key, tuple("x" if r.related_references is None else r.related_references)) for r in out["documents"].collect()} == {(1, None, None, ()), (2, None, None, ()), (3, "Bee", "p", ("r",)), (4, "-", "p", ()), (5, None, None, ("x",))}
+    out, told = cascade.cleanup_suspicious(tables, documents_too=True)
+    assert key(told.select("client_name", "timeline", "vectors_cleared", "documents_deleted").collect()) == [("ACME", 0, 0, 2), ("Acme", 1, 1, 0)]
+    assert key(out["vectors"].collect()) == key([(None, "else"), (None, "in/none.txt")]) and {r.doc_id for r in out["documents"].collect()} == {3, 4, 5}
+    assert {(r.node_path, None if r.source_reports is None else tuple(x.path for x in r.source_reports)) for r in out["profiles"].collect()} == {("n", ("in/x.txt",)), ("m", None)}
