@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import forward
+from ..functions.text import basename, document_link, forward, ordered_union
 
 
 def clamp(n: int, most: int = 2000) -> int:
@@ -105,10 +105,13 @@ def timeline(events: DataFrame, client: str | None = None, limit: int = 200, dat
 
 
 def enriched_timeline(events: DataFrame, docs: DataFrame) -> DataFrame:
-    """Timeline rows with their latest document, the client's contacts and a date to show."""
-    doc = latest(docs).select(F.col("source_path").alias("source_document"), "document_kind", "report_date", "project_key")
+    """Timeline rows with their latest document (its project and kind, name and link), the client's contacts and a date to show."""
+    also = [c for c in ("project_key", "project_name", "project_code", "source_type") if c in docs.columns]
+    doc = latest(docs).select(F.col("source_path").alias("source_document"), "document_kind", "report_date", *also)
     who = contacts(docs).groupBy("client_name").agg(F.array_sort(F.collect_set("contact")).alias("client_contacts"))
     out = events.join(doc, "source_document", "left").join(who, "client_name", "left")
+    path = F.coalesce("source_document", F.lit(""))
+    out = out.withColumn("document_name", basename(path)).withColumn("document_href", document_link(path))
     return out.withColumn("document_kind", F.coalesce("document_kind", F.lit("unknown"))).withColumn("display_date", F.coalesce("event_date", "report_date", "created_at")).withColumn("missing_date", F.col("event_date").isNull() & F.col("report_date").isNull())
 
 
@@ -186,19 +189,22 @@ def node_history(rows: DataFrame, fact_columns: list[str]) -> DataFrame:
 
 
 def project_accumulation(rows: DataFrame) -> DataFrame:
-    """Running unions of a project's kinds and references, and its last known date.
+    """Running unions of a project's kinds, authors, contacts and references, and its last known date.
 
-    Only the row that names a value first adds it, so the running lists hold each value once.
+    Only the row that names a value first adds it, so the running lists hold each value once; blanks are left out.
     """
     order = ["ingested_at", "doc_id"]
     w = Window.partitionBy("client_name", "project_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    first = F.row_number().over(Window.partitionBy("client_name", "project_key", "document_kind").orderBy(*order)) == 1
-    refs = rows.select("client_name", "project_key", *order, F.posexplode(F.array_distinct("related_references")).alias("__at", "__ref"))
-    seen = Window.partitionBy("client_name", "project_key", "__ref").orderBy(*order)
-    new = refs.withColumn("__n", F.row_number().over(seen)).where("__n = 1").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("__at", "__ref"))).alias("__new"))
-    out = rows.withColumn("__kind", F.when(first, F.col("document_kind"))).join(new, "doc_id", "left")
-    out = out.withColumn("kinds_so_far", F.collect_list("__kind").over(w)).withColumn("refs_so_far", F.flatten(F.collect_list(F.transform("__new", lambda x: x["__ref"])).over(w)))
-    return out.withColumn("date_so_far", F.last("report_date", ignorenulls=True).over(w)).drop("__kind", "__new")
+    lists = {"kinds": F.array("document_kind"), "authors": F.col("authors"), "contacts": F.col("contacts"), "refs": F.col("related_references")}
+    named = lambda n: lambda x: F.struct(F.lit(n).alias("list"), x.alias("value"))
+    every = F.concat(*[F.transform(ordered_union(c), named(n)) for n, c in lists.items()])
+    said = rows.select("client_name", "project_key", *order, F.posexplode(every).alias("__at", "__x")).select("client_name", "project_key", *order, "__at", "__x.*")
+    seen = Window.partitionBy("client_name", "project_key", "list", "value").orderBy(*order, "__at")
+    new = said.withColumn("__n", F.row_number().over(seen)).where("__n = 1").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("__at", "list", "value"))).alias("__new"))
+    out = rows.join(new, "doc_id", "left")
+    own = lambda n: F.transform(F.filter("__new", lambda x: x["list"] == n), lambda x: x["value"])
+    out = out.withColumns({f"{n}_so_far": F.flatten(F.collect_list(own(n)).over(w)) for n in lists})
+    return out.withColumn("date_so_far", F.last(F.nullif("report_date", F.lit("")), ignorenulls=True).over(w)).drop("__new")
 
 
 def project_rollup(docs: DataFrame) -> DataFrame:

@@ -85,3 +85,21 @@ def manifest_check(docs: DataFrame, manifest: DataFrame) -> DataFrame:
     """Manifest rows (path, expected_kind) that have a document, with its kind and whether it is another one."""
     m = manifest.select(F.col("path").alias("source_path"), "expected_kind")
     return docs.select("doc_id", "source_path", "document_kind").join(m, "source_path").withColumn("mismatch", ~F.col("document_kind").eqNullSafe(F.col("expected_kind")))
+
+
+def benchmark_cases(projects: DataFrame, most_cases: int = 9, most_projects: int = 8) -> DataFrame:
+    """(place, client_name, project_key, project_name, field_key, expected_status, expected_value): the first stored answers of a model that are
+    filled or known as absent, of at most so many projects, the newest first.
+
+    ``projects``: client_name, project_key, project_name, updated_at and ``fields``, a map from key to a struct of value, status and method;
+    ties of time go by client and project. Both limits are taken as top-k, so no task sees all rows.
+    """
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    entries = F.filter(F.map_entries("fields"), lambda e: (F.lower(text(e["value"]["method"])) == "ai") & text(e["value"]["status"]).isin("filled", "absent"))
+    own = projects.withColumn("__e", entries).where(F.size("__e") > 0)
+    newest = [F.desc("updated_at"), F.asc("client_name"), F.asc("project_key")]
+    top = own.orderBy(*newest).limit(most_projects)
+    rows = top.select("client_name", "project_key", "updated_at", F.coalesce("project_name", F.lit("")).alias("project_name"), F.posexplode("__e").alias("__at", "__f"))
+    first = rows.orderBy(*newest, "__at").limit(most_cases)
+    place = F.row_number().over(Window.orderBy(*newest, "__at"))
+    return first.select(place.alias("place"), "client_name", "project_key", "project_name", F.col("__f.key").alias("field_key"), text(F.col("__f.value.status")).alias("expected_status"), text(F.col("__f.value.value")).alias("expected_value"))

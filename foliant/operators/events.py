@@ -10,6 +10,11 @@ def event_counts(log: DataFrame) -> DataFrame:
     return log.groupBy(F.coalesce("event", F.lit("unknown")).alias("event")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def status_counts(log: DataFrame, of: str = "file_completed") -> DataFrame:
+    """How often files were completed with each status."""
+    return log.where(F.col("event") == of).groupBy(F.coalesce(F.nullif("status", F.lit("")), F.lit("unknown")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def durations(log: DataFrame, key: str = "path", at: str = "ts", order: str = "line", starts: str = "file_started", ends: tuple[str, ...] = ("file_completed", "file_error")) -> DataFrame:
     """Seconds from the last start before each end of the same key; never negative. A start serves every end after it."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import moment
 from ..functions.text import basename, collapse, first_words, let, ordered_union, strip
-from .documents import metadata_matches
+from .documents import greedy_budget, metadata_matches
 
 # Terms, kinds, budgets and cues by field.
 TERMS = {
@@ -153,6 +153,29 @@ def context_lines(hits: DataFrame, field: str, key: str = "query_id") -> DataFra
     return some.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("context"))
 
 
+#: Sources that a summary's context shows, characters of each, and of all together.
+MOST_SOURCES, SHOWN, CONTEXT = 12, 420, 2200
+
+
+def summary_query_text(project_name: Column, docs: Column) -> Column:
+    """Ordered distinct words about a project: its name, and type, title, file name, code and five references of each of the first ten
+    documents (an array of structs)."""
+    none = F.array().cast("array<string>")
+    of_docs = F.flatten(F.transform(F.slice(docs, 1, 10), lambda x: F.concat(F.array(x["report_type"], x["title"], x["document_name"], x["project_code"]), F.slice(F.coalesce(x["related_references"], none), 1, 5))))
+    return F.array_join(F.array_distinct(F.concat(F.array(F.coalesce(project_name, F.lit(""))), ordered_union(of_docs))), " ")
+
+
+def summary_context(hits: DataFrame, key: str = "query_id") -> DataFrame:
+    """(key, context): client, file and beginning of the best hit of each source, the best twelve sources at most and none from the first
+    that would overrun the budget. ``hits``: key, rank, client_name, source_document, chunk_text."""
+    best = hits.where("source_document != ''").groupBy(key, "source_document").agg(F.min_by(F.struct("rank", "client_name", F.substring("chunk_text", 1, SHOWN).alias("shown")), "rank").alias("h"))
+    some = best.withColumn("__place", F.row_number().over(Window.partitionBy(key).orderBy("h.rank", "source_document"))).where(F.col("__place") <= MOST_SOURCES)
+    client = F.coalesce(F.nullif("h.client_name", F.lit("")), F.lit("unknown client"))
+    told = F.concat(F.lit("["), client, F.lit(" | "), basename(F.col("source_document")), F.lit("]\n"), F.coalesce("h.shown", F.lit("")))
+    some = greedy_budget(some.withColumn("__told", told), [key], [F.col("__place")], F.length("__told"), CONTEXT)
+    return some.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__place", "__told"))), lambda x: x["__told"]), "\n\n").alias("context"))
+
+
 def local_evidence(docs: DataFrame, field: str, most: int = 4) -> DataFrame:
     """Evidence lines of a project's first six documents (``position`` from 1) for a field, the best four.
 
@@ -208,13 +231,6 @@ def batch_answers(questions: DataFrame, answers: DataFrame) -> DataFrame:
     return joined.withColumn("record", F.when(F.col("__there"), record).otherwise(missing)).select("key", "position", "record.status", F.col("record.answer").alias("normalized_answer"))
 
 
-def field_values(definitions: DataFrame, values: DataFrame) -> DataFrame:
-    """Every defined field of every project with its stored value, method and status; without one it is absent."""
-    projects = values.select("client_name", "project_key", "fields")
-    out = projects.join(F.broadcast(definitions.select("key", "label", "prompt")), on=F.lit(True))
-    return out.select("client_name", "project_key", "key", "label", F.coalesce(F.nullif(F.try_element_at("fields", F.col("key")), F.lit("")), F.lit(ABSENT)).alias("value"))
-
-
 #: Order in which other fields are told to the one that is asked for (fixed values).
 TOLD_FIRST = ("title", "scope", "date", "quoted", "invoice", "participants", "findings", "recommendations", "gaps")
 
@@ -335,10 +351,16 @@ def extraction_merged(model: DataFrame, found: DataFrame, key: str = "doc_id") -
 
 
 def vector_rows(vectors: DataFrame, client: str | None = None, sources: list[str] | None = None, filters: dict[str, object] | None = None) -> DataFrame:
-    """The rows a search runs over: a client's own, of some documents, of some metadata."""
-    out = vectors if client is None else vectors.where(F.lower(F.trim("client_name")) == client.strip().lower())
-    if sources:
-        out = out.where(F.col("source_document").isin(*sources))
+    """The rows a search runs over: a client's own (case put aside), of some documents (blanks name none), of some metadata."""
+    out = vectors if not client else vectors.where(F.lower(F.coalesce("client_name", F.lit(""))) == client.lower())
+    wanted = [s.strip() for s in sources or [] if s and s.strip()]
+    if wanted:
+        out = out.where(F.col("source_document").isin(*wanted))
     if filters:
         out = out.where(metadata_matches(filters, dict(out.dtypes)))
     return out
+
+
+def vector_scan(vectors: DataFrame, client: str | None = None, sources: list[str] | None = None, filters: dict[str, object] | None = None) -> DataFrame:
+    """``vector_rows`` by document and text."""
+    return vector_rows(vectors, client, sources, filters).orderBy("source_document", "chunk_text")

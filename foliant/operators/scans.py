@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import moment
-from ..functions.text import basename, document_references, ordered_union, stem, url_quote
+from ..functions.text import basename, document_link, document_references, ordered_union, stem, url_quote
 from .documents import clamp
 
 PROJECT_COLUMNS = ("doc_id", "source_path", "document_kind", "title", "report_type", "report_date", "project_key", "project_name", "project_code", "ingested_at")
@@ -58,10 +58,6 @@ def visual_timeline(events: DataFrame) -> DataFrame:
     ).orderBy("timestamp", "summary", "event_id")
 
 
-def document_link(path: Column) -> Column:
-    return F.concat(F.lit("/document?path="), url_quote(path))
-
-
 def decorated(docs: DataFrame, excerpt: Column, amounts: Column) -> DataFrame:
     """Documents as a project page shows them: names, links, cleaned lists and references, excerpt and amounts."""
     text = lambda c, other="": F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(other))

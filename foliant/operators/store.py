@@ -32,10 +32,13 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], keep: tuple[
     return stored.join(incoming.select(*keys), keys, "left_anti").unionByName(new.select(*stored.columns))
 
 
-def insert_absent(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Incoming rows whose key (nulls count as empty) is not there yet; of equal ones one."""
-    same = reduce(lambda a, b: a & b, [F.coalesce(stored[k].cast("string"), F.lit("")) == F.coalesce(incoming[k].cast("string"), F.lit("")) for k in keys])
-    return stored.unionByName(incoming.dropDuplicates(keys).join(stored, same, "left_anti"))
+def insert_absent(stored: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Incoming rows whose key (nulls count as empty) is not there yet; of equal ones the first by ``order``."""
+    w = Window.partitionBy(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).orderBy(*order)
+    first = incoming.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    told = lambda side, k: F.coalesce(F.col(f"{side}.{k}").cast("string"), F.lit(""))
+    same = reduce(lambda a, b: a & b, [told("old", k) == told("new", k) for k in keys])
+    return stored.unionByName(first.alias("new").join(stored.alias("old"), same, "left_anti"))
 
 
 def replace_rows(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -156,8 +159,14 @@ def delete_client(tables: dict[str, DataFrame], client: str, documents_too: bool
     return out
 
 
-def delete_node(nodes: DataFrame, client: str, path: str) -> DataFrame:
-    return nodes.where(~((F.col("client_name") == client) & (F.col("node_path") == path)))
+def delete_nodes(profiles: DataFrame, history: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``profiles`` and ``history`` without the nodes of ``gone`` (client_name, node_path), and how many profile rows each of these
+    took away (n, 0 for a node that isn't there)."""
+    key = ["client_name", "node_path"]
+    wanted = gone.select(*key).distinct()
+    found = profiles.join(wanted, key, "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    counts = wanted.join(found, key, "left").select(*key, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return profiles.join(wanted, key, "left_anti"), history.join(wanted, key, "left_anti"), counts
 
 
 def save(df: DataFrame, path: str) -> None:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, extract, money, text
 from ..operators import documents as docs_ops
 from ..operators import events as event_ops
-from ..operators import cascade, derived, evaluation, fields, grouping, resolve, retrieval, scans, store
+from ..operators import cascade, derived, evaluation, fields, grouping, pages, resolve, retrieval, scans, store
 from ..streaming import ingest
 
 SPELLED_SQL = "spelled as (select *, case when doc_id % 5 = 0 then upper(client_name) when doc_id % 7 = 0 then lower(client_name) else client_name end as spelt from docs)"
@@ -195,9 +195,11 @@ def node_history(spark, d):
     return docs_ops.node_history(a.select("client_name", "node_path", "ingested_at", "doc_id", "document_kind"), ["document_kind"]).select("doc_id", "superseded", "is_current")
 
 
-@query("project_accumulation", "with {docs} select doc_id, (count(distinct document_kind) over w)::int n_kinds, report_date date_so_far from docs window w as (partition by client_name, project_code order by ingested_at, doc_id rows unbounded preceding)")
+@query("project_accumulation", "with {docs} select doc_id, (count(distinct document_kind) over w)::int n_kinds, (count(distinct contact) over w)::int n_contacts, report_date date_so_far from docs window w as (partition by client_name, project_code order by ingested_at, doc_id rows unbounded preceding)")
 def project_accumulation(spark, d):
-    return docs_ops.project_accumulation(analysed(spark, d)).select("doc_id", F.size("kinds_so_far").alias("n_kinds"), "date_so_far")
+    a = analysed(spark, d).select("doc_id", "client_name", "project_key", "ingested_at", "document_kind", "authors", "contacts", "related_references", "report_date")
+    # Read twice, so what the patterns found is written once.
+    return docs_ops.project_accumulation(grouping.checkpointed(a)).select("doc_id", F.size("kinds_so_far").alias("n_kinds"), F.size("contacts_so_far").alias("n_contacts"), "date_so_far")
 
 
 @query("project_rollup", "with {docs} select client_name, project_code, count(*) filter (document_kind = 'report') reports, count(*) filter (document_kind <> 'report') other_documents, max(report_date) latest_date from docs group by 1, 2")
@@ -215,6 +217,18 @@ def enriched_timeline(spark, d):
     return docs_ops.enriched_timeline(ev, known).select("doc_id", "document_kind", F.array_join("client_contacts", ",").alias("client_contacts"), "missing_date", "display_date")
 
 
+@query("timeline_page", """with {docs}, l as (select * from (select *, row_number() over (partition by source_path order by ingested_at desc, doc_id desc) n from docs) where n = 1),
+ e as (select *, case when doc_id % 3 <> 0 then report_date end event_date, client_name || ' ' || document_kind said from docs order by coalesce(case when doc_id % 3 <> 0 then report_date end, '1995-06-01') desc, doc_id desc limit 2000)
+ select e.doc_id, e.event_date, l.document_kind, l.project_code, l.project_name, regexp_extract(e.source_path, '[^/]*$') document_name, '/document?path=' || replace(e.source_path, '/', '%2F') document_href from e join l using (source_path)
+ where l.document_kind = 'quote' and e.contact ilike '%m. bu%' and e.event_date >= '2000-07-17' and e.event_date <= '2001-02-28'""")
+def timeline_page(spark, d):
+    """Of the newest 2,000 rows (each third undated) the quotes of some contacts in a time that is bounded in two spellings."""
+    a = grouping.checkpointed(analysed(spark, d).select("doc_id", "client_name", "source_path", "ingested_at", "document_kind", "report_date", "contacts", "project_key", "project_name", "project_code"))
+    ev = a.select("doc_id", "client_name", F.col("source_path").alias("source_document"), F.when(F.col("doc_id") % 3 != 0, F.col("report_date")).alias("event_date"), F.lit("1995-06-01").alias("created_at"))
+    out = pages.timeline_page(ev, a, kind="quote", contact=" M. BU", date_from="17/07/2000", date_to="2001-02-28", limit=2000, tie="doc_id")
+    return out.select("doc_id", "event_date", "document_kind", "project_code", "project_name", "document_name", "document_href")
+
+
 @query("timeline_limit_then_filter", "with e as (select event_id, strftime(ts, '%Y-%m-%d') event_date from events order by strftime(ts, '%Y-%m-%d') desc, event_id desc limit 500) select event_id, event_date from e where event_id % 5 <> 0 and event_date <= (select strftime(max(ts) - interval 1 day, '%Y-%m-%d') from events)")
 def timeline_limit(spark, d):
     """The newest 500 of all events; undated ones (each fifth, dated by its record) and those of the last day fail the bound."""
@@ -487,6 +501,17 @@ def retrieval_metrics(spark, d):
     return retrieval.retrieval_metrics(hits, docs.where("doc_id % 11 = 0").select(F.col("lang").alias("query_id"), "source"))
 
 
+@query("retrieval_misses", """with h as (select o_custkey query_id, lower(o_orderpriority) s, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) r from orders),
+ w as (select o_custkey query_id, list_sort(list_distinct(list(lower(o_orderpriority)))) e from orders where o_orderkey % 7 = 0 group by 1), g as (select query_id, list(s order by r) found from h where r <= 2 group by 1)
+ select query_id, array_to_string(e, ',') expected, array_to_string(found, ',') top_results from w join g using (query_id) where not list_has_any(e, found)""")
+def retrieval_misses(spark, d):
+    """A customer's newest two orders as hits, whose priorities should be among those of every seventh order."""
+    o = t(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.concat(F.lit("p\\"), "o_orderpriority").alias("source"), "o_orderdate", "o_orderkey")
+    hits = o.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))))
+    out = retrieval.retrieval_misses(hits, o.where("o_orderkey % 7 = 0"), k=2)
+    return out.select("query_id", F.array_join("expected_sources", ",").alias("expected"), F.array_join("top_results", ",").alias("top_results"))
+
+
 # Event log ------------------------------------------------------------------------------------
 
 
@@ -642,6 +667,48 @@ def node_states(spark, d):
     return cascade.node_states(rows).select("doc_id", "superseded_by", F.size("source_reports").alias("n_reports"), "version")
 
 
+@query("node_pages", """with {docs}, f as (select *, 'n' || doc_id % 2 facts from docs), s as (select *, lead(facts) over w nf, lead(source_path) over w superseded_by, list(source_path) over (w rows unbounded preceding) seen from f window w as (partition by client_name, project_code order by ingested_at, doc_id)),
+ k as (select * from s where superseded_by is null or nf <> facts) select doc_id, case when superseded_by is null then 'Superseded' else 'Superseded by ' || replace(superseded_by, 'docs/', '') end as "label", '/document?path=' || replace(superseded_by, '/', '%2F') superseded_href,
+ array_to_string(list_sort(list_distinct(list_transform(seen, lambda p: replace(p, 'docs/', '') || '=/document?path=' || replace(p, '/', '%2F')))), ';') reports from k""")
+def node_pages(spark, d):
+    """States of each project's node as its page shows them: what replaced them, and links to the reports behind them."""
+    a = analysed(spark, d).select("client_name", F.col("project_key").alias("node_path"), "ingested_at", "doc_id", "source_path", F.lit(None).cast("string").alias("report_date"))
+    rows = grouping.checkpointed(a).withColumn("project_name", F.concat(F.lit("n"), (F.col("doc_id") % 2).cast("string")))
+    out = pages.node_links(pages.history_labels(cascade.node_states(rows)))
+    told = F.transform("source_reports", lambda r: F.concat(r["name"], F.lit("="), r["href"]))
+    return out.select("doc_id", "label", "superseded_href", F.array_join(F.array_sort(told), ";").alias("reports"))
+
+
+@query("report_page", """with {docs} select doc_id, replace(source_path, 'docs/', '') document_name, '/document?path=' || replace(source_path, '/', '%2F') document_href, '/report/versions?path=' || replace(source_path, '/', '%2F') versions_href, doc_id % 11 = 0 missing_date
+ from docs where document_kind = 'report' and (doc_id % 11 = 0 or report_date >= '1995-01-01') order by ingested_at desc, doc_id desc limit 2000""")
+def report_page(spark, d):
+    """The newest reports with their links; each eleventh has no date and passes the bound."""
+    a = analysed(spark, d).withColumn("report_date", F.when(F.col("doc_id") % 11 != 0, F.col("report_date")))
+    return pages.report_links(docs_ops.reports(a, date_from="1995-01-01")).select("doc_id", "document_name", "document_href", "versions_href", "missing_date")
+
+
+@query("deleted_nodes", """with {docs}, g as (select client_name, project_code, count(*) n, regexp_extract(min(source_path), '_([0-9]+)[.]', 1)::int % 4 = 0 hit from docs group by 1, 2)
+ select client_name, project_code node_path, case when hit then 'deleted' else 'kept' end state, case when hit then 1 else n end n from g""")
+def deleted_nodes(spark, d):
+    """The nodes of every fourth customer go with their history; the others keep theirs, a row for each document."""
+    a = grouping.checkpointed(analysed(spark, d).select("client_name", F.col("project_code").alias("node_path"), "source_path"))
+    nodes = a.select("client_name", "node_path").distinct()
+    gone = a.where(F.regexp_extract("source_path", r"_(\d+)[.]", 1).cast("int") % 4 == 0)
+    left, history, counts = store.delete_nodes(nodes, a, gone)
+    kept = left.join(history, ["client_name", "node_path"]).groupBy("client_name", "node_path").agg(F.lit("kept").alias("state"), F.count(F.lit(1)).alias("n"))
+    return kept.unionByName(counts.withColumn("state", F.lit("deleted")))
+
+
+@query("first_events", "select event_type, user_id, min(event_id) event_id, false stored from events where event_type <> 'error' group by 1, 2 union all select event_type, user_id, event_id, true from events where event_type = 'error'")
+def first_events(spark, d):
+    """Of each user's events of a kind the first is put in, but of the kind that is stored already none."""
+    e = t(spark, d, "events").select("event_type", "user_id", "event_id")
+    stored = e.where("event_type = 'error'").withColumn("stored", F.lit(True))
+    known = e.join(stored.select("event_type").distinct(), "event_type", "left_semi").select("event_type", "user_id", "event_id")
+    incoming = e.where("event_type <> 'error'").unionByName(known).withColumn("stored", F.lit(False))
+    return store.insert_absent(stored, incoming, ["event_type", "user_id"], ["event_id"])
+
+
 # Evaluation -----------------------------------------------------------------------------------
 
 
@@ -684,6 +751,18 @@ def benchmark_summary(spark, d):
     return evaluation.benchmark_summary(cases(spark, d)).select("model", "case_count", "ok_rate", "ai_method_rate", "status_accuracy", "avg_score", "filled_value_similarity")
 
 
+@query("benchmark_cases", """with {docs}, p as (select client_name, project_code, max(project_name) project_name, max(ingested_at) updated_at, count(*) n from docs group by 1, 2),
+ x as (select *, unnest([{'k': 'scope', 's': case when n % 2 = 0 then 'filled' else 'failed' end, 'v': n::varchar, 'm': 'ai'}, {'k': 'timeline', 's': 'absent', 'v': '', 'm': case when n % 3 = 0 then 'ai' else 'rule' end}, {'k': 'gaps', 's': 'filled', 'v': 'none', 'm': 'rule'}], recursive := true), generate_subscripts([1, 2, 3], 1) place_in from p),
+ o as (select *, dense_rank() over (order by updated_at desc, client_name, project_code) project from x where m = 'ai' and s in ('filled', 'absent'))
+ select (row_number() over (order by project, place_in))::int place, client_name, project_code project_key, k field_key, s expected_status, v expected_value from o where project <= 8 order by project, place_in limit 9""")
+def benchmark_cases(spark, d):
+    """Stored answers of each project, by a model or by rules, of which the newest make the benchmark."""
+    g = analysed(spark, d).groupBy("client_name", F.col("project_code").alias("project_key")).agg(F.max("project_name").alias("project_name"), F.max("ingested_at").alias("updated_at"), F.count(F.lit(1)).alias("n"))
+    field = lambda value, status, method: F.struct(*[(F.lit(x) if isinstance(x, str) else x).alias(c) for c, x in (("value", value), ("status", status), ("method", method))])
+    own = F.create_map(F.lit("scope"), field(F.concat(F.lit(" "), F.col("n").cast("string")), F.when(F.col("n") % 2 == 0, "filled").otherwise("failed"), "AI "), F.lit("timeline"), field("", "absent", F.when(F.col("n") % 3 == 0, "ai").otherwise("rule")), F.lit("gaps"), field("none", "filled", "rule"))
+    return evaluation.benchmark_cases(g.withColumn("fields", own)).drop("project_name")
+
+
 @query("summary_quality", "select o_orderkey, case when o_orderkey % 9 = 0 then 0.0 else round(0.45 * least((o_orderkey % 900) / 650.0, 1.0) + 0.35 * (o_orderkey % 4) / greatest(1, o_orderkey % 5) + 0.2 * greatest(0.0, 1 - (o_orderkey % 3) / greatest(1, o_orderkey % 6)::double), 4) end::double score from orders")
 def summary_quality(spark, d):
     k = F.col("o_orderkey")
@@ -737,6 +816,48 @@ def project_hints(spark, d):
     return fields.project_hints(analysed(spark, d)).select("client_name", "project_key", "project_code", F.size("sources").cast("long").alias("n_sources"), F.array_join("years", ",").alias("years"))
 
 
+@query("project_fields", """with {docs}, p as (select client_name, lower(project_code) project_key, count(*) n from docs group by 1, 2), f as (select unnest([{'key': 'scope', 'label': 'Project Scope'}, {'key': 'timeline', 'label': 'Timeline'}, {'key': 'gaps', 'label': 'Known Gaps'}], recursive := true))
+ select client_name, project_key, key, "label", case when key = 'scope' and n % 2 = 0 then n::varchar else '' end "value", case when key = 'timeline' then 'absent' when key = 'scope' then 'filled' else '' end status,
+ case key when 'scope' then 'ai' when 'timeline' then 'fallback' else '' end "method", case when key = 'timeline' then case when n % 2 = 0 then 'no answer' else 'AI generation unavailable.' end else '' end error_message, (key = 'scope' and n % 2 <> 0) or key = 'gaps' needs_generation from p, f""")
+def project_fields(spark, d):
+    """Stored fields of each project as its page shows them: a model's answer without a method, a fallback told by its evidence, one that isn't there."""
+    g = analysed(spark, d).groupBy("client_name", "project_key").agg(F.count(F.lit(1)).alias("n"))
+    even = F.col("n") % 2 == 0
+    field = lambda value, status, evidence: F.struct(*[x.alias(c) for c, x in (("value", value), ("status", F.lit(status)), ("evidence", evidence), ("method", F.lit(None).cast("string")), ("error_message", F.lit("")))])
+    own = F.create_map(F.lit("scope"), field(F.when(even, F.col("n").cast("string")), "filled", F.lit("e")), F.lit("timeline"), field(F.lit("  "), "absent", F.concat(F.lit("Fallback due to LLM unavailability:"), F.when(even, " no answer").otherwise("  "))))
+    return pages.key_field_rows(g.withColumn("fields", own), [("scope", "Project Scope"), ("timeline", "Timeline"), ("gaps", "Known Gaps")]).drop("position")
+
+
+@query("summary_failures", """with {docs}, o as (select *, row_number() over (partition by client_name, project_code order by ingested_at, doc_id) n, row_number() over (partition by client_name, project_code order by ingested_at desc, doc_id desc) r,
+ case document_kind when 'invoice' then 'Sales Invoice' when 'quote' then 'Quotation' when 'purchase_order' then 'Purchase Order' else 'Inspection Report' end title from docs)
+ select client_name, lower(project_code) project_key, case when count(*) % 3 = 0 then 'http_error_503' when count(*) % 3 = 1 then 'request_timed_out' else 'unknown_error' end error_code,
+ case when count(*) % 3 = 0 then 'Local model service returned HTTP error (503).' when count(*) % 3 = 1 then 'Request to local model timed out.' else 'Unknown error.' end error_message, count(*) document_count,
+ string_agg(title, '|' order by n) filter (n <= 12) titles, string_agg(doc_id || ':' || left(repeat(document_kind || ' ', 40), 180), '|' order by r) filter (r <= 12) previews from o group by 1, 2""")
+def summary_failures(spark, d):
+    """A failed summary of every project: its documents in order, the newest ones as hits."""
+    a = grouping.checkpointed(analysed(spark, d).select("doc_id", "client_name", "project_key", "project_name", "ingested_at", "document_kind", "title", "source_path"))
+    w = Window.partitionBy("client_name", "project_key")
+    docs = a.withColumn("position", F.row_number().over(w.orderBy("ingested_at", "doc_id"))).withColumn("document_name", text.basename(F.col("source_path")))
+    hits = a.withColumn("rank", F.row_number().over(w.orderBy(F.desc("ingested_at"), F.desc("doc_id")))).select("client_name", "project_key", "rank", F.col("doc_id").alias("score"), F.col("client_name").alias("hit_client"), F.col("source_path").alias("source_document"), F.repeat(F.concat("document_kind", F.lit(" ")), F.lit(40)).alias("chunk_text"))
+    n = F.count(F.lit(1)) % 3
+    none = F.lit(None).cast("string")
+    failed = a.groupBy("client_name", "project_key").agg(F.max("project_name").alias("project_name"), F.when(n == 0, "http_error_503").when(n == 1, "request_timed_out").alias("error_code")).withColumns({"strategy": F.lit("map_reduce"), "error_message": none, "query_text": none})
+    out = pages.failure_records(failed, docs, hits)
+    previews = F.transform("rag_hits", lambda h: F.concat(h["score"].cast("string"), F.lit(":"), h["chunk_preview"]))
+    return out.select("client_name", "project_key", "error_code", "error_message", "document_count", F.array_join("document_titles", "|").alias("titles"), F.array_join(previews, "|").alias("previews"))
+
+
+@query("summary_contexts", """with h as (select doc_id, doc_id % 40 query_id, coalesce(lang, '') || '/' || coalesce(source, '') || doc_id % 90 source_document, case when doc_id % 3 > 0 then lang end client, left(coalesce(text, ''), 420) shown, row_number() over (partition by doc_id % 40 order by n_chars desc, doc_id) r from documents where doc_id is not null),
+ b as (select query_id, source_document, arg_min(struct_pack(client, shown), r) x, min(r) r from h group by 1, 2), c as (select *, row_number() over (partition by query_id order by r) n, '[' || coalesce(nullif(x.client, ''), 'unknown client') || ' | ' || regexp_extract(source_document, '([^/]*)$', 1) || ']' || chr(10) || x.shown told from b),
+ u as (select *, sum(length(told)) over (partition by query_id order by n) used from c where n <= 12) select query_id, string_agg(told, chr(10) || chr(10) order by n) context from u where used <= 2200 or n = 1 group by 1""")
+def summary_contexts(spark, d):
+    """Forty queries over all documents, the longest first: what a summary's prompt shows of their sources."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("n_chars"), "doc_id")
+    h = t(spark, d, "documents").where("doc_id is not null").withColumn("query_id", F.col("doc_id") % 40).withColumn("rank", F.row_number().over(w))
+    source = F.concat(F.coalesce("lang", F.lit("")), F.lit("/"), F.coalesce("source", F.lit("")), (F.col("doc_id") % 90).cast("string"))
+    return fields.summary_context(h.select("query_id", "rank", F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("client_name"), source.alias("source_document"), F.col("text").alias("chunk_text")))
+
+
 @query("rule_summaries", """with {docs}, k as (select client_name, project_code, document_kind, min(struct_pack(ingested_at, doc_id)) f from docs group by all), kk as (select *, row_number() over (partition by client_name, project_code order by f) n from k),
  ks as (select client_name, project_code, string_agg(document_kind, ', ' order by n) filter (n <= 3) kinds, bool_or(document_kind in ('quote', 'purchase_order')) logistics, bool_or(document_kind = 'invoice') invoiced from kk group by 1, 2),
  g as (select client_name, project_code, min(contact) contact, arg_min(project_name, struct_pack(ingested_at, doc_id)) project_name, count(*) n, min(report_date) lo, max(report_date) hi from docs group by 1, 2)
@@ -746,7 +867,7 @@ def project_hints(spark, d):
  '. Conclusions should be based on the documented findings and recommended actions above.' summary from g join ks using (client_name, project_code)""")
 def rule_summaries(spark, d):
     a = analysed(spark, d).withColumn("related_references", F.array("project_code")).withColumn("excerpt", F.lit("")).withColumn("currency_amounts", F.array().cast("array<string>"))
-    return fields.rule_summary(a)
+    return fields.rule_summary(grouping.checkpointed(a.drop("content_hash", "title", "findings", "recommendations")))
 
 
 @query("field_rescoring", """with h as (select lang query_id, source source_document, text chunk_text, doc_id, (n_chars % 100) / 100.0::double score, lower(text) low from documents where lang is not null and source is not null),
@@ -847,3 +968,9 @@ def progress_events(spark, d):
     known = r.where("doc_id % 7 = 0").select("source_path", text.content_hash(F.col("text")).alias("content_hash"))
     rows = r.select("doc_id", "source_path", F.lit("text").alias("source_type"), "text", bad.alias("error"))
     return ingest.progress_events(ingest.outcomes(rows, known), keep=("doc_id",)).select("doc_id", "path", "n", "event", "status", "document_kind", "client_name", "project_key")
+
+
+@query("ingest_statuses", "with {docs}, s as (select case when doc_id % 11 = 0 then 'error' when doc_id % 13 = 0 then 'unsupported' when doc_id % 7 = 0 then 'skipped_duplicate' else 'ingested' end status from docs) select status, count(*) n from s where status in ('skipped_duplicate', 'ingested') group by 1")
+def ingest_statuses(spark, d):
+    """With what status the files of ``progress_events`` were completed."""
+    return event_ops.status_counts(progress_events(spark, d))

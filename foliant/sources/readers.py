@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import newlines, suffix
+from ..functions.text import newlines, strip, suffix, title_case
 
 #: Source types by suffix (fixed values).
 TYPES = {".txt": "text", ".md": "text", ".html": "html", ".htm": "html", ".pdf": "pdf", ".docx": "docx", ".xlsx": "xlsx", ".xlsm": "xlsx", ".csv": "csv"}
@@ -141,20 +141,68 @@ def event_log(spark: SparkSession, path: str) -> DataFrame:
     return log.withColumn("event", F.coalesce("event", F.lit("unknown"))).withColumn("ts", F.try_to_timestamp("ts")).withColumn("line", F.monotonically_increasing_id())
 
 
-def definitions(spark: SparkSession, path: str, parts: tuple[str, ...] = ("key", "label", "prompt")) -> DataFrame:
-    """``key|label|prompt`` lines (or ``key|question``); blank lines and ``#`` comments are skipped, a
-    line without a bar gets the key ``q<n>``."""
-    lines = spark.read.text(path).select(F.trim("value").alias("v"), F.monotonically_increasing_id().alias("at")).where("v != '' and not startswith(v, '#')")
-    cut = F.split("v", r"\s*\|\s*", len(parts))
-    bare = F.size(cut) == 1
-    key = F.when(bare, F.concat(F.lit("q"), F.row_number().over(Window.orderBy("at")))).otherwise(cut[0])
-    rest = [F.coalesce(F.try_element_at(cut, F.lit(i + 1)), F.try_element_at(cut, F.size(cut))).alias(p) for i, p in enumerate(parts) if i]
-    return lines.select(key.alias(parts[0]), *rest)
+#: The fields and questions asked for where a file defines none.
+DEFAULT_FIELDS = (
+    ("scope", "Project Scope", "What is this project about and what is the scope of work?"),
+    ("participants", "Participants", "Who are the key people, teams, or stakeholders involved?"),
+    ("timeline", "Timeline", "What dates, milestones, or sequencing are known?"),
+    ("commercial", "Commercial", "What budget, quote, PO, invoice, or logistics details are known?"),
+    ("findings", "Findings", "What key findings, issues, or risks are documented?"),
+    ("recommendations", "Recommendations", "What actions or recommendations are documented?"),
+    ("gaps", "Known Gaps", "What important information is missing or uncertain?"),
+)
+DEFAULT_QUESTIONS = (
+    ("scope", "What is this project about and what is the work scope?"),
+    ("participants", "Who are the key people or teams involved?"),
+    ("timeline", "What dates, milestones, or sequencing are relevant?"),
+    ("commercial", "What budget, quote, PO, invoice, or logistics status is evidenced?"),
+    ("risks_actions", "What key risks/issues and recommended actions are evidenced?"),
+    ("missing_info", "What important information is still missing or uncertain?"),
+)
+
+
+def _definition_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(at, v): the lines of one definition file that are neither blank nor comments, in their order."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(newlines(F.col("value")), "\n")).alias("at", "v"))
+    return lines.withColumn("v", strip(F.col("v"))).where("v != '' and not startswith(v, '#')")
+
+
+def key_fields(spark: SparkSession, path: str) -> DataFrame:
+    """(position, key, label, prompt) of lines ``key|label|prompt``, ``key|prompt`` (the label is the key in words) or ``key`` (the
+    prompt asks what is known); a line without a key or a prompt is left out. A file without any gives the default fields."""
+    cut = F.transform(F.split("v", r"\|"), strip)
+    lines = _definition_lines(spark, path).withColumn("cut", cut).withColumn("n", F.size("cut"))
+    key, in_words = F.col("cut")[0], title_case(F.replace(F.col("cut")[0], F.lit("_"), F.lit(" ")))
+    label = F.when(F.col("n") >= 3, F.coalesce(F.nullif(F.get("cut", F.lit(1)), F.lit("")), key)).otherwise(in_words)
+    asked = F.concat(F.lit("What is known about "), F.lower(in_words), F.lit(" for this project?"))
+    prompt = F.when(F.col("n") >= 3, strip(F.array_join(F.slice("cut", 3, 1 << 30), "|"))).when(F.col("n") == 2, F.get("cut", F.lit(1))).otherwise(asked)
+    return _or_default(lines.select("at", key.alias("key"), label.alias("label"), prompt.alias("prompt")).where("key != '' and prompt != ''"), DEFAULT_FIELDS)
+
+
+def questionnaire(spark: SparkSession, path: str) -> DataFrame:
+    """(position, key, question) of lines ``key|question``; a question without a key gets ``q<n>``, n its place among the questions. A file
+    without any gives the default questions."""
+    bar = F.instr("v", "|")
+    key = F.when(bar > 0, strip(F.substring(F.col("v"), F.lit(1), bar - 1))).otherwise("")
+    question = F.when(bar > 0, strip(F.substring(F.col("v"), bar + 1, F.length("v")))).otherwise(F.col("v"))
+    out = _or_default(_definition_lines(spark, path).select("at", key.alias("key"), question.alias("question")).where("question != ''"), DEFAULT_QUESTIONS)
+    return out.withColumn("key", F.coalesce(F.nullif("key", F.lit("")), F.concat(F.lit("q"), F.col("position"))))
+
+
+def _or_default(rows: DataFrame, default: tuple[tuple[str, ...], ...]) -> DataFrame:
+    """``rows`` of a definition file numbered from 1 in place of ``at``, or the default ones if there are none."""
+    if rows.isEmpty():
+        columns = ", ".join(f"{c} string" for c in rows.columns[1:])
+        return rows.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(default, 1)], f"position int, {columns}")
+    return rows.withColumn("at", F.row_number().over(Window.orderBy("at"))).withColumnRenamed("at", "position")
 
 
 def evaluation_set(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("multiLine", True).schema("id string, query string, client_name string, expected_sources array<string>").json(path)
-    return rows.where("query != '' and size(expected_sources) > 0")
+    """Queries with the sources that they should find; ``source_documents`` and ``metadata_filters`` (a list is kept as JSON) bound the
+    search. Rows without a query or without expected sources are left out."""
+    shape = "id string, query string, client_name string, expected_sources array<string>, source_documents array<string>, metadata_filters map<string,string>"
+    rows = spark.read.option("multiLine", True).schema(shape).json(path)
+    return rows.withColumn("query", strip(F.col("query"))).where("query != '' and size(expected_sources) > 0")
 
 
 def expected_financials(spark: SparkSession, path: str) -> DataFrame:
