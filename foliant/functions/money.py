@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, strip, text_lines
+from .text import LINE_END, let, strip
 
 # Labels in their order.
 REVENUE = ("invoice total", "total invoice amount", "billable amount", "contract value", "quote total", "total amount due", "revenue")
@@ -18,7 +18,7 @@ _NUMBER = r"(\d+(?:,\d{3})*(?:\.\d{1,2})?)"
 
 def parse_money(c: Column) -> Column:
     """The first number of a text; signs are not looked at."""
-    return F.replace(F.nullif(F.regexp_extract(c, _NUMBER, 1), F.lit("")), F.lit(","), F.lit("")).try_cast("double")
+    return F.replace(F.regexp_extract(c, _NUMBER, 1), F.lit(","), F.lit("")).try_cast("double")
 
 
 def safe_float(c: Column) -> Column:
@@ -39,14 +39,14 @@ def currency_amounts(text: Column, most: int = 5) -> Column:
 
 def first_money(text: Column) -> Column:
     """An amount with a currency before it, else the first plain number that is long or grouped."""
-    marked = F.nullif(F.regexp_extract(text, r"(?i)(?:USD|AUD|EUR|GBP|A\$|\$|€|£)\s*" + _NUMBER, 1), F.lit(""))
-    plain = F.nullif(F.regexp_extract(text, r"(?<![A-Za-z0-9\-])((?:\d{1,3}(?:,\d{3})+|\d{4,})(?:\.\d{1,2})?)(?![A-Za-z0-9\-])", 1), F.lit(""))
-    return parse_money(F.coalesce(marked, plain))
+    marked = F.regexp_extract(text, r"(?i)(?:USD|AUD|EUR|GBP|A\$|\$|€|£)\s*" + _NUMBER, 1)
+    plain = F.regexp_extract(text, r"(?<![A-Za-z0-9\-])((?:\d{1,3}(?:,\d{3})+|\d{4,})(?:\.\d{1,2})?)(?![A-Za-z0-9\-])", 1)
+    return F.coalesce(parse_money(marked), parse_money(plain))
 
 
 def plain_lines(text: Column) -> Column:
     """The text with its lines stripped, without list marks and emphasis."""
-    joined = F.array_join(text_lines(text), "\n")
+    joined = F.regexp_replace(text, LINE_END, "\n")
     return F.replace(F.regexp_replace(F.regexp_replace(joined, r"(?Um)^[\s&&[^\n]]+|[\s&&[^\n]]+$", ""), r"(?m)^[-* ]+", ""), F.lit("**"), F.lit(""))
 
 
@@ -86,9 +86,10 @@ def financials(text: Column, kind: Column) -> Column:
 
     def sides(plain: Column) -> Column:
         revenue = F.coalesce(labelled_amount(plain, REVENUE), amount_after_labels(plain, REVENUE), F.when(kind.isin(*REVENUE_KINDS), first_money(plain)))
-        cost = F.coalesce(
-            labelled_amount(plain, COST_FIRST), amount_after_labels(plain, COST_FIRST), labelled_amount(plain, COST_SECOND), amount_after_labels(plain, COST_SECOND), F.when(kind.isin(*COST_KINDS), first_money(plain))
-        )
+        labelled = F.coalesce(labelled_amount(plain, COST_FIRST), amount_after_labels(plain, COST_FIRST), labelled_amount(plain, COST_SECOND), amount_after_labels(plain, COST_SECOND))
+        # Every label of a cost holds one of these words.
+        low = F.lower(plain)
+        cost = F.coalesce(F.when(F.contains(low, F.lit("cost")) | F.contains(low, F.lit("expense")), labelled), F.when(kind.isin(*COST_KINDS), first_money(plain)))
         return F.struct(F.round(revenue, 2).alias("r"), F.round(cost, 2).alias("c"), currency(text).alias("code"))
 
     return let(let(plain_lines(text), sides), lambda v: money_struct(v["r"], v["c"], v["code"]))
