@@ -36,6 +36,7 @@ PATH_CUES = {
     "expense_report": ("expense", "cost", "budget"),
     "timesheet": ("timesheet",),
 }
+ACCESS_WORDS = ("approval", "worker", "visitor", "permit")
 REPORT_CUES = ("report", "inspection", "findings?", "recommendations?", "summary")
 CLIENT_CUES = ("client", "project", "site", "unit", "line", "asset", "quote", r"purchase\s+order", r"access\s+request", "cost", "expense", "shutdown", "outage")
 AREAS = {
@@ -69,6 +70,7 @@ WORDS = {
     ORDER_NUMBER: ("purchase", "po"),
     ACCESS_REFERENCE: ("access", "permit"),
     OTHER_REFERENCE: ("project", "job", "reference"),
+    **{p: (re.search("[a-z]+:", re.sub(r"\\.", " ", p))[0],) for p in TEXT_CUES["email_chain"] if ":" in p},
 }
 
 
@@ -78,8 +80,26 @@ def may_match(low: Column, pattern: str) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
 
 
+def word_first(pattern: str) -> str:
+    """A pattern of lower-case texts that begins at a word, with the word before the test for its beginning: Java then searches for the word
+    instead of testing every place of the text."""
+    found = re.match(r"\\b([a-z]+)", pattern)
+    if not found:
+        return pattern
+    word, rest = found[1], pattern[found.end() :]
+    if rest[:1] in ("?", "*", "{"):
+        word, rest = word[:-1], word[-1] + rest
+    return rf"{word}(?<=\b{word}){rest}"
+
+
+def letter_first(pattern: str) -> str:
+    """A pattern that begins with one of several words, with a look at the first letter before the test for a word's beginning."""
+    found = re.match(r"\\b\(\?:([^()]*)\)", pattern)
+    return rf"(?=[{''.join(sorted({w[0] for w in found[1].split('|')}))}]){pattern}" if found else pattern
+
+
 def _hits(low: Column, patterns) -> Column:
-    return reduce(lambda a, b: a + b, [(may_match(low, p) & low.rlike(p)).cast("double") for p in patterns])
+    return reduce(lambda a, b: a + b, [(may_match(low, p) & low.rlike(word_first(p))).cast("double") for p in patterns])
 
 
 def classify(text: Column, path: Column) -> Column:
@@ -105,7 +125,7 @@ def _scores(low: Column, where: Column) -> list[Column]:
             marked = let(_hits(low, TEXT_CUES[kind]), lambda m: m + F.when(m >= 2, 1.0).otherwise(0.0) + F.when(m >= 3, 0.75).otherwise(0.0))
             score = marked + named + F.when(where.contains("email_chain"), 2.0).otherwise(0.0)
         elif kind == "access_request":
-            score = _hits(low, TEXT_CUES[kind]) + named + F.when(low.rlike(r"\b(?:approval|workers?|visitor|permit)\b"), 0.75).otherwise(0.0)
+            score = _hits(low, TEXT_CUES[kind]) + named + F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in ACCESS_WORDS]) & low.rlike(r"\b(?:approval|workers?|visitor|permit)\b"), 0.75).otherwise(0.0)
         else:
             score = _hits(low, TEXT_CUES[kind]) + named
         scored.append(F.struct(F.coalesce(score, F.lit(0.0)).alias("score"), F.lit(-n).alias("place"), F.lit(kind).alias("kind")))
@@ -135,12 +155,12 @@ def decision(s: Column) -> Column:
 
 def _first(text: Column, low: Column, *patterns: str) -> Column:
     """Group 1 of the first pattern that matches; ``low`` is the text in lower case."""
-    found = [F.when(may_match(low, p), F.nullif(F.regexp_extract(text, _FLAGS + p, 1), F.lit(""))) for p in patterns]
+    found = [F.when(may_match(low, p), F.nullif(F.regexp_extract(text, _FLAGS + letter_first(p), 1), F.lit(""))) for p in patterns]
     return F.nullif(strip(F.coalesce(*found)), F.lit(""))
 
 
 def _all(text: Column, low: Column, *patterns: str) -> Column:
-    return ordered_union(*[F.when(may_match(low, p), F.regexp_extract_all(text, F.lit(_FLAGS + p), F.lit(1))) for p in patterns])
+    return ordered_union(*[F.when(may_match(low, p), F.regexp_extract_all(text, F.lit(_FLAGS + letter_first(p)), F.lit(1))) for p in patterns])
 
 
 def client_name(text: Column, low: Column | None = None) -> Column:

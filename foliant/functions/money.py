@@ -28,7 +28,13 @@ def safe_float(c: Column) -> Column:
 
 def currency(text: Column) -> Column:
     """A dollar sign alone means USD, also after an A."""
-    return F.when(text.rlike(r"(?i)\bUSD\b|\$"), "USD").when(text.rlike(r"(?i)\bAUD\b|A\$"), "AUD").when(text.rlike(r"(?i)\bEUR\b|€"), "EUR").when(text.rlike(r"(?i)\bGBP\b|£"), "GBP").otherwise("")
+
+    def of(low: Column) -> Column:
+        # A search for the word or sign goes before each pattern.
+        has = lambda word, sign: (F.contains(low, F.lit(word)) & text.rlike(rf"(?i)\b{word}\b")) | F.contains(low, F.lit(sign))
+        return F.when(has("usd", "$"), "USD").when(has("aud", "a$"), "AUD").when(has("eur", "€"), "EUR").when(has("gbp", "£"), "GBP").otherwise("")
+
+    return let(F.lower(text), of)
 
 
 def currency_amounts(text: Column, most: int = 5) -> Column:
@@ -46,8 +52,11 @@ def first_money(text: Column) -> Column:
 
 def plain_lines(text: Column) -> Column:
     """The text with its lines stripped, without list marks and emphasis."""
-    joined = F.regexp_replace(text, LINE_END, "\n")
-    return F.replace(F.regexp_replace(F.regexp_replace(joined, r"(?Um)^[\s&&[^\n]]+|[\s&&[^\n]]+$", ""), r"(?m)^[-* ]+", ""), F.lit("**"), F.lit(""))
+    # Each step is taken only where a character other than the printable ones of ASCII stands in its place, which is cheaper to see.
+    joined = F.when(text.rlike(r"[^\n -~]"), F.regexp_replace(text, LINE_END, "\n")).otherwise(text)
+    blank = lambda j: j.rlike(r"\n(?:(?<=[^!-~\n]\n)|[^!-~\n])") | ~j.rlike(r"(?s)\A[!-~].*[!-~]\z")
+    stripped = let(joined, lambda j: F.when(blank(j), F.regexp_replace(j, r"(?Um)^[\s&&[^\n]]+|[\s&&[^\n]]+$", "")).otherwise(j))
+    return F.replace(F.regexp_replace(stripped, r"(?m)^[-* ]+", ""), F.lit("**"), F.lit(""))
 
 
 def labelled_amount(plain: Column, labels: tuple[str, ...]) -> Column:
