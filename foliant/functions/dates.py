@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, strip
+from .text import filled, let, strip
 
 #: Shapes of a date in running text, in the order in which they are looked for (fixed values).
 DATE_SHAPES = (r"\b(\d{4}-\d{2}-\d{2})\b", r"\b(\d{1,2}/\d{1,2}/\d{2,4})\b", r"\b([A-Za-z]{3,9}\s+\d{1,2},\s*\d{4})\b", r"\b(\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4})\b")
@@ -76,10 +76,15 @@ def date_candidates(text: Column, most: int = 10) -> Column:
     return F.slice(all_dates(text), 1, most)
 
 
-def report_date(text: Column) -> Column:
+def labelled_date(text: Column, low: Column | None = None) -> Column:
+    """What stands behind the first label that has a date in its shape; ``low``: the text in lower case."""
+    found = F.coalesce(*[filled(F.regexp_extract(text, "(?imd)" + p, 1)) for p in LABELLED_DATES])
+    return found if low is None else F.when(F.contains(low, F.lit("date")), found)
+
+
+def report_date(text: Column, labelled: Column | None = None) -> Column:
     """The date behind the first label that has one in its shape; if that is no day, the first date of the text."""
-    labelled = F.coalesce(*[F.nullif(F.regexp_extract(text, "(?imd)" + p, 1), F.lit("")) for p in LABELLED_DATES])
-    return F.coalesce(normal_date(labelled), F.try_element_at(all_dates(text), F.lit(1)))
+    return F.coalesce(normal_date(labelled_date(text) if labelled is None else labelled), F.try_element_at(all_dates(text), F.lit(1)))
 
 
 def typed_date(c: Column) -> Column:

@@ -11,8 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dates import all_dates, report_date
-from .text import basename, clean_client, forward, let, name_key, ordered_union, parent, section_lines, slug, stem, strip, title_case, year
+from .dates import all_dates, labelled_date, report_date
+from .text import basename, clean_client, filled, forward, let, name_key, ordered_union, parent, section_lines, slug, stem, strip, title_case, year
 
 REGEX_CHARS = 120_000
 CLIENT_CHARS = 8_000
@@ -62,6 +62,7 @@ QUOTE_NUMBER = r"\b(?:quote|quotation|estimate)(?:\s+(?:number|no\.?))?\s*(?:[:#
 ORDER_NUMBER = r"\b(?:purchase\s*order|po)(?:\s+(?:number|no\.?))?\s*(?:[:#\-]|\b)\s*([A-Z0-9\-/]+)\b"
 ACCESS_REFERENCE = r"\b(?:access\s*request|permit\s*reference|permit\s*to\s*work)(?:\s+(?:number|no\.?))?\s*(?:[:#\-]|\b)\s*([A-Z0-9\-/]+)\b"
 OTHER_REFERENCE = r"\b(?:project\s*code|job\s*code|job\s*#|reference)\s*[:#\- ]\s*([A-Z]{2,}[A-Z0-9\-/]+)\b"
+REFERENCES = (QUOTE_NUMBER, ORDER_NUMBER, ACCESS_REFERENCE, OTHER_REFERENCE)
 _FLAGS = "(?imd)"
 # Words of which a match holds one, for patterns that don't begin with a word of their own.
 WORDS = {
@@ -113,7 +114,12 @@ def classify(text: Column, path: Column) -> Column:
 
 def document_kind(low: Column, path: Column) -> Column:
     """The kind that ``classify`` gives, for a text's beginning in lower case."""
-    return let(F.struct(*_scores(low, F.lower(path))), lambda s: kind_of(s)[1])
+    return let(F.struct(*kind_scores(low, path)), lambda s: kind_of(s)[1])
+
+
+def kind_scores(low: Column, path: Column) -> list[Column]:
+    """What ``kind_of`` decides by: the best kind but report with its score, and the score of report."""
+    return _scores(low, F.lower(path))
 
 
 def _scores(low: Column, where: Column) -> list[Column]:
@@ -155,22 +161,28 @@ def decision(s: Column) -> Column:
 
 def _first(text: Column, low: Column, *patterns: str) -> Column:
     """Group 1 of the first pattern that matches; ``low`` is the text in lower case."""
-    found = [F.when(may_match(low, p), F.nullif(F.regexp_extract(text, _FLAGS + letter_first(p), 1), F.lit(""))) for p in patterns]
-    return F.nullif(strip(F.coalesce(*found)), F.lit(""))
+    found = [F.when(may_match(low, p), filled(F.regexp_extract(text, _FLAGS + letter_first(p), 1))) for p in patterns]
+    return filled(strip(F.coalesce(*found)))
+
+
+def _found(text: Column, low: Column, *patterns: str) -> Column:
+    """Group 1 of all that the patterns find, one pattern's after the other's."""
+    none = F.array().cast("array<string>")
+    return F.concat(*[F.coalesce(F.when(may_match(low, p), F.regexp_extract_all(text, F.lit(_FLAGS + letter_first(p)), F.lit(1))), none) for p in patterns])
 
 
 def _all(text: Column, low: Column, *patterns: str) -> Column:
-    return ordered_union(*[F.when(may_match(low, p), F.regexp_extract_all(text, F.lit(_FLAGS + letter_first(p)), F.lit(1))) for p in patterns])
+    return ordered_union(_found(text, low, *patterns))
 
 
 def client_name(text: Column, low: Column | None = None) -> Column:
-    return F.nullif(clean_client(_first(text, F.lower(text) if low is None else low, *CLIENT_NAME)), F.lit(""))
+    return filled(clean_client(_first(text, F.lower(text) if low is None else low, *CLIENT_NAME)))
 
 
 def references(text: Column, low: Column | None = None) -> Column:
     """Quote, order, access and other numbers. The patterns don't mind case, so a plain word after
     a cue counts as one ("po box" gives "box")."""
-    return _all(text, F.lower(text) if low is None else low, QUOTE_NUMBER, ORDER_NUMBER, ACCESS_REFERENCE, OTHER_REFERENCE)
+    return _all(text, F.lower(text) if low is None else low, *REFERENCES)
 
 
 def areas(text: Column) -> Column:
@@ -212,6 +224,15 @@ def text_fields(t: Column, low: Column) -> dict[str, Column]:
     }
 
 
+#: Fields of ``text_fields`` that are made of what patterns find, with the patterns.
+LISTS = {"authors": AUTHORS, "contacts": CONTACTS, "related_references": REFERENCES}
+
+
+def raw_finds(t: Column, low: Column) -> dict[str, Column]:
+    """What the patterns of ``LISTS`` and the labels of dates find, as it stands in the text."""
+    return {**{c: _found(t, low, *patterns) for c, patterns in LISTS.items()}, "report_date": labelled_date(t, low)}
+
+
 def looks_like_document(client: Column, path: Column) -> Column:
     """Whether a client name is but the file's or its folder's name."""
     key = name_key(client)

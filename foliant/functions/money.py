@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import LINE_END, let, strip
+from .text import LINE_END, by_itself, let, once, strip
 
 # Labels in their order.
 REVENUE = ("invoice total", "total invoice amount", "billable amount", "contract value", "quote total", "total amount due", "revenue")
@@ -28,13 +28,14 @@ def safe_float(c: Column) -> Column:
 
 def currency(text: Column) -> Column:
     """A dollar sign alone means USD, also after an A."""
+    return let(F.lower(text), lambda low: currency_in(text, low))
 
-    def of(low: Column) -> Column:
-        # A search for the word or sign goes before each pattern.
-        has = lambda word, sign: (F.contains(low, F.lit(word)) & text.rlike(rf"(?i)\b{word}\b")) | F.contains(low, F.lit(sign))
-        return F.when(has("usd", "$"), "USD").when(has("aud", "a$"), "AUD").when(has("eur", "€"), "EUR").when(has("gbp", "£"), "GBP").otherwise("")
 
-    return let(F.lower(text), of)
+def currency_in(text: Column, low: Column) -> Column:
+    """``currency`` of a text that is there in lower case, too."""
+    # A search for the word or sign goes before each pattern.
+    has = lambda word, sign: (F.contains(low, F.lit(word)) & text.rlike(rf"(?i)\b{word}\b")) | F.contains(low, F.lit(sign))
+    return F.when(has("usd", "$"), "USD").when(has("aud", "a$"), "AUD").when(has("eur", "€"), "EUR").when(has("gbp", "£"), "GBP").otherwise("")
 
 
 def currency_amounts(text: Column, most: int = 5) -> Column:
@@ -52,10 +53,18 @@ def first_money(text: Column) -> Column:
 
 def plain_lines(text: Column) -> Column:
     """The text with its lines stripped, without list marks and emphasis."""
-    # Each step is taken only where a character other than the printable ones of ASCII stands in its place, which is cheaper to see.
-    joined = F.when(text.rlike(r"[^\n -~]"), F.regexp_replace(text, LINE_END, "\n")).otherwise(text)
-    blank = lambda j: j.rlike(r"\n(?:(?<=[^!-~\n]\n)|[^!-~\n])") | ~j.rlike(r"(?s)\A[!-~].*[!-~]\z")
-    stripped = let(joined, lambda j: F.when(blank(j), F.regexp_replace(j, r"(?Um)^[\s&&[^\n]]+|[\s&&[^\n]]+$", "")).otherwise(j))
+    return let(_joined(text), _plain)
+
+
+def _joined(text: Column) -> Column:
+    """The text with one kind of line end. Each step is taken only where a character other than the printable ones of ASCII stands in its
+    place, which is cheaper to see."""
+    return F.when(text.rlike(r"[^\n -~]"), F.regexp_replace(text, LINE_END, "\n")).otherwise(text)
+
+
+def _plain(joined: Column) -> Column:
+    blank = joined.rlike(r"\n(?:(?<=[^!-~\n]\n)|[^!-~\n])") | ~joined.rlike(r"(?s)\A[!-~].*[!-~]\z")
+    stripped = F.when(blank, F.regexp_replace(joined, r"(?Um)^[\s&&[^\n]]+|[\s&&[^\n]]+$", "")).otherwise(joined)
     return F.replace(F.regexp_replace(stripped, r"(?m)^[-* ]+", ""), F.lit("**"), F.lit(""))
 
 
@@ -83,8 +92,9 @@ def amount_after_labels(plain: Column, labels: tuple[str, ...]) -> Column:
 
         return F.try_element_at(F.filter(F.transform(lines, amount), lambda x: x.isNotNull()), F.lit(1))
 
-    # Most texts have no such line at all; only the others are split.
-    return F.when(plain.rlike(rf"(?im)^[^\S\n]*(?:{every})(?:$|[:| ])"), let(F.filter(F.transform(F.split(plain, "\n"), strip), lambda x: x != ""), of))
+    # Lines are split from the first such one on; most texts have none at all.
+    tail = F.regexp_extract(plain, rf"(?im)^[^\S\n]*(?:{every})(?:$|[:| ])(?s:.*)", 0)
+    return let(tail, lambda t: F.when(t != "", let(F.filter(F.transform(F.split(t, "\n"), strip), lambda x: x != ""), of)))
 
 
 def financials(text: Column, kind: Column) -> Column:
@@ -92,16 +102,30 @@ def financials(text: Column, kind: Column) -> Column:
 
     A side without an amount is null, and 0 is an amount; profit and margin need both sides.
     """
+    sides = lambda plain: F.struct(F.round(_revenue(plain, kind), 2).alias("r"), F.round(_cost(plain, F.lower(plain), kind), 2).alias("c"), currency(text).alias("code"))
+    return let(let(plain_lines(text), sides), lambda v: money_struct(v["r"], v["c"], v["code"]))
 
-    def sides(plain: Column) -> Column:
-        revenue = F.coalesce(labelled_amount(plain, REVENUE), amount_after_labels(plain, REVENUE), F.when(kind.isin(*REVENUE_KINDS), first_money(plain)))
-        labelled = F.coalesce(labelled_amount(plain, COST_FIRST), amount_after_labels(plain, COST_FIRST), labelled_amount(plain, COST_SECOND), amount_after_labels(plain, COST_SECOND))
-        # Every label of a cost holds one of these words.
-        low = F.lower(plain)
-        cost = F.coalesce(F.when(F.contains(low, F.lit("cost")) | F.contains(low, F.lit("expense")), labelled), F.when(kind.isin(*COST_KINDS), first_money(plain)))
-        return F.struct(F.round(revenue, 2).alias("r"), F.round(cost, 2).alias("c"), currency(text).alias("code"))
 
-    return let(let(plain_lines(text), sides), lambda v: money_struct(v["r"], v["c"], v["code"]))
+def _revenue(plain: Column, kind: Column) -> Column:
+    return F.coalesce(labelled_amount(plain, REVENUE), amount_after_labels(plain, REVENUE), F.when(kind.isin(*REVENUE_KINDS), first_money(plain)))
+
+
+def _cost(plain: Column, low: Column, kind: Column) -> Column:
+    labelled = F.coalesce(labelled_amount(plain, COST_FIRST), amount_after_labels(plain, COST_FIRST), labelled_amount(plain, COST_SECOND), amount_after_labels(plain, COST_SECOND))
+    # Every label of a cost holds one of these words.
+    return F.coalesce(F.when(F.contains(low, F.lit("cost")) | F.contains(low, F.lit("expense")), labelled), F.when(kind.isin(*COST_KINDS), first_money(plain)))
+
+
+def with_financials(docs: DataFrame) -> DataFrame:
+    """``docs`` (text, document_kind) with the fields of ``financials``: the same steps, each a column, which Spark compiles where it
+    interprets what is bound in a lambda."""
+    r = docs.withColumns({"__joined": once(_joined(F.col("text"))), "__lower": F.lower("text")}).withColumn("__plain", once(_plain(F.col("__joined"))))
+    plain, kind = F.col("__plain"), F.col("document_kind")
+    r = r.withColumn("__plain_low", F.lower("__plain"))
+    found = {"__r": _revenue(plain, kind), "__c": _cost(plain, F.col("__plain_low"), kind), "__code": by_itself(currency_in(F.col("text"), F.col("__lower")))}
+    r = r.withColumns({n: once(c) for n, c in found.items()})
+    r = r.withColumn("__m", once(money_struct(F.round("__r", 2), F.round("__c", 2), F.col("__code"))))
+    return r.select(*docs.columns, "__m.*")
 
 
 def money_struct(r: Column, c: Column, code: Column) -> Column:

@@ -22,8 +22,21 @@ def let(value: Column, body) -> Column:
 
 def once(c: Column) -> Column:
     """``c``, evaluated where it stands. Spark copies a column's expression into every filter on it and moves that down into scans and joins, where
-    each copy runs the patterns again; it leaves a column alone that may depend on the row's place. This one only seems to."""
-    return F.coalesce(c, F.when(F.monotonically_increasing_id() < 0, F.lit(None)))
+    each copy runs the patterns again; it leaves a column alone that may depend on the row's place. This one only seems to.
+
+    The lambda keeps the projection out of whole-stage code: there all expressions of a row are one method, and Java interprets methods beyond
+    8,000 bytes for ever. On its own a projection is cut into methods that Java compiles."""
+    return F.coalesce(c, F.when(F.exists(F.array(F.monotonically_increasing_id()), lambda i: i < 0), F.lit(None)))
+
+
+def by_itself(c: Column) -> Column:
+    """``once`` for an expression that is never null, which Spark would take out of a ``coalesce``."""
+    return F.when(F.exists(F.array(F.monotonically_increasing_id()), lambda i: i >= 0), c)
+
+
+def filled(c: Column) -> Column:
+    """``c``, or null for the empty text. ``nullif`` names ``c`` twice, and within a condition Spark computes it twice."""
+    return F.get(F.array_remove(F.array(c), F.lit("")), F.lit(0))
 
 
 def strip(c: Column) -> Column:

@@ -89,7 +89,7 @@ def rendered(spark: SparkSession, d: str) -> DataFrame:
         spelt(text_of("Date: ", day("yyyy-MM-dd")), text_of("Report Date: ", day("MMMM d, yyyy")), text_of("Date - ", day("d MMM yyyy")), text_of("Date: ", day("MM/dd/yyyy"))),
         spelt(text_of(label("Invoice Total: USD ", "Total Cost: USD "), amount), text_of(label("- **Quote Total** | ", "- **Actual Cost** | "), amount), text_of(label("Invoice total\n\nUSD ", "Estimated cost\n\nUSD "), amount), text_of(label("Contract Value ", "Supplier Cost "), amount)),
     )
-    return j.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("docs/"), kind, F.lit("_"), F.col("c_custkey").cast("string"), F.lit(".txt")).alias("source_path"), F.col("o_orderdate").alias("ingested_at"), body.alias("text"))
+    return j.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("docs/"), kind, F.lit("_"), F.col("c_custkey").cast("string"), F.lit(".txt")).alias("source_path"), F.col("o_orderdate").alias("ingested_at"), text.by_itself(body).alias("text"))
 
 
 def analysed(spark: SparkSession, d: str) -> DataFrame:
@@ -102,15 +102,19 @@ def with_fields(docs: DataFrame) -> DataFrame:
 
     Every field is a column of its own, so a query evaluates the patterns of those fields alone that it reads, each once a row.
     """
-    t, low = F.substring("text", 1, extract.REGEX_CHARS), F.col("__low")
-    r = docs.withColumn("__t", t).withColumn("__low", F.lower("__t"))
-    own = ("client_name", "report_type", "report_date", "authors", "contacts", "findings", "recommendations", "project_name", "project_code", "related_references")
-    found = extract.text_fields(F.col("__t"), low)
-    r = r.select("doc_id", "source_path", "ingested_at", "text", text.once(extract.document_kind(low, F.col("source_path"))).alias("document_kind"), *[text.once(found[c]).alias(c) for c in own])
-    r = r.withColumn("m", text.once(money.financials(F.col("text"), F.col("document_kind"))))
-    return r.select(
+    t, low = F.col("__t"), F.col("__low")
+    r = docs.withColumn("__t", F.substring("text", 1, extract.REGEX_CHARS)).withColumn("__low", F.lower("__t"))
+    found, raw = extract.text_fields(t, low), extract.raw_finds(t, low)
+    best, report = extract.kind_scores(low, F.col("source_path"))
+    own = ("client_name", "report_type", "findings", "recommendations", "project_name", "project_code")
+    r = r.select("doc_id", "source_path", "ingested_at", "text", "__t", text.once(best).alias("__best"), text.once(report).alias("__report"), *[text.once(found[c]).alias(c) for c in own], *[text.once(raw[c]).alias(c) for c in raw])
+    kind = extract.kind_of({"best": F.col("__best"), "report": F.col("__report")})[1]
+    lists = {c: text.once(text.ordered_union(F.col(c))) for c in extract.LISTS}
+    r = r.withColumns({"document_kind": text.once(kind), "report_date": text.once(dates.report_date(t, F.col("report_date"))), **lists})
+    m = money.with_financials(r)
+    return m.select(
         "doc_id", "source_path", "ingested_at", "text", text.once(text.content_hash(F.col("text"))).alias("content_hash"), text.once(text.guess_title(F.col("text"), F.col("source_path"))).alias("title"), "document_kind", "client_name", "report_type", "report_date", "authors", "contacts", "findings", "recommendations",
-        text.slug(F.col("project_code")).alias("project_key"), "project_name", "project_code", "related_references", "m.*",
+        text.slug(F.col("project_code")).alias("project_key"), "project_name", "project_code", "related_references", *[c for c in m.columns if c not in r.columns],
     )
 
 
