@@ -38,3 +38,8 @@ def test_rendered_text_is_outside_whole_stage_code(spark, plan):
 def test_filled(spark):
     rows = spark.createDataFrame([("a",), ("",), (None,), (" ",)], "t string").select(text.filled(F.col("t")).alias("t"), text.by_itself(F.col("t")).alias("same"))
     assert [tuple(r) for r in rows.collect()] == [("a", "a"), (None, ""), (None, None), (" ", " ")]
+
+
+def test_client_metrics_runs_patterns_on_newest_versions_only(spark, plan):
+    shown = plan(registry.queries()["client_metrics"](spark, SF)).splitlines()
+    assert max(n for n, line in enumerate(shown) if "row_number()" in line) > max(n for n, line in enumerate(shown) if "regexp_extract" in line)
