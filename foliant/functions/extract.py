@@ -64,6 +64,8 @@ ACCESS_REFERENCE = r"\b(?:access\s*request|permit\s*reference|permit\s*to\s*work
 OTHER_REFERENCE = r"\b(?:project\s*code|job\s*code|job\s*#|reference)\s*[:#\- ]\s*([A-Z]{2,}[A-Z0-9\-/]+)\b"
 REFERENCES = (QUOTE_NUMBER, ORDER_NUMBER, ACCESS_REFERENCE, OTHER_REFERENCE)
 _FLAGS = "(?imd)"
+# A letter or digit at both ends, nothing between that cleaning takes away (but for two spaces). No group is repeated, so long lines don't run deep.
+PLAIN_NAME = r"^[A-Za-z0-9][A-Za-z0-9 #.&'-]*+(?<=[A-Za-z0-9])\z"
 # Words of which a match holds one, for patterns that don't begin with a word of their own.
 WORDS = {
     PROJECT_CODE[1]: ("project", "job", "reference"),
@@ -73,12 +75,20 @@ WORDS = {
     OTHER_REFERENCE: ("project", "job", "reference"),
     **{p: (re.search("[a-z]+:", re.sub(r"\\.", " ", p))[0],) for p in TEXT_CUES["email_chain"] if ":" in p},
 }
+# Fixed value: letters, the rarest last.
+RARE = "etaoinsrlcdupmghybfvkwxjqz"
 
 
 def may_match(low: Column, pattern: str) -> Column:
     """Whether a text in lower case holds a word without which the pattern can't match: a search for bytes, far cheaper than the pattern."""
     words = WORDS.get(pattern) or re.findall("[a-z]{2,}", re.sub(r"\\.|\(\?m\)|.\?", " ", pattern))[:1]
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(rare_part(w))) for w in words])
+
+
+def rare_part(word: str) -> str:
+    """The part of a word from its rarest letter among those that leave three characters: Spark's search stops to compare at every place that
+    has the first one. A text without the part is without the word."""
+    return word[max(range(max(len(word) - 2, 1)), key=lambda n: (RARE.find(word[n]), -n)) :]
 
 
 def word_first(pattern: str) -> str:
@@ -179,6 +189,17 @@ def client_name(text: Column, low: Column | None = None) -> Column:
     return filled(clean_client(_first(text, F.lower(text) if low is None else low, *CLIENT_NAME)))
 
 
+def found_client(text: Column, low: Column) -> Column:
+    """What the patterns of clients find first, as it stands in the text."""
+    return F.coalesce(*[F.when(may_match(low, p), filled(F.regexp_extract(text, _FLAGS + letter_first(p), 1))) for p in CLIENT_NAME])
+
+
+def client_of(found: Column) -> Column:
+    """``client_name`` of what ``found_client`` gives. A name of plain words is clean already; one look at it saves seven patterns."""
+    plain = found.rlike(PLAIN_NAME) & ~F.contains(found, F.lit("  "))
+    return F.when(plain, found).otherwise(filled(clean_client(filled(strip(found)))))
+
+
 def references(text: Column, low: Column | None = None) -> Column:
     """Quote, order, access and other numbers. The patterns don't mind case, so a plain word after
     a cue counts as one ("po box" gives "box")."""

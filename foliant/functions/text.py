@@ -118,7 +118,9 @@ def first_words(c: Column, n: int) -> Column:
 def guess_title(text: Column, path: Column) -> Column:
     """The first of twenty lines with more than eight characters, else the file's stem in words."""
     lines = F.transform(F.slice(F.split(text, "\n"), 1, 20), strip)
-    hit = F.try_element_at(F.filter(lines, lambda x: F.length(x) > 8), F.lit(1))
+    first = strip(F.substring_index(text, "\n", 1))
+    # Mostly the first line is one; only the other texts are split.
+    hit = F.when(F.length(first) > 8, first).otherwise(F.try_element_at(F.filter(lines, lambda x: F.length(x) > 8), F.lit(1)))
     return F.coalesce(F.substring(hit, 1, 200), F.regexp_replace(stem(path), "_", " "))
 
 

@@ -106,11 +106,11 @@ def with_fields(docs: DataFrame) -> DataFrame:
     r = docs.withColumn("__t", F.substring("text", 1, extract.REGEX_CHARS)).withColumn("__low", F.lower("__t"))
     found, raw = extract.text_fields(t, low), extract.raw_finds(t, low)
     best, report = extract.kind_scores(low, F.col("source_path"))
-    own = ("client_name", "report_type", "findings", "recommendations", "project_name", "project_code")
-    r = r.select("doc_id", "source_path", "ingested_at", "text", "__t", text.once(best).alias("__best"), text.once(report).alias("__report"), *[text.once(found[c]).alias(c) for c in own], *[text.once(raw[c]).alias(c) for c in raw])
+    own = ("report_type", "findings", "recommendations", "project_name", "project_code")
+    r = r.select("doc_id", "source_path", "ingested_at", "text", "__t", text.once(best).alias("__best"), text.once(report).alias("__report"), text.once(extract.found_client(t, low)).alias("__client"), *[text.once(found[c]).alias(c) for c in own], *[text.once(raw[c]).alias(c) for c in raw])
     kind = extract.kind_of({"best": F.col("__best"), "report": F.col("__report")})[1]
     lists = {c: text.once(text.ordered_union(F.col(c))) for c in extract.LISTS}
-    r = r.withColumns({"document_kind": text.once(kind), "report_date": text.once(dates.report_date(t, F.col("report_date"))), **lists})
+    r = r.withColumns({"document_kind": text.once(kind), "client_name": text.once(extract.client_of(F.col("__client"))), "report_date": text.once(dates.report_date(t, F.col("report_date"))), **lists})
     m = money.with_financials(r)
     return m.select(
         "doc_id", "source_path", "ingested_at", "text", text.once(text.content_hash(F.col("text"))).alias("content_hash"), text.once(text.guess_title(F.col("text"), F.col("source_path"))).alias("title"), "document_kind", "client_name", "report_type", "report_date", "authors", "contacts", "findings", "recommendations",
