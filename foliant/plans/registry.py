@@ -97,8 +97,8 @@ def analysed(spark: SparkSession, d: str) -> DataFrame:
     return with_fields(rendered(spark, d)).drop("text")
 
 
-def with_fields(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, source_path, ingested_at, text) with all that classification and extraction find.
+def with_fields(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` (doc_id, source_path, ingested_at, text, and columns in ``keep``) with all that classification and extraction find.
 
     Every field is a column of its own, so a query evaluates the patterns of those fields alone that it reads, each once a row.
     """
@@ -107,13 +107,13 @@ def with_fields(docs: DataFrame) -> DataFrame:
     found, raw = extract.text_fields(t, low), extract.raw_finds(t, low)
     best, report = extract.kind_scores(low, F.col("source_path"))
     own = ("report_type", "findings", "recommendations", "project_name", "project_code")
-    r = r.select("doc_id", "source_path", "ingested_at", "text", "__t", text.once(best).alias("__best"), text.once(report).alias("__report"), text.once(extract.found_client(t, low)).alias("__client"), *[text.once(found[c]).alias(c) for c in own], *[text.once(raw[c]).alias(c) for c in raw])
+    r = r.select("doc_id", "source_path", "ingested_at", "text", *keep, "__t", text.once(best).alias("__best"), text.once(report).alias("__report"), text.once(extract.found_client(t, low)).alias("__client"), *[text.once(found[c]).alias(c) for c in own], *[text.once(raw[c]).alias(c) for c in raw])
     kind = extract.kind_of({"best": F.col("__best"), "report": F.col("__report")})[1]
     lists = {c: text.once(text.ordered_union(F.col(c))) for c in extract.LISTS}
     r = r.withColumns({"document_kind": text.once(kind), "client_name": text.once(extract.client_of(F.col("__client"))), "report_date": text.once(dates.report_date(t, F.col("report_date"))), **lists})
     m = money.with_financials(r)
     return m.select(
-        "doc_id", "source_path", "ingested_at", "text", text.once(text.content_hash(F.col("text"))).alias("content_hash"), text.once(text.guess_title(F.col("text"), F.col("source_path"))).alias("title"), "document_kind", "client_name", "report_type", "report_date", "authors", "contacts", "findings", "recommendations",
+        "doc_id", "source_path", "ingested_at", "text", *keep, text.once(text.content_hash(F.col("text"))).alias("content_hash"), text.once(text.guess_title(F.col("text"), F.col("source_path"))).alias("title"), "document_kind", "client_name", "report_type", "report_date", "authors", "contacts", "findings", "recommendations",
         text.slug(F.col("project_code")).alias("project_key"), "project_name", "project_code", "related_references", *[c for c in m.columns if c not in r.columns],
     )
 
@@ -911,7 +911,11 @@ def field_rescoring(spark, d):
 def local_evidence(spark, d):
     """What speaks for a quoted price in the first six documents of each project."""
     w = Window.partitionBy("client_name", "project_key").orderBy("ingested_at", "doc_id")
-    a = with_fields(rendered(spark, d)).withColumn("position", F.row_number().over(w)).withColumn("excerpt", F.col("text")).withColumn("currency_amounts", money.currency_amounts(F.col("text"))).withColumn("document_name", F.lit(None).cast("string"))
+    # Client and project tell which documents are the first; only on those do the other patterns run.
+    own = with_fields(rendered(spark, d)).select("doc_id", "source_path", "ingested_at", "text", "client_name", "project_key")
+    first = own.withColumn("position", F.row_number().over(w)).where("position <= 6").withColumnsRenamed({"client_name": "__client_name", "project_key": "__project_key"})
+    a = with_fields(first, ("position", "__client_name", "__project_key")).drop("client_name", "project_key").withColumnsRenamed({"__client_name": "client_name", "__project_key": "project_key"})
+    a = a.withColumn("excerpt", F.col("text")).withColumn("currency_amounts", money.currency_amounts(F.col("text"))).withColumn("document_name", F.lit(None).cast("string"))
     return fields.local_evidence(a, "quoted")
 
 

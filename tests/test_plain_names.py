@@ -37,3 +37,15 @@ def test_titles(spark):
     cases = {"Quotation 1\nb": "Quotation 1", "short\n  a longer line \nx": "a longer line", " \n" * 20 + "beyond the limit": "f x", "": "f x", "  123456789  ": "123456789", "\n\nnine chars": "nine chars", "eight ch\nlonger than eight": "longer than eight"}
     got = spark.createDataFrame([(k, v) for k, v in [*cases.items(), (None, "f x")]], "t string, want string").select("want", text.guess_title(F.col("t"), F.lit("d/f_x.txt")).alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_local_evidence_runs_patterns_on_first_documents_only(spark):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    found = registry.queries()["local_evidence"](spark, SF)
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    spark.conf.set("spark.sql.adaptive.enabled", before)
+    # Above stands what runs later: references and dates after the last window that numbers documents.
+    numbered = max(n for n, line in enumerate(lines) if "row_number()" in line)
+    assert max(n for n, line in enumerate(lines) if "regexp_extract_all" in line) < numbered
+    assert found.count() > 0
