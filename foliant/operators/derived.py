@@ -76,7 +76,8 @@ def refreshed(vectors: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFram
 
     A text replaces all rows of its path and client (a null client is the empty one). Where exactly one row is stored and its text is the same,
     it stays as it is. Of several texts of a path and client the greatest counts. Derived rows without a text stay, and so do the
-    vectors of documents, which take part in no join. Vectors of ``vectors`` have ``COLUMNS`` and ``embedding``; more columns are null in new rows.
+    vectors of documents, which take part in no join. Vectors of ``vectors`` have ``COLUMNS`` and ``embedding``; more columns are null in new rows. Without
+    ``embedding`` the index holds texts whose vectors are drawn where they are read (``embedded``), and new ones get none here.
     """
     client = F.coalesce("client_name", F.lit("")).alias("__client")
     wanted = texts.groupBy("source_document", client).agg(F.max(F.struct("chunk_text", *[c for c in COLUMNS if c not in ("source_document", "chunk_text")])).alias("__t"))
@@ -87,6 +88,8 @@ def refreshed(vectors: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFram
     changed = news.select("source_document", "__client", F.when(F.col("__n").isNull(), "added").otherwise("changed").alias("state"), "__t.*")
     same = (stored["source_document"] == F.col("__path")) & (F.coalesce(stored["client_name"], F.lit("")) == F.col("__client"))
     kept = stored.join(changed.select(F.col("source_document").alias("__path"), "__client"), same, "left_anti")
-    new = embedded(changed.select(*COLUMNS))
+    new = changed.select(*COLUMNS)
+    if "embedding" in vectors.columns:
+        new = embedded(new)
     rest = vectors.where(~ours | F.col("source_document").isNull())
     return rest.unionByName(kept).unionByName(new, allowMissingColumns=True), changed.select(*KEY, "state", "chunk_text")

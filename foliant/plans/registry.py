@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, extract, money, text
@@ -949,11 +949,16 @@ def resolved_clients(spark, d):
 _FIELD_KEYS = ("title", "date", "participants", "quoted", "gaps")
 
 
-def _project_facts(a: DataFrame) -> DataFrame:
-    """Fields, summary and answers of each project, from its documents."""
-    value = lambda v: F.struct(v.cast("string").alias("value"), F.lit("present").alias("status"), F.lit("rules").alias("method"))
+def _project_parts(a: DataFrame, part: Column) -> DataFrame:
+    """What ``_project_facts`` needs of the documents of each project and part: one row, however many they are."""
     quotes = F.count_if(F.col("document_kind") == "quote")
-    g = a.groupBy("client_name", "project_key").agg(F.max("project_name").alias("project_name"), F.max("report_date").alias("d"), F.min(F.col("contacts")[0]).alias("c"), quotes.alias("q"), F.count(F.lit(1)).alias("n"))
+    return a.groupBy("client_name", "project_key", part.alias("part")).agg(F.max("project_name").alias("project_name"), F.max("report_date").alias("d"), F.min(F.col("contacts")[0]).alias("c"), quotes.alias("q"), F.count(F.lit(1)).alias("n"))
+
+
+def _project_facts(parts: DataFrame) -> DataFrame:
+    """Fields, summary and answers of each project, from the parts of its documents."""
+    value = lambda v: F.struct(v.cast("string").alias("value"), F.lit("present").alias("status"), F.lit("rules").alias("method"))
+    g = parts.groupBy("client_name", "project_key").agg(F.max("project_name").alias("project_name"), F.max("d").alias("d"), F.min("c").alias("c"), F.sum("q").alias("q"), F.sum("n").alias("n"))
     fields_of = F.create_map(F.lit("date"), value(F.col("d")), F.lit("title"), value(F.col("project_name")), F.lit("participants"), value(F.col("c")), F.lit("quoted"), value(F.when(F.col("q") > 0, F.col("q").cast("string")).otherwise(F.lit("  "))))
     said = F.concat(F.lit("  Work  for "), F.col("client_name"), F.lit(". Recommendations:none"))
     answers = F.create_map(F.lit("scope"), F.concat(F.col("n").cast("string"), F.lit(" documents ")), F.lit("dates"), F.col("d"), F.lit("risks"), F.lit(" "))
@@ -973,16 +978,18 @@ def _derived_sql(docs: str) -> str:
  select a.source_document, a.document_kind, a.chunk_text, case when b.source_document is null then 'added' when b.chunk_text <> a.chunk_text then 'changed' else 'kept' end state, 384::bigint n_dims from a left join b using (source_document)""")
 def derived_index(spark, d):
     """The index of nine tenths of the documents, then of all of them."""
-    a = grouping.checkpointed(analysed(spark, d).select("doc_id", "client_name", "project_key", "project_name", "report_date", "contacts", "document_kind"))
+    a = grouping.checkpointed(_project_parts(analysed(spark, d), F.col("doc_id") % 10 != 0))
 
-    def texts(docs: DataFrame) -> DataFrame:
-        facts = _project_facts(docs)
+    def texts(parts: DataFrame) -> DataFrame:
+        facts = _project_facts(parts)
         return derived.field_texts(facts, _FIELD_KEYS).unionByName(derived.summary_texts(facts))
 
-    none = spark.createDataFrame([], ", ".join(f"{c} string" for c in derived.COLUMNS) + ", embedding array<double>")
-    before, _ = derived.refreshed(none, texts(a.where("doc_id % 10 != 0")))
+    # The index holds texts: vectors are their hashes' and are drawn at the end, so none is written.
+    none = spark.createDataFrame([], ", ".join(f"{c} string" for c in derived.COLUMNS))
+    before, _ = derived.refreshed(none, texts(a.where("part")))
     after, changed = derived.refreshed(grouping.checkpointed(before), texts(a))
-    return after.join(changed.select(*derived.KEY, "state"), list(derived.KEY), "left").select("source_document", "document_kind", "chunk_text", F.coalesce("state", F.lit("kept")).alias("state"), F.size("embedding").cast("long").alias("n_dims"))
+    told = after.join(changed.select(*derived.KEY, "state"), list(derived.KEY), "left").select("source_document", "document_kind", "chunk_text", F.coalesce("state", F.lit("kept")).alias("state"))
+    return retrieval.embedded(told).select("source_document", "document_kind", "chunk_text", "state", F.size("embedding").cast("long").alias("n_dims"))
 
 
 @query("progress_events", """with {docs}, s as (select *, case when doc_id % 11 = 0 then 'error' when doc_id % 13 = 0 then 'unsupported' when doc_id % 7 = 0 then 'skipped_duplicate' else 'ingested' end st from docs),
